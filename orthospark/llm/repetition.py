@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import NOT_SPACE, Text, byte_set, covered, map_chunks, span_hashes, windows
+from .suffixes import suffix_array
 
 #: Shortest repeat that counts, in words; most of a text that repeats may cover; longest repeat, in words.
 MIN_WORDS, MAX_FRACTION, MAX_REPEAT = 8, 0.5, 100
@@ -25,47 +26,12 @@ _SYMBOL = byte_set(lambda b: chr(b) in "#*$%&|<>")
 
 
 def longest_repeats(symbols: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
-    """For each place, the length of the longest substring from there that also begins elsewhere in the same text; 0 below `least`.
-
-    A suffix's rank is the place of its group in the array (from 1), so a doubling step sorts only suffixes that still tie.
-    """
+    """For each place, the length of the longest substring from there that also begins elsewhere in the same text; 0 below `least`."""
     n = len(symbols)
     out = np.zeros(n, dtype=np.int64)
     if n == 0:
         return out
-    word = np.empty(n, dtype=np.int64)
-    order = np.argsort(symbols)
-    word[order] = np.cumsum(np.concatenate([[True], symbols[order][1:] != symbols[order][:-1]]))
-    key = doc * np.int64(n + 1) + word
-    order = np.argsort(key)
-    last = np.searchsorted(doc, doc, "right")  # where each word's text ends
-
-    def heads(ordered: np.ndarray) -> np.ndarray:
-        return np.concatenate([[True], ordered[1:] != ordered[:-1]])
-
-    def tied(head: np.ndarray) -> np.ndarray:
-        return ~(head & np.concatenate([head[1:], [True]]))
-
-    head = heads(key[order])
-    rank = np.empty(n + 1, dtype=np.int32)
-    rank[n] = 0
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0))
-    place = np.flatnonzero(tied(head))  # places of the array that still tie
-    levels, step = [rank], 1
-    while len(place) and step <= n:
-        rank = levels[-1].copy()
-        rows = order[place]
-        after = np.minimum(rows + step, n)
-        after = np.where(rows + step < last[rows], levels[-1][after], 0)
-        key = levels[-1][rows].astype(np.int64) * np.int64(n + 1) + after
-        sort = np.argsort(key)
-        rows, key = rows[sort], key[sort]
-        order[place] = rows
-        head = heads(key)
-        rank[rows] = np.maximum.accumulate(np.where(head, place + 1, 0))
-        levels.append(rank)
-        place = place[tied(head)]
-        step *= 2
+    order, levels, last = suffix_array(symbols, doc, by_doc=True)
     floor = least.bit_length() - 1  # pairs that agree on 2**floor words are the only ones that can reach `least`
     if floor >= len(levels):
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_diff, langid, packing, repetition, simhash, weak_labels
+from . import decontaminate, html_diff, langid, licenses, packing, repetition, simhash, token_spans, tool_links, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_links.link(*tool_links.turns_as_calls(table(spark, sf_dir, "conversations")), tool_links.SCHEMAS)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.line_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return weak_labels.score(docs, weak_labels.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_tool_call_linking": tool_links.ORACLE_SQL, "op4_license_scan": licenses.oracle_sql()}

@@ -225,5 +225,21 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int =
     return prints.join(named, "fp").select(id, "fp", "component_id")
 
 
+def keep(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Of rows that repeat that id one stays.  A row without an id stays if its group has no id at all, one for each text.
+    """
+    found = linked(docs, text, id, bits, shingle_words, block)
+    first = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
+    kept = docs.join(first, id, "left_semi").dropDuplicates([id])
+    if not docs.schema[id].nullable or docs.where(F.col(id).isNull()).isEmpty():
+        return kept
+    alone = found.where(F.col("component_id").isNull()).select("fp").distinct()
+    bare = docs.where(F.col(id).isNull())
+    prints = F.udf(lambda x: int(fingerprint_values(pa.array([x], pa.string()), shingle_words).view(np.int64)[0]), "long")
+    return kept.unionByName(bare.withColumn("_fp", prints(text)).join(alone.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").drop("_fp").dropDuplicates([text]))
+
+
 def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

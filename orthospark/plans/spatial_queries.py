@@ -166,8 +166,8 @@ def view_elevation_range(v):
     return per_tile.agg(lo.alias("lo"), F.coalesce(F.greatest(F.max("hi"), lo + 1e-6), F.lit(1.0)).alias("hi"))
 
 
-@query("""select a.idx, least(1.0, coalesce(round(sum(case when share > 0.01 then share end), 6), 0.0)) as fraction, least(1.0, coalesce(round(sum(case when share > 0.01 then share end), 6), 0.0)) >= 0.75 as covered
-  from (select a.idx, greatest(least(a.east,b.east)-greatest(a.west,b.west),0)*greatest(least(a.north,b.north)-greatest(a.south,b.south),0)/((a.east-a.west)*(a.north-a.south)) as share from boxes a left join boxes b on a.idx <> b.idx and a.west <= b.east and a.east >= b.west and a.south <= b.north and a.north >= b.south) a group by a.idx""")
+@query("""select a.idx, least(1.0, coalesce(round(sum(case when other is not null and share > 0.01 then share end), 6), 0.0)) as fraction, least(1.0, coalesce(round(sum(case when other is not null and share > 0.01 then share end), 6), 0.0)) >= 0.75 as covered
+  from (select a.idx, b.idx as other, greatest(least(a.east,b.east)-greatest(a.west,b.west),0)*greatest(least(a.north,b.north)-greatest(a.south,b.south),0)/((a.east-a.west)*(a.north-a.south)) as share from boxes a left join boxes b on a.idx <> b.idx and a.west <= b.east and a.east >= b.west and a.south <= b.north and a.north >= b.south) a group by a.idx""")
 def combined_overlap_fraction(v):
     other = v.boxes.select(F.col("idx").alias("other"), *[F.col(n).alias(f"o_{n}") for n in spatial.WINDOW])
     return stats.overlap_fractions(v.boxes, other, 2.5)

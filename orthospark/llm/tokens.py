@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from struct import pack
+
 import numpy as np
 
 _loaded: dict[str, "WordEncoder"] = {}
 #: Most words whose ids a worker keeps, and the longest kept; beyond it the store starts anew.
 KEPT_WORDS, KEPT_CHARS = 1_000_000, 100
+BEYOND = "\u0130"  # letters below it have one lower-case form everywhere
 _PARTS = "\x1c\x1d\x1e\x1f"  # Python's split() takes these for white space, the tokenizer doesn't
 
 
@@ -30,6 +33,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     @staticmethod
     def of(path: str) -> "WordEncoder":
@@ -41,9 +47,23 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """The ids of new words: encoded in one text, told apart by the tokens' places."""
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        """The ids of new words.
+
+        Words of Latin letters alone are one piece each, which the vocabulary's merges take as the letters of the
+        byte-level alphabet; the others are encoded in one text and told apart by the tokens' places.
+        """
+        merge, letters, rest = self.tokenizer.model.tokenize, self.alphabet, []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                pieces = merge(w.lower())
+            elif w.isalpha() and max(w) < BEYOND:
+                pieces = merge(w.lower().encode().decode("latin-1").translate(letters))
+            else:
+                rest.append(w)
+                continue
+            self.known[w] = pack(f"<{len(pieces)}I", *[p.id for p in pieces])
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             places = np.array([x[0] for x in found.offsets], dtype=np.int64)
             sizes = np.fromiter(map(len, part), dtype=np.int64) + 1

@@ -88,7 +88,7 @@ def tiles(v):
 def dem_tiles(v):
     p = F.col("p_partkey")
     col, row = (p % 50) * 10000.0, F.expr("p_partkey div 50") * 10000.0
-    return v.part.select(p.alias("fid"), F.concat(F.lit("S1M/t"), p.cast("string"), F.lit(".tif")).alias("dataset"), col.alias("xmin"), row.alias("ymin"), (col + 10000.0).alias("xmax"), (row + 10000.0).alias("ymax"), ((p % 5) * 1000.0).alias("cut"))
+    return v.part.select(p.alias("fid"), F.concat(F.lit("dem/t"), p.cast("string"), F.lit(".tif")).alias("dataset"), col.alias("xmin"), row.alias("ymin"), (col + 10000.0).alias("xmax"), (row + 10000.0).alias("ymax"), ((p % 5) * 1000.0).alias("cut"))
 
 
 def points(v):
@@ -150,7 +150,7 @@ SQL = {
     "boxes": """select s_suppkey as idx, cast(-124.0+((s_suppkey*577)%57) as double) as west, cast(25.0+((s_suppkey*733)%24) as double) as south, cast(-121.5+((s_suppkey*577)%57) as double) as east, cast(26.5+((s_suppkey*733)%24) as double) as north from supplier""",
     "ranges": "select l_orderkey as file_id, cast(l_partkey*4096 as bigint) as off, cast(l_quantity*1024 as bigint) as len from lineitem",
     "cells": "select vec_id as tile, label, i-1 as pos, cast(embedding[i] as double) as v from embeddings, unnest(range(1,65)) t(i)",
-    "dem_tiles": """select p_partkey as fid, concat('S1M/t',cast(p_partkey as varchar),'.tif') as dataset, cast((p_partkey%50)*10000.0 as double) as xmin, cast((p_partkey//50)*10000.0 as double) as ymin, cast((p_partkey%50)*10000.0+10000.0 as double) as xmax,
+    "dem_tiles": """select p_partkey as fid, concat('dem/t',cast(p_partkey as varchar),'.tif') as dataset, cast((p_partkey%50)*10000.0 as double) as xmin, cast((p_partkey//50)*10000.0 as double) as ymin, cast((p_partkey%50)*10000.0+10000.0 as double) as xmax,
       cast((p_partkey//50)*10000.0+10000.0 as double) as ymax, cast(1000.0*(p_partkey%5) as double) as cut from part""",
     "points": "select c_custkey as pid, cast((c_custkey*7907)%500000 as double) as x, cast((c_custkey*3571)%400000 as double) as y from customer",
     "registry": """select lower(n_name) as id, case when n_nationkey%4<>0 then array_to_string(list_transform(string_split(lower(n_name),' '), lambda w: concat(upper(w[1:1]), w[2:])),' ') end as title, n_nationkey%3<>0 as active, case when n_nationkey%7=0 then 'excluded-not-cog' else 'ready' end as status, concat('bucket-',cast(n_nationkey%9 as varchar)) as bucket,

@@ -134,6 +134,23 @@ def total_row_groups_hit(v):
     return hit.agg(F.countDistinct("file", "row_group").alias("row_groups"), F.countDistinct("file").alias("files"), F.sum("num_rows").alias("most_rows"))
 
 
+@query("select region, count(*) as n, true as clustered from lake group by region")
+def hilbert_cluster(v):
+    """Rows along each region's curve: a step between neighbours is, on average, far below one between rows in key order."""
+    from pyspark.sql import Window as W
+
+    path = files.scratch(v.spark, "lake")
+    lake.clustered(v.lake).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    rows = v.spark.read.parquet(path)
+
+    def step(order):
+        w = W.partitionBy("region", "year").orderBy(order)
+        return F.hypot(F.col("xmin") - F.lag("xmin").over(w), F.col("ymin") - F.lag("ymin").over(w))
+
+    steps = rows.select("region", step("place").alias("along"), step("source_key").alias("by_key"))
+    return steps.groupBy("region").agg(F.count("*").alias("n"), (F.avg("along") < F.avg("by_key") * 0.7).alias("clustered"))
+
+
 @query()
 def row_group_locality(v):
     """Mean box of a row group as a share of the extent, clustered along the curve and in random order."""

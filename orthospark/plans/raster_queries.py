@@ -100,7 +100,7 @@ def photometric_dispatch(v):
     return v.headers.select("file_id", F.when(F.size("bits").isin(3, 4), "rgb").otherwise(named).alias("module"))
 
 
-@query("select a.tile, a.pos, a.v as r, b.v as g, c.v as b, 1.0 as a from cells a join cells b on b.tile = a.tile and b.pos = (a.pos // 16)*16 + (a.pos % 8)//2 join cells c on c.tile = a.tile and c.pos = 63 - a.pos")
+@query("select a.tile, a.pos, a.v as r, b.v as g, c.v as b, 1.0::double as a from cells a join cells b on b.tile = a.tile and b.pos = (a.pos // 16)*16 + (a.pos % 8)//2 join cells c on c.tile = a.tile and c.pos = 63 - a.pos")
 def composite_bands(v):
     """Three bands of one tile: itself, one at half the resolution, and one turned around."""
     half = lambda i: F.floor(F.floor(i / 8) / 2) * 16 + F.floor((i % 8) / 2)
@@ -116,7 +116,7 @@ def band_layout_convert(v):
     return rows.select("tile", F.posexplode(F.arrays_zip("mixed", "back")).alias("pos", "x")).select("tile", F.col("pos").cast("long").alias("pos"), F.col("x.mixed").alias("v"), "x.back")
 
 
-@query("select tile, max(case when pos = 2 then v end) as r, max(case when pos = 1 then v end) as g, max(case when pos = 0 then v end) as b, 255.0 as a from cells group by tile")
+@query("select tile, max(case when pos = 2 then v end) as r, max(case when pos = 1 then v end) as g, max(case when pos = 0 then v end) as b, 255.0::double as a from cells group by tile")
 def pack_rgba(v):
     rgba = P.packed_rgba(F.col("data"), (2, 1, 0, None), 255.0)
     return v.tiles.select("tile", *[c.alias(n) for c, n in zip(rgba, "rgba")])

@@ -39,8 +39,8 @@ def with_views(sql: str) -> str:
     views = ", ".join(f"{name} as ({fixtures.SQL[name]})" for name in needed)
     if not views:
         return sql
-    rest = re.match(r"\s*with\s+(.*)", sql, re.S | re.I)
-    return f"with {views}, {rest[1]}" if rest else f"with {views} {sql}"
+    rest = re.match(r"\s*with\s+(recursive\s+)?(.*)", sql, re.S | re.I)
+    return f"with {rest[1] or ''}{views}, {rest[2]}" if rest else f"with {views} {sql}"
 
 
 def query(sql: str | None = None):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
+from ..functions.wkb import from_wkb, to_wkb
 from ..operators import predicates, spatial, stats, tiles
 from .catalog_queries import cut_ring
 from .registry import query
@@ -83,7 +84,7 @@ _WANT = "select s_suppkey as raster_id, cast(0.1 + (s_suppkey % 60) * 0.1 as dou
 
 def wanted(v, value=None):
     s = F.col("s_suppkey")
-    return v.supplier.select(s.alias("raster_id"), (value if value is not None else F.lit(0.1) + (s % 60) * 0.1).alias("want"))
+    return v.supplier.select(s.alias("raster_id"), (value if value is not None else F.round(F.lit(0.1) + (s % 60) * 0.1, 1)).alias("want"))
 
 
 @query(f"select raster_id, want, z from (select w.*, z, mpp from ({_WANT}) w join levels using (raster_id)) qualify row_number() over (partition by raster_id order by case when mpp <= want then 0 else 1 end, case when mpp <= want then -mpp else mpp end) = 1")
@@ -106,7 +107,11 @@ def primary_tileset(v):
     return finest.withColumn("n", F.row_number().over(W.partitionBy("s").orderBy("mpp", "raster_id"))).where("n = 1").select("s", F.col("raster_id").alias("primary_id"), "mpp")
 
 
-@query()
+@query("""with recursive r as (select file_id, off, off + len as e, row_number() over (partition by file_id order by off, len) as i from ranges where off > 0 and len > 0),
+  walk(file_id, i, g, s, e) as (select file_id, i, 1, off, e from r where i = 1
+    union all select r.file_id, r.i, case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then w.g else w.g + 1 end, case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then w.s else r.off end,
+      case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then greatest(w.e, r.e) else r.e end from walk w join r on r.file_id = w.file_id and r.i = w.i + 1)
+  select file_id, s as group_off, max(e) - s as group_len, count(*) as n from walk group by file_id, g, s""")
 def coalesce_byte_ranges(v):
     return tiles.coalesced_ranges(v.ranges)
 
@@ -379,12 +384,14 @@ def hilbert_index(v):
     return v.footprints.select("k", geo.hilbert(F.col("xmin"), F.col("ymin"), tuple(F.lit(x) for x in (-124.0, 25.0, -67.0, 49.0))).alias("h"))
 
 
-@query("select k, concat('{\"type\":\"Polygon\",\"coordinates\":1}')[1:17] as head, round(xmin,6) as west, round(ymax,6) as north from footprints")
+@query("select k, '{\"type\":\"Polygon\"' as head, round(xmin,6) as west, round(ymax,6) as north, 93 as n_bytes, round(xmax,6) as east from footprints")
 def geometry_codec_light(v):
-    text = geo.ring_geojson(geo.box_ring(predicates.box_of()))
-    rows = v.footprints.select("k", text.alias("text")).withColumn("ring", geo.geojson_ring(F.col("text")))
-    e = geo.envelope(F.col("ring"))
-    return rows.select("k", F.substr("text", F.lit(1), F.lit(17)).alias("head"), F.round(e[0], 6).alias("west"), F.round(e[3], 6).alias("north"))
+    """A ring to GeoJSON and to WKB, and back from both."""
+    ring = geo.box_ring(predicates.box_of())
+    rows = to_wkb(v.footprints.select("k", ring.alias("given"), geo.ring_geojson(ring).alias("text")), "given")
+    rows = from_wkb(rows, "geometry", "binary_ring").withColumn("ring", geo.geojson_ring(F.col("text")))
+    e, b = geo.envelope(F.col("ring")), geo.envelope(F.col("binary_ring"))
+    return rows.select("k", F.substr("text", F.lit(1), F.lit(17)).alias("head"), F.round(e[0], 6).alias("west"), F.round(e[3], 6).alias("north"), F.octet_length("geometry").alias("n_bytes"), F.round(b[2], 6).alias("east"))
 
 
 @query()

@@ -96,23 +96,24 @@ def covering_tiles(primary: DataFrame, px: float, sx: float) -> DataFrame:
 
 
 def clipped_ring(ring: Column, box: tuple) -> Column:
-    """A ring (not closed) clipped to a box, edge by edge (Sutherland and Hodgman); empty if nothing is left."""
-
-    def against(points: Column, inside, crossing) -> Column:
-        n = F.size(points)
-        previous = F.concat(F.slice(points, n, 1), F.slice(points, 1, F.greatest(n - 1, F.lit(0))))
-        pairs = F.zip_with(previous, points, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        none = F.array().cast("array<struct<x:double,y:double>>")
-        kept = F.transform(pairs, lambda e: F.concat(F.when(inside(e["p"]) != inside(e["q"]), F.array(crossing(e["p"], e["q"]))).otherwise(none), F.when(inside(e["q"]), F.array(e["q"])).otherwise(none)))
-        return F.when(n > 0, F.flatten(kept)).otherwise(none)
-
-    def at_x(v):
-        return lambda p, q: geo.point(v, p["y"] + (q["y"] - p["y"]) * (v - p["x"]) / F.nullif(q["x"] - p["x"], F.lit(0.0)))
-
-    def at_y(v):
-        return lambda p, q: geo.point(p["x"] + (q["x"] - p["x"]) * (v - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)), v)
-
-    out = against(ring, lambda p: p["x"] >= box[0], at_x(box[0]))
-    out = against(out, lambda p: p["x"] <= box[2], at_x(box[2]))
-    out = against(out, lambda p: p["y"] >= box[1], at_y(box[1]))
-    return against(out, lambda p: p["y"] <= box[3], at_y(box[3]))
+    """A ring (not closed) clipped to a box, side by side (Sutherland and Hodgman); empty if nothing is left.
+
+    A fold over the box's sides: each step refers to the ring so far by name, so the expression stays small.
+    """
+    side = lambda axis, sign, value: F.struct(F.lit(axis).alias("axis"), F.lit(float(sign)).alias("sign"), geo.lit(value).alias("value"))
+    sides = F.array(side("x", 1, box[0]), side("x", -1, box[2]), side("y", 1, box[1]), side("y", -1, box[3]))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def clip(points: Column, at: Column) -> Column:
+        along = lambda p: F.when(at["axis"] == "x", p["x"]).otherwise(p["y"])
+        inside = lambda p: (along(p) - at["value"]) * at["sign"] >= 0
+
+        def kept(q: Column, i: Column) -> Column:
+            p = F.get(points, F.when(i == 0, F.size(points) - 1).otherwise(i - 1))
+            t = (at["value"] - along(p)) / F.nullif(along(q) - along(p), F.lit(0.0))
+            cross = geo.point(F.when(at["axis"] == "x", at["value"]).otherwise(p["x"] + (q["x"] - p["x"]) * t), F.when(at["axis"] == "y", at["value"]).otherwise(p["y"] + (q["y"] - p["y"]) * t))
+            return F.concat(F.when(inside(p) != inside(q), F.array(cross)).otherwise(none), F.when(inside(q), F.array(q)).otherwise(none))
+
+        return F.coalesce(F.flatten(F.transform(points, kept)), none)
+
+    return F.aggregate(sides, ring.cast("array<struct<x:double,y:double>>"), clip)

@@ -379,7 +379,12 @@ def footprint_from_bbox(v):
     return rows.select("k", *[F.round(c, 6).alias(n) for c, n in zip(geo.envelope(F.col("ring")), spatial.WINDOW)], F.size("ring").alias("n"))
 
 
-@query()
+_BIT = lambda c: f"case when s.{c} & (1::bigint << i) > 0 then 1::bigint else 0::bigint end"
+_LOW = lambda c: f"case when s.y & (1::bigint << i) = 0 and s.x & (1::bigint << i) > 0 then (1::bigint << i) - 1 - (s.{c} & ((1::bigint << i) - 1)) else s.{c} & ((1::bigint << i) - 1) end"
+
+
+@query(f"""select k, list_reduce(range(15, -1, -1), lambda s, i: {{'x': case when s.y & (1::bigint << i) = 0 then {_LOW("y")} else {_LOW("x")} end, 'y': case when s.y & (1::bigint << i) = 0 then {_LOW("x")} else {_LOW("y")} end,
+    'd': s.d + (1::bigint << (2 * i)) * xor(3 * ({_BIT("x")}), {_BIT("y")})}}, {{'x': cast(floor((xmin + 124)/57*65535) as bigint), 'y': cast(floor((ymin - 25)/24*65535) as bigint), 'd': 0::bigint}}).d as h from footprints""")
 def hilbert_index(v):
     return v.footprints.select("k", geo.hilbert(F.col("xmin"), F.col("ymin"), tuple(F.lit(x) for x in (-124.0, 25.0, -67.0, 49.0))).alias("h"))
 

@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again before the next.
 
-Quality rules, quality classifier, SimHash near-dedup and benchmark decontamination each drop documents and return the
+Quality rules, quality classifier, near-dedup (exact Jaccard similarity, its stage keeps its old name) and benchmark decontamination each drop documents and return the
 columns they were given; best-fit packing returns the packed pieces of what is left.  SQL cannot express suffix arrays,
 EM or a tokenizer, so ORACLE_SQL is None and tests/llm hold the stages against brute-force versions.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthospark.llm import decontaminate, packing, repetition, simhash, weak_labels
+from orthospark.llm import decontaminate, near_copies, packing, repetition, weak_labels
 from orthospark.llm.common import written
 
 ORACLE_SQL = None
@@ -26,8 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.keep(docs)
+    """Keeps one document of each group of near copies (five-word Jaccard similarity of 0.8 at least): the one with the smallest id."""
+    return near_copies.keep(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

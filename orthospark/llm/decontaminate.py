@@ -2,64 +2,103 @@
 
 The documents are the shards' text: a task builds the suffix array of one chunk of documents after another, over
 words and `words` deep, and binary-searches every benchmark suffix in it.  A suffix of `words` words (a whole item that
-has fewer) is a window; the ranges found give every verbatim occurrence and its place.  Windows that follow one another
-at the same distance make up a longer match, so the longest verbatim match and its place come out as well.
+has fewer) is a window; the ranges found give every verbatim occurrence and its place.  Windows that no text of the
+chunk has, by their hashes, are left out of the search: it could only find nothing.  The longest verbatim match of a document is
+the longest common prefix of one of its hit places with the benchmark's own sorted suffixes, found by bisection.
 
-The benchmark is the stated query set.  It is read in blocks of at most `block_bytes` of text, each its own broadcast,
-whose number is computed from the benchmark's measured size; every chunk's array is searched with every block.
+The benchmark is the stated query set.  Equal items are one class.  Classes are dealt to blocks of about `block_words`
+words; the documents are searched for one block after another, so one block's words (8 bytes each) are in memory at a
+time.  A window stands for the set of classes that have it, so a passage that many items share costs what one does: a
+document gives each set once, and which items a set has comes from joins, once for each combination of sets.
 
 Defined cases: null or empty documents have no words and no hit; an item without words has no window; equal items are
-all reported, an item id that stands on several rows once; a null item id is reported as an empty string.
+all reported, an item id that stands on several rows once; a null item id is reported as an empty string; repeated rows
+each get a row; empty tables are searched like any other; a very long text is a chunk of its own; other columns, whatever
+their names, are not read by scan() and kept by keep().
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Text, covered, map_chunks
+from .common import ALNUM, Text, covered, dropped, map_chunks, windows, written
 from .suffixes import prefix_ranges, suffix_array
 
-WORDS, BLOCK_BYTES = 10, 16 << 20
-
-
-class Windows:
-    """The distinct windows of a block of items, and which items have each and where."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], n: int):
-        words = Text(pa.array(texts, pa.string()), lower=True).words(ALNUM)
-        symbols, number = words.hashes(), {}
-        same: dict[bytes, list[str]] = defaultdict(list)
-        where: list[list[tuple[int, int]]] = []
-        for i, name in enumerate(ids):
-            own = symbols[words.at[i] : words.at[i + 1]]
-            if len(own):
-                same[own.tobytes()].append(name)
-        self.items = [sorted(set(x)) for x in same.values()]
-        queries: list[np.ndarray] = []
-        for k, raw in enumerate(same):
-            own = np.frombuffer(raw, dtype=np.uint64)
-            size = min(n, len(own))
-            for j in range(len(own) - size + 1):
-                key = own[j : j + size].tobytes()
-                if key not in number:
-                    number[key] = len(number)
-                    queries.append(own[j : j + size])
-                    where.append([])
-                where[number[key]].append((k, j))
-        self.lengths = np.array([len(x) for x in queries], dtype=np.int64)
-        self.queries = np.zeros((len(queries), n), dtype=np.uint64)
-        for i, x in enumerate(queries):
-            self.queries[i, : len(x)] = x
-        counts = np.array([len(x) for x in where], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        flat = [x for w in where for x in w]
-        self.text = np.array([x[0] for x in flat], dtype=np.int64)
-        self.offset = np.array([x[1] for x in flat], dtype=np.int64)
+WORDS, BLOCK_WORDS = 10, 1 << 21
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def prefix_sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of symbols times powers before each place, powers): equal stretches have equal sums but for a power."""
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(symbols), _BASE)]), dtype=np.uint64)
+    return np.concatenate([[np.uint64(0)], np.cumsum(symbols * power[:-1], dtype=np.uint64)]), power
+
+
+class Block:
+    """Some distinct item texts, as word hashes.  What is derived from them is computed once a worker."""
+
+    def __init__(self, classes: list[int], texts: list[bytes], n: int):
+        self.classes, self.texts, self.n, self.windows = classes, texts, n, None
+
+    def ready(self) -> "Block":
+        if self.windows is not None:
+            return self
+        size = np.array([len(x) // 8 for x in self.texts], dtype=np.int64)
+        self.symbols = np.frombuffer(b"".join(self.texts), dtype=np.uint64)
+        self.doc = np.repeat(np.arange(len(size)), size)
+        begin = np.cumsum(size) - size
+        code = np.array(self.classes, dtype=np.int64)
+        self.windows = {}
+        for k in sorted({min(self.n, x) for x in size.tolist()}):  # (sorted hashes, a place, the set of classes) of distinct windows of k words
+            value, at = windows(self.symbols, self.doc, k)
+            if k < self.n:
+                whole = size[self.doc[at]] == k
+                value, at = value[whole & (at == begin[self.doc[at]])], at[whole & (at == begin[self.doc[at]])]
+            sort = np.lexsort((self.doc[at], value))
+            value, at = value[sort], at[sort]
+            own = np.ones(len(value), dtype=bool)  # a class that has a window twice counts once
+            own[1:] = (value[1:] != value[:-1]) | (self.doc[at][1:] != self.doc[at][:-1])
+            value, at = value[own], at[own]
+            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, dtype=np.int64)
+            self.windows[k] = (value[first], at[first], np.bitwise_xor.reduceat(code[self.doc[at]], first) if len(first) else code[:0])
+        if len(self.symbols):
+            self.order, _, self.last = suffix_array(self.symbols, self.doc, by_doc=False)
+            self.sums, self.power = prefix_sums(self.symbols)
+        return self
+
+    def longest(self, symbols: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, class number) of the longest match of the suffix at each place with a suffix of an item."""
+        sums, power = prefix_sums(symbols)
+
+        def common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            length, most = np.zeros(len(p), dtype=np.int64), np.minimum(last[p] - p, self.last[q] - q)
+            step = 1 << int(most.max()).bit_length() if len(p) else 0
+            while step:
+                at = np.flatnonzero(length + step <= most)
+                a, b = p[at] + length[at], q[at] + length[at]
+                same = (sums[a + step] - sums[a]) * self.power[b] == (self.sums[b + step] - self.sums[b]) * power[a]
+                length[at[same]] += step
+                step >>= 1
+            return length
+
+        low, high = np.zeros(len(place), dtype=np.int64), np.full(len(place), len(self.order), dtype=np.int64)
+        while len(live := np.flatnonzero(low < high)):
+            middle = (low[live] + high[live]) // 2
+            p, q = place[live], self.order[middle]
+            k = common(p, q)
+            ended = q + k >= self.last[q]
+            below = ended | ((p + k < last[p]) & (self.symbols[np.minimum(q + k, len(self.symbols) - 1)] < symbols[np.minimum(p + k, len(symbols) - 1)]))
+            low[live[below]] = middle[below] + 1
+            high[live[~below]] = middle[~below]
+        sides = [self.order[np.clip(low + d, 0, len(self.order) - 1)] for d in (-1, 0)]
+        lengths = [common(place, q) for q in sides]
+        return np.maximum(*lengths), self.doc[np.where(lengths[0] >= lengths[1], *sides)]
 
 
 def expanded(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,80 +107,152 @@ def expanded(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return which, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def search(texts: pa.Array, blocks: list, n: int) -> dict[str, list]:
-    """For each text: n_words, n_hit, the items, and the longest match's words, place in the text (a word number) and item."""
-    text = Text(texts, lower=True)
-    words = text.words(ALNUM)
-    out = {"n_words": np.diff(words.at), "n_hit": np.zeros(text.n, dtype=np.int64), "items": [set() for _ in range(text.n)], "longest": [(0, None, None)] * text.n}
-    if not len(words):
+class Found:
+    """What the texts of a chunk have of a block: which words are hit, where windows begin, and each text's sets of classes."""
+
+    def __init__(self, texts: pa.Array, block: Block):
+        text = Text(texts, lower=True)
+        self.words = words = text.words(ALNUM)
+        self.n, self.hit = text.n, np.zeros(len(words), dtype=bool)
+        self.starts = np.empty(0, dtype=np.int64)
+        starts, docs, sets = [], [], []
+        if len(words) and block.windows:
+            self.symbols = words.hashes()
+            order, _, self.last = suffix_array(self.symbols, words.doc, by_doc=False, depth=block.n)
+            for k, (hashes, place, own_sets) in block.windows.items():
+                own, _ = windows(self.symbols, words.doc, k)
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                there = np.unique(at[hashes[at] == own])
+                low, high = prefix_ranges(self.symbols, self.last, order, block.symbols[place[there][:, None] + np.arange(k)], np.full(len(there), k))
+                which, row = expanded(low, high - low)
+                start = order[row]
+                self.hit |= covered(start, k, len(words))
+                starts.append(start)
+                docs.append(words.doc[start])
+                sets.append(own_sets[there][which])
+            self.starts = np.unique(np.concatenate(starts))
+        pairs = np.unique(np.stack([np.concatenate([*docs, np.empty(0, dtype=np.int64)]), np.concatenate([*sets, np.empty(0, dtype=np.int64)])], axis=1), axis=0)
+        self.docs, self.sets = pairs[:, 0], pairs[:, 1]
+
+    def spans(self) -> list[list[tuple[int, int]]]:
+        """The hit stretches of each text, as word numbers."""
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], self.hit.view(np.int8)])))
+        out: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
+        cuts = np.unique(np.concatenate([self.words.at, edge]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if self.hit[a]:
+                d = int(self.words.doc[a])
+                out[d].append((a - int(self.words.at[d]), b - int(self.words.at[d])))
         return out
-    symbols = words.hashes()
-    order, _, last = suffix_array(symbols, words.doc, by_doc=False, depth=n)
-    hit = np.zeros(len(words), dtype=bool)
-    for block in blocks:
-        w = block.value
-        low, high = prefix_ranges(symbols, last, order, w.queries, w.lengths)
-        found = np.flatnonzero(low < high)
-        which, place = expanded(low[found], (high - low)[found])
-        window, place = found[which], order[place]
-        hit |= covered(place, w.lengths[window], len(words))
-        # Each hit window stands in some item texts; those at one distance from their item are one match.
-        which, at = expanded(w.first[window], (w.first[1:] - w.first[:-1])[window])
-        place, size, item, shift = place[which], w.lengths[window][which], w.text[at], place[which] - w.offset[at]
-        doc = words.doc[place] if len(place) else place
-        sort = np.lexsort((place, shift, item, doc))
-        doc, item, shift, place, size = doc[sort], item[sort], shift[sort], place[sort], size[sort]
-        head = np.ones(len(doc), dtype=bool)
-        head[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1] + 1)
-        runs = np.flatnonzero(head)
-        ends = np.append(runs[1:], len(doc)) - 1
-        for d, k, p, length in zip(doc[runs].tolist(), item[runs].tolist(), place[runs].tolist(), (place[ends] + size[ends] - place[runs]).tolist() if len(runs) else []):
-            out["items"][d].update(w.items[k])
-            if length > out["longest"][d][0]:
-                out["longest"][d] = (length, p - int(words.at[d]), w.items[k][0])
-    out["n_hit"] = words.per_doc(hit)
-    return out
-
-
-def benchmark_blocks(benchmark: DataFrame, text: str, id: str, n: int, block_bytes: int) -> list:
-    """One broadcast a block of the benchmark; a block's size is known before it is read."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col(id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-size // block_bytes)
-    out = []
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()
-        out.append(spark.sparkContext.broadcast(Windows([r.id for r in rows], [r.text for r in rows], n)))
-    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row a document: n_words, n_hit, items (sorted strings), contaminated, and its longest match."""
-    blocks = benchmark_blocks(benchmark, item_text, item_id, words, block_bytes)
+def benchmark_classes(benchmark: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """(class, words) of the distinct item texts that have words, and (class, item)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = search(batch.column(1), blocks, words)
-        return pa.RecordBatch.from_pydict({
-            id: batch.column(0), "n_words": pa.array(m["n_words"], pa.int64()), "n_hit": pa.array(m["n_hit"], pa.int64()),
-            "items": pa.array([sorted(x) for x in m["items"]], pa.list_(pa.string())), "contaminated": m["n_hit"] > 0,
-            "longest_words": pa.array([x[0] for x in m["longest"]], pa.int64()), "longest_at": pa.array([x[1] for x in m["longest"]], pa.int64()), "longest_item": pa.array([x[2] for x in m["longest"]], pa.string()),
-        })
+        words = Text(batch.column(1), lower=True).words(ALNUM)
+        symbols = words.hashes()
+        raw = [symbols[a:b].tobytes() for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist())]
+        some = [i for i, x in enumerate(raw) if x]
+        code = np.array([xxhash.xxh3_64_intdigest(raw[i]) for i in some], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_pydict({"class": pa.array(code), "item": batch.column(0).take(pa.array(some, pa.int32())), "words": pa.array([raw[i] for i in some], pa.binary())})
+
+    rows = benchmark.select(F.coalesce(F.col(id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+    rows = written(map_chunks(rows, "text", work, "class long, item string, words binary"), "items")
+    return written(rows.select("class", "words").dropDuplicates(["class"]), "classes"), rows.select("class", "item").distinct()
 
-    return map_chunks(docs.select(id, text), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, n_words long, n_hit long, items array<string>, contaminated boolean, longest_words long, longest_at long, longest_item string")
 
+def class_sets(classes: DataFrame, n: int) -> DataFrame:
+    """(set, class) of every set of classes that a window stands for; a set is known by the exclusive or of its classes."""
 
-def keep(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            for code, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(raw, dtype=np.uint64)
+                k = min(n, len(own))
+                value = np.unique(windows(own, np.zeros(len(own), dtype=np.int64), k)[0])
+                yield pa.RecordBatch.from_pydict({"class": pa.array(np.full(len(value), code)), "words": pa.array(np.full(len(value), k, dtype=np.int32)), "window": pa.array(value.view(np.int64))})
+
+    rows = written(classes.mapInArrow(work, "class long, words int, window long"), "windows")
+    key = ["words", "window"]
+    one = rows.groupBy(*key).agg(F.bit_xor("class").alias("set")).groupBy("set").agg(F.min(F.struct(*key)).alias("w")).select("set", "w.*")
+    return rows.join(one, key).select("set", "class")
+
+
+def blocks_of(classes: DataFrame, n: int, block_words: int):
+    """One block after another, as broadcasts; a block's size is known before it is read."""
+    spark = classes.sparkSession
+    size = classes.agg(F.sum(F.octet_length("words")).cast("long")).first()[0] or 0
+    count = max(1, -(-size // (8 * block_words)))
+    for k in range(count):
+        rows = classes.where(F.pmod(F.xxhash64("class"), F.lit(count)) == k).toArrow()
+        yield k, count, spark.sparkContext.broadcast(Block(rows["class"].to_pylist(), rows["words"].to_pylist(), n))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", words: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row a document: n_words, n_hit, items (sorted strings), contaminated, and its longest match: words, place (a word number) and item."""
+    classes, items = benchmark_classes(benchmark, item_text, item_id)
+    kind = docs.schema[id].dataType.simpleString()
+    keys = ["key", "key2"]  # of the text: rows with equal texts have equal matches
+    rows = docs.select(id, text, F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    base, hits = None, []
+    for number, _, block in blocks_of(classes, words, block_words):
+
+        def work(batch: pa.RecordBatch, first=number == 0, block=block) -> pa.RecordBatch:
+            own = block.value.ready()
+            f = Found(batch.column(1), own)
+            best = [(None, None, None)] * f.n
+            if len(f.starts):
+                length, code = own.longest(f.symbols, f.last, f.starts)
+                d = f.words.doc[f.starts]
+                for i in np.lexsort((-f.starts, length, d)):  # the last of a text is its longest, the first of equals
+                    best[d[i]] = (int(length[i]), int(f.starts[i] - f.words.at[d[i]]), own.classes[code[i]])
+            at = np.searchsorted(f.docs, np.arange(f.n + 1)).astype(np.int32)
+            columns = {id: batch.column(0), "key": batch.column(2), "key2": batch.column(3), "n_words": pa.array(np.diff(f.words.at), pa.int64()), "n_hit": pa.array(f.words.per_doc(f.hit), pa.int64())}
+            columns |= {"spans": pa.array([[{"a": a, "b": b} for a, b in x] for x in f.spans()], pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()}))), "sets": pa.ListArray.from_arrays(pa.array(at), pa.array(f.sets, pa.int64()))}
+            columns |= {"longest": pa.array([None if x[0] is None else {"words": x[0], "at": x[1], "class": x[2]} for x in best], pa.struct({"words": pa.int64(), "at": pa.int64(), "class": pa.int64()}))}
+            out = pa.RecordBatch.from_pydict(columns)
+            return out if first else out.filter(pa.array(f.words.per_doc(f.hit) > 0))
+
+        schema = f"`{id}` {kind}, key long, key2 long, n_words long, n_hit long, spans array<struct<a:long,b:long>>, sets array<long>, longest struct<words:long,at:long,class:long>"
+        found = written(map_chunks(rows, text, work, schema), "hits")
+        base = base or found
+        hits.append(found.where("n_hit > 0").drop(id).dropDuplicates(keys))
+        block.unpersist()
+    everything = reduce(DataFrame.union, hits)
+    union = "aggregate(array_sort(flatten(collect_list(spans))), struct(0L as n, 0L as stop), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.stop)) as n, greatest(x.b, s.stop) as stop), s -> s.n)"
+    most = F.max(F.struct(F.col("longest.words").alias("words"), (-F.col("longest.at")).alias("at"), F.col("longest.class").alias("class"))).alias("longest")
+    texts = everything.groupBy(*keys).agg(F.expr(union).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sets")))).alias("sets"), most)
+    texts = written(texts, "texts")
+    combined = texts.select("sets").distinct()
+    named = combined.select("sets", F.explode("sets").alias("set")).join(class_sets(classes, words), "set").select("sets", "class").distinct().join(items, "class").groupBy("sets").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    least = items.groupBy(F.col("class").alias("longest_class")).agg(F.min("item").alias("longest_item"))
+    result = texts.withColumn("longest_class", F.col("longest.class")).join(named, "sets").join(least, "longest_class").select(*keys, "n_hit", "items", F.col("longest.words").alias("longest_words"), (-F.col("longest.at")).alias("longest_at"), "longest_item")
+    result = written(result, "matches")
+    out = base.select(id, *keys, "n_words").join(result, keys, "left")
+    return out.select(id, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("longest_words", F.lit(0)).cast("long").alias("longest_words"), "longest_at", "longest_item")
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", words: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    blocks = benchmark_blocks(benchmark, item_text, item_id, words, block_bytes)
+    classes, _ = benchmark_classes(benchmark, item_text, item_id)
+    before = None
+    for number, count, block in blocks_of(classes, words, block_words):
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(search(batch.column(text), blocks, words)["n_hit"] == 0))
+        def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
+            f = Found(batch.column(text), block.value.ready())
+            return batch.filter(pa.array(f.words.per_doc(f.hit) == 0))
 
-    return map_chunks(docs, text, work, docs.schema)
+        docs = map_chunks(docs, text, work, docs.schema)
+        if number + 1 < count:  # one block's words at a time
+            docs = written(docs, "kept")
+            block.unpersist()
+            if before is not None:
+                dropped(before)
+            before = docs
+    return docs
 
 
 def items_digest(items) -> F.Column:
     """SHA-256 of the comma-joined items."""
     return F.sha2(F.array_join(items, ","), 256)
-

@@ -5,11 +5,16 @@ order of falling length, each piece goes to the open sequence that keeps every c
 weighted norm of what would stay free ("norm"), or by the weighted dot product of the piece and what is free ("dot").
 Either is best-fit: the tightest sequence that still fits.  A piece that fits nowhere opens a sequence.
 
-Pieces are dealt to shards of about `shard_pieces` by a hash; a shard is packed in one task, in bounded memory, and
+Pieces are dealt to shards of about `shard_pieces` by their rows' places in the written table of pieces, not by ids, so
+neither rows without an id nor repeated ids crowd a shard.  A shard is packed in one task, in bounded memory, and
 leaves at most a few sequences unfilled (under 0.1 % of a shard's).  Only longer documents than a sequence are cut.
 
+With the default capacities the documents' and the attention's follow from the tokens' (a piece has a token; a sum of
+squares is at most the square of the sum), so as few sequences as can be come out; smaller ones bind.
+
 Defined cases: a null text is empty, an empty text is its end token alone; repeated rows are packed once each; pieces of
-equal length are packed in the order of their ids.
+equal length are packed in the order of their ids, null ids last; an empty table has no sequence; other columns are not
+read; a very long text is encoded alone and cut.
 """
 
 from __future__ import annotations
@@ -89,6 +94,6 @@ def pack(found: DataFrame, id: str = "doc_id", tokens: int = TOKENS, documents:
         sequence, offset = packed(pdf["length"].to_numpy(), (tokens, documents, attention), weights, rule)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy().astype(np.int64) << 32) | sequence, offset=offset).drop(columns="shard")
 
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64(id, "piece"), F.lit(shards))).repartition(partitions, "shard")
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).repartition(partitions, "shard")  # a file's rows keep their places
     schema = T.StructType([*found.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.groupBy("shard").applyInPandas(work, schema)

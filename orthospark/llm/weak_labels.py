@@ -12,8 +12,9 @@ labellers' votes, words and word beginnings) is fitted to it by gradient descent
 documents, picked by a hash of their ids, and decides about every document.
 
 Defined cases: a null or empty text gets the votes of a text without words (too short) and is scored like any other;
-repeated rows each get a row; labels whose ids repeat: any bad label wins; without labels the model rests on the
-heuristics alone; an empty table gives an empty result.
+repeated rows each get a row, and one of them is enough for a sample; labels whose ids repeat: any bad label wins; rows
+without an id have no label; without labels the model rests on the heuristics alone; an empty table gives an empty
+result; other columns are not read by score() and kept by keep(); a very long text is worked on alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import ALNUM, NOT_SPACE, Text, byte_set, map_chunks, mixed, windows
 
 SAMPLE, LABELLED, HASH_BITS, STEPS, RATE, DECAY = 6000, 30_000, 18, 100, 0.5, 1e-4
 #: A word (or word beginning) marks toxic text if at least so many toxic rows have it, and so large a share of its rows are toxic.
-TOXIC_ROWS, TOXIC_SHARE, MAX_MARKS = 3, 0.95, 1 << 16
+TOXIC_ROWS, TOXIC_SHARE = 3, 0.95
 BEGINNING = 4
 THRESHOLD = 0.4
 #: Insults.
@@ -109,7 +110,7 @@ def labelled_sample(given: DataFrame, id: str, size: int) -> DataFrame:
 
 
 def toxic_marks(rows: DataFrame, sample: DataFrame, text: str, id: str) -> np.ndarray:
-    """Hashes of the words and word beginnings that mark toxic rows of the sample; the most frequent MAX_MARKS.
+    """Hashes of all words and word beginnings that mark toxic rows of the sample, which bounds their number.
 
     Near copies say the same thing many times over, so of the rows with the same least hash of three words one counts.
     A mark must stand in so many rows that chance would not make even one of them in a hundred samples.
@@ -120,11 +121,11 @@ def toxic_marks(rows: DataFrame, sample: DataFrame, text: str, id: str) -> np.nd
         triple, at = windows(low.hashes(), low.doc, 3)
         least = np.full(batch.num_rows, -1, dtype=np.int64).view(np.uint64)
         np.minimum.at(least, low.doc[at], triple)
-        return pa.RecordBatch.from_pydict({id: batch.column(0), "bad": batch.column(2), "least": pa.array(least.view(np.int64))})
+        return pa.RecordBatch.from_pydict({id: batch.column(0), "bad": batch.column(2), "least": pa.array(least.view(np.int64)), "hash": batch.column(3)})
 
     kind = rows.schema[id].dataType.simpleString()
-    picked = rows.join(F.broadcast(sample), id).select(id, text, "bad")  # the sample is bounded
-    single = map_chunks(picked, text, signature, f"`{id}` {kind}, bad boolean, least long").groupBy("least").agg(F.min(F.struct(id, "bad")).alias("row")).select("row.*")
+    picked = rows.join(F.broadcast(sample), id).select(id, text, "bad", F.xxhash64(text))  # the sample is bounded
+    single = map_chunks(picked, text, signature, f"`{id}` {kind}, bad boolean, least long, hash long").groupBy("least").agg(F.min(F.struct(id, "bad", "hash")).alias("row")).select("row.*")
     single = written(single, "single")
     total, bad = single.agg(F.count("*"), F.count_if("bad")).first()
     if not bad or bad == total:
@@ -144,14 +145,15 @@ def toxic_marks(rows: DataFrame, sample: DataFrame, text: str, id: str) -> np.nd
             out.append((np.full(len(key), whole), key.view(np.int64), np.bincount(first, minlength=len(key)), np.bincount(first, weights=toxic[doc[new]], minlength=len(key))))
         return pa.RecordBatch.from_pydict({name: pa.array(np.concatenate(x).astype(np.int64)) for name, x in zip(("kind", "code", "n", "bad"), zip(*out))})
 
-    chosen = rows.join(F.broadcast(single), id).select(text, "bad")
+    # Rows that repeat an id and its text count once: of each only its words travel.
+    chosen = rows.withColumn("hash", F.xxhash64(text)).join(F.broadcast(single), [id, "hash"]).dropDuplicates([id, "hash"]).select(text, "bad")
     counts = written(map_chunks(chosen, text, work, "kind long, code long, n long, bad long").groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "marks")
     found = []
     for k, size in counts.groupBy("kind").count().collect():
         least = max(TOXIC_ROWS, int(np.ceil(np.log(size / 0.01) / np.log(total / bad))))
         own = counts.where((F.col("kind") == k) & (F.col("bad") >= least) & (F.col("bad") >= TOXIC_SHARE * F.col("n")))
-        found += [r[0] for r in own.orderBy(F.desc("bad"), "code").limit(MAX_MARKS).select("code").collect()]
-    return np.array(found, dtype=np.int64).view(np.uint64)
+        found.append(own.select("code").toArrow()["code"].to_numpy())
+    return np.unique(np.concatenate(found)).view(np.uint64)
 
 
 def em(votes: np.ndarray, count: np.ndarray, given: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,11 +202,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     # Votes of every document, next to its label.
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({id: batch.column(0), "pattern": pa.array(Features(batch.column(1), marks).patterns())})
+        return pa.RecordBatch.from_pydict({id: batch.column(0), "row": batch.column(2), "pattern": pa.array(Features(batch.column(1), marks).patterns())})
 
-    cast = map_chunks(rows, text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, pattern long")
+    row = F.xxhash64(id, text)
+    cast = map_chunks(rows.withColumn("row", row), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, row long, pattern long")
     label = F.when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 0, JUNK).when((F.col("quality") == 1) | (F.col("toxic") == 0), CLEAN).otherwise(UNKNOWN).alias("given")
-    voted = written(cast.join(given, id, "left").select(id, "pattern", label), "votes")
+    voted = written(cast.join(given, id, "left").select("row", "pattern", label), "votes")
     table = voted.groupBy("pattern", "given").agg(F.count("*").alias("n")).orderBy("pattern", "given").toPandas()
     votes = (table["pattern"].to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS)) % 3) if len(table) else np.empty((0, len(LABELLERS)), dtype=int)
     posterior, share, chance = em(votes, table["n"].to_numpy(dtype=float), table["given"].to_numpy())
@@ -214,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     # The bounded sample, with the posterior of its pattern as its label.
     soft = {(p, g): x for p, g, x in zip(table["pattern"].tolist(), table["given"].tolist(), bad.tolist())}
-    picked = voted.where(F.col(id).isNotNull()).orderBy(F.xxhash64(id), "pattern").limit(sample).dropDuplicates([id])
+    picked = voted.distinct().orderBy("row", "given").limit(sample).dropDuplicates(["row"])
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         f = Features(batch.column(0), marks)
@@ -222,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
         columns = [np.concatenate([v, w.ravel()]) for v, w in zip(votes, np.split(words, f.words.at[1:-1]))]
         return pa.RecordBatch.from_pydict({"y": pa.array([soft[x] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]), "column": pa.array(columns, pa.list_(pa.int32()))})
 
-    chosen = rows.join(F.broadcast(picked), id).select(text, "pattern", "given")  # the sample is bounded
+    # The sample is bounded, and of rows that repeat an id and its text one is taken.
+    chosen = rows.withColumn("row", row).join(F.broadcast(picked), "row").dropDuplicates(["row"]).select(text, "pattern", "given")
     found = map_chunks(chosen, text, features, "y double, column array<int>").toArrow()
     width, v = 3 * len(LABELLERS) + (1 << HASH_BITS), len(LABELLERS)
     weights, bias = np.zeros(width), 0.0

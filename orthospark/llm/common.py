@@ -7,6 +7,7 @@ depends neither on the number of documents nor on the size of its partition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh temporary one only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a local session gets a fresh folder; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -118,21 +121,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each (non-empty, disjoint, ascending) span, in slices of about `limit` bytes."""
+    """A 64-bit hash of each (non-empty, disjoint, ascending) span, in slices of about `limit` bytes; a longer span is cut into such slices."""
     out = np.empty(len(start), dtype=np.uint64)
     if not len(start):
         return out
     lengths = end - start
-    power = np.cumprod(np.full(int(lengths.max()), _BASE, dtype=np.uint64))
+    power = np.cumprod(np.full(min(limit, int(lengths.max())), _BASE, dtype=np.uint64))
     total, i = np.cumsum(lengths), 0
     while i < len(start):
         base = total[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(total, base + limit, "right")))
         n, size = lengths[i:j], int(total[j - 1] - base)
-        offset = np.cumsum(n) - n
-        local = np.arange(size) - np.repeat(offset, n)
-        value = (data[np.repeat(start[i:j], n) + local].astype(np.uint64) + np.uint64(1)) * power[local]
-        out[i:j] = np.add.reduceat(value, offset) ^ n.astype(np.uint64)
+        if size > limit:  # one long span
+            sums = [int(((data[a : min(a + limit, end[i])].astype(np.uint64) + np.uint64(1)) * power[: min(limit, end[i] - a)]).sum()) for a in range(int(start[i]), int(end[i]), limit)]
+            whole = sum(x * pow(int(_BASE), k * limit, 1 << 64) for k, x in enumerate(sums)) % (1 << 64)
+            out[i] = np.uint64(whole) ^ np.uint64(size)
+        else:
+            offset = np.cumsum(n) - n
+            local = np.arange(size) - np.repeat(offset, n)
+            value = (data[np.repeat(start[i:j], n) + local].astype(np.uint64) + np.uint64(1)) * power[local]
+            out[i:j] = np.add.reduceat(value, offset) ^ n.astype(np.uint64)
         i = j
     return mixed(out)
 

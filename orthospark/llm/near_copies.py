@@ -1,17 +1,24 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found by prefix filtering: no pair is missed.
-
-A text is the set of its shingles (of lower-cased words between white space; a shorter text is one shingle).  Two sets of
-similarity 4/5 share at least 4/5 of either, so if all sets are sorted in one order, they share a shingle among their first
-n - ceil(4n/5) + 1.  Only these prefixes are dealt, by shingle.  Any order gives the same result; rare shingles come first,
-as far as a sample of the texts tells, so that common lines and passages are hardly ever among them.
-
-Equal sets are one node from the start.  Pairs that meet at a shingle are candidates if three bounds allow the similarity:
-the sizes, the places of the shingle in both, and the difference of two bit maps of 128 parities (two sets differ in at least
-as many shingles as their maps in bits).  Maps of 1024 parities thin the candidates out, and what is left is held against
-the whole sets.  The first round verifies a spanning forest of each shingle's candidates; the second one all those
-whose ends are still apart.
-
-Defined cases: null and empty texts are equal sets; repeated rows and rows with a null id are treated as in `simhash`.
+"""Near copies of documents: SimHash with anchor points proposes, exact Jaccard similarity of five-word shingles decides.
+
+A text is the set of its shingles (of lower-cased words between white space; a shorter text is one shingle).  Its
+fingerprint has 256 bits.  Texts of similarity 0.8 differ in about 15 % of them, too many for `simhash`'s three
+segments, so there are more segments here: `segments` random choices of 20 of the last 192 bits.  Each segment is covered by the
+same code as in `simhash`, with threshold 0: a fingerprint goes to its home and visits the anchors within the covering
+radius.  Two texts of similarity 0.8 meet at an anchor of a given segment with a chance of about 0.1, and at one of
+72 segments with 0.99 (0.999 from similarity 0.85 on); the tests hold the whole against brute force.  Texts that are not
+similar meet at an anchor with a chance of about 2 in 100,000; far beyond 100 million texts, take wider segments and more of them.
+
+At an anchor, homes are compared with visitors by the first 64 bits, which no segment has.  The first round takes, for
+each text, the least one that it met (its hook); pairs that the sizes and all 256 bits allow are held against the whole
+sets, and verified ones make components.  The second round does the same with all pairs whose components are apart, so
+no group is ever spelled out in pairs, and a hook that fails costs nothing.
+
+keep() chooses a row, not an id: of each component the row with the least id (null ids last), then the least text hash;
+of rows that repeat both, one.  That depends neither on the order of rows nor on their partitions.
+
+Defined cases: null and empty texts are equal sets; repeated rows are copies; a row with a null id stays only if its
+group has no id; texts of rows with one id may differ and are then judged on their own; an empty table stays empty; all
+columns are kept, but names that begin with "_near_" are taken.  A very long text is worked on alone.
 """
 
 from __future__ import annotations
@@ -22,13 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Text, map_chunks, mixed, windows, written
+from .common import NOT_SPACE, Text, dropped, map_chunks, mixed, windows, written
 from .components import components
-from .simhash import PAIRS, forest
+from .simhash import BLOCK, PAIRS, SHARE, compared, dealt, flips, syndromes
 
-SHINGLE_WORDS, MAP_BITS = 5, 1024
-#: Of the order of shingles only, results do not depend on it: one text in SAMPLE is counted; from LEAST times on a shingle is common.
-SAMPLE, LEAST, MAX_COMMON = 16, 4, 1 << 20
+SHINGLE_WORDS, FINGERPRINT_BITS, SEGMENT_BITS, SEGMENT_COUNT = 5, 256, 20, 72
+#: Most of the first 64 bits, and of all bits, that may differ: 3.5 standard deviations over the mean at similarity 0.8.
+CHECK_BITS, ALL_BITS = 20, 59
+#: Most rows of a table of wanted texts that is broadcast.
+BROADCAST_ROWS = 1 << 20
+_SPREAD = np.random.default_rng(64).integers(1 << 62, size=(FINGERPRINT_BITS // 64, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(texts: pa.Array, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -48,8 +58,8 @@ def shingles(texts: pa.Array, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.nd
     return owner, value, text.n
 
 
-def sets(texts: pa.Array, common: np.ndarray | None = None, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, hash): text i's distinct shingles are hash[first[i]:first[i + 1]], common ones last; and their digests."""
+def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, hash, node): text i's distinct shingles are hash[first[i]:first[i + 1]], ascending; node[i] is their digest."""
     owner, value, n = shingles(texts)
     sort = np.lexsort((value, owner))
     owner, value = owner[sort], value[sort]
@@ -58,205 +68,170 @@ def sets(texts: pa.Array, common: np.ndarray | None = None, rank: np.ndarray | N
     owner, value = owner[new], value[new]
     first = np.searchsorted(owner, np.arange(n + 1))
     node = np.array([xxhash.xxh3_64_intdigest(value[i:j].tobytes()) for i, j in zip(first[:-1].tolist(), first[1:].tolist())], dtype=np.uint64)
-    if common is not None and len(common) and len(value):
-        at = np.minimum(np.searchsorted(common, value), len(common) - 1)
-        weight = np.where(common[at] == value, rank[at], 0)
-        value = value[np.lexsort((value, weight, owner))]
     return first, value, node
 
 
-def parities(first: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-    """A row of bits a set: whether it has an odd number of shingles for each."""
-    out = np.empty((len(first) - 1, bits // 8), dtype=np.uint8)
-    for at in range(0, len(out), 1024):
-        i, j = first[at], first[min(at + 1024, len(out))]
-        own = first[at : at + 1025] - i
-        owner = np.repeat(np.arange(len(own) - 1), np.diff(own))
-        odd = np.bincount(owner * bits + (value[i:j] % np.uint64(bits)).astype(np.int64), minlength=bits * (len(own) - 1)) & 1
-        out[at : at + 1024] = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1)
+def wide_fingerprints(first: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A row of 32 bytes a set: a bit is 1 if more than half of the shingles' hashes have it."""
+    out = np.zeros((len(first) - 1, FINGERPRINT_BITS // 8), dtype=np.uint8)
+    for d, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        ones = np.zeros(FINGERPRINT_BITS, dtype=np.uint32)
+        for a in range(i, j, 255):  # a byte holds 255 at most
+            hashes = mixed(value[a : min(j, a + 255), None] * _SPREAD[:, 0] + _SPREAD[:, 1])
+            ones += np.unpackbits(hashes.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+        out[d] = np.packbits(2 * ones > j - i)
     return out
 
 
-def prints(docs: DataFrame, text: str, id: str) -> DataFrame:
-    """(id, node, n, map): node is the digest of the text's set of n shingles, map its parities."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first, value, node = sets(batch.column(1))
-        maps = pa.array([x.tobytes() for x in parities(first, value, MAP_BITS)], pa.binary())
-        return pa.RecordBatch.from_pydict({id: batch.column(0), "node": pa.array(node.view(np.int64)), "n": pa.array(np.diff(first).astype(np.int32)), "map": maps})
-
-    return map_chunks(docs.select(id, text), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, node long, n int, map binary")
+def segment_places(segments: int) -> np.ndarray:
+    """Which bits each segment has, drawn so that some at a time have none in common; the first 64 bits are left for the check."""
+    draw, each = np.random.default_rng(20), (FINGERPRINT_BITS - 64) // SEGMENT_BITS
+    rows = [64 + draw.permutation(FINGERPRINT_BITS - 64)[: each * SEGMENT_BITS].reshape(each, -1) for _ in range(-(-segments // each))]
+    return np.concatenate(rows)[:segments]
 
 
-def thinned(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose maps allow the similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    maps = written(found.select("node", "n", "map").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "maps")
-    of = lambda side: maps.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("map").alias(f"{side}_map"))
+def visits(prints: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, home, row) of every place that each fingerprint (a row of bytes) goes to; key: the segment and the anchor."""
+    bits = np.unpackbits(prints, axis=1)
+    part = (bits[:, places].astype(np.uint32) << np.arange(SEGMENT_BITS, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+    row = np.repeat(np.arange(len(part)), part.shape[1])
+    number = np.tile(np.arange(part.shape[1], dtype=np.uint64) << np.uint64(SEGMENT_BITS), len(part))
+    part = part.ravel().astype(np.uint64)
+    kind = syndromes(part)
+    flip = np.where(kind > 0, np.uint64(1) << np.maximum(kind, np.uint64(1)) - np.uint64(1), np.uint64(0))
+    anchor = (part ^ flip) | number
+    on = np.flatnonzero(kind == 0)  # words of the code have more anchors within 1: a flip of each bit outside the code's
+    near = np.array(flips(0, SEGMENT_BITS, 1)[1:], dtype=np.uint64)
+    key = np.concatenate([anchor, anchor, (anchor[on][:, None] ^ near).ravel()])
+    home = np.arange(len(key)) < len(anchor)
+    return key.astype(np.int64), home, np.concatenate([row, row, np.repeat(row[on], len(near))])
 
-    def near(batches):
-        for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a_map", "b_map")]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            both = np.asarray(batch.column("a_n")).astype(np.int64) + np.asarray(batch.column("b_n"))
-            yield batch.select(["a", "b"]).filter(pa.array(9 * differ <= both))
-
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_n", "b_n", "a_map", "b_map").mapInArrow(near, "a long, b long")
-
-
-def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that are common in a sample of the texts, and how often they stand there."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"key": pa.array(sets(batch.column(0))[1].view(np.int64))})
 
-    sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).distinct()
-    counted = map_chunks(sample, text, work, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    rows = counted.orderBy(F.desc("n"), "key").limit(MAX_COMMON).toArrow()
-    key, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    sort = np.argsort(key)
-    return key[sort], n[sort]
-
-
-def prefixes(docs: DataFrame, text: str) -> DataFrame:
-    """(key, node, n, place, even, odd): the first shingles of every set of n, and the set's bit map."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(common_shingles(docs, text))
+def prints(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """(id, hash, node, n, fp): hash tells rows of an id apart; node is the digest of the text's set of n shingles."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first, value, node = sets(batch.column(0), *order.value)
-        n = np.diff(first)
-        owner = np.repeat(np.arange(len(n)), n)
-        maps = parities(first, value, 128).view(np.int64)
-        place = np.arange(len(value)) - np.repeat(first[:-1], n)
-        once = np.zeros(len(n), dtype=bool)
-        once[np.unique(node, return_index=True)[1]] = True
-        keep = (place <= np.repeat(n + -4 * n // 5, n)) & once[owner]
-        owner = owner[keep]
-        columns = {"key": value[keep].view(np.int64), "node": node.view(np.int64)[owner], "n": n[owner].astype(np.int32), "place": place[keep].astype(np.int32), "even": maps[owner, 0], "odd": maps[owner, 1]}
-        return pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in columns.items()})
-
-    return map_chunks(docs.select(text), text, work, "key long, node long, n int, place int, even long, odd long")
-
-
-def group_candidates(rows: dict[str, np.ndarray], root: np.ndarray | None, pairs: int = PAIRS):
-    """Pairs of nodes that may be similar, some at a time; rows are sorted by key.  With roots, only pairs that are apart."""
-    sort = np.lexsort((rows["n"], rows["key"]))
-    key, n, place, node, even, odd = (rows[c][sort] for c in ("key", "n", "place", "node", "even", "odd"))
-    root = None if root is None else root[sort]
-    number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else key
-    scale = np.int64(1) << np.int64(32)
-    stop = np.searchsorted(number * scale + n, number * scale + 5 * n.astype(np.int64) // 4, "right")
-    count = stop - np.arange(len(key)) - 1
+        first, value, node = sets(batch.column(1))
+        fp = pa.array([x.tobytes() for x in wide_fingerprints(first, value)], pa.binary())
+        return pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(2), "node": pa.array(node.view(np.int64)), "n": pa.array(np.diff(first).astype(np.int32)), "fp": fp})
+
+    kind = docs.schema[id].dataType.simpleString()
+    return map_chunks(docs.select(id, text, F.xxhash64(text)), text, work, f"id {kind}, hash long, node long, n int, fp binary")
+
+
+def met(columns: dict[str, np.ndarray], number: np.ndarray, pairs: int = PAIRS):
+    """(u, v): nodes of different roots that meet in a group and whose first bits are near, some at a time."""
+    home = columns["home"]
+    sort = np.lexsort((columns["root"][~home], number[~home]))
+    visitor = {c: columns[c][~home][sort] for c in ("node", "bits", "root")}
+    at, own = number[~home][sort], {c: columns[c][home] for c in ("node", "bits", "root")}
+    first, last = np.searchsorted(at, number[home], "left"), np.searchsorted(at, number[home], "right")
+    # Visitors of the home's own root are a range, which is left out.
+    ranks, rank = np.unique(np.concatenate([visitor["root"], own["root"]]), return_inverse=True)
+    both = at.astype(np.int64) * len(ranks) + rank[: len(at)]
+    mine = number[home].astype(np.int64) * len(ranks) + rank[len(at) :]
+    skip, go_on = np.searchsorted(both, mine, "left"), np.searchsorted(both, mine, "right")
+    start = np.concatenate([first, go_on])
+    count = np.concatenate([skip - first, last - go_on])
+    which = np.concatenate([np.arange(len(first))] * 2)
     total, i = np.cumsum(count), 0
-    while i < len(key):
+    while i < len(count):
         base = total[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(total, base + pairs, "right")))
         c = count[i:j]
-        a = np.repeat(np.arange(i, j), c)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
-        both = n[a].astype(np.int64) + n[b]
-        shared = np.minimum(n[a] - place[a], n[b] - place[b])
-        may = (node[a] != node[b]) & (9 * shared.astype(np.int64) >= 4 * both)
-        may &= 9 * (np.bitwise_count((even[a] ^ even[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((odd[a] ^ odd[b]).view(np.uint64))) <= both
-        if root is not None:
-            may &= root[a] != root[b]
-        if may.any():
-            yield number[a[may]], node[a[may]], node[b[may]]
+        h = np.repeat(which[i:j], c)
+        v = np.repeat(start[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+        near = np.bitwise_count((own["bits"][h] ^ visitor["bits"][v]).view(np.uint64)) <= CHECK_BITS
+        if near.any():
+            yield own["node"][h[near]], visitor["node"][v[near]]
         i = j
 
 
-def candidates(shared: DataFrame, rooted: bool) -> DataFrame:
-    """(a, b): a forest of each key's candidates, or, with column root, all candidates with different roots."""
-
-    def pairs(table: pa.Table):
-        columns = {c: np.asarray(table[c].combine_chunks()) for c in ("key", "node", "n", "place", "even", "odd")}
-        for number, u, v in group_candidates(columns, np.asarray(table["root"].combine_chunks()) if rooted else None):
-            if not rooted:  # within this slice and key, a spanning forest
-                ends = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
-                parts = [forest(u[i:j], v[i:j]) if j - i > 1 else (u[i:j], v[i:j]) for i, j in zip(ends[:-1], ends[1:])]
-                u, v = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            if len(u):
-                a, b = np.minimum(u, v), np.maximum(u, v)
-                one = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(one[:, 0]), "b": pa.array(one[:, 1])})
-
-    return by_key(shared, pairs, "a long, b long").distinct()
-
+def candidates(nodes: DataFrame, hooks: bool, segments: int, block: int, share: int) -> DataFrame:
+    """(a, b), a < b: of nodes (node, fp, root), pairs of different roots that meet; with `hooks`, for each b the least a alone."""
+    places = segment_places(segments)
 
-def by_key(rows: DataFrame, work, schema: str) -> DataFrame:
-    """work() on tables that hold each key's rows together."""
+    def send(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                key, home, row = visits(fp, places)
+                bits = np.ascontiguousarray(fp[:, :8]).view(np.int64)[:, 0]
+                columns = {"node": np.asarray(part.column(0)), "bits": bits, "root": np.asarray(part.column(2))}
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32)), "home": home} | {c: pa.array(columns[c][row]) for c in (("node", "bits") if hooks else columns)})
+
+    schema = "key int, home boolean, node long, bits long" + ", root long" * (not hooks)
+    sent = lambda rows: rows.select("node", "fp", "root").mapInArrow(send, schema)
+
+    def pairs(number, columns):
+        if hooks:
+            columns["root"] = columns["node"]
+        for u, v in met(columns, number):
+            a, b = np.minimum(u, v), np.maximum(u, v)
+            sort = np.lexsort((a, b))
+            a, b = a[sort], b[sort]
+            new = np.ones(len(b), dtype=bool)
+            new[1:] = (b[1:] != b[:-1]) | ((a[1:] != a[:-1]) & (not hooks))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[new]), "b": pa.array(b[new])})
+
+    few = nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+    found = compared(dealt(sent(nodes), sent(few), share, block), pairs, "a long, b long")
+    return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if hooks else found.distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs whose sets are similar, as a written table."""
+    pairs = written(pairs, "pairs")
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("fp").alias(f"{side}_fp"))
 
-    def each(batches):
-        rest, size = [], 0
+    def near(batches):
         for batch in batches:
-            rest.append(batch)
-            size += batch.num_rows
-            if size >= 1 << 18:
-                table = pa.Table.from_batches(rest)
-                key = np.asarray(table["key"].combine_chunks())
-                stop = int(np.searchsorted(key, key[-1], "left"))
-                if stop:
-                    yield from work(table.slice(0, stop))
-                rest = table.slice(stop).to_batches()
-                size = sum(x.num_rows for x in rest)
-        if size:
-            yield from work(pa.Table.from_batches(rest))
-
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(each, schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, text: str, id: str) -> DataFrame:
-    """The pairs whose sets are similar."""
-    pairs = written(thinned(written(pairs, "pairs"), found), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = found.join(wanted, "node", "left_semi").select(F.col(id).alias("_id")).distinct()
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a_fp", "b_fp")]
+            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= ALL_BITS))
+
+    sized = written(pairs.join(of("a"), "a"), "pairs").join(of("b"), "b").where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
+    close = written(sized.select("a", "b", "a_fp", "b_fp").mapInArrow(near, "a long, b long"), "close")
+    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    wanted = written(wanted.join(nodes.select("node", "best.hash"), "node"), "wanted")
+    hashes = wanted.select(F.col("hash").alias("_near_hash")).distinct()
+    hashes = F.broadcast(hashes) if wanted.count() <= BROADCAST_ROWS else hashes
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         first, value, node = sets(batch.column(0))
         return pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))})
 
-    rows = docs.join(ids, F.col(id).eqNullSafe(F.col("_id")), "left_semi").select(text)
-    whole = map_chunks(rows, text, work, "node long, shingles array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    whole = written(whole, "sets")
-    of = lambda side: whole.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    rows = docs.select(text, F.xxhash64(text).alias("_near_hash")).join(hashes, "_near_hash", "left_semi").select(text)
+    whole = written(map_chunks(rows, text, work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    side = lambda s: whole.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(9 * common >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+    links = written(close.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "links")
+    for old in (pairs, close, wanted, whole):
+        dropped(old)
+    return links
 
 
-def linked(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, node, component_id): component_id is the smallest id that links of similarity 4/5 lead to."""
+def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: int = SEGMENT_COUNT, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """(node, best, root) a distinct set: best is the row that stands for it (id is null, id, hash of the text), root its component."""
     found = written(prints(docs, text, id), "prints")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best")
+    nodes = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), best), "nodes")
+    links = verified(candidates(nodes.withColumn("root", F.col("node")), True, segments, block, share), nodes, docs, text)
+    roots = components(links)
+    apart = written(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "apart")
+    more = verified(candidates(apart, False, segments, block, share), nodes, docs, text)
+    roots = components(links.union(more))
+    out = written(nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")), "linked")
+    for old in (found, nodes, links, apart, more):
+        dropped(old)
+    return out
 
-    def several(table: pa.Table):
-        key, node = (np.asarray(table[c].combine_chunks()) for c in ("key", "node"))
-        table = table.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])))
-        key = np.asarray(table["key"].combine_chunks())
-        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-        yield from table.filter(pa.array(same[1:] | same[:-1])).combine_chunks().to_batches()
 
-    rows = prefixes(docs.select(text), text)
-    shared = written(by_key(rows, several, "key long, node long, n int, place int, even long, odd long"), "shared")
-    links = written(verified(candidates(shared, False), docs, found, text, id), "links")
-    roots = components(links)
-    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.union(written(verified(candidates(apart, True), docs, found, text, id), "links"))
-    roots = components(links)
-    nodes = found.groupBy("node").agg(F.min(id).alias("least"))
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "nodes")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return found.join(named, "node").select(id, "node", "component_id")
-
-
-def keep(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns; rows without an id as in `simhash.keep`."""
-    found = written(linked(docs, text, id), "linked")
-    first = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    kept = docs.join(first, id, "left_semi").dropDuplicates([id])
-    if not docs.schema[id].nullable or docs.where(F.col(id).isNull()).isEmpty():
-        return kept
-    alone = found.where(F.col("component_id").isNull()).select(F.col("node").alias("_node")).distinct()
-    node = F.udf(lambda x: int(sets(pa.array([x], pa.string()))[2].view(np.int64)[0]), "long")
-    bare = docs.where(F.col(id).isNull()).withColumn("_node", node(text))
-    return kept.unionByName(bare.join(alone, "_node", "left_semi").drop("_node").dropDuplicates([text]))
+def keep(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: int = SEGMENT_COUNT, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """One document of each group of near copies, with all its columns."""
+    chosen = linked(docs, text, id, segments, block, share).groupBy("root").agg(F.min("best").alias("best"))
+    chosen = written(chosen.select(F.xxhash64("best.id").alias("_near_id"), F.col("best.none").alias("_near_none"), F.col("best.hash").alias("_near_hash")), "chosen")
+    keys = ["_near_id", "_near_none", "_near_hash"]
+    rows = docs.withColumns({"_near_id": F.xxhash64(id), "_near_none": F.col(id).isNull(), "_near_hash": F.xxhash64(text)})
+    # Rows that repeat a key meet in one, first within each task; the join then needs no further exchange.
+    return rows.dropDuplicates(keys).join(chosen, keys, "left_semi").select(*docs.columns)

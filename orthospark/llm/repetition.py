@@ -66,9 +66,9 @@ def measures(texts: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarra
     has_word = np.searchsorted(words.start, ends) > first
     begins, ends = begins[has_word], ends[has_word]
     owner = np.searchsorted(text.first, begins, "right") - 1
-    order = np.lexsort((span_hashes(text.bytes, begins, ends), owner))
-    lines = span_hashes(text.bytes, begins, ends)[order]
-    owner = owner[order]
+    lines = span_hashes(text.bytes, begins, ends)
+    order = np.lexsort((lines, owner))
+    lines, owner = lines[order], owner[order]
     again = (lines[1:] == lines[:-1]) & (owner[1:] == owner[:-1])
     out["n_dup_lines"] = np.bincount(owner[1:][again], minlength=text.n)
 

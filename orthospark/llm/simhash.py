@@ -12,14 +12,14 @@ Equal fingerprints are one node from the start, so thousands of copies cost what
 yields a spanning forest of the links it has found, never its pairs.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows each get a row; a row
-with a null id gets its component's smallest id that is not null, or null if there is none.
+with a null id gets its component's smallest id that is not null, or null if there is none.  An empty table gives an
+empty result; other columns, whatever their names, are not read.  A very long text is worked on alone, its bits added up a slice at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 CODED = 15
 #: Most homes, and most visitors, of an anchor that one group compares; pairs compared at a time.
 BLOCK, PAIRS = 4096, 1 << 21
+#: One fingerprint in so many tells which anchors are crowded.
+SHARE = 16
 
 
 def fingerprint_values(texts: pa.Array, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -161,57 +163,73 @@ def group_links(key: np.ndarray, home: np.ndarray, fp: np.ndarray, bits: int, pa
     return forest(np.concatenate(found_u), np.concatenate(found_v))
 
 
-def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all fingerprints of nodes.fp (distinct longs) at most `bits` apart."""
-    radius = 1 + bits // len(SEGMENTS)
-
-    def send(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                fp = np.asarray(batch.column(0)[at : at + (1 << 14)]).view(np.uint64)
-                key, home, row = visits(fp, radius)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32)), "home": home, "fp": pa.array(fp[row].view(np.int64))})
-
-    sent = nodes.select("fp").mapInArrow(send, "key int, home boolean, fp long")
-    sizes = sent.groupBy("key").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors"))
-    hot = written(sizes.where(F.greatest("homes", "visitors") > block).where("homes > 0").select("key", F.ceil(F.col("homes") / block).cast("int").alias("home_blocks"), F.ceil(F.col("visitors") / block).cast("int").alias("visitor_blocks")), "anchors")
+def dealt(sent: DataFrame, few: DataFrame, share: int, block: int) -> DataFrame:
+    """sent (key, home, ...) in order of group: a key's homes and visitors, or a pair of their blocks where either side is crowded.
 
-    # A row goes to its own block, once for each block of the other side.  Most anchors have one of each.
-    sent = sent.join(hot, "key", "left")
+    few: what `sent` has for one row in `share`; it tells which keys are crowded, and how many blocks their sides are cut
+    into.  Results do not depend on it.  A row goes to its own block, once for each block of the other side.
+    """
+    sizes = few.groupBy("key").agg((F.count_if("home") * share).alias("homes"), (F.count_if(~F.col("home")) * share).alias("visitors"))
+    hot = written(sizes.where(F.greatest("homes", "visitors") > block).select("key", F.ceil(F.greatest("homes", F.lit(1)) / block).cast("int").alias("home_blocks"), F.ceil(F.greatest("visitors", F.lit(1)) / block).cast("int").alias("visitor_blocks")), "anchors")
+    payload = [c for c in sent.columns if c not in ("key", "home")]
+    rows = sent.join(hot, "key", "left")
     blocks = lambda n: F.coalesce(n, F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), blocks(F.col("home_blocks"))).otherwise(blocks(F.col("visitor_blocks")))).cast("int")
+    own = F.pmod(F.xxhash64(*payload), F.when(F.col("home"), blocks(F.col("home_blocks"))).otherwise(blocks(F.col("visitor_blocks")))).cast("int")
     other = F.when(F.col("home"), blocks(F.col("visitor_blocks"))).otherwise(blocks(F.col("home_blocks")))
-    dealt = sent.select("key", "home", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
-    dealt = dealt.select("key", F.when(F.col("home"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("j"), "home", "fp")
-    dealt = dealt.select(F.struct("key", "i", "j").alias("group"), "home", "fp")
+    rows = rows.select("key", "home", *payload, own.alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
+    i, j = F.when(F.col("home"), F.col("own")).otherwise(F.col("other")), F.when(F.col("home"), F.col("other")).otherwise(F.col("own"))
+    rows = rows.select("key", i.cast("short").alias("i"), j.cast("short").alias("j"), "home", *payload)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
 
-    def compare(batches):
+def compared(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(group number, columns) on some groups of dealt rows at a time, each whole."""
+
+    def each(batches):
         rest: list[pa.RecordBatch] = []
         size = 0
 
-        def links(rows: pa.Table, whole: bool):
-            key = [np.asarray(pc.struct_field(rows["group"], k).combine_chunks()).astype(np.int64) for k in ("key", "i", "j")]
-            new = np.zeros(rows.num_rows, dtype=bool)
-            for k in key:
-                new[1:] |= k[1:] != k[:-1]
-            stop = rows.num_rows if whole else int(np.flatnonzero(new)[-1]) if new.any() else 0
+        def done(table: pa.Table, whole: bool):
+            columns = {c: np.asarray(table[c].combine_chunks()) for c in table.column_names}
+            new = np.zeros(table.num_rows, dtype=bool)
+            for k in ("key", "i", "j"):
+                new[1:] |= columns[k][1:] != columns[k][:-1]
+            stop = table.num_rows if whole else int(np.flatnonzero(new)[-1]) if new.any() else 0
             if stop:
-                u, v = group_links(np.cumsum(new)[:stop], np.asarray(rows["home"].combine_chunks())[:stop], np.asarray(rows["fp"].combine_chunks())[:stop].view(np.uint64), bits)
-                if len(u):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(u.view(np.int64)), "b": pa.array(v.view(np.int64))})
-            return rows.slice(stop)
+                yield from work(np.cumsum(new)[:stop], {c: x[:stop] for c, x in columns.items()})
+            return table.slice(stop)
 
-        left = None
         for batch in batches:
             rest.append(batch)
             size += batch.num_rows
             if size >= 1 << 18:
-                left = yield from links(pa.Table.from_batches(rest), False)
+                left = yield from done(pa.Table.from_batches(rest), False)
                 rest, size = left.to_batches(), left.num_rows
         if size:
-            yield from links(pa.Table.from_batches(rest), True)
+            yield from done(pa.Table.from_batches(rest), True)
+
+    return rows.mapInArrow(each, schema)
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+
+def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """(a, b): links that connect all fingerprints of nodes.fp (distinct longs) at most `bits` apart."""
+    radius = 1 + bits // len(SEGMENTS)
+
+    def send(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                fp = np.asarray(batch.column(0)[at : at + (1 << 14)]).view(np.uint64)
+                key, home, row = visits(fp, radius)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32)), "home": home, "fp": pa.array(fp[row].view(np.int64))})
+
+    sent = lambda rows: rows.select("fp").mapInArrow(send, "key int, home boolean, fp long")
+
+    def links(number, columns):
+        u, v = group_links(number, columns["home"], columns["fp"].view(np.uint64), bits)
+        if len(u):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(u.view(np.int64)), "b": pa.array(v.view(np.int64))})
+
+    return compared(dealt(sent(nodes), sent(nodes.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)), share, block), links, "a long, b long")
 
 
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
@@ -219,27 +237,14 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int =
     prints = written(fingerprints(docs, text, id, shingle_words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id).alias("least")), "nodes")
     roots = components(near_links(nodes, bits, block))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    # Written, so that a join's hot side comes straight from its exchange and the skew join can split it.
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
+    for old in (nodes, rooted, least):
+        dropped(old)
     return prints.join(named, "fp").select(id, "fp", "component_id")
 
 
-def keep(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns.
-
-    Of rows that repeat that id one stays.  A row without an id stays if its group has no id at all, one for each text.
-    """
-    found = linked(docs, text, id, bits, shingle_words, block)
-    first = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    kept = docs.join(first, id, "left_semi").dropDuplicates([id])
-    if not docs.schema[id].nullable or docs.where(F.col(id).isNull()).isEmpty():
-        return kept
-    alone = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    bare = docs.where(F.col(id).isNull())
-    prints = F.udf(lambda x: int(fingerprint_values(pa.array([x], pa.string()), shingle_words).view(np.int64)[0]), "long")
-    return kept.unionByName(bare.withColumn("_fp", prints(text)).join(alone.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").drop("_fp").dropDuplicates([text]))
-
-
 def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

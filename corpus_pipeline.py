@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again before the next.
 
-Quality rules, quality classifier, near-dedup (exact Jaccard similarity, its stage keeps its old name) and benchmark decontamination each drop documents and return the
-columns they were given; best-fit packing returns the packed pieces of what is left.  SQL cannot express suffix arrays,
-EM or a tokenizer, so ORACLE_SQL is None and tests/llm hold the stages against brute-force versions.
+Quality rules, quality classifier, SimHash near-dedup and benchmark decontamination each drop documents and return the
+columns they were given; best-fit packing returns the packed pieces of what is left, with their token ids.  SQL cannot
+express suffix arrays, EM or a tokenizer, so ORACLE_SQL is None and tests/llm hold the stages against brute-force versions.
+
+Defined cases: a null or empty text fails the quality rules; rows without an id and rows that share one are judged by
+their texts, each on its own; repeated rows end as one; an empty table runs through to an empty result; other columns are
+carried as far as packing, which does not read them.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from orthospark.llm import decontaminate, near_copies, packing, repetition, weak
 from orthospark.llm.common import written
 
 ORACLE_SQL = None
+#: Most documents in a sequence: a limit that binds where texts are short.
+SEQUENCE_DOCUMENTS = 128
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word Jaccard similarity of 0.8 at least): the one with the smallest id."""
+    """Keeps one document of each group of near copies (five-word Jaccard similarity of 0.8 at least, proposed by fingerprints): the one with the smallest id."""
     return near_copies.keep(docs)
 
 
@@ -36,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences; a row a piece."""
-    return packing.pack(packing.pieces(docs, with_ids=False))
+    """Packs the documents' tokens into sequences of at most SEQUENCE_DOCUMENTS documents; a row a piece, with its ids."""
+    return packing.pack(packing.pieces(docs), documents=SEQUENCE_DOCUMENTS)
 
 
 STAGES = [

@@ -1,17 +1,18 @@
 """Near copies of documents: SimHash with anchor points proposes, exact Jaccard similarity of five-word shingles decides.
 
 A text is the set of its shingles (of lower-cased words between white space; a shorter text is one shingle).  Its
-fingerprint has 256 bits.  Texts of similarity 0.8 differ in about 15 % of them, too many for `simhash`'s three
+fingerprint has 320 bits.  Texts of similarity 0.8 differ in about 15 % of them, too many for `simhash`'s three
 segments, so there are more segments here: `segments` random choices of 20 of the last 192 bits.  Each segment is covered by the
 same code as in `simhash`, with threshold 0: a fingerprint goes to its home and visits the anchors within the covering
 radius.  Two texts of similarity 0.8 meet at an anchor of a given segment with a chance of about 0.1, and at one of
 72 segments with 0.99 (0.999 from similarity 0.85 on); the tests hold the whole against brute force.  Texts that are not
 similar meet at an anchor with a chance of about 2 in 100,000; far beyond 100 million texts, take wider segments and more of them.
 
-At an anchor, homes are compared with visitors by the first 64 bits, which no segment has.  The first round takes, for
-each text, the least one that it met (its hook); pairs that the sizes and all 256 bits allow are held against the whole
-sets, and verified ones make components.  The second round does the same with all pairs whose components are apart, so
-no group is ever spelled out in pairs, and a hook that fails costs nothing.
+First, homes are compared with visitors by the first 128 bits, which no segment has.  A text with one partner is held
+against it.  Texts with more partners go to their anchors again with a sketch: the whole fingerprint and 512 parities of shingle
+hashes (two sets differ in at least as many shingles as their parities).  Pairs that sizes and sketches allow are nearly always similar;
+of them a spanning forest is held against the whole sets, never a group's pairs.  If a forest's pair fails, all pairs
+that sketches allow and that are still apart are checked, so that no link is lost to it.
 
 keep() chooses a row, not an id: of each component the row with the least id (null ids last), then the least text hash;
 of rows that repeat both, one.  That depends neither on the order of rows nor on their partitions.
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Text, dropped, map_chunks, mixed, windows, written
 from .components import components
-from .simhash import BLOCK, PAIRS, SHARE, compared, dealt, flips, syndromes
+from .simhash import BLOCK, PAIRS, SHARE, compared, dealt, flips, labels, syndromes
 
-SHINGLE_WORDS, FINGERPRINT_BITS, SEGMENT_BITS, SEGMENT_COUNT = 5, 256, 20, 72
-#: Most of the first 64 bits, and of all bits, that may differ: 3.5 standard deviations over the mean at similarity 0.8.
-CHECK_BITS, ALL_BITS = 20, 59
+SHINGLE_WORDS, FINGERPRINT_BITS, FIRST_BITS, PARITIES, SEGMENT_BITS, SEGMENT_COUNT = 5, 320, 128, 512, 20, 72
+#: Most of the first bits, and of all bits, that may differ: 3.5 standard deviations over the mean at similarity 0.8.
+CHECK_BITS, ALL_BITS = 34, 71
 #: Most rows of a table of wanted texts that is broadcast.
 BROADCAST_ROWS = 1 << 20
 _SPREAD = np.random.default_rng(64).integers(1 << 62, size=(FINGERPRINT_BITS // 64, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +73,7 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(first: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """A row of 32 bytes a set: a bit is 1 if more than half of the shingles' hashes have it."""
+    """A row of 40 bytes a set: a bit is 1 if more than half of the shingles' hashes have it."""
     out = np.zeros((len(first) - 1, FINGERPRINT_BITS // 8), dtype=np.uint8)
     for d, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         ones = np.zeros(FINGERPRINT_BITS, dtype=np.uint32)
@@ -83,10 +84,22 @@ def wide_fingerprints(first: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(first: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A row of 64 bytes a set: whether it has an odd number of shingles for each remainder of their hashes."""
+    out = np.empty((len(first) - 1, PARITIES // 8), dtype=np.uint8)
+    for at in range(0, len(out), 1024):
+        i, j = first[at], first[min(at + 1024, len(out))]
+        own = first[at : at + 1025] - i
+        owner = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        odd = np.bincount(owner * PARITIES + (value[i:j] % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES * (len(own) - 1)) & 1
+        out[at : at + 1024] = np.packbits(odd.astype(np.uint8).reshape(-1, PARITIES), axis=1)
+    return out
+
+
 def segment_places(segments: int) -> np.ndarray:
-    """Which bits each segment has, drawn so that some at a time have none in common; the first 64 bits are left for the check."""
-    draw, each = np.random.default_rng(20), (FINGERPRINT_BITS - 64) // SEGMENT_BITS
-    rows = [64 + draw.permutation(FINGERPRINT_BITS - 64)[: each * SEGMENT_BITS].reshape(each, -1) for _ in range(-(-segments // each))]
+    """Which bits each segment has, drawn so that some at a time have none in common; the first bits are left for the check."""
+    draw, each = np.random.default_rng(20), (FINGERPRINT_BITS - FIRST_BITS) // SEGMENT_BITS
+    rows = [FIRST_BITS + draw.permutation(FINGERPRINT_BITS - FIRST_BITS)[: each * SEGMENT_BITS].reshape(each, -1) for _ in range(-(-segments // each))]
     return np.concatenate(rows)[:segments]
 
 
@@ -108,90 +121,146 @@ def visits(prints: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def prints(docs: DataFrame, text: str, id: str) -> DataFrame:
-    """(id, hash, node, n, fp): hash tells rows of an id apart; node is the digest of the text's set of n shingles."""
+    """(id, hash, node, n, sketch): hash tells rows of an id apart; node is the digest of the text's set of n shingles; its fingerprint and parities."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         first, value, node = sets(batch.column(1))
-        fp = pa.array([x.tobytes() for x in wide_fingerprints(first, value)], pa.binary())
-        return pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(2), "node": pa.array(node.view(np.int64)), "n": pa.array(np.diff(first).astype(np.int32)), "fp": fp})
+        sketch = np.concatenate([wide_fingerprints(first, value), parities(first, value)], axis=1)
+        return pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(2), "node": pa.array(node.view(np.int64)), "n": pa.array(np.diff(first).astype(np.int32)), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
 
     kind = docs.schema[id].dataType.simpleString()
-    return map_chunks(docs.select(id, text, F.xxhash64(text)), text, work, f"id {kind}, hash long, node long, n int, fp binary")
+    return map_chunks(docs.select(id, text, F.xxhash64(text)), text, work, f"id {kind}, hash long, node long, n int, sketch binary")
+
+
+def allowed(n: tuple[np.ndarray, np.ndarray], sketch: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs may be similar, by their sizes and sketches (rows of 64-bit words)."""
+    least, most = np.minimum(*n).astype(np.int64), np.maximum(*n).astype(np.int64)
+    out = 5 * least >= 4 * most
+    at = np.flatnonzero(out)
+    differ = np.bitwise_count(sketch[0][at] ^ sketch[1][at])
+    cut = FINGERPRINT_BITS // 64
+    out[at] = (differ[:, :cut].sum(axis=1, dtype=np.int64) <= ALL_BITS) & (9 * differ[:, cut:].sum(axis=1, dtype=np.int64) <= least[at] + most[at])
+    return out
 
 
-def met(columns: dict[str, np.ndarray], number: np.ndarray, pairs: int = PAIRS):
-    """(u, v): nodes of different roots that meet in a group and whose first bits are near, some at a time."""
-    home = columns["home"]
-    sort = np.lexsort((columns["root"][~home], number[~home]))
-    visitor = {c: columns[c][~home][sort] for c in ("node", "bits", "root")}
-    at, own = number[~home][sort], {c: columns[c][home] for c in ("node", "bits", "root")}
-    first, last = np.searchsorted(at, number[home], "left"), np.searchsorted(at, number[home], "right")
+def met(number: np.ndarray, columns: dict[str, np.ndarray], pairs: int = PAIRS):
+    """(homes, visitors) as rows of columns: pairs of different roots in a group that may be similar, some at a time."""
+    homes, visitors = np.flatnonzero(columns["home"]), np.flatnonzero(~columns["home"])
+    visitors = visitors[np.lexsort((columns["root"][visitors], number[visitors]))]
+    at, group = number[visitors], number[homes]
+    first, last = np.searchsorted(at, group, "left"), np.searchsorted(at, group, "right")
     # Visitors of the home's own root are a range, which is left out.
-    ranks, rank = np.unique(np.concatenate([visitor["root"], own["root"]]), return_inverse=True)
-    both = at.astype(np.int64) * len(ranks) + rank[: len(at)]
-    mine = number[home].astype(np.int64) * len(ranks) + rank[len(at) :]
+    ranks, rank = np.unique(columns["root"], return_inverse=True)
+    both, mine = at.astype(np.int64) * len(ranks) + rank[visitors], group.astype(np.int64) * len(ranks) + rank[homes]
     skip, go_on = np.searchsorted(both, mine, "left"), np.searchsorted(both, mine, "right")
-    start = np.concatenate([first, go_on])
-    count = np.concatenate([skip - first, last - go_on])
-    which = np.concatenate([np.arange(len(first))] * 2)
+    start, count, which = np.concatenate([first, go_on]), np.concatenate([skip - first, last - go_on]), np.concatenate([homes, homes])
     total, i = np.cumsum(count), 0
     while i < len(count):
         base = total[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(total, base + pairs, "right")))
         c = count[i:j]
-        h = np.repeat(which[i:j], c)
-        v = np.repeat(start[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-        near = np.bitwise_count((own["bits"][h] ^ visitor["bits"][v]).view(np.uint64)) <= CHECK_BITS
-        if near.any():
-            yield own["node"][h[near]], visitor["node"][v[near]]
+        u = np.repeat(which[i:j], c)
+        v = visitors[np.repeat(start[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+        words = columns["sketch"][:, : FIRST_BITS // 64]
+        near = np.bitwise_count(words[u, 0] ^ words[v, 0]) <= CHECK_BITS
+        u, v = u[near], v[near]
+        near = np.bitwise_count(words[u] ^ words[v]).sum(axis=1) <= CHECK_BITS
+        u, v = u[near], v[near]
+        if "n" in columns and len(u):
+            near = allowed((columns["n"][u], columns["n"][v]), (columns["sketch"][u], columns["sketch"][v]))
+            u, v = u[near], v[near]
+        if len(u):
+            yield u, v
         i = j
 
 
-def candidates(nodes: DataFrame, hooks: bool, segments: int, block: int, share: int) -> DataFrame:
-    """(a, b), a < b: of nodes (node, fp, root), pairs of different roots that meet; with `hooks`, for each b the least a alone."""
+def spanning(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the links make a spanning forest: every component takes the first link that leaves it, until none does."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label, live, chosen = np.arange(len(nodes)), np.arange(len(u)), []
+    while True:
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return np.unique(np.concatenate(chosen)) if chosen else live
+        first = np.full(len(nodes), len(u))
+        np.minimum.at(first, label[a[live]], live)
+        np.minimum.at(first, label[b[live]], live)
+        picked = np.unique(first[first < len(u)])
+        chosen.append(picked)
+        label = labels(label[a[picked]], label[b[picked]], len(nodes))[label]
+
+
+def at_anchors(nodes: DataFrame, work, schema: str, segments: int, block: int, share: int, whole: bool) -> DataFrame:
+    """work() on groups of what nodes (node, root, n, sketch) send to their anchors: whole sketches with sizes and roots, or first bits alone."""
     places = segment_places(segments)
 
     def send(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 12):
                 part = batch.slice(at, 1 << 12)
-                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                key, home, row = visits(fp, places)
-                bits = np.ascontiguousarray(fp[:, :8]).view(np.int64)[:, 0]
-                columns = {"node": np.asarray(part.column(0)), "bits": bits, "root": np.asarray(part.column(2))}
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32)), "home": home} | {c: pa.array(columns[c][row]) for c in (("node", "bits") if hooks else columns)})
+                sketch = part.column(3)
+                key, home, row = visits(np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)[:, : FINGERPRINT_BITS // 8], places)
+                columns = {"node": part.column(0)} | ({"root": part.column(1), "n": part.column(2), "sketch": sketch} if whole else {"sketch": pa.array([x[: FIRST_BITS // 8] for x in sketch.to_pylist()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32)), "home": home} | {c: x.take(pa.array(row)) for c, x in columns.items()})
 
-    schema = "key int, home boolean, node long, bits long" + ", root long" * (not hooks)
-    sent = lambda rows: rows.select("node", "fp", "root").mapInArrow(send, schema)
+    fields = "key int, home boolean, node long, " + "root long, n int, " * whole + "sketch binary"
+    sent = lambda rows: rows.select("node", "root", "n", "sketch").mapInArrow(send, fields)
+    few = nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+    return compared(dealt(sent(nodes), sent(few), share, block), work, schema)
 
-    def pairs(number, columns):
-        if hooks:
-            columns["root"] = columns["node"]
-        for u, v in met(columns, number):
-            a, b = np.minimum(u, v), np.maximum(u, v)
-            sort = np.lexsort((a, b))
-            a, b = a[sort], b[sort]
-            new = np.ones(len(b), dtype=bool)
-            new[1:] = (b[1:] != b[:-1]) | ((a[1:] != a[:-1]) & (not hooks))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[new]), "b": pa.array(b[new])})
 
-    few = nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
-    found = compared(dealt(sent(nodes), sent(few), share, block), pairs, "a long, b long")
-    return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if hooks else found.distinct()
+def partners(nodes: DataFrame, *sizes: int) -> DataFrame:
+    """(node, least, greatest) of every node that meets others whose first bits are near: its least and greatest partner."""
+
+    def ends(number, columns):
+        columns["root"] = columns["node"]
+        for u, v in met(number, columns):
+            own, other = columns["node"][np.concatenate([u, v])], columns["node"][np.concatenate([v, u])]
+            sort = np.lexsort((other, own))
+            own, other = own[sort], other[sort]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(own[first]), "least": pa.array(other[first]), "greatest": pa.array(other[np.append(first[1:], len(own)) - 1])})
+
+    found = at_anchors(nodes, ends, "node long, least long, greatest long", *sizes, whole=False)
+    return found.groupBy("node").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+def proposed(nodes: DataFrame, every: bool, *sizes: int) -> DataFrame:
+    """(a, b): pairs of different roots that sketches allow; a spanning forest of the roots, or all of them."""
+
+    def pairs(number, columns):
+        kept_u, kept_v = [], []
+        for u, v in met(number, columns):
+            if not every:
+                own = spanning(columns["root"][u], columns["root"][v])
+                u, v = u[own], v[own]
+            kept_u.append(u)
+            kept_v.append(v)
+        if kept_u:
+            u, v = np.concatenate(kept_u), np.concatenate(kept_v)
+            if not every:
+                own = spanning(columns["root"][u], columns["root"][v])
+                u, v = u[own], v[own]
+            ends = np.unique(np.sort(np.stack([columns["node"][u], columns["node"][v]], axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+    return at_anchors(nodes, pairs, "a long, b long", *sizes, whole=True).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs whose sets are similar, as a written table."""
     pairs = written(pairs, "pairs")
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("fp").alias(f"{side}_fp"))
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
 
     def near(batches):
         for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a_fp", "b_fp")]
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= ALL_BITS))
+            n = tuple(np.asarray(batch.column(c)) for c in ("a_n", "b_n"))
+            sketch = tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
+            yield batch.select(["a", "b"]).filter(pa.array(allowed(n, sketch)))
 
-    sized = written(pairs.join(of("a"), "a"), "pairs").join(of("b"), "b").where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
-    close = written(sized.select("a", "b", "a_fp", "b_fp").mapInArrow(near, "a long, b long"), "close")
+    half = written(pairs.join(of("a"), "a"), "pairs")
+    close = written(half.join(of("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(near, "a long, b long"), "close")
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     wanted = written(wanted.join(nodes.select("node", "best.hash"), "node"), "wanted")
     hashes = wanted.select(F.col("hash").alias("_near_hash")).distinct()
@@ -206,23 +275,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
     side = lambda s: whole.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     links = written(close.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "links")
-    for old in (pairs, close, wanted, whole):
+    for old in (pairs, half, close, wanted, whole):
         dropped(old)
     return links
 
 
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: int = SEGMENT_COUNT, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """(node, best, root) a distinct set: best is the row that stands for it (id is null, id, hash of the text), root its component."""
-    found = written(prints(docs, text, id), "prints")
+    found, sizes = written(prints(docs, text, id), "prints"), (segments, block, share)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best")
-    nodes = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), best), "nodes")
-    links = verified(candidates(nodes.withColumn("root", F.col("node")), True, segments, block, share), nodes, docs, text)
+    nodes = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), best), "nodes")
+    met_by = written(partners(nodes.withColumn("root", F.col("node")), *sizes), "partners")
+    lone = met_by.where("least = greatest").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct()
+    busy = written(nodes.join(met_by.where("least <> greatest").select("node"), "node").select("node", F.col("node").alias("root"), "n", "sketch"), "busy")
+    forest = written(proposed(busy, False, *sizes), "forest")
+    links = verified(lone.union(forest).distinct(), nodes, docs, text)
     roots = components(links)
-    apart = written(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "apart")
-    more = verified(candidates(apart, False, segments, block, share), nodes, docs, text)
-    roots = components(links.union(more))
+    if not forest.join(links, ["a", "b"], "left_anti").isEmpty():
+        apart = written(busy.drop("root").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "sketch"), "apart")
+        more = verified(proposed(apart, True, *sizes), nodes, docs, text)
+        roots = components(links.union(more))
+        dropped(apart)
+        dropped(more)
     out = written(nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")), "linked")
-    for old in (found, nodes, links, apart, more):
+    for old in (found, nodes, met_by, busy, forest, links):
         dropped(old)
     return out
 

@@ -116,11 +116,9 @@ def visits(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys).astype(np.int64), np.concatenate(homes), np.concatenate(rows)
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of these links: as many links as are needed."""
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
+def labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number that links of n numbers lead to, for each of them."""
+    label = np.arange(n)
     while True:
         least = np.minimum(label[a], label[b])
         new = label.copy()
@@ -133,8 +131,14 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             new = up
         new = new[label]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of these links: as many links as are needed."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = labels(ends[: len(u)], ends[len(u) :], len(nodes))
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[label[moved]], nodes[moved]
 
@@ -182,6 +186,13 @@ def dealt(sent: DataFrame, few: DataFrame, share: int, block: int) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def values(column: pa.Array) -> np.ndarray:
+    """A column in numpy; binary values of one size as rows of 64-bit words."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+    return np.asarray(column)
+
+
 def compared(rows: DataFrame, work, schema: str) -> DataFrame:
     """work(group number, columns) on some groups of dealt rows at a time, each whole."""
 
@@ -190,7 +201,7 @@ def compared(rows: DataFrame, work, schema: str) -> DataFrame:
         size = 0
 
         def done(table: pa.Table, whole: bool):
-            columns = {c: np.asarray(table[c].combine_chunks()) for c in table.column_names}
+            columns = {c: values(table[c].combine_chunks()) for c in table.column_names}
             new = np.zeros(table.num_rows, dtype=bool)
             for k in ("key", "i", "j"):
                 new[1:] |= columns[k][1:] != columns[k][:-1]

@@ -8,8 +8,9 @@ The table of known texts is a parameter; its size is checked before it is broadc
 shuffle.  Only lines that match travel from the lines' join.
 
 Defined cases: a null text has a null digest and no licence; texts without letters or digits share the digest of the
-empty text, which is no licence; equal known texts count once, under their least name; repeated rows each get a row
-with the same values; a row with a null id gets no line matches.
+empty text, which is no licence; equal known texts count once, under their least name; repeated rows and rows with a null
+id each get a row of their own; an empty table stays empty; other columns, whatever their names, are not read; a very
+long text costs what its length does.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most known texts that are broadcast, a digest and a name each.
 BROADCAST_ROWS = 10_000
 # Equivalent spellings, and licence texts and statements by SPDX identifier.
 SPELLINGS = [
@@ -28,7 +30,25 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
 KNOWN = [
+    ("BSD-2-Clause", _BSD2 + _BSD), ("BSD-3-Clause", _BSD2 + _BSD3 + _BSD), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD2 + _BSD), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD2 + _BSD3 + _BSD), ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE),
     ("MIT", _MIT), ("MIT", "The MIT License\n" + _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC),
     ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -62,18 +82,22 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, digest, license, n_license_lines, line_licenses): of the whole text, and of its lines."""
+    """(id, digest, license, n_license_lines, line_licenses): of the whole text, and of its lines.
+
+    A text is normalised once; it and its lines are looked up in one join, and only matches and whole texts go on.
+    """
     digests = known_digests(docs.sparkSession, known)
-    lined = docs.select(id, canonical_lines(F.col(text)).alias("lines"))
-    whole = lined.select(id, F.sha2(F.trim(F.regexp_replace("lines", r"[ \n]+", " ")), 256).alias("digest"))
-    lines = lined.where(F.col(id).isNotNull()).select(id, F.explode(F.split("lines", "\n")).alias("line")).select(id, F.sha2(F.trim("line"), 256).alias("digest"))
-    found = lines.join(digests, "digest").groupBy(id).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("license")).alias("names"))
-    empty = F.sha2(F.lit(""), 256)
-    rows = whole.join(digests, "digest", "left").join(found, id, "left")
-    # Rows with one id share their lines' matches, so the count is that of one of them.
-    copies = docs.groupBy(id).agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = rows.join(copies, id, "left")
-    return rows.select(id, "digest", F.when(F.col("digest") != empty, F.col("license")).alias("license"), F.coalesce(F.expr("n div coalesce(copies, 1)"), F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("line_licenses"))
+    lined = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), canonical_lines(F.col(text)).alias("lines"))
+    whole = F.trim(F.regexp_replace("lines", r"[ \n]+", " "))
+    parts = lined.select("row", "id", F.posexplode(F.coalesce(F.concat(F.array(whole), F.split("lines", "\n")), F.array(F.lit(None).cast("string")))).alias("part", "line"))
+    parts = parts.select("row", "id", (F.col("part") == 0).alias("whole"), F.sha2(F.trim("line"), 256).alias("digest"))
+    found = parts.join(digests, "digest", "left").where("whole or license is not null").withColumn("license", F.when(F.col("digest") != F.sha2(F.lit(""), 256), F.col("license")))
+    line = ~F.col("whole")
+    rows = found.groupBy("row").agg(
+        F.min("id").alias(id), F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
+        F.count_if(line & F.col("license").isNotNull()).alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("license")))), ",").alias("line_licenses"),
+    )
+    return rows.drop("row")
 
 
 def sql_text(s: str) -> str:

@@ -1,81 +1,157 @@
 """Tool-call linking.
 
-Calls and results meet by a hash join on the call's identifier.  Each call may name the call whose result it continues
-from; its level is the number of calls before it on that chain, found for all calls at once by pointer doubling, so a
-conversation of any length takes a logarithm of rounds and no group is ever gathered.  Arguments are parsed, checked
-against the tool's schema and serialised as canonical JSON: sorted keys, no white space, no escapes but the needed ones.
+Calls and results meet by a hash join on the call's identifier.  A call may name calls whose results it continues from:
+one in its row, more in a table of parents.  Its level is the length of the longest way to it.  Calls with one parent
+are followed up to the next one that has none or several by pointer doubling, for all calls at once, so a chain of any
+length takes a logarithm of rounds; calls with several parents are then taken in topological order, a round for each that stand on one way.
+No group is ever gathered.  Arguments are parsed, checked against the tool's schema and serialised as canonical JSON:
+sorted keys, no white space, no escapes but the needed ones.
 
 Order within a conversation: level, then identifier; every call stands after what it continues from.
 
-Defined cases, each a status: "unparsed" (arguments are no JSON object), "unknown tool", "invalid" (the error says which
-field), "cycle" (level null), "missing parent" (the parent is not among the calls; level 0), "no result", else "linked";
+Defined cases, each a status: "unparsed" (arguments are no JSON object, nested too deeply, with equal keys in an object,
+a number that is not finite or text that UTF-8 cannot hold), "unknown tool", "invalid" (the error says which
+field), "cycle" (level null), "missing parent" (a parent is not among the calls), "no result", else "linked";
 results without a call are "orphan" rows.  Of several results to a call the least in order of content is taken and
 n_results says how many there were; repeated calls with one identifier count as one (the least arguments), null
-identifiers are dropped from calls and are orphans among results.
+identifiers are dropped from calls and are orphans among results; empty tables give an empty result; other columns are
+not read; very long arguments are worked on alone.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_chunks, written
-
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+from .common import map_chunks, written
+
+_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Deepest nesting of arguments that is parsed.
+DEEPEST = 100
+
+
+def rule_error(path: str, own, rule: dict) -> str | None:
+    """The first breach of a value's rule: type, enum, length, pattern, bounds, then its items or fields."""
+    kind = _TYPES.get(rule.get("type"))
+    if kind and (not isinstance(own, kind) or isinstance(own, bool) and rule["type"] in ("integer", "number")):
+        return f"{path}: not {rule['type']}"
+    if isinstance(own, str) and not rule.get("minLength", 0) <= len(own) <= rule.get("maxLength", math.inf):
+        return f"{path}: length"
+    if "enum" in rule and own not in rule["enum"]:
+        return f"{path}: not in enum"
+    if isinstance(own, str) and "pattern" in rule and not re.search(rule["pattern"], own):
+        return f"{path}: pattern"
+    if isinstance(own, (int, float)) and not isinstance(own, bool) and not rule.get("minimum", -math.inf) <= own <= rule.get("maximum", math.inf):
+        return f"{path}: bounds"
+    if isinstance(own, list):
+        if not rule.get("minItems", 0) <= len(own) <= rule.get("maxItems", math.inf):
+            return f"{path}: items"
+        return next((e for i, x in enumerate(own) if "items" in rule and (e := rule_error(f"{path}[{i}]", x, rule["items"]))), None)
+    if isinstance(own, dict) and ("properties" in rule or "required" in rule):
+        return schema_error(own, rule, f"{path}.")
+    return None
 
 
-def schema_error(value: dict, schema: dict) -> str | None:
-    """The first breach, in the order of field names: required, type, minLength, maxLength, enum; unknown fields unless additionalProperties."""
+def schema_error(value: dict, schema: dict, prefix: str = "") -> str | None:
+    """The first breach, in the order of field names: required, the field's own rule; unknown fields unless additionalProperties."""
     fields = schema.get("properties", {})
     for name in sorted({*schema.get("required", []), *fields, *value}):
         if name not in value:
             if name in schema.get("required", []):
-                return f"{name}: missing"
-            continue
-        if name not in fields:
-            if not schema.get("additionalProperties", False):
-                return f"{name}: unknown"
-            continue
-        rule, own = fields[name], value[name]
-        kind = _TYPES.get(rule.get("type"))
-        if kind and (not isinstance(own, kind) or isinstance(own, bool) and rule["type"] in ("integer", "number")):
-            return f"{name}: not {rule['type']}"
-        if isinstance(own, str) and not rule.get("minLength", 0) <= len(own) <= rule.get("maxLength", math.inf):
-            return f"{name}: length"
-        if "enum" in rule and own not in rule["enum"]:
-            return f"{name}: not in enum"
+                return f"{prefix}{name}: missing"
+        elif name in fields:
+            if error := rule_error(f"{prefix}{name}", value[name], fields[name]):
+                return error
+        elif not schema.get("additionalProperties", False):
+            return f"{prefix}{name}: unknown"
     return None
 
 
 def canonical_json(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level, missing_parent) of (call_id, parent_id), unique call_id; level is null on a cycle."""
-    known = calls.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
-    state = calls.join(known, "parent_id", "left").select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level"), (F.col("parent_id").isNotNull() & F.col("known").isNull()).alias("missing_parent"))
-    state = written(state, "levels")
-    for _ in range(math.ceil(math.log2(state.count() + 1)) + 1):
-        if state.where("up is not null").isEmpty():
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def depth(text: str) -> int:
+    """How deeply brackets outside of strings nest."""
+    deepest = now = 0
+    for c in re.findall(r'"(?:[^"\\]|\\.)*+"?|[\[{]|[\]}]', text, re.S):
+        now += (c in "[{") - (c in "]}")
+        deepest = max(deepest, now)
+    return deepest
+
+
+def parsed(text: str | None) -> dict | None:
+    """A JSON object whose canonical form is JSON again; None for anything else."""
+
+    def fields(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("equal keys")
+        return dict(pairs)
+
+    try:
+        if not text or depth(text) > DEEPEST:
+            return None
+        value = json.loads(text, object_pairs_hook=fields)
+        canonical_json(value).encode()
+    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(call_id, level, missing_parent) of unique calls and their distinct edges (call_id, parent_id, neither null); level is null on and after a cycle."""
+    known = calls.select(F.col("call_id").alias("parent_id"))
+    lost = edges.join(known, "parent_id", "left_anti").select("call_id").distinct().withColumn("missing_parent", F.lit(True))
+    edges = written(edges.join(known, "parent_id").select("call_id", "parent_id"), "edges")
+    several = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent_id").alias("up"))
+    several = written(several, "parents")
+
+    # Calls with one parent follow it up to a call with none or several, its head.
+    moving = written(several.where("n = 1").select("call_id", "up", F.lit(1).cast("long").alias("way")), "moving")
+    ended: list[DataFrame] = []
+    for _ in range(math.ceil(math.log2(moving.count() + 1)) + 1):
+        if moving.isEmpty():
             break
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("upper"), F.col("level").alias("more"))
-        longer = written(state.join(above, "up", "left").select("call_id", F.col("upper").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), "missing_parent"), "levels")
-        dropped(state)
-        state = longer
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"), "missing_parent")
-
-
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """calls: conv_id, call_id, parent_id, name, arguments (JSON text); results: call_id, content."""
+        table = moving.select("call_id", "up", "way", F.lit(False).alias("over"))
+        for x in ended:
+            table = table.union(x.withColumn("over", F.lit(True)))
+        above = table.select(F.col("call_id").alias("up"), F.col("up").alias("upper"), F.col("way").alias("more"), "over")
+        step = written(moving.join(above, "up", "left").select("call_id", F.coalesce("upper", "up").alias("up"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("over", F.lit(True)).alias("over")), "moving")
+        ended.append(step.where("over").drop("over"))
+        moving = step.where("not over").drop("over")
+    follows = reduce(DataFrame.union, ended).select("call_id", F.col("up").alias("head"), "way") if ended else calls.select("call_id", F.col("call_id").alias("head"), F.lit(0).cast("long").alias("way")).limit(0)
+
+    # Heads without a parent are at level 0; the others follow when all their parents' heads have a level.
+    heads = written(calls.join(several.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "heads")
+    more = several.where("n > 1").select("call_id")
+    if not more.isEmpty():
+        waiting = edges.join(more, "call_id").join(follows.select(F.col("call_id").alias("parent_id"), "head", "way"), "parent_id", "left")
+        waiting = written(waiting.select("call_id", F.coalesce("head", "parent_id").alias("head"), F.coalesce("way", F.lit(0)).alias("way")), "waiting")
+        while True:
+            seen = waiting.join(heads.select(F.col("call_id").alias("head"), "level"), "head", "left").groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("way") + 1).alias("level"))
+            new = written(seen.where("open = 0").select("call_id", "level"), "heads")
+            if new.isEmpty():
+                break
+            heads, waiting = written(heads.union(new), "heads"), written(waiting.join(new.select("call_id"), "call_id", "left_anti"), "waiting")
+    followers = follows.join(heads.select(F.col("call_id").alias("head"), "level"), "head").select("call_id", (F.col("level") + F.col("way")).alias("level"))
+    found = written(heads.union(followers), "levels")
+    return calls.select("call_id").join(found, "call_id", "left").join(lost, "call_id", "left").select("call_id", "level", F.coalesce("missing_parent", F.lit(False)).alias("missing_parent"))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], parents: DataFrame | None = None) -> DataFrame:
+    """calls: conv_id, call_id, parent_id, name, arguments (JSON text); results: call_id, content; parents: call_id, parent_id of further parents."""
     columns = ["conv_id", "parent_id", "name", "arguments"]
     calls = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("arguments", "name", "parent_id", "conv_id")).alias("c")).select("call_id", *[f"c.{x}" for x in columns])
     answers = results.groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
-    ranks = levels(calls.select("call_id", "parent_id"))
+    calls = written(calls, "calls")
+    edges = calls.select("call_id", "parent_id") if parents is None else calls.select("call_id", "parent_id").union(parents.select("call_id", "parent_id").join(calls.select("call_id"), "call_id", "left_semi"))
+    ranks = levels(calls.select("call_id"), edges.where("parent_id is not null").distinct())
     joined = calls.withColumn("called", F.lit(True)).join(answers, "call_id", "full").join(ranks, "call_id", "left")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -85,12 +161,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             if not r["called"]:
                 state = "orphan"
             else:
-                try:
-                    value = json.loads(r["arguments"] or "")
-                except ValueError:
-                    pass
-                if not isinstance(value, dict):
-                    state, value = "unparsed", None
+                value = parsed(r["arguments"])
+                if value is None:
+                    state = "unparsed"
                 elif r["name"] not in schemas:
                     state = "unknown tool"
                 elif problem := schema_error(value, schemas[r["name"]]):

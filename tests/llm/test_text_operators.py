@@ -1,6 +1,7 @@
 """The text operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -293,6 +294,28 @@ def test_token_spans(docs, texts):
     assert token_spans.line_tokens(docs.limit(0)).count() == 0
 
 
+def test_field_tokens(spark):
+    """Owners of every character by brute force; overlaps, gaps, empty and null fields."""
+    rows = [(1, "Title here\nBödy of the text, which goes on.", [("title", 0, 10), ("body", 11, 20), ("over", 15, 30), ("none", 40, 40)]), (2, "no fields", None), (3, None, [("a", 0, 5)]), (4, "all of it", [("all", 0, 99)]), (None, "", [])]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, fields array<struct<name:string,start:long,end:long>>, field string")
+    encoding, lengths = token_spans.encoder(tokenizer_path(token_spans.VOCABULARY))
+    for rule in ("first", "last", "most"):
+        got = defaultdict(dict)
+        for r in token_spans.field_tokens(docs, rule=rule).collect():
+            got[r.doc_id][r.field] = r.n_tokens
+        for i, t, fields in rows:
+            t, fields = t or "", fields or []
+            owner = [next((f[0] for f in sorted(fields, key=lambda f: f[1]) if f[1] <= k < f[2]), None) for k, c in enumerate(t) for _ in c.encode()]
+            want, at = Counter({f[0]: 0 for f in fields}), 0
+            for n in lengths[np.array(encoding.encode_ordinary(t), dtype=int)]:
+                own = owner[at : at + n]
+                runs = [(k, len(list(g))) for k, g in itertools.groupby(own)]
+                want[own[0] if rule == "first" else own[-1] if rule == "last" else max(runs, key=lambda x: x[1])[0]] += 1
+                at += n
+            assert got[i] == (dict(want) or {None: 0})
+    assert token_spans.field_tokens(docs.limit(0)).count() == 0
+
+
 def test_html(spark):
     page = lambda title, extra="": f"<html><head><title>t</title><script>if(a<b)x('</p>')</script></head><body><header>Head</header><nav><ul><li>Home<li>About</ul></nav>{extra}<article><header><h1>{title}</h1></header><p>One &amp; <b>two</b>&nbsp;x<p>{title} three<div class='share-box'>Share</div><!-- no > --></article><aside>Side</aside><div id=comments><p>Nice</div><footer>&copy;</footer></body>"
     plain = lambda own: f"<body><div>Welcome</div><div>{own} tells</div><p>{own} more</p><form><input>Go</form><div>Legal line</div></body>"
@@ -309,6 +332,62 @@ def test_html(spark):
     assert html_diff.extract(pages).count() == len(rows) and html_diff.extract(pages.limit(0)).count() == 0
 
 
+def test_html_marks():
+    """Quotes inside unquoted values, headlines in content, data attributes, hidden elements."""
+    text = lambda page: " ".join(x for r, x in html_diff.lines_of(page) if r != html_diff.BOILERPLATE)
+    assert text("<p title=it's>One</p><p>Two's</p>") == "One Two's"
+    assert text('<article><header class="entry-header"><h1>Head</h1></header><div class="article-header">Sub</div><p>Body</article>') == "Head Sub Body"
+    assert text('<p data-id="search">Kept</p><p id="search">Gone</p><div class="search-results-story">Kept too</div>') == "Kept Kept too"
+    assert text('<p hidden>a</p><p aria-hidden="true">b</p><div style="color:red; display: none"><p>c</p></div><p aria-hidden=false>d</p>') == "d"
+    assert text('<p class="x" title="a > b">in</p><a href=/x/>link</a> tail<p class=" =unclosed>rest') == "in link tail rest"
+    assert text("<p x=" + "='" * 20_000 + ">long") == "long"
+
+
+def naive_page(lines, neighbours):
+    """The open lines that no template has: by plain LCS with the nearest neighbour on either side that is no copy."""
+    keep = [True] * len(lines)
+    for side in neighbours:
+        for other in side:
+            t = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+            for i in range(len(lines) - 1, -1, -1):
+                for j in range(len(other) - 1, -1, -1):
+                    t[i][j] = t[i + 1][j + 1] + 1 if lines[i] == other[j] else max(t[i + 1][j], t[i][j + 1])
+            i = j = 0
+            both = set()
+            while i < len(lines) and j < len(other):
+                if lines[i] == other[j]:
+                    both.add(i)
+                    i, j = i + 1, j + 1
+                elif t[i + 1][j] >= t[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+            if sum(len(lines[k]) for k in both) < html_diff.COPY * sum(map(len, lines)):
+                keep = [k and n not in both for n, k in enumerate(keep)]
+                break
+    return " ".join(x for x, k in zip(lines, keep) if k)
+
+
+def test_html_against_plain_differencing(spark):
+    """Hosts of unmarked pages with more template lines than text, and copies next to one another."""
+    random.seed(10)
+    rows = []
+    for h in range(6):
+        template = [f"menu{h} {k}" for k in range(20)]
+        for k in range(12):
+            own = [f"host {h} page {k} paragraph {i} of text" for i in range(random.randrange(1, 9))]
+            if k in (5, 6):
+                own = [f"host {h} copied paragraph {i} of text" for i in range(5)]
+            rows.append((f"http://h{h}.x/p/{k:02}", template[:15] + own + template[15:]))
+    pages = spark.createDataFrame([(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, (u, lines) in enumerate(rows)], "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html_diff.extract(pages).collect()}
+    for i, (u, lines) in enumerate(rows):
+        host = [x for v, x in rows if v[:11] == u[:11]]
+        k = i % 12
+        want = naive_page(lines, [[host[j] for j in range(k - 1, max(-1, k - 1 - html_diff.NEAR), -1)], [host[j] for j in range(k + 1, min(12, k + 1 + html_diff.NEAR))]])
+        assert got[i] == want and "menu" not in want and "paragraph" in want
+
+
 def test_lcs():
     random.seed(6)
     for _ in range(300):
@@ -317,7 +396,9 @@ def test_lcs():
         for i in range(len(a) - 1, -1, -1):
             for j in range(len(b) - 1, -1, -1):
                 t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
-        assert html_diff.shared(np.array(a, dtype=int), np.array(b, dtype=int)).sum() == t[0][0]
+        own = html_diff.shared(np.array(a, dtype=int), np.array(b, dtype=int))
+        left = iter(b)
+        assert own.sum() == t[0][0] and all(x in left for x, k in zip(a, own) if k)
 
 
 def test_tool_links(spark):
@@ -341,6 +422,32 @@ def test_tool_links(spark):
     assert tool_links.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_tool_arguments():
+    """What has no canonical JSON is unparsed, and nested schemas are checked to the bottom."""
+    bad = ['{"q":' + "[" * 100_000, '{"q":"\\ud800"}', '{"q":NaN}', '{"q":1e999}', '{"q":1,"q":2}', "[1]", "", None, '{"q":' + "[" * 200 + "]" * 200 + "}"]
+    assert [tool_links.parsed(x) for x in bad] == [None] * len(bad) and tool_links.parsed('{"q":"[[{\\"","z":[{}]}') == {"q": '[[{"', "z": [{}]}
+    rule = {"properties": {"a": {"type": "array", "maxItems": 2, "items": {"type": "object", "properties": {"n": {"type": "number", "minimum": 0, "maximum": 9}, "s": {"type": "string", "pattern": "^x"}}, "required": ["n"]}}}}
+    for value, want in (({"a": [{"n": 1, "s": "xy"}]}, None), ({"a": [{"n": 1}, {"n": 10}]}, "a[1].n: bounds"), ({"a": [{}]}, "a[0].n: missing"), ({"a": [{"n": 1, "s": "y"}]}, "a[0].s: pattern"), ({"a": [1]}, "a[0]: not object"), ({"a": [{"n": 1}] * 3}, "a: items")):
+        assert tool_links.schema_error(value, rule) == want
+
+
+def test_several_parents(spark):
+    """Levels are longest ways, against plain recursion; a third of the calls continue from one."""
+    random.seed(9)
+    edges = {(f"n{i}", f"n{random.randrange(i)}") for i in range(1, 60) for _ in range(random.randrange(3))} | {(f"h{i}", "n7") for i in range(40)} | {("n0", "zz"), ("y1", "y2"), ("y2", "y1"), ("y3", "y1"), ("y3", "n5")}
+    names = sorted({a for a, _ in edges} | {b for _, b in edges} - {"zz"})
+    up = defaultdict(list)
+    for a, b in edges:
+        if b != "zz":
+            up[a].append(b)
+    level = lambda x: 1 + max(level(p) for p in up[x]) if up[x] else 0
+    calls = spark.createDataFrame([("c", x, None, "get", "{}", 1) for x in names], "conv_id string, call_id string, parent_id string, name string, arguments string, level int")
+    parents = spark.createDataFrame(sorted(edges), "call_id string, parent_id string")
+    got = {r.call_id: r for r in tool_links.link(calls, spark.createDataFrame([], "call_id string, content string"), {"get": {}}, parents).collect()}
+    assert {x: got[x].level for x in names} == {x: None if x[0] == "y" else level(x) for x in names}
+    assert got["n0"].status == "missing parent" and got["y3"].status == "cycle" and got["n1"].status == "no result"
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     rows = [
@@ -349,7 +456,7 @@ def test_licenses(spark):
     ]
     docs = spark.createDataFrame([(*r, "z", "y") for r in rows], "doc_id long, text string, license string, digest string")
     got = sorted(((r.doc_id or 0, r.license, r.n_license_lines, r.line_licenses) for r in licenses.scan(docs).collect()), key=str)
-    assert got == sorted([(1, "MIT", 0, ""), (2, None, 1, "MIT"), (3, None, 0, ""), (4, None, 0, ""), (5, None, 0, ""), (6, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (6, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (0, "LicenseRef-all-rights-reserved", 0, ""), (7, None, 2, "Apache-2.0,LicenseRef-all-rights-reserved")], key=str)
+    assert got == sorted([(1, "MIT", 0, ""), (2, None, 1, "MIT"), (3, None, 0, ""), (4, None, 0, ""), (5, None, 0, ""), (6, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (6, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (0, "LicenseRef-all-rights-reserved", 1, "LicenseRef-all-rights-reserved"), (7, None, 2, "Apache-2.0,LicenseRef-all-rights-reserved")], key=str)
     assert licenses.scan(docs.limit(0)).count() == 0
 
 

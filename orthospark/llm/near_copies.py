@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Text, dropped, map_chunks, mixed, windows, written
 from .components import components
-from .simhash import BLOCK, PAIRS, SHARE, compared, dealt, flips, labels, syndromes
+from .simhash import BLOCK, SHARE, compared, dealt, flips, labels, syndromes
 
 SHINGLE_WORDS, FINGERPRINT_BITS, FIRST_BITS, PARITIES, SEGMENT_BITS, SEGMENT_COUNT = 5, 320, 128, 512, 20, 72
 #: Most of the first bits, and of all bits, that may differ: 3.5 standard deviations over the mean at similarity 0.8.
 CHECK_BITS, ALL_BITS = 34, 71
+#: Pairs of rows compared at a time.
+PAIRS = 1 << 17
 #: Most rows of a table of wanted texts that is broadcast.
 BROADCAST_ROWS = 1 << 20
 _SPREAD = np.random.default_rng(64).integers(1 << 62, size=(FINGERPRINT_BITS // 64, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,8 +199,8 @@ def at_anchors(nodes: DataFrame, work, schema: str, segments: int, block: int, s
 
     def send(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(at, 1 << 12)
+            for at in range(0, batch.num_rows, 1 << 10):
+                part = batch.slice(at, 1 << 10)
                 sketch = part.column(3)
                 key, home, row = visits(np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)[:, : FINGERPRINT_BITS // 8], places)
                 columns = {"node": part.column(0)} | ({"root": part.column(1), "n": part.column(2), "sketch": sketch} if whole else {"sketch": pa.array([x[: FIRST_BITS // 8] for x in sketch.to_pylist()], pa.binary())})
@@ -230,20 +232,19 @@ def proposed(nodes: DataFrame, every: bool, *sizes: int) -> DataFrame:
     """(a, b): pairs of different roots that sketches allow; a spanning forest of the roots, or all of them."""
 
     def pairs(number, columns):
-        kept_u, kept_v = [], []
-        for u, v in met(number, columns):
-            if not every:
-                own = spanning(columns["root"][u], columns["root"][v])
-                u, v = u[own], v[own]
-            kept_u.append(u)
-            kept_v.append(v)
-        if kept_u:
-            u, v = np.concatenate(kept_u), np.concatenate(kept_v)
-            if not every:
-                own = spanning(columns["root"][u], columns["root"][v])
-                u, v = u[own], v[own]
+        def emitted(u, v):
             ends = np.unique(np.sort(np.stack([columns["node"][u], columns["node"][v]], axis=1), axis=1), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+            return pa.RecordBatch.from_pydict({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+        kept = np.empty((2, 0), dtype=np.int64)
+        for found in met(number, columns):
+            if every:
+                yield emitted(*found)
+            else:  # the forest so far, and what the new pairs add to it
+                kept = np.concatenate([kept, np.stack(found)], axis=1)
+                kept = kept[:, spanning(columns["root"][kept[0]], columns["root"][kept[1]])]
+        if kept.size:
+            yield emitted(*kept)
 
     return at_anchors(nodes, pairs, "a long, b long", *sizes, whole=True).distinct()
 

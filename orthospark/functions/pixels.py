@@ -128,3 +128,14 @@ def interleaved(separate: Column) -> Column:
 def packed_rgba(bands: Column, order: tuple = (0, 1, 2, None), fill: float = 0.0) -> list[Column]:
     """A band a channel; null in the order is the fill value."""
     return [F.coalesce(F.get(bands, F.lit(b)), F.lit(fill)) if b is not None else F.lit(fill) for b in order]
+
+
+def compose(*modules):
+    """A pixel pipeline: the modules in order, each a function of what the one before it returns."""
+
+    def run(value: Column) -> Column:
+        for module in modules:
+            value = module(value)
+        return value
+
+    return run

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.keys import LAYOUTS
 from ..operators import predicates, search, spatial, stats
 from ..operators.catalog import listed
 from ..sources import documents, files, headers, lake, parquet_index
@@ -120,17 +124,16 @@ def write_row_group_index(v):
     return v.spark.read.parquet(path).agg(F.sum("num_rows").alias("num_rows"), F.first("region").alias("region"))
 
 
-@query("select distinct b.id from buildings b join boxes x on b.xmin <= x.east and b.xmin + 0.0005 >= x.west and b.ymin <= x.north and b.ymin + 0.0005 >= x.south where x.idx <= 2")
+@query("select distinct b.id from buildings b join boxes x on b.xmin <= x.east and b.xmin + 0.0005 >= x.west and b.ymin <= x.north and b.ymin + 0.0005 >= x.south")
 def read_by_row_group_index(v):
     path = building_files(v)
-    boxes = v.boxes.where("idx <= 2")
-    rows = parquet_index.read(v.spark, parquet_index.scan_footers(v.spark, path), boxes, ["id", *spatial.BOX], 2.5, most=10_000)
-    return spatial.semi_join_boxes(rows, boxes, "id", 2.5).select("id")
+    rows = parquet_index.read(v.spark, parquet_index.scan_footers(v.spark, path), v.boxes, ["id", *spatial.BOX], 2.5, most=10_000)
+    return spatial.semi_join_boxes(rows, v.boxes, "id", 2.5).select("id")
 
 
 @query()
 def total_row_groups_hit(v):
-    hit = parquet_index.hits(parquet_index.scan_footers(v.spark, building_files(v)), v.boxes.where("idx <= 5"), 2.5)
+    hit = parquet_index.hits(parquet_index.scan_footers(v.spark, building_files(v)), v.boxes, 2.5)
     return hit.agg(F.countDistinct("file", "row_group").alias("row_groups"), F.countDistinct("file").alias("files"), F.sum("num_rows").alias("most_rows"))
 
 
@@ -205,30 +208,47 @@ def scan_collection_registry(v):
     return rows.select("id", "title", "active", "status", "bucket", F.col("ring")[0]["x"].alias("west"), F.size("ring").alias("n_points"))
 
 
-@query("select asset_href, id, datetime from stac_items")
+@query("select asset_href, case when k % 20 = 1 then concat(id, '-new') else id end as id, datetime from stac_items")
 def explode_stac_pages(v):
-    """Items landed as result pages of about 500, some of them twice."""
+    """Items landed as result pages of about 500; a twentieth come again, changed, on later pages."""
     path = files.scratch(v.spark, "pages")
     item = F.struct("id", "bbox", F.struct("datetime").alias("properties"), F.struct(F.struct(F.col("asset_href").alias("href")).alias("image")).alias("assets"))
     items = v.stac_items.withColumn("bbox", F.col("proj_bbox"))
-    rows = items.select((F.col("k") % 30).alias("page"), item.alias("f")).unionByName(items.where("k % 20 = 1").select(F.lit(99).cast("long").alias("page"), item.alias("f")))
-    rows.groupBy("page").agg(F.collect_list("f").alias("features")).select("features").write.json(path)
-    # Spark writes a page a line; the reader takes both forms of JSON.
-    pages = v.spark.read.schema(documents.PAGE).json(path)
-    single = files.scratch(v.spark, "page")
-    pages.repartition(8).write.json(single)
-    flat = v.spark.read.schema(documents.PAGE).json(single).select(F.explode("features").alias("f")).select(F.col("f.assets.image.href").alias("asset_href"), F.col("f.id").alias("id"), F.col("f.properties.datetime").alias("datetime"))
-    return flat.where("asset_href is not null").dropDuplicates(["asset_href"])
+    again = items.where("k % 20 = 1").withColumn("id", F.concat("id", F.lit("-new")))
+    rows = items.select(F.expr("k div 500").alias("page"), item.alias("f")).unionByName(again.select(F.expr("1000000000 + k div 10000").alias("page"), item.alias("f")))
+    pages = rows.groupBy("page").agg(F.collect_list("f").alias("features"))  # about 500 a page
+    files.write_objects(pages.select(F.format_string("page-%012d.json", "page").alias("name"), F.to_json(F.struct("features")).alias("content")), path)
+    return documents.stac_pages(v.spark, path).select("asset_href", "id", "datetime")
+
+
+def objects(v, path: str):
+    """The keys' objects, a byte each, and some that are no images of the layout."""
+    keys = v.footprints.select(F.col("source_key").alias("name"))
+    other = v.footprints.where("k % 10 = 0").select(F.regexp_replace("source_key", "rgbir_cog", "fgdc").alias("name"))
+    files.write_objects(keys.union(other).withColumn("content", F.lit("x")), path)
+
 
+def keys_below(v, path: str, prefix: str = ""):
+    return files.listing(v.spark, f"{path}/{prefix}", "*.tif").select(F.regexp_extract("path", "^.*?" + path.split("/")[-1] + "/(.*)$", 1).alias("key"))
 
-@query("select source_key, split_part(source_key,'/',1) as region from footprints where k % 50 = 0")
+
+@query("select source_key, region, year from footprints")
 def scan_object_listing(v):
-    """Objects of a folder: the footprints' keys as written folders, one file a region, found by their paths."""
+    """Objects of a folder, of which the layout keeps the keys that are its images and parse."""
     path = files.scratch(v.spark, "objects")
-    v.footprints.where("k % 50 = 0").select("source_key", "region").write.partitionBy("region").option("compression", "none").text(path)
-    found = files.listing(v.spark, path, "*.txt").select(F.regexp_extract("path", "/region=([^/]+)/", 1).alias("region")).distinct()
-    keys = v.spark.read.text(path).select(F.col("value").alias("source_key"))
-    return keys.withColumn("region", F.split_part("source_key", F.lit("/"), F.lit(1))).join(F.broadcast(found), "region").select("source_key", "region")
+    objects(v, path)
+    return LAYOUTS["naip"].parsed(keys_below(v, path)).select(F.col("key").alias("source_key"), "region", "year")
+
+
+@query("select source_key, region, year from footprints where region = 'nj' and year = 1995")
+def narrowed_listing(v):
+    """Only the prefix of the asked region and year is listed."""
+    path, layout = files.scratch(v.spark, "objects"), LAYOUTS["naip"]
+    objects(v, path)
+    prefix = layout.prefix("nj", 1995)
+    if not files.exists(v.spark, f"{path}/{prefix}"):
+        return layout.parsed(v.keys.limit(0)).select(F.col("key").alias("source_key"), "region", "year")
+    return layout.parsed(keys_below(v, path, prefix)).select(F.col("key").alias("source_key"), "region", "year")
 
 
 @query()
@@ -239,42 +259,32 @@ def index_freshness(v):
     return built.crossJoin(source).select(lake.is_stale(F.col("built"), F.col("source")).alias("stale"))  # a row each
 
 
-@query("select p_partkey as file_id, p_partkey % 9 = 0 as failed, case when p_partkey % 9 <> 0 then cast(26910 + p_partkey % 10 as int) end as proj_epsg, case when p_partkey % 9 <> 0 then cast(500000 + p_partkey * 10 as double) end as x0 from part where p_partkey <= 200")
-def scan_cog_headers(v):
-    """Headers of TIFF files: 200 parts as tiny files, a ninth of them without a CRS."""
-    import struct
-
-    def tiff(n: int) -> bytes:
-        doubles = struct.pack("<3d", 0.5, 0.5, 0.0) + struct.pack("<6d", 0, 0, 0, 500000.0 + 10 * n, 4500000.0, 0)
-        keys = struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 0 if n % 9 == 0 else 26910 + n % 10)
-        count = 8
-        after = 8 + 2 + 12 * count + 4
-        entries = [(256, 4, 1, struct.pack("<I", 256)), (257, 4, 1, struct.pack("<I", 128)), (258, 3, 1, struct.pack("<HH", 8, 0)), (277, 3, 1, struct.pack("<HH", 1, 0)), (322, 3, 1, struct.pack("<HH", 128, 0)),
-                   (33550, 12, 3, struct.pack("<I", after)), (33922, 12, 6, struct.pack("<I", after + 24)), (34735, 3, 8, struct.pack("<I", after + 72))]
-        return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", count) + b"".join(struct.pack("<HHI", t, k, m) + x for t, k, m, x in entries) + struct.pack("<I", 0) + doubles + keys
-
-    path = files.scratch(v.spark, "images")
-    make = F.udf(tiff, "binary")
-    # A file's own name can't be set by a Spark writer, so the images are written through Hadoop, a task each.
-    rows = v.part.where("p_partkey <= 200").select("p_partkey", make("p_partkey").alias("content"))
-    rows.repartition(16).write.parquet(path)
-    return _headers_of(v.spark.read.parquet(path))
+def tiff(n: int) -> bytes:
+    """A small TIFF file's header, its values beyond what readers fetch first for every hundredth; a ninth have no CRS, every 50th directories that form a cycle."""
+    doubles = struct.pack("<3d", 0.5, 0.5, 0.0) + struct.pack("<6d", 0, 0, 0, 500000.0 + 10 * n, 4500000.0, 0)
+    keys = struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 0 if n % 9 == 0 else 26910 + n % 10)
+    names = b'<GDALMetadata><Item name="DESCRIPTION" sample="0" role="description">Red</Item></GDALMetadata>\0'
+    count, gap = 9, headers.PREFIX if n % 100 == 1 else 0
+    after = 8 + 2 + 12 * count + 4 + gap
+    entries = [(256, 4, 1, struct.pack("<I", 256)), (257, 4, 1, struct.pack("<I", 128)), (258, 3, 1, struct.pack("<HH", 8, 0)), (277, 3, 1, struct.pack("<HH", 1, 0)), (322, 3, 1, struct.pack("<HH", 128, 0)),
+               (33550, 12, 3, struct.pack("<I", after)), (33922, 12, 6, struct.pack("<I", after + 24)), (34735, 3, 8, struct.pack("<I", after + 72)), (42112, 2, len(names), struct.pack("<I", after + 88))]
+    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", count) + b"".join(struct.pack("<HHI", t, k, m) + x for t, k, m, x in entries) + struct.pack("<I", 8 if n % 50 == 0 else 0) + bytes(gap) + doubles + keys + names
 
 
-def _headers_of(rows):
-    import pyarrow as pa
+@query("""select p_partkey as file_id, case when p_partkey % 50 = 0 then 'directories form a cycle' when p_partkey % 9 = 0 then 'no CRS' end as error, case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then cast(26910 + p_partkey % 10 as int) end as proj_epsg,
+  case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then cast(500000 + p_partkey * 10 as double) end as x0, case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then 'Red' end as band from part""")
+def scan_cog_headers(v):
+    """Headers of written TIFF files, one a part."""
+    path = files.scratch(v.spark, "images")
 
-    def read(batches):
+    def images(batches):
         for batch in batches:
-            out = []
-            for data in batch.column(1).to_pylist():
-                try:
-                    out.append(headers.header(data))
-                except Exception:  # noqa: BLE001  a broken file is a failed row
-                    out.append(None)
-            yield pa.RecordBatch.from_pydict({"file_id": batch.column(0), "failed": [x is None for x in out], "proj_epsg": pa.array([x and x["proj_epsg"] for x in out], pa.int32()), "x0": pa.array([x and x["proj_bbox"][0] for x in out], pa.float64())})
-
-    return rows.select("p_partkey", "content").mapInArrow(read, "file_id long, failed boolean, proj_epsg int, x0 double")
+            numbers = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"name": [f"{n % 100:02}/{n}.tif" for n in numbers], "content": pa.array([tiff(n) for n in numbers], pa.binary())})
+
+    files.write_objects(v.part.select("p_partkey").repartition(16, "p_partkey").mapInArrow(images, "name string, content binary"), path)
+    rows = headers.scan(v.spark, path)
+    return rows.select(F.regexp_extract("path", r"/(\d+)\.tif$", 1).cast("long").alias("file_id"), "error", "proj_epsg", F.get("proj_bbox", F.lit(0)).alias("x0"), F.get("band_names", F.lit(0)).alias("band"))
 
 
 @query("select region as state, year, count(*) as n from footprints group by 1, 2")

@@ -100,7 +100,7 @@ def photometric_dispatch(v):
     return v.headers.select("file_id", F.when(F.size("bits").isin(3, 4), "rgb").otherwise(named).alias("module"))
 
 
-@query("select a.tile, a.pos, a.v as r, b.v as g, c.v as b, 1.0::double as a from cells a join cells b on b.tile = a.tile and b.pos = (a.pos // 16)*16 + (a.pos % 8)//2 join cells c on c.tile = a.tile and c.pos = 63 - a.pos")
+@query("select tile, pos, d[pos + 1] as r, d[(pos // 16)*8*2 + (pos % 8)//2 + 1] as g, d[64 - pos] as b, 1.0::double as a from (select tile, list(v order by pos) as d from cells group by tile), unnest(range(64)) t(pos)")
 def composite_bands(v):
     """Three bands of one tile: itself, one at half the resolution, and one turned around."""
     half = lambda i: F.floor(F.floor(i / 8) / 2) * 16 + F.floor((i % 8) / 2)
@@ -200,17 +200,24 @@ def grids(v):
 
 
 _GRIDS = "select d.*, c.data from dem_tiles d join (select tile, list(v order by pos) as data from cells group by tile) c on c.tile = d.fid"
+_SITES = "(select id as pid, (xmin + 0.00025 + 124.0)/57.0*500000.0 as x, (ymin + 0.00025 - 25.0)/24.0*400000.0 as y from buildings)"
 _SAMPLE = f"""select pid, case when fid is null then null else round((d[r0*8+c0+1]*(1-fc)+d[r0*8+least(7,c0+1)+1]*fc)*(1-fr)+(d[least(7,r0+1)*8+c0+1]*(1-fc)+d[least(7,r0+1)*8+least(7,c0+1)+1]*fc)*fr,6)+0.0 end as ground from (
   select pid, fid, data as d, cast(floor(col) as int) as c0, cast(floor(row) as int) as r0, col-floor(col) as fc, row-floor(row) as fr from (select p.pid, g.fid, g.data, (p.x-g.xmin)/(g.xmax-g.xmin)*7 as col, (g.ymax-p.y)/(g.ymax-g.ymin)*7 as row
-  from points p left join (select p.pid, min(g.fid) as fid from points p join ({_GRIDS}) g on p.x between g.xmin and g.xmax and p.y between g.ymin and g.ymax group by 1) m using (pid) left join ({_GRIDS}) g on g.fid = m.fid))"""
+  from {_SITES} p left join (select p.pid, min(g.fid) as fid from {_SITES} p join ({_GRIDS}) g on p.x between g.xmin and g.xmax and p.y between g.ymin and g.ymax group by 1) m using (pid) left join ({_GRIDS}) g on g.fid = m.fid))"""
+
+
+def sites(v):
+    """(pid, x, y): the buildings' centres on the grids' plane, which spans the archive's extent."""
+    return v.buildings.select(F.col("id").alias("pid"), ((F.col("xmin") + 0.00025 + 124.0) / 57.0 * 500000.0).alias("x"), ((F.col("ymin") + 0.00025 - 25.0) / 24.0 * 400000.0).alias("y"))
 
 
 def grounds(v):
-    """(pid, ground): of each point in the first tile that covers it."""
-    p = v.points.withColumns({"west": F.col("x"), "south": F.col("y"), "east": F.col("x"), "north": F.col("y")})
-    pairs = spatial.range_join(v.dem_tiles.join(v.tiles.select(F.col("tile").alias("fid")), "fid").select("fid", *spatial.BOX), p, 10_000.0)
+    """(pid, ground): of each building's centre in the first grid that covers it; null where none does."""
+    p = sites(v)
+    wide = p.withColumns({"west": F.col("x"), "south": F.col("y"), "east": F.col("x"), "north": F.col("y")})
+    pairs = spatial.range_join(v.dem_tiles.join(v.tiles.select(F.col("tile").alias("fid")), "fid").select("fid", *spatial.BOX), wide, 10_000.0)
     first = pairs.groupBy("pid").agg(F.min("fid").alias("fid"))
-    rows = v.points.join(first, "pid", "left").join(grids(v), "fid", "left")
+    rows = p.join(first, "pid", "left").join(grids(v), "fid", "left")
     col = (F.col("x") - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * 7
     row = (F.col("ymax") - F.col("y")) / (F.col("ymax") - F.col("ymin")) * 7
     return rows.select("pid", rasters.sample(F.col("data"), SIDE, SIDE, row, col).alias("ground"))
@@ -223,12 +230,21 @@ def building_ground_elevation(v):
 
 @query(f"select pid, round(coalesce(ground,0.0)*2,6)+0.0 as base, round(coalesce(ground,0.0)*2 + coalesce(height, case when num_floors <> 0 then num_floors*3.2 end, 4.0),6) as top, ground is not null as seated from ({_SAMPLE}) join (select id, height, num_floors from buildings) on id = pid")
 def seat_buildings(v):
-    """Base and top of buildings (by number, at the points) on the ground, which is exaggerated twofold."""
+    """Base and top of every building on the ground, which is exaggerated twofold; without ground the base is 0."""
     g = F.coalesce(six(F.col("ground")), F.lit(0.0)) * 2
     height = F.coalesce("height", F.when(F.col("num_floors") != 0, F.col("num_floors") * 3.2), F.lit(4.0))
     return grounds(v).join(v.buildings.select(F.col("id").alias("pid"), "height", "num_floors"), "pid").select("pid", six(g).alias("base"), F.round(g + height, 6).alias("top"), F.col("ground").isNotNull().alias("seated"))
 
 
+@query("""select tile, pos, case when m is not null then cast(floor(greatest(0.0, least(1.0, (r - 0.5)*1.2 + 0.55))*255 + 0.5) as bigint) end as gray, case when m is null then 0 else 255 end as alpha
+  from (select tile, pos, m, greatest(0.0, least(1.0, (m + 0.2)/0.4)) as r from (select tile, pos, case when round(v,1) = 0.1 then null else v end as m from cells))""")
+def render_pipeline(v):
+    """An ordered pipeline of pixel modules: nodata mask, rescaling, brightness and contrast, 8 bits; a masked pixel is transparent."""
+    render = P.compose(lambda x: F.when(F.round(x, 1) != 0.1, x), lambda x: P.rescaled(x, -0.2, 0.2), lambda x: P.clamp((x - 0.5) * 1.2 + 0.55), lambda x: P.half_up(x * 255))
+    shown = v.cells.select("tile", "pos", render(F.col("v")).cast("long").alias("gray"))
+    return shown.withColumn("alpha", F.when(F.col("gray").isNull(), 0).otherwise(255))
+
+
 @query("select place, pos, arg_min(v, tile) as value from (select tile % 50 as place, tile, pos, v from cells where v > 0.05) group by 1, 2")
 def mosaic_first_opaque(v):
     """Ten sources over each place: the first (by number) whose pixel is opaque."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where that is unset in a local session)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,3 +37,32 @@ def partition_values(files: DataFrame) -> DataFrame:
     """Distinct (region, year) that file paths name; an empty folder names nothing."""
     part = lambda name, pattern: F.nullif(F.regexp_extract("path", f"/{name}=({pattern})/", 1), F.lit(""))
     return files.select(part("region", "[^/]+").alias("region"), part("year", "[0-9]+").try_cast("int").alias("year")).where("region is not null and year is not null").distinct()
+
+
+def store_of(path: str):
+    """(file system, path in it) of a path or URI, on an executor."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A file for reads of ranges: only what is asked for is fetched."""
+    store, name = store_of(path)
+    return store.open_input_file(name)
+
+
+def write_objects(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Writes each row's content as the object of that name below the folder, from tasks; returns how many.  A task that runs again writes the same."""
+
+    def write(batches):
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, path = store_of(f"{folder}/{key}")
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(data.encode() if isinstance(data, str) else data or b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select(name, content).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

@@ -2,42 +2,81 @@
 
 from __future__ import annotations
 
+import html
+import re
 import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PREFIX = 1 << 17
+from .files import listing, opened
+
+#: Bytes fetched at once at a file's start; most bytes of a tag, and most directories, that are taken for real.
+PREFIX, MOST_BYTES, MOST_DIRECTORIES = 1 << 17, 1 << 26, 1000
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 12: 8, 16: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 12: "d", 16: "Q"}
 # TIFF and GeoTIFF tags.
-WIDTH, HEIGHT, BITS, SAMPLES, TILE_WIDTH, SCALE, TIEPOINT, GEOKEYS, CITATION = 256, 257, 258, 277, 322, 33550, 33922, 34735, 34737
+WIDTH, HEIGHT, BITS, SAMPLES, TILE_WIDTH, SCALE, TIEPOINT, GEOKEYS, CITATION, METADATA = 256, 257, 258, 277, 322, 33550, 33922, 34735, 34737, 42112
+_WANTED = {WIDTH, HEIGHT, BITS, SAMPLES, TILE_WIDTH, SCALE, TIEPOINT, GEOKEYS, CITATION, METADATA}
+
+
+class Ranges:
+    """Reads of ranges of a file; the first PREFIX bytes are fetched once, what lies beyond them when it is asked for."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+        self.first = file.read_at(min(PREFIX, self.size), 0)
 
+    def __call__(self, at: int, n: int) -> bytes:
+        if n > MOST_BYTES:
+            raise ValueError("implausible size of a tag")
+        if at + n <= len(self.first):
+            return self.first[at : at + n]
+        return self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""
 
-def directories(data: bytes) -> list[dict[int, tuple | str]]:
-    """The tags of every directory of a classic TIFF whose values lie in `data`."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+
+def directories(data) -> list[dict[int, tuple | str]]:
+    """The tags of every directory of a classic TIFF; data: its bytes, or read(at, n)."""
+    read = data if callable(data) else lambda at, n: data[at : at + n]
+    start = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(start[:2])
+    if order is None or len(start) < 8 or struct.unpack(order + "H", start[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    out, place = [], struct.unpack(order + "I", data[4:8])[0]
-    while place and place + 2 <= len(data):
-        count = struct.unpack(order + "H", data[place : place + 2])[0]
+    out, place, seen = [], struct.unpack(order + "I", start[4:8])[0], set()
+    while place:
+        if place in seen or len(seen) >= MOST_DIRECTORIES:
+            raise ValueError("directories form a cycle")
+        seen.add(place)
+        head = read(place, 2)
+        count = struct.unpack(order + "H", head)[0] if len(head) == 2 else 0
+        table = read(place + 2, 12 * count + 4)
+        if not count or len(table) < 12 * count:
+            raise ValueError("a directory is cut off")
         tags: dict[int, tuple | str] = {}
         for k in range(count):
-            entry = data[place + 2 + 12 * k : place + 14 + 12 * k]
+            entry = table[12 * k : 12 * k + 12]
             tag, kind, n = struct.unpack(order + "HHI", entry[:8])
             size = _SIZES.get(kind, 0) * n
-            raw = entry[8 : 8 + size] if size <= 4 else data[(at := struct.unpack(order + "I", entry[8:12])[0]) : at + size]
+            raw = entry[8 : 8 + size] if size <= 4 else read(struct.unpack(order + "I", entry[8:12])[0], size) if tag in _WANTED else b""
             if kind == 2:
                 tags[tag] = raw.split(b"\0")[0].decode("ascii", "replace")
             elif kind in _CODES and len(raw) == size:
                 tags[tag] = struct.unpack(f"{order}{n}{_CODES[kind]}", raw)
         out.append(tags)
-        at = place + 2 + 12 * count
-        place = struct.unpack(order + "I", data[at : at + 4])[0] if at + 4 <= len(data) else 0
+        place = struct.unpack(order + "I", table[12 * count :])[0] if len(table) == 12 * count + 4 else 0
     return out
 
 
+def band_names(metadata: str) -> list[str] | None:
+    """The bands' descriptions in a file's XML metadata, by sample; none if it has none."""
+    found = {}
+    for item, text in re.findall(r"<Item\b([^>]*)>([^<]*)</Item>", metadata):
+        at = dict(re.findall(r'(\w+)="([^"]*)"', item))
+        if at.get("role", "").lower() == "description" and at.get("sample", "").isdigit():
+            found[int(at["sample"])] = html.unescape(text)
+    return [found[k] for k in sorted(found)] or None
+
+
 def geokeys(values: tuple) -> dict[int, int]:
     """Keys whose value stands in the directory itself."""
     n = values[3] if len(values) >= 4 else 0
@@ -45,7 +84,7 @@ def geokeys(values: tuple) -> dict[int, int]:
     return {r[0]: r[3] for r in rows if len(r) == 4 and r[1] == 0}
 
 
-def header(data: bytes) -> dict:
+def header(data) -> dict:
     """The fields of a file's header; raises with the reason if something needed is missing."""
     found = directories(data)
     if not found:
@@ -66,26 +105,26 @@ def header(data: bytes) -> dict:
     if epsg == 32767 and not citation:
         raise ValueError("user-defined CRS without citation")
     sx, sy, x, y = t[SCALE][0], t[SCALE][1], t[TIEPOINT][3], t[TIEPOINT][4]
-    return {"proj_shape": [height, width], "band_count": t.get(SAMPLES, (1,))[0], "bits": list(t.get(BITS, (1,))), "ifd_count": len(found), "proj_epsg": epsg, "citation": citation, "gsd": sx, "proj_transform": [sx, 0.0, x, 0.0, -sy, y], "proj_bbox": [x, y - height * sy, x + width * sx, y]}
+    return {"proj_shape": [height, width], "band_count": t.get(SAMPLES, (1,))[0], "bits": list(t.get(BITS, (1,))), "ifd_count": len(found), "proj_epsg": epsg, "citation": citation, "gsd": sx, "proj_transform": [sx, 0.0, x, 0.0, -sy, y], "proj_bbox": [x, y - height * sy, x + width * sx, y], "band_names": band_names(str(t.get(METADATA, "")))}
 
 
-SCHEMA = "path string, error string, proj_shape array<int>, band_count int, bits array<int>, ifd_count int, proj_epsg int, citation string, gsd double, proj_transform array<double>, proj_bbox array<double>"
+SCHEMA = "path string, error string, proj_shape array<int>, band_count int, bits array<int>, ifd_count int, proj_epsg int, citation string, gsd double, proj_transform array<double>, proj_bbox array<double>, band_names array<string>"
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """A row a file; a file that can't be read has an error and no fields, and stops nothing."""
+    """A row a file; a file that can't be read has an error and no fields, and stops nothing.  Files are listed without their content and read by ranges."""
     ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
-    kinds = {"proj_shape": ints, "band_count": pa.int32(), "bits": ints, "ifd_count": pa.int32(), "proj_epsg": pa.int32(), "citation": pa.string(), "gsd": pa.float64(), "proj_transform": doubles, "proj_bbox": doubles}
+    kinds = {"proj_shape": ints, "band_count": pa.int32(), "bits": ints, "ifd_count": pa.int32(), "proj_epsg": pa.int32(), "citation": pa.string(), "gsd": pa.float64(), "proj_transform": doubles, "proj_bbox": doubles, "band_names": pa.list_(pa.string())}
 
     def read(batches):
         for batch in batches:
             rows = []
-            for data in batch.column(1).to_pylist():
+            for name in batch.column(0).to_pylist():
                 try:
-                    rows.append(header(data) | {"error": None})
+                    with opened(name) as file:
+                        rows.append(header(Ranges(file)) | {"error": None})
                 except Exception as e:  # noqa: BLE001  any broken file is a row with its reason
                     rows.append({"error": str(e) or type(e).__name__})
             yield pa.RecordBatch.from_pydict({"path": batch.column(0), "error": pa.array([r["error"] for r in rows], pa.string())} | {n: pa.array([r.get(n) for r in rows], k) for n, k in kinds.items()})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.selectExpr("path", f"substring(content, 1, {PREFIX}) as content").mapInArrow(read, SCHEMA)
+    return listing(spark, path, pattern).select("path").mapInArrow(read, SCHEMA)

@@ -12,6 +12,8 @@ from .files import exists
 
 KEYS = ["collection", "region", "year"]
 ROW_GROUP = 2048
+#: Most groups whose extents are broadcast.
+MOST_GROUPS = 10_000
 _FIELDS = {
     T.StringType(): ["source_bucket", "source_key", "asset_href", "properties"],
     T.DoubleType(): ["xmin", "ymin", "xmax", "ymax", "gsd"],
@@ -22,21 +24,33 @@ _FIELDS = {
 SCHEMA = T.StructType([T.StructField(n, kind) for kind, names in _FIELDS.items() for n in names] + [T.StructField("collection", T.StringType()), T.StructField("region", T.StringType()), T.StructField("year", T.IntegerType())])
 
 
-def clustered(df: DataFrame, by: list[str] = KEYS, group: str = "region") -> DataFrame:
-    """Rows dealt and sorted by keys, then by the Hilbert index of their centre within the group's extent."""
-    bounds = stats.extents(df, group).select(group, *[F.col(n).alias(f"_{n}") for n in ("xmin", "ymin", "xmax", "ymax")])
-    h = geo.hilbert((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, tuple(F.col(f"_{n}") for n in ("xmin", "ymin", "xmax", "ymax")))
-    placed = df.join(F.broadcast(bounds), group).withColumn("_h", h).drop("_xmin", "_ymin", "_xmax", "_ymax")  # a row a region
-    return placed.repartitionByRange(*by, "_h").sortWithinPartitions(*by, "_h").drop("_h").select(*df.columns)
+def clustered(df: DataFrame, by: list[str] = KEYS, group: str = "region", bounds: list | None = None) -> DataFrame:
+    """Rows dealt and sorted by keys, then by the Hilbert index of their centre within the group's extent; rows without a group are one group.
+
+    The groups' extents are broadcast if there are at most MOST_GROUPS, and joined otherwise.
+    """
+    names = ("xmin", "ymin", "xmax", "ymax")
+    extents = group_extents(df, group)
+    bounds = extents.limit(MOST_GROUPS + 1).collect() if bounds is None else bounds
+    if len(bounds) <= MOST_GROUPS:
+        extents = F.broadcast(df.sparkSession.createDataFrame(bounds, extents.schema))
+    h = geo.hilbert((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, tuple(F.col(f"_{n}") for n in names))
+    placed = df.join(extents, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_h", h)
+    return placed.repartitionByRange(*by, "_h").sortWithinPartitions(*by, "_h").select(*df.columns)
+
+
+def group_extents(df: DataFrame, group: str = "region") -> DataFrame:
+    return stats.extents(df, group).select(F.col(group).alias("_group"), *[F.col(n).alias(f"_{n}") for n in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def write(df: DataFrame, path: str, row_group: int = ROW_GROUP, compression: str = "zstd") -> int:
-    """Replaces exactly the partitions that df has; returns the rows written.  An empty df writes nothing."""
-    if df.isEmpty():
-        return 0
+    """Replaces exactly the partitions that df has; returns the rows written.  An empty df writes nothing; rows without a region or year have partitions of their own."""
     df = df.select([f.name for f in SCHEMA if f.name in df.columns])
+    bounds = group_extents(df).limit(MOST_GROUPS + 1).collect()
+    if not bounds:
+        return 0
     seen = Observation("lake")
-    clustered(df).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.row.count.limit", row_group).option("compression", compression).partitionBy(*KEYS).parquet(path)
+    clustered(df, bounds=bounds).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.row.count.limit", row_group).option("compression", compression).partitionBy(*KEYS).parquet(path)
     return seen.get["n"]
 
 
@@ -58,8 +72,8 @@ def write_index(index: DataFrame, path: str, row_group: int = ROW_GROUP) -> None
 
 
 def rebuild(listing: DataFrame, path: str) -> None:
-    """A key index written anew as a whole, by state and year."""
-    listing.repartition("state", "year").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("state", "year").parquet(path)
+    """A key index written anew as a whole, by state and year; a large partition is split over tasks, small ones share one."""
+    listing.hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("state", "year").parquet(path)
 
 
 def refresh(listing: DataFrame, path: str, since: int, dry_run: bool = False) -> DataFrame:
@@ -67,7 +81,7 @@ def refresh(listing: DataFrame, path: str, since: int, dry_run: bool = False) ->
     rows = listing.where(F.col("year") >= since)
     counts = rows.groupBy("state", "year").agg(F.count("*").alias("n"))
     if not dry_run:
-        rows.repartition("state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
+        rows.hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
     return counts
 
 
@@ -95,7 +109,7 @@ def staged_merge(new: DataFrame, path: str, key: str, staging: str) -> None:
         have = spark.read.schema(new.schema).parquet(path)
         rows = new.unionByName(have.join(parts, ["state", "year"], "left_semi").select(new.columns))
     rows.dropDuplicates([key]).write.mode("overwrite").parquet(staging)
-    spark.read.schema(new.schema).parquet(staging).repartition("state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
+    spark.read.schema(new.schema).parquet(staging).hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
 
 
 def is_stale(built: Column, source: Column) -> Column:

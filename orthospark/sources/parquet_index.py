@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spatial import range_join
+from .files import listing, opened
 
 MOST_GROUPS = 96
 
@@ -15,14 +16,15 @@ MOST_GROUPS = 96
 def scan_footers(spark: SparkSession, path: str, names: tuple = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
     """(file, row_group, num_rows, xmin, ymin, xmax, ymax) of each row group with statistics of all four leaves; raises if a leaf is missing.
 
-    Files are read through Spark's own reader, so any store works; Parquet's footer is decoded on the executors.
+    Files are listed without their content; executors fetch each file's footer alone.
     """
 
     def footers(batches):
         for batch in batches:
             rows = []
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
+            for file in batch.column(0).to_pylist():
+                with opened(file) as source:
+                    meta = pq.ParquetFile(source).metadata
                 leaves = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 if missing := [n for n in names if n not in leaves]:
                     raise ValueError(f"{file} has no {', '.join(missing)}")
@@ -35,8 +37,7 @@ def scan_footers(spark: SparkSession, path: str, names: tuple = ("xmin", "ymin",
             kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "row_group", "num_rows", "xmin", "ymin", "xmax", "ymax"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "content").mapInArrow(footers, "file string, row_group int, num_rows long, xmin double, ymin double, xmax double, ymax double")
+    return listing(spark, path, "*.parquet").select("path").mapInArrow(footers, "file string, row_group int, num_rows long, xmin double, ymin double, xmax double, ymax double")
 
 
 def hits(index: DataFrame, boxes: DataFrame, size: float) -> DataFrame:

@@ -150,3 +150,38 @@ def test_entry_imports_without_the_text_operators():
         builtins.__import__ = real
         sys.modules.pop("__spark_entry__", None)
         sys.modules.update(kept)
+
+
+def test_lake_keeps_rows_without_region(spark, tmp_path):
+    from orthospark.sources import lake
+
+    row = {f.name: None for f in lake.SCHEMA}
+    rows = [row | {"source_key": k, "collection": "naip", "region": r, "year": y, "xmin": 0.0, "ymin": 0.0, "xmax": 1.0, "ymax": 1.0} for k, r, y in (("a", "nj", 2000), ("b", None, 2000), ("c", "nj", None), ("d", None, None))]
+    df = spark.createDataFrame([tuple(r[f.name] for f in lake.SCHEMA) for r in rows], lake.SCHEMA)
+    assert lake.write(df, str(tmp_path / "lake")) == 4 and lake.write(df.limit(0), str(tmp_path / "none")) == 0
+    found = spark.read.schema(lake.SCHEMA).parquet(str(tmp_path / "lake")).collect()
+    assert sorted((r.source_key, r.region, r.year) for r in found) == [("a", "nj", 2000), ("b", None, 2000), ("c", "nj", None), ("d", None, None)]
+
+
+def test_headers_beyond_the_first_fetch_and_cycles():
+    from orthospark.plans.lake_queries import tiff
+    from orthospark.sources import headers
+
+    class File:
+        def __init__(self, data):
+            self.data, self.reads = data, []
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            self.reads.append((at, n))
+            return self.data[at : at + n]
+
+    near, far, cyclic = File(tiff(2)), File(tiff(101) + bytes(1 << 20)), File(tiff(50))
+    assert headers.header(headers.Ranges(near))["proj_epsg"] == 26912 and len(near.reads) == 1
+    found = headers.header(headers.Ranges(far))
+    assert found["proj_epsg"] == 26911 and found["band_names"] == ["Red"] and sum(n for _, n in far.reads) < headers.PREFIX + 1000
+    for data, reason in ((cyclic.data, "cycle"), (b"II*\0\x08\0\0\0", "cut off"), (b"", "not a TIFF"), (tiff(9), "no CRS")):
+        with pytest.raises(ValueError, match=reason):
+            headers.header(data)

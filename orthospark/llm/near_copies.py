@@ -216,13 +216,16 @@ def partners(nodes: DataFrame, *sizes: int) -> DataFrame:
     """(node, least, greatest) of every node that meets others whose first bits are near: its least and greatest partner."""
 
     def ends(number, columns):
-        columns["root"] = columns["node"]
-        for u, v in met(number, columns):
+        columns["root"], kept = columns["node"], np.empty((3, 0), dtype=np.int64)
+        for u, v in met(number, columns):  # what is known so far, and what the new pairs add to it
             own, other = columns["node"][np.concatenate([u, v])], columns["node"][np.concatenate([v, u])]
-            sort = np.lexsort((other, own))
-            own, other = own[sort], other[sort]
+            own, least, greatest = np.concatenate([kept, np.stack([own, other, other])], axis=1)
+            sort = np.argsort(own, kind="stable")
+            own = own[sort]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(own[first]), "least": pa.array(other[first]), "greatest": pa.array(other[np.append(first[1:], len(own)) - 1])})
+            kept = np.stack([own[first], np.minimum.reduceat(least[sort], first), np.maximum.reduceat(greatest[sort], first)])
+        if kept.size:
+            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in zip(("node", "least", "greatest"), kept)})
 
     found = at_anchors(nodes, ends, "node long, least long, greatest long", *sizes, whole=False)
     return found.groupBy("node").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))

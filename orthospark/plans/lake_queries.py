@@ -222,9 +222,9 @@ def explode_stac_pages(v):
 
 
 def objects(v, path: str):
-    """The keys' objects, a byte each, and some that are no images of the layout."""
-    keys = v.footprints.select(F.col("source_key").alias("name"))
-    other = v.footprints.where("k % 10 = 0").select(F.regexp_replace("source_key", "rgbir_cog", "fgdc").alias("name"))
+    """The keys' objects, a byte each, and some that are no images of the layout.  Their spatial folders have a digit: folders hold many images."""
+    keys = v.footprints.select(F.regexp_replace("source_key", "/rgbir_cog/([0-9])[0-9]{4}/", "/rgbir_cog/$1/").alias("name"), "k")
+    other = keys.where("k % 10 = 0").withColumn("name", F.regexp_replace("name", "rgbir_cog", "fgdc"))
     files.write_objects(keys.union(other).withColumn("content", F.lit("x")), path)
 
 
@@ -232,7 +232,7 @@ def keys_below(v, path: str, prefix: str = ""):
     return files.listing(v.spark, f"{path}/{prefix}", "*.tif").select(F.regexp_extract("path", "^.*?" + path.split("/")[-1] + "/(.*)$", 1).alias("key"))
 
 
-@query("select source_key, region, year from footprints")
+@query("select regexp_replace(source_key, '/rgbir_cog/([0-9])[0-9]{4}/', '/rgbir_cog/\\1/') as source_key, region, year from footprints")
 def scan_object_listing(v):
     """Objects of a folder, of which the layout keeps the keys that are its images and parse."""
     path = files.scratch(v.spark, "objects")
@@ -240,7 +240,7 @@ def scan_object_listing(v):
     return LAYOUTS["naip"].parsed(keys_below(v, path)).select(F.col("key").alias("source_key"), "region", "year")
 
 
-@query("select source_key, region, year from footprints where region = 'nj' and year = 1995")
+@query("select regexp_replace(source_key, '/rgbir_cog/([0-9])[0-9]{4}/', '/rgbir_cog/\\1/') as source_key, region, year from footprints where region = 'nj' and year = 1995")
 def narrowed_listing(v):
     """Only the prefix of the asked region and year is listed."""
     path, layout = files.scratch(v.spark, "objects"), LAYOUTS["naip"]

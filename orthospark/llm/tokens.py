@@ -7,8 +7,8 @@ from struct import pack
 import numpy as np
 
 _loaded: dict[str, "WordEncoder"] = {}
-#: Most words whose ids a worker keeps, and the longest kept; beyond it the store starts anew.
-KEPT_WORDS, KEPT_CHARS = 1_000_000, 100
+#: About how many words' ids each of a worker's two stores keeps, and the longest kept.
+KEPT_WORDS, KEPT_CHARS = 250_000, 100
 BEYOND = "\u0130"  # letters below it have one lower-case form everywhere
 _PARTS = "\x1c\x1d\x1e\x1f"  # Python's split() takes these for white space, the tokenizer doesn't
 
@@ -33,6 +33,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -79,10 +80,12 @@ class WordEncoder:
             if any(c in x for c in _PARTS):
                 whole[i], x = self.encoded(x), ""
             split.append((x.lower() if x.isascii() and "<|" not in x else x).split())
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > KEPT_WORDS:  # words in use come back from the older store, the others go with it
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = [w for w in set().union(*split) if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in known]
         tails = [w for w in new if w[-1] in ".," and len(w) > 1 and w[:-1].isalpha()]
         plain = set(new).difference(tails)
         plain.update(w[:-1] for w in tails)

@@ -23,11 +23,11 @@ def building_boxes(v):
 _PAIRS = "select b.id, x.idx from buildings b join boxes x on b.xmin <= x.east and b.xmin + 0.0005 >= x.west and b.ymin <= x.north and b.ymin + 0.0005 >= x.south"
 
 
-@query(f"select id, min(idx) as idx from ({_PAIRS}) group by id order by id limit 30000")
+@query(f"select id, min(idx) as idx from ({_PAIRS}) group by id")
 def bbox_range_join(v):
     """Buildings in view: each with the first of the boxes that it meets."""
     pairs = spatial.range_join(building_boxes(v), v.boxes, 2.5)
-    return pairs.groupBy("id").agg(F.min("idx").alias("idx")).orderBy("id").limit(30_000)
+    return pairs.groupBy("id").agg(F.min("idx").alias("idx"))
 
 
 @query(f"select id, idx from ({_PAIRS}) qualify row_number() over (partition by id order by idx) = 1")
@@ -184,12 +184,12 @@ def dominant_level(v):
     return chosen.groupBy("z").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "z").limit(1)
 
 
-@query("select idx, fid, rank from (select x.idx, d.fid, row_number() over (partition by x.idx order by (d.xmin-(x.idx*4000.0))*(d.xmin-(x.idx*4000.0))+(d.ymin-200000.0)*(d.ymin-200000.0), d.fid) as rank from boxes x, dem_tiles d where x.idx <= 20 and d.ymin between 150000 and 250000) where rank <= 5")
+@query("""select x.idx, f.k, row_number() over (partition by x.idx order by (f.xmin - x.west)*(f.xmin - x.west) + (f.ymin - x.south)*(f.ymin - x.south), f.k) as rank
+  from footprints f join boxes x on f.xmin <= x.east and f.xmax >= x.west and f.ymin <= x.north and f.ymax >= x.south""")
 def sort_by_distance_from_point(v):
-    d = v.dem_tiles.where("ymin between 150000 and 250000").select("fid", "xmin", "ymin")
-    requests = F.broadcast(v.boxes.where("idx <= 20").select("idx", (F.col("idx") * 4000.0).alias("at")))  # a batch of at most 20 requests
-    pairs = d.join(requests)
-    return tiles.sorted_by_distance(pairs, "idx", F.col("xmin"), F.col("ymin"), F.col("at"), F.lit(200000.0), "fid").where("rank <= 5").select("idx", "fid", "rank")
+    """Each view's footprints by their distance from the view's corner; equal ones in the order of their keys."""
+    pairs = spatial.range_join(v.footprints.select("k", *spatial.BOX), v.boxes, 2.5)
+    return tiles.sorted_by_distance(pairs, "idx", F.col("xmin"), F.col("ymin"), F.col("west"), F.col("south"), "k").select("idx", "k", "rank")
 
 
 @query("select fid, dataset from (select fid, dataset, ((xmin+xmax)/2-181000)*((xmin+xmax)/2-181000)+((ymin+ymax)/2-128000)*((ymin+ymax)/2-128000) as d from dem_tiles where xmin <= 240000 and xmax >= 118000 and ymin <= 155000 and ymax >= 98500 and (xmax - 118000) + (ymax - 98500) >= cut) order by d, dataset limit 24")
@@ -399,9 +399,21 @@ def geometry_codec_light(v):
     return rows.select("k", F.substr("text", F.lit(1), F.lit(17)).alias("head"), F.round(e[0], 6).alias("west"), F.round(e[3], 6).alias("north"), F.octet_length("geometry").alias("n_bytes"), F.round(b[2], 6).alias("east"))
 
 
-@query()
+_WORLD = f"{2 * math.pi * geo.A!r}e0"
+_EAST = lambda c: f"radians({c})*6378137e0/{_WORLD} + 0.5"
+_SOUTH = lambda c: f"0.5 - ln(tan(pi()/4 + radians({c})/2))*6378137e0/{_WORLD}"
+_POINT = lambda x, y: f"concat(cast(floor({x} + 0.5) as bigint), ' ', cast(floor({y} + 0.5) as bigint))"
+
+
+@query(f"""select 8 as z, x, y, k, case when y1 > 4160 then concat_ws(',', d, a, b, c) else concat_ws(',', a, b, c, d) end as ring, href, region, yr, gsd from (
+  select *, {_POINT("x0", "u0")} as a, {_POINT("x1", "u0")} as b, {_POINT("x1", "u1")} as c, {_POINT("x0", "u1")} as d from (
+  select * exclude (x0, x1), greatest(x0, -64) as x0, least(x1, 4160) as x1, greatest(y0, -64) as u0, least(y1, 4160) as u1 from (
+  select * exclude (x0, y0, x1, y1), (x0*256 - x)*4096 as x0, (y0*256 - y)*4096 as y0, (x1*256 - x)*4096 as x1, (y1*256 - y)*4096 as y1 from (
+  select *, unnest(range(cast(floor(y0*256) as bigint), cast(floor(y1*256) as bigint) + 1)) as y from (
+  select *, unnest(range(cast(floor(x0*256) as bigint), cast(floor(x1*256) as bigint) + 1)) as x from (
+  select k, asset_href as href, region, year as yr, gsd, {_EAST("xmin")} as x0, {_SOUTH("ymax")} as y0, {_EAST("xmax")} as x1, {_SOUTH("ymin")} as y1 from lake))))))""")
 def coverage_tile_features(v):
-    """Footprints clipped to their tiles at zoom 8 and quantised to a grid of 4096, with a buffer of 64."""
+    """Footprints clipped to their tiles at zoom 8 and quantised to a grid of 4096, with a buffer of 64: a row a tile and footprint, so that a crowded tile is no single row."""
     z = F.lit(8)
     world = 2 * math.pi * geo.A
     mx0, my0 = geo.mercator(F.col("xmin"), F.col("ymin"))
@@ -412,8 +424,9 @@ def coverage_tile_features(v):
     grid = lambda c, t: (F.col(c) * F.pow(F.lit(2.0), z) - F.col(t)) * 4096.0
     ring = F.slice(geo.box_ring((grid("x0", "x"), grid("y0", "y"), grid("x1", "x"), grid("y1", "y"))), 1, 4)
     clipped = tiles.clipped_ring(ring, tuple(F.lit(float(n)) for n in (-64, -64, 4160, 4160)))
-    out = cells.withColumn("ring", F.transform(clipped, lambda p: F.array(F.floor(p["x"] + 0.5), F.floor(p["y"] + 0.5)))).where(F.size("ring") >= 3)
-    return out.groupBy(z.alias("z"), "x", "y").agg(F.sort_array(F.collect_list(F.struct("k", "ring", F.col("asset_href").alias("href"), "region", F.col("year").alias("yr"), "gsd"))).alias("features"))
+    text = F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", *[F.floor(p[n] + 0.5).cast("string") for n in "xy"])), ",")
+    out = cells.withColumn("ring", clipped).where(F.size("ring") >= 3)
+    return out.select(z.alias("z"), "x", "y", "k", text.alias("ring"), F.col("asset_href").alias("href"), "region", F.col("year").alias("yr"), "gsd")
 
 
 @query("select fid, i, j, round(xmin + (xmax-xmin)*i/4.0,2) as x, round(ymax - (ymax-ymin)*j/4.0,2) as y from dem_tiles, unnest(range(5)) a(i), unnest(range(5)) b(j)")
@@ -430,7 +443,19 @@ def reproject_grid(v):
     return rows.select("fid", "i", "j", (F.round(x, 2) + 0.0).alias("x"), (F.round(y - 2000000.0, 2) + 0.0).alias("y"))
 
 
-@query()
+_N, _C, _RHO = geo._albers()
+_E = math.sqrt(geo.E2)
+_QS = lambda s: f"{1 - geo.E2}e0*({s}/(1 - {geo.E2}e0*{s}*{s}) - ln((1 - {_E}e0*{s})/(1 + {_E}e0*{s}))/{2 * _E}e0)"
+
+
+@query(f"""with corners as (select fid, xmin, ymin, xmax, ymax, u, w, xmin + (xmax - xmin)*u as x, {_RHO}e0 - (ymax - (ymax - ymin)*w + 2e6) as below from dem_tiles, unnest([0, 1]) a(u), unnest([0, 1]) b(w)),
+  polar as (select *, atan2(x, below)/{_N}e0 as turn, asin(({_C}e0 - (x*x + below*below)*{(_N / geo.A) ** 2:.17e})/{_N}e0/({_QS("1")})) as beta from corners),
+  placed as (select *, degrees(turn) - 96 as lon, degrees(beta + {geo.E2 / 3 + 31 * geo.E2**2 / 180 + 517 * geo.E2**3 / 5040:.17e}*sin(2*beta) + {23 * geo.E2**2 / 360 + 251 * geo.E2**3 / 3780:.17e}*sin(4*beta) + {761 * geo.E2**3 / 45360:.17e}*sin(6*beta)) as lat from polar),
+  weights as (select * from (values (0, 1/3e0, 1/3e0, 1/3e0), (1, 0.5e0, 0.5e0, 0e0), (2, 0.5e0, 0e0, 0.5e0), (3, 0e0, 0.5e0, 0.5e0)) t(sample, first, across, down)),
+  sampled as (select fid, sample, half, xmin, ymin, xmax, ymax, sum(lon*share) as lon, sum(lat*share) as lat, sum(u*share) as u, sum(w*share) as w
+    from (select p.*, half, sample, case when u = half and w = half then first when w = half then across else down end as share from placed p, unnest([0, 1]) h(half), weights where not (u <> half and w <> half)) group by all),
+  back as (select *, sqrt({_C}e0 - {_N}e0*({_QS("sin(radians(lat))")}))*{geo.A / _N}e0 as rho, radians(lon + 96)*{_N}e0 as theta from sampled)
+  select fid, err as max_error, err > 0.125 as flagged from (select fid, round(max(sqrt(pow((rho*sin(theta) - xmin)/(xmax - xmin)*512 - u*512, 2) + pow((ymax + 2e6 - ({_RHO}e0 - rho*cos(theta)))/(ymax - ymin)*512 - w*512, 2))), 4) as err from back group by fid)""")
 def reprojection_error_audit(v):
     """Per tile: the largest pixel error of two flat triangles against the projection, at four points each; flagged above 0.125."""
     size = 512.0
@@ -446,7 +471,7 @@ def reprojection_error_audit(v):
             x, y = geo.albers(lon, lat)
             col, row = (x - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * size, (F.col("ymax") + 2000000.0 - y) / (F.col("ymax") - F.col("ymin")) * size
             errors.append(F.hypot(col - u * size, row - r * size))
-    worst = F.round(F.greatest(*errors), 6)
+    worst = F.round(F.greatest(*errors), 4)
     return v.dem_tiles.select("fid", worst.alias("max_error"), (worst > 0.125).alias("flagged"))
 
 

@@ -98,8 +98,11 @@ def covering_tiles(primary: DataFrame, px: float, sx: float) -> DataFrame:
 def clipped_ring(ring: Column, box: tuple) -> Column:
     """A ring (not closed) clipped to a box, side by side (Sutherland and Hodgman); empty if nothing is left.
 
-    A fold over the box's sides: each step refers to the ring so far by name, so the expression stays small.
+    A ring inside the box is kept as it is.  Else a fold over the box's sides: each step refers to the ring so far by name, so
+    the expression stays small.
     """
+    box = tuple(geo.lit(b) for b in box)
+    inside_all = F.forall(ring, lambda p: (p["x"] >= box[0]) & (p["y"] >= box[1]) & (p["x"] <= box[2]) & (p["y"] <= box[3]))
     side = lambda axis, sign, value: F.struct(F.lit(axis).alias("axis"), F.lit(float(sign)).alias("sign"), geo.lit(value).alias("value"))
     sides = F.array(side("x", 1, box[0]), side("x", -1, box[2]), side("y", 1, box[1]), side("y", -1, box[3]))
     none = F.array().cast("array<struct<x:double,y:double>>")
@@ -116,4 +119,5 @@ def clipped_ring(ring: Column, box: tuple) -> Column:
 
         return F.coalesce(F.flatten(F.transform(points, kept)), none)
 
-    return F.aggregate(sides, ring.cast("array<struct<x:double,y:double>>"), clip)
+    given = ring.cast("array<struct<x:double,y:double>>")
+    return F.when(inside_all, given).otherwise(F.aggregate(sides, given, clip))

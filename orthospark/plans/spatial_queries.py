@@ -423,9 +423,10 @@ def coverage_tile_features(v):
     cells = rows.withColumn("x", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("y", F.explode(F.sequence(at("y0"), at("y1"))))
     grid = lambda c, t: (F.col(c) * F.pow(F.lit(2.0), z) - F.col(t)) * 4096.0
     ring = F.slice(geo.box_ring((grid("x0", "x"), grid("y0", "y"), grid("x1", "x"), grid("y1", "y"))), 1, 4)
-    clipped = tiles.clipped_ring(ring, tuple(F.lit(float(n)) for n in (-64, -64, 4160, 4160)))
+    cells = cells.withColumn("whole", ring)
+    clipped = tiles.clipped_ring(F.col("whole"), tuple(F.lit(float(n)) for n in (-64, -64, 4160, 4160)))
     text = F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", *[F.floor(p[n] + 0.5).cast("string") for n in "xy"])), ",")
-    out = cells.withColumn("ring", clipped).where(F.size("ring") >= 3)
+    out = cells.withColumn("ring", clipped)  # no ring is empty, as each tile touches its footprint
     return out.select(z.alias("z"), "x", "y", "k", text.alias("ring"), F.col("asset_href").alias("href"), "region", F.col("year").alias("yr"), "gsd")
 
 
@@ -459,20 +460,26 @@ _QS = lambda s: f"{1 - geo.E2}e0*({s}/(1 - {geo.E2}e0*{s}*{s}) - ln((1 - {_E}e0*
 def reprojection_error_audit(v):
     """Per tile: the largest pixel error of two flat triangles against the projection, at four points each; flagged above 0.125."""
     size = 512.0
-    corner = lambda u, w: (F.col("xmin") + (F.col("xmax") - F.col("xmin")) * u, F.col("ymax") - (F.col("ymax") - F.col("ymin")) * w + 2000000.0)
     triangles = [((0, 0), (1, 0), (0, 1)), ((1, 1), (0, 1), (1, 0))]
     weights = [(1 / 3, 1 / 3, 1 / 3), (0.5, 0.5, 0), (0.5, 0, 0.5), (0, 0.5, 0.5)]
-    errors = []
-    for t in triangles:
-        ends = [geo.from_albers(*corner(*p)) for p in t]
-        for w in weights:
-            lon, lat = (sum(wi * e[i] for wi, e in zip(w, ends)) for i in (0, 1))
-            u, r = (sum(wi * p[i] for wi, p in zip(w, t)) for i in (0, 1))
-            x, y = geo.albers(lon, lat)
-            col, row = (x - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * size, (F.col("ymax") + 2000000.0 - y) / (F.col("ymax") - F.col("ymin")) * size
-            errors.append(F.hypot(col - u * size, row - r * size))
-    worst = F.round(F.greatest(*errors), 4)
-    return v.dem_tiles.select("fid", worst.alias("max_error"), (worst > 0.125).alias("flagged"))
+    rows = v.dem_tiles
+    for u in (0, 1):
+        for w in (0, 1):
+            lon, lat = geo.from_albers(F.col("xmin") + (F.col("xmax") - F.col("xmin")) * u, F.col("ymax") - (F.col("ymax") - F.col("ymin")) * w + 2000000.0)
+            rows = rows.withColumns({f"lon{u}{w}": lon, f"lat{u}{w}": lat})
+    mean = lambda share, values: sum(a * b for a, b in zip(share, values))
+    samples = [
+        F.struct(*[mean(share, [F.col(f"{n}{u}{w}") for u, w in t]).alias(n) for n in ("lon", "lat")], *[F.lit(float(mean(share, [p[i] for p in t]))).alias(n) for i, n in enumerate("uw")])
+        for t in triangles for share in weights
+    ]
+
+    def error(p):
+        x, y = geo.albers(p["lon"], p["lat"])
+        col, row = (x - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * size, (F.col("ymax") + 2000000.0 - y) / (F.col("ymax") - F.col("ymin")) * size
+        return F.hypot(col - p["u"] * size, row - p["w"] * size)
+
+    rows = rows.select("fid", F.round(F.array_max(F.transform(F.array(*samples), error)), 4).alias("max_error"))
+    return rows.withColumn("flagged", F.col("max_error") > 0.125)
 
 
 @query("""select r.rid, z from (select rid, power(2.0, rid % 9) as w from requests) r, levels l where l.raster_id = r.rid and true qualify row_number() over (partition by r.rid order by case when mpp * 2 / (40075016.686*cos(radians(40.0))/power(2.0, r.rid % 18 + 8)) <= 1 then 0 else 1 end, case when mpp * 2 / (40075016.686*cos(radians(40.0))/power(2.0, r.rid % 18 + 8)) <= 1 then -mpp else mpp end) = 1""")

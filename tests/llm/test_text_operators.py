@@ -538,6 +538,63 @@ def test_em_recovers_accuracies():
     assert (posterior[inverse.ravel()].argmax(axis=1) == truth).mean() > best - 0.01
 
 
+def plain_votes(s, marked, beginnings):
+    s = s or ""
+    raw, spaced, low = s.encode(), SPACE.findall(s), [w.encode() for w in ALNUM.findall(lower(s))]
+    size, n = max(len(raw), 1), len(spaced)
+    upper, small = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    symbols = sum(chr(b) in "#*$%&|<>!_=~^{}[]\\" for b in raw) / size
+    ends = sum(w[-1] in ".!?" for w in spaced)
+    repeats = sum(a == b for a, b in zip(low, low[1:])) / max(len(low), 1)
+    phrases = sum(c - 1 for c in Counter(zip(low, low[1:], low[2:])).values()) / max(len(low), 1)
+    shout, per_sentence = upper / max(upper + small, 1), n / max(ends, 1)
+    vote = lambda bad, good: weak_labels.BAD if bad else weak_labels.GOOD if good else weak_labels.NOTHING
+    return [
+        vote(n == 0, n >= 50), vote(shout > 0.3 and n >= 3, shout < 0.15), vote(symbols > 0.02, symbols < 0.005), vote(repeats > 0.1, repeats < 0.03), vote(phrases > 0.3, phrases < 0.1),
+        vote(per_sentence > 60 and n >= 60, ends > 0 and per_sentence < 30), vote(any(w.decode() in weak_labels.INSULTS for w in low), False), vote(any(w in marked or len(w) > 4 and w[:4] in beginnings for w in low), False),
+    ]
+
+
+def test_votes_and_scores(texts):
+    texts = texts + ["You IDIOT! Such TRASH.", "SHOUTING ALL DAY LONG", "go go go go now", "{[#]} <|> ok", ". ".join(["one two three"] * 30), " ".join(f"w{i}" for i in range(90))]
+    words = sorted({w for t in texts for w in ALNUM.findall(lower(t or ""))}, key=lambda w: hashlib.sha256(w.encode()).digest())
+    marked, longer = {w.encode() for w in words[:15]}, [w for w in words[15:60] if len(w.encode()) > 4]
+    beginnings = {w.encode()[:4] for w in longer[:10]}
+    of = lambda w: weak_labels.Features(pa.array([w]), np.empty(0, dtype=np.uint64))
+    marks = np.unique(np.concatenate([*[of(w.decode()).code for w in marked], *[of(w).begin for w in longer[:10]]]))
+    found = weak_labels.Features(pa.array(texts, pa.string()), marks)
+    assert found.votes.tolist() == [plain_votes(t, marked, beginnings) for t in texts]
+    assert {v for row in found.votes.T for v in set(row.tolist())} == {weak_labels.BAD, weak_labels.GOOD, weak_labels.NOTHING} and (found.votes == weak_labels.BAD).any(axis=0).all()
+
+    weights = np.random.default_rng(3).normal(size=3 * len(weak_labels.LABELLERS) + (1 << weak_labels.HASH_BITS))
+    column = {w: of(w).word_columns()[0] for w in words}
+    got = weak_labels.Scorer(marks, weights, 0.2, None).scores(pa.array(texts, pa.string()))
+    for t, score, votes in zip(texts, got, found.votes.tolist()):
+        low = ALNUM.findall(lower(t or ""))
+        total = sum(weights[3 * j + v] for j, v in enumerate(votes)) + sum(weights[column[w]].sum() for w in low) / max(len(low), 1) + 0.2
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-9)
+
+
+def test_marks(spark):
+    """Marks against counts in plain Python: shares over rows of different texts, and a repeated row counts once."""
+    draw = random.Random(5)
+    rows = [(i, " ".join([draw.choice(["vilest", "fine"]) if i % 4 else "vilest", *(f"word{draw.randrange(400)}" for _ in range(12))]), i % 4 == 0) for i in range(400)]
+    rows = [(i, t.replace("vilest", "decent") if not bad else t, bad) for i, t, bad in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 50, "doc_id long, text string")
+    found = weak_labels.toxic_marks(docs, spark.createDataFrame([(i, bad) for i, _, bad in rows], "doc_id long, bad boolean"), "text", "doc_id")
+    of = lambda w: weak_labels.Features(pa.array([w]), np.empty(0, dtype=np.uint64))
+    want = set()
+    for cut, code in ((lambda w: w, lambda w: of(w).code[0]), (lambda w: w[:4] if len(w) > 4 else None, lambda w: of(w + "x").begin[0])):
+        n, bad = Counter(), Counter()
+        for _, t, toxic in rows:
+            for w in {cut(w) for w in t.split()} - {None}:
+                n[w] += 1
+                bad[w] += toxic
+        least = max(weak_labels.TOXIC_ROWS, int(np.ceil(np.log(len(n) / 0.01) / np.log(len(rows) / sum(b for *_, b in rows)))))
+        want |= {int(code(w)) for w in n if bad[w] >= least and bad[w] >= weak_labels.TOXIC_SHARE * n[w]}
+    assert {int(x) for x in found} == want and int(of("vilest").code[0]) in want
+
+
 def test_classifier_on_held_out_labels(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
     scorer = weak_labels.fit(docs, labels.where("crc32(cast(doc_id as string)) % 4 <> 1"))

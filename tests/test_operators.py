@@ -137,7 +137,7 @@ def test_entry_imports_without_the_text_operators():
 
     def blocked(name, *a, **b):
         if name == "corpus_pipeline" or name.startswith("orthospark.llm") or (name == "orthospark.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
         return real(name, *a, **b)
 
     kept = {k: sys.modules.pop(k) for k in list(sys.modules) if k in ("__spark_entry__", "corpus_pipeline") or k.startswith("orthospark.llm")}

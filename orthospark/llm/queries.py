@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_diff, langid, licenses, packing, repetition, simhash, token_spans, tool_links, weak_labels
+from . import decontaminate, filter_audit, html_diff, langid, licenses, packing, repetition, simhash, token_spans, tool_links, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_tool_call_linking": tool_links.ORACLE_SQL, "op4_license_scan": licenses.oracle_sql()}
+    return {"op3_tool_call_linking": tool_links.ORACLE_SQL, "op4_license_scan": licenses.oracle_sql(), "op13_filter_audit": filter_audit.ORACLE_SQL}

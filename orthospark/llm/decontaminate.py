@@ -7,8 +7,10 @@ chunk has, by their hashes, are left out of the search: it could only find nothi
 the longest common prefix of one of its hit places with the benchmark's own sorted suffixes, found by bisection.
 
 The benchmark is the stated query set.  Equal items are one class.  Classes are dealt to blocks of about `block_words`
-words; the documents are searched for one block after another, so one block's words (8 bytes each) are in memory at a
-time.  A window stands for the set of classes that have it, so a passage that many items share costs what one does: a
+words; texts are searched for one block after another, so one block's words (8 bytes each) are in memory at a
+time.  Where there are several blocks, one pass over the documents first finds the texts that may have a window of any block, by a
+Bloom filter of all windows (BLOOM_BITS a benchmark word), and only those are searched.  A window stands for the set
+of a block's classes that have it, so a passage that many items share costs what one does: a
 document gives each set once, and which items a set has comes from joins, once for each combination of sets.
 
 Defined cases: null or empty documents have no words and no hit; an item without words has no window; equal items are
@@ -23,14 +25,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Text, covered, dropped, map_chunks, windows, written
+from .common import ALNUM, Text, Words, covered, dropped, map_chunks, mixed, windows, written
 from .suffixes import prefix_ranges, suffix_array
 
 WORDS, BLOCK_WORDS = 10, 1 << 21
+#: Of the filter that comes before several blocks: bits a benchmark word (rounded up to a power of two), and probes.
+BLOOM_BITS, PROBES = 16, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +45,37 @@ def prefix_sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[np.uint64(0)], np.cumsum(symbols * power[:-1], dtype=np.uint64)]), power
 
 
+class Bloom:
+    """Hashes of all windows of all blocks: may say yes to others, never no to one of them."""
+
+    def __init__(self, words: int, n: int):
+        self.n, self.sizes = n, set()
+        self.mask = np.uint64((1 << max(10, (BLOOM_BITS * words - 1).bit_length())) - 1)
+        self.bits = np.zeros((int(self.mask) + 1) // 8, dtype=np.uint8)
+
+    def add(self, block: "Block") -> None:
+        for k, (value, _, _) in block.windows.items():
+            self.sizes.add(k)
+            for j in range(PROBES):
+                at = self.place(value, k, j)
+                np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def place(self, value: np.ndarray, k: int, j: int) -> np.ndarray:
+        return mixed(value + np.uint64((k * PROBES + j) * int(_BASE) & (1 << 64) - 1)) & self.mask
+
+    def texts(self, words: Words) -> np.ndarray:
+        """Which texts may have a window."""
+        symbols, out = words.hashes(), np.zeros(words.text.n, dtype=bool)
+        for k in self.sizes:
+            value, at = windows(symbols, words.doc, k)
+            for j in range(PROBES):
+                place = self.place(value, k, j)
+                there = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                value, at = value[there], at[there]
+            out[words.doc[at]] = True
+        return out
+
+
 class Block:
     """Some distinct item texts, as word hashes.  What is derived from them is computed once a worker."""
 
@@ -162,8 +198,8 @@ def benchmark_classes(benchmark: DataFrame, text: str, id: str) -> tuple[DataFra
     return written(rows.select("class", "words").dropDuplicates(["class"]), "classes"), rows.select("class", "item").distinct()
 
 
-def class_sets(classes: DataFrame, n: int) -> DataFrame:
-    """(set, class) of every set of classes that a window stands for; a set is known by the exclusive or of its classes."""
+def class_sets(classes: DataFrame, n: int, count: int) -> tuple[DataFrame, DataFrame]:
+    """(set, class) of every set of a block's classes that a window stands for, and a table to drop afterwards; a set is known by the exclusive or of its classes."""
 
     def work(batches):
         for batch in batches:
@@ -173,33 +209,66 @@ def class_sets(classes: DataFrame, n: int) -> DataFrame:
                 value = np.unique(windows(own, np.zeros(len(own), dtype=np.int64), k)[0])
                 yield pa.RecordBatch.from_pydict({"class": pa.array(np.full(len(value), code)), "words": pa.array(np.full(len(value), k, dtype=np.int32)), "window": pa.array(value.view(np.int64))})
 
-    rows = written(classes.mapInArrow(work, "class long, words int, window long"), "windows")
-    key = ["words", "window"]
+    rows = written(classes.mapInArrow(work, "class long, words int, window long").withColumn("block", block_of("class", count)), "windows")
+    key = ["block", "words", "window"]
     one = rows.groupBy(*key).agg(F.bit_xor("class").alias("set")).groupBy("set").agg(F.min(F.struct(*key)).alias("w")).select("set", "w.*")
-    return rows.join(one, key).select("set", "class")
+    return rows.join(one, key).select("set", "class"), rows
+
+
+def block_of(code: str, count: int) -> F.Column:
+    return F.pmod(F.xxhash64(code), F.lit(count))
+
+
+def block_count(classes: DataFrame, block_words: int) -> tuple[int, int]:
+    """(words of all classes, number of blocks)."""
+    words = (classes.agg(F.sum(F.octet_length("words")).cast("long")).first()[0] or 0) // 8
+    return words, max(1, -(-words // block_words))
 
 
-def blocks_of(classes: DataFrame, n: int, block_words: int):
-    """One block after another, as broadcasts; a block's size is known before it is read."""
-    spark = classes.sparkSession
-    size = classes.agg(F.sum(F.octet_length("words")).cast("long")).first()[0] or 0
-    count = max(1, -(-size // (8 * block_words)))
+def block(classes: DataFrame, n: int, k: int, count: int) -> Block:
+    """The k-th block; its size is known before it is read."""
+    rows = classes.where(block_of("class", count) == k).toArrow()
+    return Block(rows["class"].to_pylist(), rows["words"].to_pylist(), n)
+
+
+def blocks_of(classes: DataFrame, n: int, count: int):
+    """One block after another, as broadcasts."""
     for k in range(count):
-        rows = classes.where(F.pmod(F.xxhash64("class"), F.lit(count)) == k).toArrow()
-        yield k, count, spark.sparkContext.broadcast(Block(rows["class"].to_pylist(), rows["words"].to_pylist(), n))
+        yield classes.sparkSession.sparkContext.broadcast(block(classes, n, k, count))
+
+
+def bloom_of(classes: DataFrame, n: int, words: int, count: int):
+    """The filter of all blocks' windows, as a broadcast."""
+    out = Bloom(words, n)
+    for k in range(count):
+        out.add(block(classes, n, k, count).ready())
+    return classes.sparkSession.sparkContext.broadcast(out)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", words: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row a document: n_words, n_hit, items (sorted strings), contaminated, and its longest match: words, place (a word number) and item."""
     classes, items = benchmark_classes(benchmark, item_text, item_id)
+    total, count = block_count(classes, block_words)
     kind = docs.schema[id].dataType.simpleString()
     keys = ["key", "key2"]  # of the text: rows with equal texts have equal matches
-    rows = docs.select(id, text, F.xxhash64(text), F.xxhash64(F.lit(1), text))
-    base, hits = None, []
-    for number, _, block in blocks_of(classes, words, block_words):
-
-        def work(batch: pa.RecordBatch, first=number == 0, block=block) -> pa.RecordBatch:
-            own = block.value.ready()
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"))
+    base = None
+    if count > 1:
+        bloom = bloom_of(classes, words, total, count)
+
+        def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = Text(batch.column(1), lower=True).words(ALNUM)
+            maybe = pc.if_else(pa.array(bloom.value.texts(own)), batch.column(1), pa.scalar(None, batch.schema.field(1).type))
+            return pa.RecordBatch.from_pydict({"id": batch.column(0), "key": batch.column(2), "key2": batch.column(3), "n_words": pa.array(np.diff(own.at), pa.int64()), "text": maybe})
+
+        base = written(map_chunks(rows, "text", look, f"id {kind}, key long, key2 long, n_words long, text string"), "seen")
+        bloom.unpersist()
+        rows = base.where("text IS NOT NULL").dropDuplicates(keys).select("id", "text", *keys)
+    hits = []
+    for one in blocks_of(classes, words, count):
+
+        def work(batch: pa.RecordBatch, first=base is None, one=one) -> pa.RecordBatch:
+            own = one.value.ready()
             f = Found(batch.column(1), own)
             best = [(None, None, None)] * f.n
             if len(f.starts):
@@ -208,49 +277,56 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "d
                 for i in np.lexsort((-f.starts, length, d)):  # the last of a text is its longest, the first of equals
                     best[d[i]] = (int(length[i]), int(f.starts[i] - f.words.at[d[i]]), own.classes[code[i]])
             at = np.searchsorted(f.docs, np.arange(f.n + 1)).astype(np.int32)
-            columns = {id: batch.column(0), "key": batch.column(2), "key2": batch.column(3), "n_words": pa.array(np.diff(f.words.at), pa.int64()), "n_hit": pa.array(f.words.per_doc(f.hit), pa.int64())}
+            columns = {"id": batch.column(0), "key": batch.column(2), "key2": batch.column(3), "n_words": pa.array(np.diff(f.words.at), pa.int64()), "n_hit": pa.array(f.words.per_doc(f.hit), pa.int64())}
             columns |= {"spans": pa.array([[{"a": a, "b": b} for a, b in x] for x in f.spans()], pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()}))), "sets": pa.ListArray.from_arrays(pa.array(at), pa.array(f.sets, pa.int64()))}
             columns |= {"longest": pa.array([None if x[0] is None else {"words": x[0], "at": x[1], "class": x[2]} for x in best], pa.struct({"words": pa.int64(), "at": pa.int64(), "class": pa.int64()}))}
             out = pa.RecordBatch.from_pydict(columns)
             return out if first else out.filter(pa.array(f.words.per_doc(f.hit) > 0))
 
-        schema = f"`{id}` {kind}, key long, key2 long, n_words long, n_hit long, spans array<struct<a:long,b:long>>, sets array<long>, longest struct<words:long,at:long,class:long>"
-        found = written(map_chunks(rows, text, work, schema), "hits")
-        base = base or found
-        hits.append(found.where("n_hit > 0").drop(id).dropDuplicates(keys))
-        block.unpersist()
-    everything = reduce(DataFrame.union, hits)
+        schema = f"id {kind}, key long, key2 long, n_words long, n_hit long, spans array<struct<a:long,b:long>>, sets array<long>, longest struct<words:long,at:long,class:long>"
+        hits.append(written(map_chunks(rows, "text", work, schema), "hits"))
+        base = base or hits[0]
+        one.unpersist()
+    everything = reduce(DataFrame.union, [x.where("n_hit > 0").drop("id").dropDuplicates(keys) for x in hits])
     union = "aggregate(array_sort(flatten(collect_list(spans))), struct(0L as n, 0L as stop), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.stop)) as n, greatest(x.b, s.stop) as stop), s -> s.n)"
     most = F.max(F.struct(F.col("longest.words").alias("words"), (-F.col("longest.at")).alias("at"), F.col("longest.class").alias("class"))).alias("longest")
     texts = everything.groupBy(*keys).agg(F.expr(union).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sets")))).alias("sets"), most)
     texts = written(texts, "texts")
     combined = texts.select("sets").distinct()
-    named = combined.select("sets", F.explode("sets").alias("set")).join(class_sets(classes, words), "set").select("sets", "class").distinct().join(items, "class").groupBy("sets").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of_sets, all_windows = class_sets(classes, words, count)
+    named = combined.select("sets", F.explode("sets").alias("set")).join(of_sets, "set").select("sets", "class").distinct().join(items, "class").groupBy("sets").agg(F.array_sort(F.collect_set("item")).alias("items"))
     least = items.groupBy(F.col("class").alias("longest_class")).agg(F.min("item").alias("longest_item"))
     result = texts.withColumn("longest_class", F.col("longest.class")).join(named, "sets").join(least, "longest_class").select(*keys, "n_hit", "items", F.col("longest.words").alias("longest_words"), (-F.col("longest.at")).alias("longest_at"), "longest_item")
     result = written(result, "matches")
-    out = base.select(id, *keys, "n_words").join(result, keys, "left")
-    return out.select(id, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("longest_words", F.lit(0)).cast("long").alias("longest_words"), "longest_at", "longest_item")
+    for old in (all_windows, texts, classes, *(x for x in hits if x is not base)):
+        dropped(old)
+    out = base.select("id", *keys, "n_words").join(result, keys, "left")
+    return out.select(F.col("id").alias(id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("longest_words", F.lit(0)).cast("long").alias("longest_words"), "longest_at", "longest_item")
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", words: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without a hit, with all their columns."""
     classes, _ = benchmark_classes(benchmark, item_text, item_id)
-    before = None
-    for number, count, block in blocks_of(classes, words, block_words):
-
-        def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
-            f = Found(batch.column(text), block.value.ready())
+    total, count = block_count(classes, block_words)
+    rows, clean, before = docs, None, None
+    if count > 1:  # what cannot have a window is kept at once, the rest is searched for one block after another
+        bloom = bloom_of(classes, words, total, count)
+        split = lambda want: map_chunks(docs, text, lambda batch: batch.filter(pa.array(bloom.value.texts(Text(batch.column(text), lower=True).words(ALNUM)) == want)), docs.schema)
+        clean, rows = split(False), written(split(True), "maybe")
+        before = rows
+    for number, one in enumerate(blocks_of(classes, words, count)):
+
+        def work(batch: pa.RecordBatch, one=one) -> pa.RecordBatch:
+            f = Found(batch.column(text), one.value.ready())
             return batch.filter(pa.array(f.words.per_doc(f.hit) == 0))
 
-        docs = map_chunks(docs, text, work, docs.schema)
+        rows = map_chunks(rows, text, work, docs.schema)
         if number + 1 < count:  # one block's words at a time
-            docs = written(docs, "kept")
-            block.unpersist()
-            if before is not None:
-                dropped(before)
-            before = docs
-    return docs
+            rows = written(rows, "kept")
+            one.unpersist()
+            dropped(before)
+            before = rows
+    return rows if clean is None else clean.union(rows)
 
 
 def items_digest(items) -> F.Column:

@@ -118,6 +118,35 @@ def test_decontamination(spark, docs, texts):
                 assert any(k == r.longest_item and f" {' '.join(w[a : a + n])} " in x for k, x in padded)
                 assert not any(f" {' '.join(w[j : j + n + 1])} " in x for j in hit if j + n < len(w) for _, x in padded)
         assert {r.doc_id for r in decontaminate.keep(docs, bench, block_words=block_words).collect() if r.doc_id is not None} == {i for i in range(len(texts)) if not got[i].n_hit}
+
+
+def test_decontamination_of_windows_that_blocks_share(spark):
+    """Items of different blocks that share a window, an item that is that window alone, and short ones: every split gives the same rows."""
+    shared = [f"s{i}" for i in range(10)]
+    for names in ("abcdefg",):
+        items = [(n, " ".join([*[f"{n}{j}" for j in range(k)], *shared, *[f"{n}e{j}" for j in range(k)]])) for k, n in enumerate(names[:5])] + [(names[5], "just three words"), (names[6], " ".join(shared[3:] + ["t1", "t2", "t3"]))]
+        documents = [(0, " ".join(["x"] * 30 + shared + ["y"] * 5)), (1, items[4][1]), (2, "just three words"), (3, "just three Words more"), (4, "clean " * 40), (5, None), (6, " ".join(shared + ["t1", "t2", "t3"])), (7, " ".join(shared))]
+        docs = spark.createDataFrame([(*d, "x") for d in documents], "doc_id long, text string, sets string")
+        bench = spark.createDataFrame(items, "item_id string, text string")
+        windows = defaultdict(set)
+        for name, text in items:
+            w = text.split()
+            for j in range(max(1, len(w) - 9)):
+                windows[tuple(w[j : j + 10])].add(name)
+        want = {}
+        for i, text in documents:
+            w, hit, found = lower(text or "").split(), set(), set()
+            for k, own in windows.items():
+                for j in range(len(w) - len(k) + 1):
+                    if tuple(w[j : j + len(k)]) == k:
+                        hit |= set(range(j, j + len(k)))
+                        found |= own
+            want[i] = (len(w), len(hit), sorted(found), bool(hit))
+        for block_words in (10, 25):
+            got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.scan(docs, bench, block_words=block_words).collect()}
+            assert got == want, block_words
+            kept = decontaminate.keep(docs, bench, block_words=block_words)
+            assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[3]}
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
     digest = decontaminate.scan(docs, bench).select("items", decontaminate.items_digest("items").alias("d")).collect()

@@ -10,6 +10,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from orthospark.llm import importance, ngram_table
 from orthospark.llm.common import ALNUM, Text
@@ -74,6 +75,17 @@ def test_empty(spark):
     assert {(r.doc_id, r.n_features, r["rank"]) for r in importance.resample(some, none).collect()} == {(1, 3, None), (2, 0, None)}
 
 
+def test_hashes_of_stretches():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, 5000).astype(np.uint8).tobytes()
+    padded = np.frombuffer(raw + bytes(72), dtype=np.uint8)
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    for size in range(1, ngram_table.SHORT + 1):
+        start = rng.integers(0, 5000 - size, 20)
+        assert ngram_table.xxh64_values(eight, start, size).tolist() == [xxhash.xxh64_intdigest(raw[a : a + size]) for a in start]
+        assert ngram_table.crc_values(padded, start, size).tolist() == [crc32(raw[a : a + size]) for a in start]
+
+
 def test_slots_verify_bytes(texts, monkeypatch):
     """Keys that collide on purpose still get slots of their own; slices cut between words lose no run."""
     monkeypatch.setattr(ngram_table, "SLICE_WORDS", 50)

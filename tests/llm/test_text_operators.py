@@ -6,6 +6,7 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -361,7 +362,7 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_diff.extract(pages).collect()}
     assert got[1] == "First One & two x First three" and got[2] == "Second One & two x Second three"
     assert (got[3], got[4], got[5]) == ("Ann tells Ann more", "Bob tells Bob more", "Cy tells Cy more")
-    assert got[6] == got[7] == "Welcome Dup tells Dup more Legal line"
+    assert got[6] == got[7] == "Welcome Dup tells Dup more Legal line"  # a host of copies alone
     assert (got[8], got[9], got[10]) == ("", "", "only")
     assert html_diff.extract(pages).count() == len(rows) and html_diff.extract(pages.limit(0)).count() == 0
 
@@ -371,7 +372,7 @@ def test_html_marks():
     text = lambda page: " ".join(x for r, x in html_diff.lines_of(page) if r != html_diff.BOILERPLATE)
     assert text("<p title=it's>One</p><p>Two's</p>") == "One Two's"
     assert text('<article><header class="entry-header"><h1>Head</h1></header><div class="article-header">Sub</div><p>Body</article>') == "Head Sub Body"
-    assert text('<p data-id="search">Kept</p><p id="search">Gone</p><div class="search-results-story">Kept too</div>') == "Kept Kept too"
+    assert text('<p data-id="search">Kept</p><div id="search">Gone</div><div class="search-results-story">Kept too</div>') == "Kept Kept too"
     assert text('<p hidden>a</p><p aria-hidden="true">b</p><div style="color:red; display: none"><p>c</p></div><p aria-hidden=false>d</p>') == "d"
     assert text('<p class="x" title="a > b">in</p><a href=/x/>link</a> tail<p class=" =unclosed>rest') == "in link tail rest"
     assert text("<p x=" + "='" * 20_000 + ">long") == "long"
@@ -396,12 +397,36 @@ def naive_page(lines, neighbours):
                     i += 1
                 else:
                     j += 1
-            if sum(len(lines[k]) for k in both) < html_diff.COPY * sum(map(len, lines)):
+            if len(both) < len(lines):
                 keep = [k and n not in both for n, k in enumerate(keep)]
                 break
     return " ".join(x for x, k in zip(lines, keep) if k)
 
 
+def test_html_articles_are_not_hidden():
+    """Forms and class words above an article, class words that only contain a mark, blocks that close a paragraph, forms around a page."""
+    text = lambda page: " ".join(x for r, x in html_diff.lines_of(page) if r != html_diff.BOILERPLATE)
+    assert text('<form id="aspnetForm"><div class="no-sidebar"><article>A <p>text</p><form>box</form></article></div></form>') == "A text"
+    assert text('<div id="content-with-banner"><article>B</article></div>') == text('<div class="sidebar"><main>B</main></div>') == "B"
+    assert text('<article><p class="share-price">D1</p><p class="cookie-recipe">D2</p><div class="ad-hoc">D3</div><p id="share">D4</p><div class="related-posts">no</div><div id="reply-list">no</div></article>') == "D1 D2 D3 D4"
+    assert text('<article><p class="ad">Buy<div>Real text</div></article>') == "Real text"
+    assert text('<article><p class="ad">Buy<h2>Real heading</h2>x</article>') == "Real heading x"
+    assert text("<article>main<p>t</article><div class='comments'><article>c</article></div>") == "main t"
+    assert text('<ul><li class="ad">x<ul><li>y</ul>z<li>w</ul>') == "w"
+    prose = "word " * 30
+    assert text(f"<form><p>{prose}</p><input></form><div>menu</div>") == f"{prose}menu"
+    assert text("<form>Go</form><div>text of the page</div>") == "text of the page"
+    assert text("<svg/>q<SCRIPT>if(a<b)</SCRIPT >r<!-- x") == "q r" and text("a < b and <3 <b>c</b> d <") == "a < b and <3 c d <"
+
+
+def test_html_is_read_in_linear_time():
+    """300 KB of unclosed tags, quotes, comments and elements."""
+    for unit in ("<script ", "<a ", "<b>x</i>", '<p class="', "<a b='\">", "<!-", "<!--", "<style>", "</x", "<a =", "<div><p>", "<li>", "<svg ", '<a b=" > " c="<a >" '):
+        began = time.process_time()
+        html_diff.lines_of(unit * (300_000 // len(unit)))
+        assert time.process_time() - began < 3, unit
+
+
 def test_html_against_plain_differencing(spark):
     """Hosts of unmarked pages with more template lines than text, and copies next to one another."""
     random.seed(10)
@@ -410,15 +435,19 @@ def test_html_against_plain_differencing(spark):
         template = [f"menu{h} {k}" for k in range(20)]
         for k in range(12):
             own = [f"host {h} page {k} paragraph {i} of text" for i in range(random.randrange(1, 9))]
-            if k in (5, 6):
+            if k in ((5, 6) if h else range(2, 11)):
                 own = [f"host {h} copied paragraph {i} of text" for i in range(5)]
+            if h == 1 and 2 <= k <= 10:  # each page has all lines of the one before
+                own = [f"host {h} nested paragraph {i} of text" for i in range(k)]
+            if h == 2 and k in (3, 4):  # short own texts in a large template
+                own = [f"paragraph {k}"]
             rows.append((f"http://h{h}.x/p/{k:02}", template[:15] + own + template[15:]))
     pages = spark.createDataFrame([(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, (u, lines) in enumerate(rows)], "page_id long, url string, html string").repartition(7)
     got = {r.page_id: r.text for r in html_diff.extract(pages).collect()}
     for i, (u, lines) in enumerate(rows):
         host = [x for v, x in rows if v[:11] == u[:11]]
         k = i % 12
-        want = naive_page(lines, [[host[j] for j in range(k - 1, max(-1, k - 1 - html_diff.NEAR), -1)], [host[j] for j in range(k + 1, min(12, k + 1 + html_diff.NEAR))]])
+        want = naive_page(lines, [[host[j] for j in range(k - 1, -1, -1)], [host[j] for j in range(k + 1, 12)]])
         assert got[i] == want and "menu" not in want and "paragraph" in want
 
 

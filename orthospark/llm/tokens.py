@@ -86,7 +86,7 @@ class WordEncoder:
         new = [w for w in set().union(*split) if w not in known]
         known.update((w, older[w]) for w in new if w in older)
         new = [w for w in new if w not in known]
-        tails = [w for w in new if w[-1] in ".," and len(w) > 1 and w[:-1].isalpha()]
+        tails = [w for w in new if w[-1] in ".," and len(w) > 1 and w[:-1].isalpha() and max(w) < BEYOND]
         plain = set(new).difference(tails)
         plain.update(w[:-1] for w in tails)
         plain.update(w[-1] for w in tails)

@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in DataFrame operations alone.
 
-A text is normalised (lower case; copyright lines dropped; equivalent spellings made one; all but letters and digits to
+A text is normalised (lower case; lines that are copyright notices dropped; equivalent spellings made one; all but letters and digits to
 single spaces) and its SHA-256 is looked up in a table of known licences by a hash join.  Whole texts are looked up, and
 in the same way each line on its own, so a document that only states its licence in a line is found too.
 
@@ -15,6 +15,8 @@ long text costs what its length does.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"),
     ("whilst", "while"), ("cancelled", "canceled"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("version 2.0", "version 2"), ("version 3.0", "version 3"), ("http://", "https://"),
 ]
+#: Spellings of several words, as they are after normalisation.
+ACROSS = [tuple(re.sub(r"[^a-z0-9]+", " ", x).strip() for x in pair) for pair in SPELLINGS if re.search(r"\w\W+\w", pair[0])]
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -48,7 +52,7 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org>"""
 KNOWN = [
-    ("BSD-2-Clause", _BSD2 + _BSD), ("BSD-3-Clause", _BSD2 + _BSD3 + _BSD), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD2 + _BSD), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD2 + _BSD3 + _BSD), ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE),
+    ("BSD-2-Clause", _BSD2 + _BSD), ("BSD-3-Clause", _BSD2 + _BSD3 + _BSD), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD2 + _BSD), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD2 + _BSD3 + _BSD), ("BSD-2-Clause", "All rights reserved.\n" + _BSD2 + _BSD), ("BSD-3-Clause", "All rights reserved.\n" + _BSD2 + _BSD3 + _BSD), ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE),
     ("MIT", _MIT), ("MIT", "The MIT License\n" + _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC),
     ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -59,7 +63,8 @@ KNOWN = [
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
 #: A line that is a copyright notice.
-COPYRIGHT = r"(?m)^[^\p{L}\n]*(copyright\b|\(c\) *[0-9]{4}|©)[^\n]*$"
+#: it names a year, a sign, a holder or a template's place for one; other lines that begin with the word are part of a text.
+COPYRIGHT = r"(?m)^[^\p{L}\n]*(copyright\b[^\n]*\b(19|20)[0-9]{2}|copyright[ \t:]*(\(c\)|©|[<\[{])|copyright +(by |holders?:)|\(c\)[ \t]*[0-9<\[{]|©)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -70,8 +75,16 @@ def canonical_lines(text: Column) -> Column:
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
 
 
+def one_line(lines: Column) -> Column:
+    """The whole text of normalised lines; spellings of several words are made one across lines too."""
+    out = F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    for a, b in ACROSS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical_lines(text), r"[ \n]+", " "))
+    return one_line(canonical_lines(text))
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
@@ -88,7 +101,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", id
     """
     digests = known_digests(docs.sparkSession, known)
     lined = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), canonical_lines(F.col(text)).alias("lines"))
-    whole = F.trim(F.regexp_replace("lines", r"[ \n]+", " "))
+    whole = one_line(F.col("lines"))
     parts = lined.select("row", "id", F.posexplode(F.coalesce(F.concat(F.array(whole), F.split("lines", "\n")), F.array(F.lit(None).cast("string")))).alias("part", "line"))
     parts = parts.select("row", "id", (F.col("part") == 0).alias("whole"), F.sha2(F.trim("line"), 256).alias("digest"))
     found = parts.join(digests, "digest", "left").where("whole or license is not null").withColumn("license", F.when(F.col("digest") != F.sha2(F.lit(""), 256), F.col("license")))
@@ -113,7 +126,13 @@ def sql_canonical_lines(text: str) -> str:
 
 def oracle_sql() -> str:
     known = ", ".join(f"({sql_text(a)}, {sql_text(b)})" for a, b in KNOWN)
-    canon = lambda x: rf"trim(regexp_replace({x}, '[ \n]+', ' ', 'g'))"
+
+    def canon(x: str) -> str:
+        out = rf"trim(regexp_replace({x}, '[ \n]+', ' ', 'g'))"
+        for a, b in ACROSS:
+            out = f"replace({out}, {sql_text(a)}, {sql_text(b)})"
+        return out
+
     return f"""with known as (select sha256({canon(sql_canonical_lines("t"))}) as digest, min(l) as license from (values {known}) k(l, t) group by 1),
 lined as (select doc_id, {sql_canonical_lines("text")} as lines from documents),
 whole as (select doc_id, sha256({canon("lines")}) as digest from lined),

@@ -32,18 +32,60 @@ from pyspark.sql import functions as F
 from .common import map_chunks, written
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
-#: Deepest nesting of arguments that is parsed.
+#: Deepest nesting of arguments that is parsed, unless link() is given another.
 DEEPEST = 100
 
 
-def rule_error(path: str, own, rule: dict) -> str | None:
-    """The first breach of a value's rule: type, enum, length, pattern, bounds, then its items or fields."""
-    kind = _TYPES.get(rule.get("type"))
-    if kind and (not isinstance(own, kind) or isinstance(own, bool) and rule["type"] in ("integer", "number")):
-        return f"{path}: not {rule['type']}"
+def is_type(own, name: str) -> bool:
+    """Whether a value is of a JSON type; a name that isn't one excludes nothing."""
+    kind = _TYPES.get(name)
+    return kind is None or isinstance(own, kind) and not (isinstance(own, bool) and name in ("integer", "number"))
+
+
+def equal(a, b) -> bool:
+    """JSON equality: true is not 1, and 1 is 1.0."""
+    if isinstance(a, bool) != isinstance(b, bool):
+        return False
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(x, b[k]) for k, x in a.items())
+    return a == b
+
+
+def referred(rule: dict, root: dict) -> dict:
+    """The rule that `$ref` leads to, a place in the same schema; a ring of references or an unknown place is an error of the schema."""
+    seen = set()
+    while "$ref" in rule:
+        ref = rule["$ref"]
+        if ref in seen or not ref.startswith("#"):
+            raise ValueError(f"schema: {ref} leads nowhere")
+        seen.add(ref)
+        rule = root
+        for part in ref[1:].split("/")[1:]:
+            rule = rule[part.replace("~1", "/").replace("~0", "~")]
+    return rule
+
+
+def rule_error(path: str, own, rule: dict, root: dict) -> str | None:
+    """The first breach of a value's rule: type, alternatives, const, enum, length, pattern, bounds, then its items or fields."""
+    rule = referred(rule, root)
+    if "type" in rule:
+        kinds = rule["type"] if isinstance(rule["type"], list) else [rule["type"]]
+        if not any(is_type(own, x) for x in kinds):
+            return f"{path}: not {' or '.join(kinds)}"
+    fits = lambda rules: sum(rule_error(path, own, x, root) is None for x in rules)
+    if "anyOf" in rule and not fits(rule["anyOf"]):
+        return f"{path}: none of anyOf"
+    if "oneOf" in rule and fits(rule["oneOf"]) != 1:
+        return f"{path}: not one of oneOf"
+    if error := next((e for x in rule.get("allOf", []) if (e := rule_error(path, own, x, root))), None):
+        return error
+    if "const" in rule and not equal(own, rule["const"]):
+        return f"{path}: not const"
     if isinstance(own, str) and not rule.get("minLength", 0) <= len(own) <= rule.get("maxLength", math.inf):
         return f"{path}: length"
-    if "enum" in rule and own not in rule["enum"]:
+    if "enum" in rule and not any(equal(own, x) for x in rule["enum"]):
         return f"{path}: not in enum"
     if isinstance(own, str) and "pattern" in rule and not re.search(rule["pattern"], own):
         return f"{path}: pattern"
@@ -52,23 +94,28 @@ def rule_error(path: str, own, rule: dict) -> str | None:
     if isinstance(own, list):
         if not rule.get("minItems", 0) <= len(own) <= rule.get("maxItems", math.inf):
             return f"{path}: items"
-        return next((e for i, x in enumerate(own) if "items" in rule and (e := rule_error(f"{path}[{i}]", x, rule["items"]))), None)
+        return next((e for i, x in enumerate(own) if "items" in rule and (e := rule_error(f"{path}[{i}]", x, rule["items"], root))), None)
     if isinstance(own, dict) and ("properties" in rule or "required" in rule):
-        return schema_error(own, rule, f"{path}.")
+        return schema_error(own, rule, f"{path}.", root)
     return None
 
 
-def schema_error(value: dict, schema: dict, prefix: str = "") -> str | None:
+def schema_error(value: dict, schema: dict, prefix: str = "", root: dict | None = None) -> str | None:
     """The first breach, in the order of field names: required, the field's own rule; unknown fields unless additionalProperties."""
-    fields = schema.get("properties", {})
+    root = schema if root is None else root
+    schema = referred(schema, root)
+    fields, others = schema.get("properties", {}), schema.get("additionalProperties", False)
     for name in sorted({*schema.get("required", []), *fields, *value}):
         if name not in value:
             if name in schema.get("required", []):
                 return f"{prefix}{name}: missing"
         elif name in fields:
-            if error := rule_error(f"{prefix}{name}", value[name], fields[name]):
+            if error := rule_error(f"{prefix}{name}", value[name], fields[name], root):
                 return error
-        elif not schema.get("additionalProperties", False):
+        elif isinstance(others, dict):
+            if error := rule_error(f"{prefix}{name}", value[name], others, root):
+                return error
+        elif not others:
             return f"{prefix}{name}: unknown"
     return None
 
@@ -86,8 +133,8 @@ def depth(text: str) -> int:
     return deepest
 
 
-def parsed(text: str | None) -> dict | None:
-    """A JSON object whose canonical form is JSON again; None for anything else."""
+def parsed(text: str | None, deepest: int = DEEPEST) -> dict | None:
+    """A JSON object whose canonical form is JSON again; None for anything else, and for one nested more deeply."""
 
     def fields(pairs):
         if len({k for k, _ in pairs}) < len(pairs):
@@ -95,7 +142,7 @@ def parsed(text: str | None) -> dict | None:
         return dict(pairs)
 
     try:
-        if not text or depth(text) > DEEPEST:
+        if not text or depth(text) > deepest:
             return None
         value = json.loads(text, object_pairs_hook=fields)
         canonical_json(value).encode()
@@ -144,7 +191,7 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return calls.select("call_id").join(found, "call_id", "left").join(lost, "call_id", "left").select("call_id", "level", F.coalesce("missing_parent", F.lit(False)).alias("missing_parent"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], parents: DataFrame | None = None) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], parents: DataFrame | None = None, deepest: int = DEEPEST) -> DataFrame:
     """calls: conv_id, call_id, parent_id, name, arguments (JSON text); results: call_id, content; parents: call_id, parent_id of further parents."""
     columns = ["conv_id", "parent_id", "name", "arguments"]
     calls = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("arguments", "name", "parent_id", "conv_id")).alias("c")).select("call_id", *[f"c.{x}" for x in columns])
@@ -161,7 +208,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], parents
             if not r["called"]:
                 state = "orphan"
             else:
-                value = parsed(r["arguments"])
+                value = parsed(r["arguments"], deepest)
                 if value is None:
                     state = "unparsed"
                 elif r["name"] not in schemas:

@@ -9,7 +9,8 @@ others) also tells the word labeller which words mark documents that were labell
 
 The posterior of a pattern (junk or toxic) is the soft label of each document that has it.  A logistic scorer over hashed features (the
 labellers' votes, words and word beginnings) is fitted to it by gradient descent on a bounded sample of `sample`
-documents, picked by a hash of their ids, and decides about every document.
+documents, picked by a hash of their ids, and of at most `cells` features in all, and decides about every document.  A
+document comes to the driver as its distinct features and their weights.
 
 Defined cases: a null or empty text gets the votes of a text without words (too short) and is scored like any other;
 repeated rows each get a row, and one of them is enough for a sample; labels whose ids repeat: any bad label wins; rows
@@ -26,9 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, NOT_SPACE, Text, byte_set, map_chunks, mixed, windows, written
+from .common import ALNUM, NOT_SPACE, Text, byte_set, dropped, map_chunks, mixed, windows, written
 
 SAMPLE, LABELLED, HASH_BITS, STEPS, RATE, DECAY = 6000, 30_000, 18, 100, 0.5, 1e-4
+#: Most distinct features, summed over the sample's documents, that the scorer is fitted to.
+CELLS = 5_000_000
 #: A word (or word beginning) marks toxic text if at least so many toxic rows have it, and so large a share of its rows are toxic.
 TOXIC_ROWS, TOXIC_SHARE = 3, 0.95
 BEGINNING = 4
@@ -148,11 +151,13 @@ def toxic_marks(rows: DataFrame, sample: DataFrame, text: str, id: str) -> np.nd
     # Rows that repeat an id and its text count once: of each only its words travel.
     chosen = rows.withColumn("hash", F.xxhash64(text)).join(F.broadcast(single), [id, "hash"]).dropDuplicates([id, "hash"]).select(text, "bad")
     counts = written(map_chunks(chosen, text, work, "kind long, code long, n long, bad long").groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "marks")
+    dropped(single)
     found = []
     for k, size in counts.groupBy("kind").count().collect():
         least = max(TOXIC_ROWS, int(np.ceil(np.log(size / 0.01) / np.log(total / bad))))
         own = counts.where((F.col("kind") == k) & (F.col("bad") >= least) & (F.col("bad") >= TOXIC_SHARE * F.col("n")))
         found.append(own.select("code").toArrow()["code"].to_numpy())
+    dropped(counts)
     return np.unique(np.concatenate(found)).view(np.uint64)
 
 
@@ -195,7 +200,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[f.vote_columns()].sum(axis=1) + words + self.bias, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", sample: int = SAMPLE, labelled: int = LABELLED) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", sample: int = SAMPLE, labelled: int = LABELLED, cells: int = CELLS) -> Scorer:
     given = labels.where(F.col(id).isNotNull()).groupBy(id).agg(F.min(quality).alias("quality"), F.max(toxic).alias("toxic"))
     rows = docs.select(id, text)
     marks = toxic_marks(rows, labelled_sample(given, id, labelled), text, id)
@@ -219,26 +224,36 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     soft = {(p, g): x for p, g, x in zip(table["pattern"].tolist(), table["given"].tolist(), bad.tolist())}
     picked = voted.distinct().orderBy("row", "given").limit(sample).dropDuplicates(["row"])
 
+    width, v = 3 * len(LABELLERS) + (1 << HASH_BITS), len(LABELLERS)
+
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A vote counts 1; a text's words share a weight of 1.  Equal features of a text are added up."""
         f = Features(batch.column(0), marks)
-        votes, words = f.vote_columns(), f.word_columns()
-        columns = [np.concatenate([v, w.ravel()]) for v, w in zip(votes, np.split(words, f.words.at[1:-1]))]
-        return pa.RecordBatch.from_pydict({"y": pa.array([soft[x] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]), "column": pa.array(columns, pa.list_(pa.int32()))})
+        rows = np.concatenate([np.repeat(np.arange(f.n), v), np.repeat(f.words.doc, 2)])
+        value = np.concatenate([np.ones(f.n * v), np.repeat(1.0 / f.n_words[f.words.doc], 2)])
+        cell, inverse = np.unique(rows * width + np.concatenate([f.vote_columns().ravel(), f.word_columns().ravel()]), return_inverse=True)
+        at = np.searchsorted(cell, np.arange(f.n + 1) * width).astype(np.int32)
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(at), pa.array(x, kind))
+        y = [soft[x] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        return pa.RecordBatch.from_pydict({"row": batch.column(3), "y": pa.array(y, pa.float64()), "size": pa.array(np.diff(at), pa.int32()), "column": lists(cell % width, pa.int32()), "value": lists(np.bincount(inverse, weights=value, minlength=len(cell)), pa.float64())})
 
     # The sample is bounded, and of rows that repeat an id and its text one is taken.
-    chosen = rows.withColumn("row", row).join(F.broadcast(picked), "row").dropDuplicates(["row"]).select(text, "pattern", "given")
-    found = map_chunks(chosen, text, features, "y double, column array<int>").toArrow()
-    width, v = 3 * len(LABELLERS) + (1 << HASH_BITS), len(LABELLERS)
+    chosen = rows.withColumn("row", row).join(F.broadcast(picked), "row").dropDuplicates(["row"]).select(text, "pattern", "given", "row")
+    cells_of = written(map_chunks(chosen, text, features, "row long, y double, size int, column array<int>, value array<double>"), "features")
+    taken, total = [], 0
+    for key, size in sorted((r.row, r["size"]) for r in cells_of.select("row", "size").collect()):  # at most `sample` rows
+        if total + size <= cells or not taken:
+            taken.append((key,))
+            total += size
+    found = cells_of.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "row long")), "row").toArrow() if taken else cells_of.toArrow()
+    dropped(cells_of)
+    dropped(voted)
     weights, bias = np.zeros(width), 0.0
     if found.num_rows:
         y = found["y"].to_numpy()
         lists = found["column"].combine_chunks()
-        column, size = lists.flatten().to_numpy(), np.asarray(pc.list_value_length(lists))
-        row = np.repeat(np.arange(len(y)), size)
-        # A vote counts 1; a text's words share a weight of 1.  Equal cells are added up once.
-        value = np.where(column < 3 * v, 1.0, 1.0 / np.maximum((size - v) // 2, 1)[row])
-        cell, inverse = np.unique(row.astype(np.int64) * width + column, return_inverse=True)
-        value, row, column = np.bincount(inverse, weights=value), cell // width, cell % width
+        column, value = lists.flatten().to_numpy(), found["value"].combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(pc.list_value_length(lists)))
         used, column = np.unique(column, return_inverse=True)
         own, pace = np.zeros(len(used)), np.full(len(used), 1e-8)
         bias_pace = 1e-8

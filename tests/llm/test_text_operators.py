@@ -494,6 +494,27 @@ def test_tool_arguments():
         assert tool_links.schema_error(value, rule) == want
 
 
+def test_schema_rules():
+    """Types in a list, const, alternatives, references, JSON equality."""
+    schema = {
+        "$defs": {"size": {"type": ["integer", "null"], "minimum": 0}, "tree": {"type": "object", "properties": {"next": {"$ref": "#/$defs/tree"}, "v": {"$ref": "#/$defs/size"}}}},
+        "properties": {
+            "n": {"$ref": "#/$defs/size"}, "kind": {"const": "a"}, "flag": {"enum": [1, "x"]}, "either": {"anyOf": [{"type": "string", "minLength": 3}, {"type": "boolean"}]}, "one": {"oneOf": [{"type": "number"}, {"type": "integer"}]},
+            "all": {"allOf": [{"type": "number"}, {"maximum": 5}]}, "tree": {"$ref": "#/$defs/tree"}, "open": {"type": "object", "properties": {}, "additionalProperties": {"type": "integer"}},
+        },
+    }
+    check = lambda **v: tool_links.schema_error(v, schema)
+    assert check(n=None) is None and check(n=3) is None and check(n=True) == "n: not integer or null" and check(n=-1) == "n: bounds" and check(n="x") == "n: not integer or null"
+    assert check(kind="a") is None and check(kind="b") == "kind: not const" and check(flag=1.0) is None and check(flag=True) == "flag: not in enum"
+    assert check(either=True) is None and check(either="abc") is None and check(either="ab") == "either: none of anyOf"
+    assert check(one=1.5) is None and check(one=1) == "one: not one of oneOf" and check(all=4) is None and check(all=6) == "all: bounds"
+    assert check(tree={"next": {"next": {"v": 2}}}) is None and check(tree={"next": {"next": {"v": "2"}}}) == "tree.next.next.v: not integer or null"
+    assert check(open={"a": 1}) is None and check(open={"a": "b"}) == "open.a: not integer"
+    with pytest.raises(ValueError, match="nowhere"):
+        tool_links.schema_error({"a": 1}, {"properties": {"a": {"$ref": "#/x"}}, "x": {"$ref": "#/x"}})
+    assert tool_links.parsed('{"a":' * 150 + "1" + "}" * 150) is None and tool_links.parsed('{"a":' * 150 + "1" + "}" * 150, 200) is not None
+
+
 def test_several_parents(spark):
     """Levels are longest ways, against plain recursion; a third of the calls continue from one."""
     random.seed(9)
@@ -540,6 +561,39 @@ def brute_probability(counts, context, c, alphabet):
     return p
 
 
+def test_license_texts_in_their_usual_wrapping(spark):
+    """Lines that begin with the word copyright but are no notice stay; notices of several forms go; spellings across lines are one."""
+    import textwrap
+
+    isc = licenses._ISC.replace("provided that the above copyright", "provided that the above\ncopyright")
+    bsd = "Copyright 2019-2021 The Authors. All rights reserved.\n\n" + "\n".join("\n".join(textwrap.wrap(x, 72)) for x in (licenses._BSD2 + licenses._BSD).replace("the above copyright", "the above\ncopyright").split("\n"))
+    rows = [
+        (1, "ISC License\n\nCopyright (c) 4-digit-year, Company\n" + isc), (2, bsd), (3, "Copyright <YEAR> <COPYRIGHT HOLDER>\n" + licenses._MIT), (4, "  * Copyright by Foo\n  * (c) 1999 Bar\n" + licenses._MIT.replace("\n", "\n  * ")),
+        (5, "Copyright notice first.\n" + licenses._MIT), (6, licenses._BSD2 + licenses._BSD3.replace("copyright holder", "copyright\nowner") + licenses._BSD),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: "ISC", 2: "BSD-2-Clause", 3: "MIT", 4: "MIT", 5: None, 6: "BSD-3-Clause"}
+    assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == want
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert {r[0]: r[1] for r in con.execute(f"select doc_id, license from ({licenses.oracle_sql()})").fetchall()} == want
+
+
+def test_language_symbols(spark):
+    """Marks and emoji alone are no words; letters beyond U+FFFF are not taken for others."""
+    found = lambda *texts: langid.Words(pa.array(texts))
+    assert len(found("\u2600\ufe0f 12", "\u0301 !", "\U0001f600\u200d", "").size) == 0
+    assert len(found("ab", "\U00020061\U00020062", "a\u0301b").size) == 3
+    words = found("\U00020061 \U00020062 \U00020061")
+    assert sorted(words.size.tolist()) == [2, 2] and len(words.text) == 3
+    docs = spark.createDataFrame([(0, "ab ab ab", "x"), (1, "\U00020061\U00020062 \U00020061\U00020062", "y"), (2, "\u2600\ufe0f 12", None), (3, "ab", None), (4, "\U00020061\U00020062", None), (5, "\u0301\u0302", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(False), "doc_id").collect()}
+    assert (got[2], got[3], got[4], got[5]) == ("und", "x", "y", "und")
+
+
 def test_language_model(spark):
     rows = [(0, "banana bandana an", "x"), (1, "nab Ban", "x"), (2, "o10 zoo oz", "y")]
     docs = spark.createDataFrame(rows + [(3, None, "x"), (4, "!?", "y"), (5, "other", None)], "doc_id long, text string, lang string")
@@ -661,6 +715,19 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert rows[good].kept.mean() > 0.97 and rows[rows.quality == 0].kept.mean() < 0.1
 
 
+def test_classifier_sample_is_bounded_by_features(spark):
+    """Long texts: what comes to the driver is a bounded number of distinct features, and the scorer still learns."""
+    rng = random.Random(3)
+    good, bad = [f"g{i}" for i in range(3000)], [f"b{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(bad if i % 2 else good, k=2000)) + ".") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, whole = (weak_labels.fit(docs, labels, cells=n) for n in (20_000, 10**7))
+    assert 0 < np.count_nonzero(few.weights) <= 20_000 and np.count_nonzero(whole.weights) > np.count_nonzero(few.weights)
+    for scorer in (few, whole):
+        assert all((r.bad_score > 0.5) == (r.doc_id % 2 == 1) for r in weak_labels.score(docs, scorer).collect())
+
+
 def test_classifier_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.limit(0)):

@@ -1,8 +1,14 @@
-"""Range joins of boxes, by grid cells.
+"""Range joins of boxes, by a hierarchy of grids.
 
-Both sides are copied to the cells of a grid that they touch and joined on the cell, so a range join is a hash join.
-The cell is as wide as the widest box of the smaller-boxed side or more; a pair that shares several cells is kept in
-one of them alone (the cell of the upper of the two lower left corners), so nothing has to be deduplicated.
+A box's level is the finest grid whose cells are as wide as the box: it touches four of them at most, whether it is a
+building's or the world's.  Two boxes that meet share a cell of the coarser of their two levels.  So the join runs on (level, cell):
+each side goes to the cells of its own level, and to those of the other side's coarser levels; a pair that
+shares several cells is kept in one of them alone (the cell of the upper of the two lower left corners), and nothing has to
+be deduplicated.
+
+Cells that many boxes touch (a city's, or the one that a world-wide box shares with all others) are cut into blocks of
+either side, and every pair of blocks is a group of its own: a task never gets a whole crowded cell.  Which cells are crowded is
+told by a sample, whose choice does not change the result.
 """
 
 from __future__ import annotations
@@ -11,28 +17,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.files import scratch
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 WINDOW = ("west", "south", "east", "north")
+#: Most rows of either side in a group; one row in SHARE tells which cells have more.  Grids are this many at most.
+BLOCK, SHARE, LEVELS = 4096, 16, 48
+_CELL = ["_l", "_x", "_y"]
+
+
+def box_level(names: tuple, size: float) -> Column:
+    """The finest level, 0 for cells of `size`, each twice as wide as the one before, whose cells are as wide as the box."""
+    a, b, c, d = (F.col(n) for n in names)
+    wide = F.greatest(F.abs(c - a), F.abs(d - b)) / size
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))))).cast("int")
 
 
-def cell(v: Column, size: float) -> Column:
-    return F.floor(v / size).cast("long")
+def cell(v: Column, size: float, level: Column) -> Column:
+    return F.floor(v / (F.pow(F.lit(2.0), level) * size)).cast("long")
 
 
-def to_cells(df: DataFrame, names: tuple, size: float, x: str, y: str) -> DataFrame:
-    """A row for each cell that a row's box touches."""
+def to_cells(df: DataFrame, names: tuple, size: float, levels: Column) -> DataFrame:
+    """A row for each cell, of each of these levels, that a row's box touches."""
     a, b, c, d = (F.col(n) for n in names)
-    return df.withColumn(x, F.explode(F.sequence(cell(a, size), cell(c, size)))).withColumn(y, F.explode(F.sequence(cell(b, size), cell(d, size))))
+    across = lambda p, q: F.explode(F.sequence(cell(F.least(p, q), size, F.col("_l")), cell(F.greatest(p, q), size, F.col("_l"))))
+    return df.withColumn("_l", F.explode(levels)).withColumn("_x", across(a, c)).withColumn("_y", across(b, d))
+
+
+def finite(df: DataFrame, names: tuple) -> DataFrame:
+    """Rows whose box has four finite numbers; others meet nothing."""
+    keep = F.lit(True)
+    for n in names:
+        keep = keep & (F.abs(F.col(n).cast("double")) < float("inf"))  # null and NaN are not
+    return df.where(keep)
+
+
+def crowded_cells(a: DataFrame, b: DataFrame, share: int, block: int) -> DataFrame | None:
+    """(cell, _n, _m): into how many blocks each side of a crowded cell is cut; None if no cell is.  a and b: a sample's cells."""
+    n, m = (side.groupBy(*_CELL).agg((F.count("*") * share).alias(name)) for side, name in ((a, "_a"), (b, "_b")))
+    both = n.join(m, _CELL).where((F.col("_a") > block) | (F.col("_b") > block))
+    path = scratch(a.sparkSession, "cells")
+    both.select(*_CELL, F.ceil(F.col("_a") / block).cast("int").alias("_n"), F.ceil(F.col("_b") / block).cast("int").alias("_m")).write.parquet(path)
+    found = a.sparkSession.read.parquet(path)
+    return None if found.isEmpty() else found
 
 
-def range_join(left: DataFrame, right: DataFrame, size: float, left_box: tuple = BOX, right_box: tuple = WINDOW) -> DataFrame:
-    """All pairs of rows whose boxes meet, each once.  Column names of the sides differ."""
-    a = to_cells(left, left_box, size, "_x", "_y")
-    b = to_cells(right, right_box, size, "_x", "_y")
+def dealt(a: DataFrame, b: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the pair of blocks (_i, _j) of each row: its own block, by a hash of all its columns, and each of the other side's."""
+
+    def blocks(side: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        columns = [c for c in side.columns if c not in _CELL]
+        rows = side.join(crowded, _CELL, "left")
+        own_block = F.pmod(F.xxhash64(*columns), F.coalesce(own, F.lit(1))).cast("int")
+        return rows.withColumn(i, own_block).withColumn(j, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_n", "_m")
+
+    return blocks(a, "_n", "_m", "_i", "_j"), blocks(b, "_m", "_n", "_j", "_i"), [*_CELL, "_i", "_j"]
+
+
+def range_join(left: DataFrame, right: DataFrame, size: float, left_box: tuple = BOX, right_box: tuple = WINDOW, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """All pairs of rows whose boxes meet, each once.  Column names of the sides differ; size: cells of the finest grid, about as wide as the most frequent boxes.
+
+    Boxes with a null, NaN or infinite coordinate meet nothing.  Rows that are equal in all their columns share a block.
+    """
+    a = finite(left, left_box).withColumn("_level", box_level(left_box, size))
+    b = finite(right, right_box).withColumn("_level", box_level(right_box, size))
+    rows = a.select(F.lit("a").alias("side"), "_level").union(b.select(F.lit("b").alias("side"), "_level")).groupBy("side", "_level").agg(F.count("*").alias("n")).collect()  # a row a level
+    own = {s: sorted(r["_level"] for r in rows if r.side == s) for s in "ab"}
+    most = max([0, *(sum(r.n for r in rows if r.side == s) for s in "ab")])
     meet = geo.boxes_meet(tuple(F.col(n) for n in left_box), tuple(F.col(n) for n in right_box))
-    own = (F.col("_x") == cell(F.greatest(F.col(left_box[0]), F.col(right_box[0])), size)) & (F.col("_y") == cell(F.greatest(F.col(left_box[1]), F.col(right_box[1])), size))
-    return a.join(b, ["_x", "_y"]).where(meet & own).drop("_x", "_y")
+    at = lambda k: cell(F.greatest(F.col(left_box[k]), F.col(right_box[k])), size, F.col("_l"))
+    here = (F.col("_x") == at(0)) & (F.col("_y") == at(1))
+    level = F.col("_level")
+
+    def above(levels: list[int], least: Column) -> Column:
+        return F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= least)
+
+    def joined(a_levels: Column, b_levels: Column) -> DataFrame:
+        cells = lambda rows, names, levels: to_cells(rows, names, size, levels).drop("_level")
+        x, y, keys = cells(a, left_box, a_levels), cells(b, right_box, b_levels), _CELL
+        if most > block:
+            few = lambda rows: rows.sample(1.0 / share, 7) if share > 1 else rows
+            crowded = crowded_cells(cells(few(a), left_box, a_levels).select(*_CELL), cells(few(b), right_box, b_levels).select(*_CELL), share, block)
+            if crowded is not None:
+                x, y, keys = dealt(x, y, crowded)
+        return x.join(y, keys).where(meet & here).select(*left.columns, *right.columns)
+
+    # The left side's own level is the coarser one or equal; then the right side's is.
+    out = joined(F.array(level), above(own["a"], level)) if own["a"] else None
+    if own["a"] and own["b"] and own["b"][-1] > own["a"][0]:
+        out = out.union(joined(above(own["b"], level + 1), F.array(level)))
+    return out if out is not None else a.join(b, F.lit(False)).select(*left.columns, *right.columns)
 
 
 def semi_join_boxes(df: DataFrame, boxes: DataFrame, key: str, size: float = 1.0, box: tuple = BOX, window: tuple = WINDOW) -> DataFrame:

@@ -30,6 +30,24 @@ def bbox_range_join(v):
     return pairs.groupBy("id").agg(F.min("idx").alias("idx"))
 
 
+def mixed_boxes(v):
+    """Views of a street, a city and a region, and every 50th of the whole world."""
+    s = F.col("idx")
+    wide = F.when(s % 3 == 0, 0.002).when(s % 3 == 1, 0.05).otherwise(2.5)
+    world = s % 50 == 0
+    edge = lambda own, far: F.when(world, F.lit(far)).otherwise(own)
+    return v.boxes.select("idx", edge(F.col("west"), -180.0).alias("west"), edge(F.col("south"), -90.0).alias("south"), edge(F.col("west") + wide, 180.0).alias("east"), edge(F.col("south") + wide, 90.0).alias("north"))
+
+
+@query("""select idx, count(*) as n, min(id) as id, max(id) as last_id from buildings b join (select idx, case when idx % 50 = 0 then -180.0 else west end as west, case when idx % 50 = 0 then -90.0 else south end as south,
+    case when idx % 50 = 0 then 180.0 else west + wide end as east, case when idx % 50 = 0 then 90.0 else south + wide end as north from (select *, cast(case idx % 3 when 0 then 0.002 when 1 then 0.05 else 2.5 end as double) as wide from boxes)) x
+  on b.xmin <= x.east and b.xmin + 0.0005 >= x.west and b.ymin <= x.north and b.ymin + 0.0005 >= x.south group by idx""")
+def multi_scale_range_join(v):
+    """Buildings of views from a street to the world, in one join over grids of all their sizes."""
+    pairs = spatial.range_join(building_boxes(v), mixed_boxes(v), WIDE)
+    return pairs.groupBy("idx").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last_id"))
+
+
 @query(f"select id, idx from ({_PAIRS}) qualify row_number() over (partition by id order by idx) = 1")
 def first_box_per_building(v):
     pairs = spatial.range_join(building_boxes(v), v.boxes, 2.5).select("id", "idx")

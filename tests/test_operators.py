@@ -91,6 +91,38 @@ def test_range_join_has_each_pair_once(spark):
     assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
 
 
+def test_range_join_of_a_city_and_the_world(spark):
+    """Boxes from a metre to the world, crowded in a city: each pair once, also where blocks, samples and levels differ; no task with most of the rows."""
+    random.seed(5)
+
+    def box(k):
+        x, y = (random.gauss(2.35, 0.01), random.gauss(48.85, 0.01)) if k % 10 else (random.uniform(-180, 170), random.uniform(-90, 80))
+        w = random.choice([1e-5, 1e-5, 1e-4, 1e-3, 0.1, 5.0])
+        return x, y, x + w, y + w * random.choice([0, 1])
+
+    a, b = [(i, *box(i)) for i in range(3000)], [(i, *box(i)) for i in range(300)]
+    a += [(5000, -180.0, -90.0, 180.0, 90.0), (5001, float("nan"), 0.0, 1.0, 1.0), (5002, None, 0.0, 1.0, 1.0), (5003, 0.0, 0.0, float("inf"), 1.0), (5004, 3.0, 50.0, 1.0, 40.0)]
+    b += [(500, -180.0, -90.0, 180.0, 90.0), (501, -180.0, -90.0, 180.0, 90.0), (502, 2.3, 48.8, 2.4, 48.9), (503, 2.35, None, 2.4, 48.9)]
+    left = spark.createDataFrame(a, "id long, xmin double, ymin double, xmax double, ymax double")
+    right = spark.createDataFrame(b, "idx long, west double, south double, east double, north double")
+    plain = [x for x in a if None not in x and x[0] not in (5001, 5003)], [x for x in b if None not in x]
+    want = sorted((p[0], q[0]) for p in plain[0] for q in plain[1] if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+    for size, block, share in ((1e-5, 64, 1), (1e-4, 500, 4), (1.0, 64, 1), (1000.0, 1 << 20, 16)):
+        got = spatial.range_join(left, right, size, block=block, share=share)
+        assert sorted((r.id, r.idx) for r in got.collect()) == want, size
+    assert spatial.range_join(left.limit(0), right, 1.0).count() == spatial.range_join(left, right.limit(0), 1.0).count() == 0
+
+    # A cell of 20,000 and 3000 boxes: its rows are dealt evenly.
+    city = spark.range(20_000).select("id", *[(F.lit(2.35) + F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1000)) / 1e6).alias(n) for n in spatial.BOX])
+    views = spark.range(3000).select(F.col("id").alias("idx"), *[(F.lit(2.35) + F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1000)) / 1e6).alias(n) for n in spatial.WINDOW])
+    one = lambda df, box: spatial.to_cells(df, box, 100.0, F.array(F.lit(0)))
+    x, y = one(city, spatial.BOX), one(views, spatial.WINDOW)
+    p, q, keys = spatial.dealt(x, y, spatial.crowded_cells(x, y, 1, 512))
+    sizes = [sorted(r[1] for r in side.repartition(16, *keys).groupBy(F.spark_partition_id()).count().collect()) for side in (p, q)]
+    for s in sizes:
+        assert len(s) == 16 and s[-1] < 3 * s[len(s) // 2]
+
+
 def test_clipped_ring(spark):
     square = F.array(*[geo.point(x, y) for x, y in ((-1, -1), (3, -1), (3, 3), (-1, 3))])
     far = F.array(*[geo.point(x, y) for x, y in ((8, 8), (9, 8), (9, 9))])

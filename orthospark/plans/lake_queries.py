@@ -32,7 +32,7 @@ def scan_lake_partition(v):
 
 @query("select distinct region, year from lake")
 def partition_values_from_paths(v):
-    return files.partition_values(files.listing(v.spark, lake_path(v), "*.parquet"))
+    return files.partition_values(files.listed(v.spark.createDataFrame([(lake_path(v),)], "prefix string"), ".parquet"))
 
 
 @query("select region, year, count(*) as n, sum(case when k % 2 = 0 then 1 else 0 end)::bigint as n_new from (select *, region = 'nj' as again from lake) group by 1, 2")
@@ -221,34 +221,41 @@ def explode_stac_pages(v):
     return documents.stac_pages(v.spark, path).select("asset_href", "id", "datetime")
 
 
-def objects(v, path: str):
-    """The keys' objects, a byte each, and some that are no images of the layout.  Their spatial folders have a digit: folders hold many images."""
-    keys = v.footprints.select(F.regexp_replace("source_key", "/rgbir_cog/([0-9])[0-9]{4}/", "/rgbir_cog/$1/").alias("name"), "k")
-    other = keys.where("k % 10 = 0").withColumn("name", F.regexp_replace("name", "rgbir_cog", "fgdc"))
-    files.write_objects(keys.union(other).withColumn("content", F.lit("x")), path)
+_OBJECTS: dict[tuple, str] = {}
 
 
-def keys_below(v, path: str, prefix: str = ""):
-    return files.listing(v.spark, f"{path}/{prefix}", "*.tif").select(F.regexp_extract("path", "^.*?" + path.split("/")[-1] + "/(.*)$", 1).alias("key"))
+def objects(v) -> str:
+    """A folder of the keys' objects, a byte each, and some that are no images of the layout; written once for a session and a data folder.  Their spatial folders have a digit: folders hold many images."""
+    session = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if session not in _OBJECTS:
+        path = files.scratch(v.spark, "objects")
+        keys = v.footprints.select(F.regexp_replace("source_key", "/rgbir_cog/([0-9])[0-9]{4}/", "/rgbir_cog/$1/").alias("name"), "k")
+        other = keys.where("k % 10 = 0").withColumn("name", F.regexp_replace("name", "rgbir_cog", "fgdc"))
+        files.write_objects(keys.union(other).withColumn("content", F.lit("x")), path)
+        _OBJECTS[session] = path
+    return _OBJECTS[session]
+
+
+def keys_below(v, path: str, prefixes):
+    """Keys of the images below prefixes (a column "below"), listed by tasks."""
+    found = files.listed(prefixes.select(F.concat(F.lit(f"{path}/"), "below").alias("prefix")), ".tif")
+    return found.select(F.regexp_extract("path", "^.*?" + path.split("/")[-1] + "/(.*)$", 1).alias("key"))
 
 
 @query("select regexp_replace(source_key, '/rgbir_cog/([0-9])[0-9]{4}/', '/rgbir_cog/\\1/') as source_key, region, year from footprints")
 def scan_object_listing(v):
-    """Objects of a folder, of which the layout keeps the keys that are its images and parse."""
-    path = files.scratch(v.spark, "objects")
-    objects(v, path)
-    return LAYOUTS["naip"].parsed(keys_below(v, path)).select(F.col("key").alias("source_key"), "region", "year")
+    """Objects below the regions' prefixes, of which the layout keeps the keys that are its images and parse."""
+    regions = v.footprints.select(F.concat("region", F.lit("/")).alias("below")).distinct()
+    return LAYOUTS["naip"].parsed(keys_below(v, objects(v), regions)).select(F.col("key").alias("source_key"), "region", "year")
 
 
-@query("select regexp_replace(source_key, '/rgbir_cog/([0-9])[0-9]{4}/', '/rgbir_cog/\\1/') as source_key, region, year from footprints where region = 'nj' and year = 1995")
+@query("select regexp_replace(source_key, '/rgbir_cog/([0-9])[0-9]{4}/', '/rgbir_cog/\\1/') as source_key, region, year from footprints where (region = 'nj' and year = 1995) or (region = 'ca' and year >= 1996)")
 def narrowed_listing(v):
-    """Only the prefix of the asked region and year is listed."""
-    path, layout = files.scratch(v.spark, "objects"), LAYOUTS["naip"]
-    objects(v, path)
-    prefix = layout.prefix("nj", 1995)
-    if not files.exists(v.spark, f"{path}/{prefix}"):
-        return layout.parsed(v.keys.limit(0)).select(F.col("key").alias("source_key"), "region", "year")
-    return layout.parsed(keys_below(v, path, prefix)).select(F.col("key").alias("source_key"), "region", "year")
+    """Only the prefixes of the asked regions and years are listed; one that does not exist has no keys."""
+    layout = LAYOUTS["naip"]
+    asked = [("nj", 1995), ("zz", 1995)] + [("ca", y) for y in range(1996, 2012)]
+    prefixes = v.spark.createDataFrame([(layout.prefix(*x),) for x in asked], "below string")
+    return layout.parsed(keys_below(v, objects(v), prefixes)).select(F.col("key").alias("source_key"), "region", "year")
 
 
 @query()

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that a task lists in one round.
+MOST_FOLDERS = 500
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where that is unset in a local session)."""
@@ -27,12 +30,82 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, modificationTime, length) of the files below a path; their content is never read."""
+    """(path, modificationTime, length) of the files below a path, by Spark's own index of them, which the driver holds; their content is never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", "modificationTime", "length")
 
 
+def listed(prefixes: DataFrame, suffix: str = "", prefix: str = "prefix", most: int = MOST_FOLDERS) -> DataFrame:
+    """(path, modificationTime, length) of the files below each prefix, listed by tasks, in rounds.
+
+    A prefix is a folder, a file, or the beginning of names in a folder.  A task lists up to `most` folders from the ones it is given on
+    and hands the rest to the next round, so neither the driver nor a task holds the tree; a round's folders are dealt
+    anew.  Prefixes that overlap give a file once.  Names that begin with a dot or an underscore are left out, as Spark leaves them out; a prefix that does not exist has no
+    files.  This goes through pyarrow's file systems.
+    """
+    spark = prefixes.sparkSession
+    fields = "path string, modificationTime timestamp, length long, folder boolean"
+
+    def expand(first: bool):
+        def work(batches):
+            from pyarrow import fs
+
+            for batch in batches:
+                todo, rows = [(x, first) for x in batch.column(0).to_pylist() if x], []
+                done = 0
+                while todo and done < most:
+                    uri, given = todo.pop()
+                    store, name = store_of(uri.rstrip("/"))
+                    base, starts = uri.rstrip("/").removesuffix(name), ""
+                    done += 1
+                    if given:
+                        own = store.get_file_info(name)
+                        if own.type == fs.FileType.File:
+                            rows.append((uri, own.mtime, own.size, False))
+                            continue
+                        if own.type == fs.FileType.NotFound:
+                            name, _, starts = name.rpartition("/")
+                            if uri.endswith("/") or not name:
+                                continue
+                    for found in store.get_file_info(fs.FileSelector(name, allow_not_found=True)):
+                        if found.base_name[:1] in "._" or not found.base_name.startswith(starts):
+                            continue
+                        if found.type == fs.FileType.Directory:
+                            todo.append((base + found.path, False))
+                        elif found.base_name.endswith(suffix):
+                            rows.append((base + found.path, found.mtime, found.size, False))
+                rows += [(uri, None, None, True) for uri, _ in todo]
+                columns = list(zip(*rows)) or [()] * 4
+                kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "modificationTime", "length", "folder"])
+
+        return work
+
+    todo, out = prefixes.select(F.col(prefix).alias("path")).distinct(), None
+    parts, first = int(spark.conf.get("spark.sql.shuffle.partitions")), True
+    while True:
+        path = scratch(spark, "listing")
+        todo.repartition(parts, "path").mapInArrow(expand(first), fields).write.parquet(path)
+        rows = spark.read.schema(fields).parquet(path)
+        files = rows.where("not folder").drop("folder")
+        out, todo, first = files if out is None else out.union(files), rows.where("folder").select("path").distinct(), False
+        if todo.isEmpty():
+            return out.dropDuplicates(["path"])
+
+
 def partition_values(files: DataFrame) -> DataFrame:
     """Distinct (region, year) that file paths name; an empty folder names nothing."""
     part = lambda name, pattern: F.nullif(F.regexp_extract("path", f"/{name}=({pattern})/", 1), F.lit(""))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
 from ..operators import stats
-from .files import exists
+from .files import exists, removed, scratch, touch
 
 KEYS = ["collection", "region", "year"]
 ROW_GROUP = 2048
@@ -43,15 +45,49 @@ def group_extents(df: DataFrame, group: str = "region") -> DataFrame:
     return stats.extents(df, group).select(F.col(group).alias("_group"), *[F.col(n).alias(f"_{n}") for n in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def write(df: DataFrame, path: str, row_group: int = ROW_GROUP, compression: str = "zstd") -> int:
-    """Replaces exactly the partitions that df has; returns the rows written.  An empty df writes nothing; rows without a region or year have partitions of their own."""
-    df = df.select([f.name for f in SCHEMA if f.name in df.columns])
-    bounds = group_extents(df).limit(MOST_GROUPS + 1).collect()
-    if not bounds:
+def committed(spark: SparkSession, path: str, token: str) -> bool:
+    """Whether a replacement of this name has been carried out on the table."""
+    return exists(spark, f"{path}/_commits/{token}")
+
+
+def staged(spark: SparkSession, staging: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """The rows as a table of their own, written once: one that is complete is taken as it is, one that isn't is written anew."""
+    if not exists(spark, f"{staging}/_SUCCESS"):
+        rows().write.mode("overwrite").parquet(staging)
+    return spark.read.parquet(staging)
+
+
+def replaced(spark: SparkSession, path: str, staging: str, token: str, rows: Callable[[], DataFrame], put: Callable[[DataFrame], None]) -> int:
+    """Replaces the partitions that the rows have, all or none of them; returns the rows written, 0 where the token says that it has been done.
+
+    The rows are staged first and the staging is kept until the table has them and the commit is on record.  A call that failed, at any
+    place, is repeated with the same staging and token: a complete staging is put again, from nothing of the table, so
+    partitions that the failure left damaged become whole.
+    """
+    if committed(spark, path, token):
         return 0
-    seen = Observation("lake")
-    clustered(df, bounds=bounds).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.row.count.limit", row_group).option("compression", compression).partitionBy(*KEYS).parquet(path)
-    return seen.get["n"]
+    ready = staged(spark, staging, rows)
+    n = ready.count()
+    if n:
+        put(ready)
+        touch(spark, f"{path}/_commits/{token}")
+    removed(spark, staging)
+    return n
+
+
+def write(df: DataFrame, path: str, row_group: int = ROW_GROUP, compression: str = "zstd", staging: str | None = None, token: str | None = None) -> int:
+    """Replaces exactly the partitions that df has; returns the rows written.  An empty df writes nothing; rows without a region or year have partitions of their own.
+
+    df is evaluated once, into the staging table; extents and ranges come from there.  With a staging folder and a token of one's own, a call that failed can be repeated (see replaced).
+    """
+    spark = df.sparkSession
+    staging = staging or scratch(spark, "staging")
+
+    def put(rows: DataFrame) -> None:
+        bounds = group_extents(rows).limit(MOST_GROUPS + 1).collect()
+        clustered(rows, bounds=bounds).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.row.count.limit", row_group).option("compression", compression).partitionBy(*KEYS).parquet(path)
+
+    return replaced(spark, path, staging, token or staging.rpartition("/")[2], lambda: df.select([f.name for f in SCHEMA if f.name in df.columns]), put)
 
 
 def scan(spark: SparkSession, path: str, collection: str, region: str | None = None, year: int | None = None) -> DataFrame:
@@ -76,12 +112,18 @@ def rebuild(listing: DataFrame, path: str) -> None:
     listing.hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("state", "year").parquet(path)
 
 
-def refresh(listing: DataFrame, path: str, since: int, dry_run: bool = False) -> DataFrame:
+def put_keys(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
+
+
+def refresh(listing: DataFrame, path: str, since: int, dry_run: bool = False, staging: str | None = None, token: str | None = None) -> DataFrame:
     """Replaces the partitions of years from `since` that the listing has; returns their counts."""
     rows = listing.where(F.col("year") >= since)
     counts = rows.groupBy("state", "year").agg(F.count("*").alias("n"))
     if not dry_run:
-        rows.hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
+        spark = listing.sparkSession
+        staging = staging or scratch(spark, "staging")
+        replaced(spark, path, staging, token or staging.rpartition("/")[2], lambda: rows, lambda ready: put_keys(ready, path))
     return counts
 
 
@@ -100,16 +142,21 @@ def feature_lines(features: DataFrame, path: str, column: str = "feature") -> No
     features.select(column).write.mode("overwrite").text(path)
 
 
-def staged_merge(new: DataFrame, path: str, key: str, staging: str) -> None:
-    """Adds rows to the partitions that they touch, one row a key; what is read is staged before it is overwritten."""
+def staged_merge(new: DataFrame, path: str, key: str, staging: str, token: str) -> int:
+    """Adds rows to the partitions that they touch, one row a key: of several the new one, of several new ones the greatest; returns the rows of those partitions.
+
+    What is read is staged before it is overwritten; a call that failed is repeated with the same staging and token (see replaced).
+    """
     spark = new.sparkSession
-    parts = new.select("state", "year").distinct()
-    rows = new
-    if exists(spark, path):
-        have = spark.read.schema(new.schema).parquet(path)
-        rows = new.unionByName(have.join(parts, ["state", "year"], "left_semi").select(new.columns))
-    rows.dropDuplicates([key]).write.mode("overwrite").parquet(staging)
-    spark.read.schema(new.schema).parquet(staging).hint("rebalance", "state", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "year").parquet(path)
+
+    def rows() -> DataFrame:
+        parts, both = new.select("state", "year").distinct(), new.withColumn("_new", F.lit(True))
+        if exists(spark, path):
+            have = spark.read.schema(new.schema).parquet(path)
+            both = both.unionByName(have.join(parts, ["state", "year"], "left_semi").select(*new.columns, F.lit(False).alias("_new")))
+        return both.groupBy(key).agg(F.max(F.struct("_new", *new.columns)).alias("row")).select(*[F.col(f"row.{c}") for c in new.columns])
+
+    return replaced(spark, path, staging, token, rows, lambda ready: put_keys(ready.select(new.columns), path))
 
 
 def is_stale(built: Column, source: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.spatial import range_join
-from .files import listing, opened
+from .files import listed, opened
 
 MOST_GROUPS = 96
 
@@ -16,7 +17,7 @@ MOST_GROUPS = 96
 def scan_footers(spark: SparkSession, path: str, names: tuple = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
     """(file, row_group, num_rows, xmin, ymin, xmax, ymax) of each row group with statistics of all four leaves; raises if a leaf is missing.
 
-    Files are listed without their content; executors fetch each file's footer alone.
+    Files are listed by tasks; executors fetch each file's footer alone.
     """
 
     def footers(batches):
@@ -37,7 +38,7 @@ def scan_footers(spark: SparkSession, path: str, names: tuple = ("xmin", "ymin",
             kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "row_group", "num_rows", "xmin", "ymin", "xmax", "ymax"])
 
-    return listing(spark, path, "*.parquet").select("path").mapInArrow(footers, "file string, row_group int, num_rows long, xmin double, ymin double, xmax double, ymax double")
+    return listed(spark.createDataFrame([(path,)], "prefix string"), ".parquet").select("path").mapInArrow(footers, "file string, row_group int, num_rows long, xmin double, ymin double, xmax double, ymax double")
 
 
 def hits(index: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
@@ -45,17 +46,33 @@ def hits(index: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     return range_join(index, boxes, size).select(*index.columns).distinct()
 
 
+def read_groups(groups: DataFrame, columns: list[str], schema: T.StructType) -> DataFrame:
+    """The rows of row groups (file, row_group), in these columns.  Groups are dealt to tasks one by one; a task opens each of its files once and reads ranges of it."""
+    target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def work(batches):
+        for batch in batches:
+            own: dict[str, list[int]] = {}
+            for file, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own.setdefault(file, []).append(group)
+            for file, numbers in own.items():
+                with opened(file) as source:
+                    for found in pq.ParquetFile(source).iter_batches(row_groups=sorted(numbers), columns=columns):
+                        yield pa.RecordBatch.from_arrays([found.column(c).cast(target.field(c).type) for c in columns], schema=target)
+
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.select("file", "row_group").repartition(parts, "file", "row_group").mapInArrow(work, schema)
+
+
 def read(spark: SparkSession, index: DataFrame, boxes: DataFrame, columns: list[str], size: float, most: int = MOST_GROUPS) -> DataFrame:
-    """Rows of the files that the index finds, in the columns asked for; row groups are skipped by the box's pushed-down extent.
+    """The rows of the row groups that any of the boxes meets, in the columns asked for, and of no other group.
 
-    Refuses more than `most` row groups; so few files are listed on the driver.
+    Refuses more than `most` row groups; an index without files has no columns to read.
     """
     found = hits(index, boxes, size)
-    groups = found.limit(most + 1).select("file").collect()
-    if len(groups) > most:
+    if found.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} row groups")
-    if not groups:
-        return spark.createDataFrame([], index.select("xmin").schema).select().limit(0)
-    e = boxes.agg(F.min("west"), F.min("south"), F.max("east"), F.max("north")).first()
-    rows = spark.read.parquet(*sorted({r.file for r in groups}))
-    return rows.where((F.col("xmin") <= e[2]) & (F.col("xmax") >= e[0]) & (F.col("ymin") <= e[3]) & (F.col("ymax") >= e[1])).select(*columns)
+    one = index.select("file").first()
+    if one is None:
+        raise ValueError("the index has no files")
+    return read_groups(found, columns, spark.read.parquet(one.file).select(*columns).schema)

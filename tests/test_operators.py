@@ -217,3 +217,106 @@ def test_headers_beyond_the_first_fetch_and_cycles():
     for data, reason in ((cyclic.data, "cycle"), (b"II*\0\x08\0\0\0", "cut off"), (b"", "not a TIFF"), (tiff(9), "no CRS")):
         with pytest.raises(ValueError, match=reason):
             headers.header(data)
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    """Folders, a file, the beginning of names, overlaps, hidden names, nothing; rounds of one folder a task give the same."""
+    names = ["a/1/x.tif", "a/1/y.txt", "a/2/z.tif", "a/2/deep/er/w.tif", "b/v.tif", "b/_hidden/u.tif", "b/.t.tif", "ab.tif"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * len(n))
+    below = lambda prefixes, **k: sorted((r.path.split(f"{tmp_path}/")[1], r.length) for r in files.listed(spark.createDataFrame([(f"file://{tmp_path}/{p}",) for p in prefixes], "prefix string"), ".tif", **k).collect())
+    whole = [(n, len(n)) for n in sorted(names) if n.endswith(".tif") and "/_" not in n and "/." not in n]
+    assert below([""]) == below([""], most=1) == below(["a", "b/", "ab.tif"]) == below(["", "a/1"]) == whole
+    assert below(["a/2"]) == [x for x in whole if x[0].startswith("a/2")] and below(["a/1/x.tif"]) == [("a/1/x.tif", 9)] and below(["b/v"]) == [("b/v.tif", 7)]
+    assert below(["none", "none/at/all", "b/v/"]) == [] and files.listed(spark.createDataFrame([], "prefix string")).count() == 0
+
+
+def test_replacement_survives_failures(spark, tmp_path):
+    """A merge that is killed while it overwrites, after partitions are gone, loses no row when it is run again; what is done is not done twice."""
+    import shutil
+
+    schema = "source_key string, state string, year int, filename string"
+    path, staging = str(tmp_path / "index"), str(tmp_path / "staging")
+    old = spark.createDataFrame([(f"k{i}", "nj" if i % 2 else "ri", 2020, "old") for i in range(20)], schema)
+    assert lake.staged_merge(old, path, "source_key", f"{staging}/0", "s-0") == 20
+    new = spark.createDataFrame([("k1", "nj", 2020, "new"), ("k100", "nj", 2020, "new"), ("k100", "nj", 2020, "newest"), ("k0", "de", 2021, "new")], schema)
+    put = lake.put_keys
+
+    def killed(rows, where):
+        shutil.rmtree(f"{where}/state=nj")  # Spark removes old partitions before it moves the new ones in
+        raise RuntimeError("killed")
+
+    lake.put_keys = killed
+    try:
+        with pytest.raises(RuntimeError):
+            lake.staged_merge(new, path, "source_key", f"{staging}/1", "s-1")
+    finally:
+        lake.put_keys = put
+    assert spark.read.schema(schema).parquet(path).count() == 10
+    assert lake.staged_merge(new, path, "source_key", f"{staging}/1", "s-1") == 12
+    rows = {(r.source_key, r.state): r.filename for r in spark.read.schema(schema).parquet(path).collect()}
+    assert len(rows) == 22 and rows["k1", "nj"] == "new" and rows["k100", "nj"] == "newest" and rows["k3", "nj"] == "old" and rows["k0", "ri"] == "old"
+    assert lake.staged_merge(old, path, "source_key", f"{staging}/1", "s-1") == 0 and not (tmp_path / "staging" / "1").exists()
+    assert spark.read.schema(schema).parquet(path).count() == 22
+    # A staging table that was not finished is written anew.
+    (tmp_path / "staging" / "2").mkdir(parents=True)
+    (tmp_path / "staging" / "2" / "part-0.parquet").write_bytes(b"half")
+    assert lake.staged_merge(new.where("state = 'de'"), path, "source_key", f"{staging}/2", "s-2") == 1
+
+
+def test_row_groups_are_read_one_by_one(spark, tmp_path):
+    """Two far boxes: rows of the groups that they meet, and no others; more groups than allowed are refused."""
+    from orthospark.sources import parquet_index
+
+    path = str(tmp_path / "tiles")
+    rows = spark.range(0, 10_000, 1, 4).select("id", *[(F.col("id") / 10.0 + d).alias(n) for n, d in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 0.05), ("ymax", 0.05))], F.lit("x" * 20).alias("other"))
+    rows.write.option("parquet.block.row.count.limit", 100).parquet(path)
+    index = parquet_index.scan_footers(spark, path).cache()
+    assert index.count() == 100 and index.agg(F.sum("num_rows")).first()[0] == 10_000
+    boxes = spark.createDataFrame([(1.0, 1.0, 2.0, 2.0), (900.0, 900.0, 915.0, 915.0), (5.0, 500.0, 6.0, 501.0)], "west double, south double, east double, north double")
+    found = parquet_index.read(spark, index, boxes, ["id", "xmin"], 10.0)
+    ids = sorted(r.id for r in found.collect())
+    hit = sorted((r.file, r.row_group) for r in parquet_index.hits(index, boxes, 10.0).collect())
+    assert found.columns == ["id", "xmin"] and len(hit) == 3 and ids == [*range(100), *range(9000, 9200)]
+    world = spark.createDataFrame([(0.0, 0.0, 1000.0, 1000.0)], "west double, south double, east double, north double")
+    assert len(parquet_index.read(spark, index, world, ["id"], 10.0, most=100).collect()) == 10_000
+    with pytest.raises(ValueError, match="more than 96"):
+        parquet_index.read(spark, index, world, ["id"], 10.0)
+    assert parquet_index.read(spark, index, boxes.limit(0), ["id"], 10.0).count() == 0
+
+
+def test_counts_and_shares_of_row_groups(spark, sf_dir):
+    """total_row_groups_hit, row_group_locality and index_freshness against the footers, read one after another."""
+    import pyarrow.parquet as pq
+
+    from orthospark.plans import QUERIES, lake_queries
+    from orthospark.plans.registry import Views
+
+    v = Views(spark, sf_dir)
+    path, boxes = lake_queries.building_files(v), [tuple(r) for r in v.boxes.select("west", "south", "east", "north").collect()]
+    before = lake_queries.building_files
+    lake_queries.building_files = lambda _: path
+    try:
+        hit, shares = QUERIES["total_row_groups_hit"](spark, sf_dir).first(), {r.order: r.pct for r in QUERIES["row_group_locality"](spark, sf_dir).collect()}
+    finally:
+        lake_queries.building_files = before
+    from pathlib import Path
+
+    groups = []
+    for file in Path(path.removeprefix("file://")).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        leaves = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            stat = lambda n: meta.row_group(g).column(leaves[n]).statistics  # noqa: E731, B023
+            groups.append((file.name, meta.row_group(g).num_rows, stat("xmin").min, stat("ymin").min, stat("xmax").max, stat("ymax").max))
+    met = [x for x in groups if any(x[2] <= b[2] and x[4] >= b[0] and x[3] <= b[3] and x[5] >= b[1] for b in boxes)]
+    assert (hit.row_groups, hit.files, hit.most_rows) == (len(met), len({x[0] for x in met}), sum(x[1] for x in met))
+    whole = (max(x[4] for x in groups) - min(x[2] for x in groups)) * (max(x[5] for x in groups) - min(x[3] for x in groups))
+    assert shares["hilbert"] == pytest.approx(sum((x[4] - x[2]) * (x[5] - x[3]) for x in groups) / len(groups) / whole * 100, abs=2e-3)
+    assert shares["random"] > 3 * shares["hilbert"] if len(groups) > 20 else shares["random"] > 0
+    assert QUERIES["index_freshness"](spark, sf_dir).first().stale is False  # files of today, orders of the last century
+    from orthospark.sources.lake import is_stale
+
+    times = spark.createDataFrame([("2020-01-01", "2020-01-02"), ("2020-01-02", "2020-01-02"), (None, "2020-01-02"), ("2020-01-02", None)], "a string, b string")
+    assert [r[0] for r in times.select(is_stale(F.to_timestamp("a"), F.to_timestamp("b"))).collect()] == [True, False, True, True]

@@ -1,6 +1,7 @@
 """Geometry without a geometry type: affine maps, boxes, rings, projections and curves, as column expressions.
 
-A ring is an array of (x, y) structs whose last point repeats the first.  A box is four columns.  Angles of longitude
+A ring is an array of (x, y) structs whose last point repeats the first.  A shape is an array of parts, each an array of rings: an outer one, then its
+holes.  A box is four columns.  Angles of longitude
 and latitude are degrees.  Projections are the closed forms of Snyder, "Map Projections: A Working Manual" (1987).
 """
 
@@ -69,14 +70,18 @@ def on_edge(e: Column, x: Column, y: Column) -> Column:
     return (cross == 0) & (x >= F.least(e["x1"], e["x2"])) & (x <= F.greatest(e["x1"], e["x2"])) & (y >= F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"]))
 
 
-def covers(ring: Column, x: Column, y: Column) -> Column:
-    """Whether the ring has the point inside or on its boundary."""
+def edges_cover(found: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside the closed lines of these edges, by the even-odd rule, or on one of them."""
     crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
-    found = edges(ring)
     odd = F.aggregate(found, F.lit(False), lambda inside, e: inside != F.coalesce(crossed(e), F.lit(False)))
     return odd | F.exists(found, lambda e: on_edge(e, x, y))
 
 
+def covers(ring: Column, x: Column, y: Column) -> Column:
+    """Whether the ring has the point inside or on its boundary."""
+    return edges_cover(edges(ring), x, y)
+
+
 def edge_meets_box(e: Column, b: tuple) -> Column:
     """Whether a segment meets a box: the box's corners lie on both sides of its line and the boxes meet."""
     side = lambda x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
@@ -90,6 +95,45 @@ def ring_meets_box(ring: Column, b: tuple) -> Column:
     return F.exists(edges(ring), lambda e: edge_meets_box(e, b)) | covers(ring, b[0], b[1])
 
 
+# Shapes
+
+
+def shape_edges(parts: Column) -> Column:
+    return F.flatten(F.transform(F.flatten(parts), edges))
+
+
+def shape_covers(parts: Column, x: Column, y: Column) -> Column:
+    """Whether the shape has the point: inside a part and outside its holes, or on the boundary of any of them.  A shape without parts has none."""
+    return edges_cover(shape_edges(parts), x, y)
+
+
+def shape_meets_box(parts: Column, b: tuple) -> Column:
+    """Exact, and touching counts: an edge of any ring meets the box, or the box lies inside a part; one inside a hole doesn't."""
+    found = shape_edges(parts)
+    return F.exists(found, lambda e: edge_meets_box(e, b)) | edges_cover(found, b[0], b[1])
+
+
+def shape_envelope(parts: Column) -> tuple:
+    return envelope(F.flatten(F.flatten(parts)))
+
+
+def shape_geojson(parts: Column) -> Column:
+    """A Polygon, or a MultiPolygon where there are not one but several parts, or none."""
+    numbers = F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(numbers, F.lit(0)).alias("coordinates")))
+    return F.when(F.size(parts) == 1, one).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), numbers.alias("coordinates"))))
+
+
+def geojson_shape(text: Column) -> Column:
+    """The parts of a Polygon or MultiPolygon; null for other geometries.  Heights are dropped."""
+    ring = "array<array<double>>"
+    kind = F.get_json_object(text, "$.type")
+    points = lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: point(p[0], p[1])))
+    one = F.from_json(text, f"coordinates array<{ring}>")["coordinates"]
+    several = F.from_json(text, f"coordinates array<array<{ring}>>")["coordinates"]
+    return F.when(kind == "Polygon", F.array(points(one))).when(kind == "MultiPolygon", F.transform(several, points))
+
+
 def envelope(ring: Column) -> tuple:
     get = lambda f, name: f(F.transform(ring, lambda p: p[name]))
     return get(F.array_min, "x"), get(F.array_min, "y"), get(F.array_max, "x"), get(F.array_max, "y")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,25 +15,37 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def coalesced_ranges(ranges: DataFrame, gap: int = 1 << 20, most: int = 16 << 20) -> DataFrame:
-    """(file_id, group_off, group_len, n): a file's byte ranges merged while the gap and the merged size allow.
+def assigned_ranges(ranges: DataFrame, gap: int = 1 << 20, most: int = 16 << 20) -> DataFrame:
+    """(file_id, off, len, group_off, start): each byte range with the group that it is fetched in, and where it starts inside.
 
-    Sparse ranges (offset or length 0) are left out.  The size limit makes groups depend on order, so a file's distinct
-    ranges are folded in order; a file has as many as it has tiles, which is bounded.
+    A file's ranges are merged in order while the gap and the merged size allow.  Sparse ranges (offset or length 0, or null)
+    are left out; a range that is larger than a group is one by itself, and repeated ranges share theirs.  The size limit makes groups depend on order, so a file's
+    ranges are folded in order: files are dealt to tasks and sorted by Spark, and a task keeps the open group alone, whatever
+    the number of a file's ranges.
     """
-    own = ranges.where("off > 0 and len > 0").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("off", "len"))).alias("r"))
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,n:bigint>>")
-
-    def step(groups: Column, r: Column) -> Column:
-        last = F.try_element_at(groups, F.lit(-1))
-        end = F.greatest(last["e"], r["off"] + r["len"])
-        joins = (F.size(groups) > 0) & (r["off"] - last["e"] <= gap) & (end - last["s"] <= most)
-        grown = F.struct(last["s"].alias("s"), end.alias("e"), (last["n"] + 1).alias("n"))
-        new = F.struct(r["off"].alias("s"), (r["off"] + r["len"]).alias("e"), F.lit(1).cast("long").alias("n"))
-        return F.when(joins, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(groups, F.array(new)))
-
-    folded = own.select("file_id", F.explode(F.aggregate("r", empty, step)).alias("g"))
-    return folded.select("file_id", F.col("g.s").alias("group_off"), (F.col("g.e") - F.col("g.s")).alias("group_len"), F.col("g.n").alias("n"))
+    kind = ranges.schema["file_id"].dataType.simpleString()
+
+    def fold(batches):
+        file, first, stop = None, 0, 0
+        for batch in batches:
+            groups = []
+            for own, off, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                end = max(stop, off + size)
+                if own != file or off - stop > gap or end - first > most:
+                    file, first, end = own, off, off + size
+                stop = end
+                groups.append(first)
+            start = pc.subtract(batch.column(1), pa.array(groups, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int64()), start], names=["file_id", "off", "len", "group_off", "start"])
+
+    rows = ranges.where("off > 0 and len > 0 and file_id is not null").select("file_id", F.col("off").cast("long").alias("off"), F.col("len").cast("long").alias("len"))
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "off", "len").mapInArrow(fold, f"file_id {kind}, off long, len long, group_off long, start long")
+
+
+def coalesced_ranges(ranges: DataFrame, gap: int = 1 << 20, most: int = 16 << 20) -> DataFrame:
+    """(file_id, group_off, group_len, n): the groups of assigned_ranges, with their lengths and numbers of ranges."""
+    end = F.max(F.col("start") + F.col("len")).alias("group_len")
+    return assigned_ranges(ranges, gap, most).groupBy("file_id", "group_off").agg(end, F.count("*").alias("n"))
 
 
 def select_level(levels: DataFrame, wanted: DataFrame, rule: str, key: str = "raster_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..functions.wkb import from_wkb, to_wkb
+from ..functions.wkb import from_wkb, shape_from_wkb, shape_to_wkb, to_wkb
 from ..operators import predicates, spatial, stats, tiles
 from .catalog_queries import cut_ring
 from .registry import query
@@ -125,11 +125,19 @@ def primary_tileset(v):
     return finest.withColumn("n", F.row_number().over(W.partitionBy("s").orderBy("mpp", "raster_id"))).where("n = 1").select("s", F.col("raster_id").alias("primary_id"), "mpp")
 
 
-@query("""with recursive r as (select file_id, off, off + len as e, row_number() over (partition by file_id order by off, len) as i from ranges where off > 0 and len > 0),
-  walk(file_id, i, g, s, e) as (select file_id, i, 1, off, e from r where i = 1
+_WALK = """with recursive r as (select file_id, off, len, off + len as e, row_number() over (partition by file_id order by off, len) as i from ranges where off > 0 and len > 0),
+  walk(file_id, i, g, s, e, off, len) as (select file_id, i, 1, off, e, off, len from r where i = 1
     union all select r.file_id, r.i, case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then w.g else w.g + 1 end, case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then w.s else r.off end,
-      case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then greatest(w.e, r.e) else r.e end from walk w join r on r.file_id = w.file_id and r.i = w.i + 1)
-  select file_id, s as group_off, max(e) - s as group_len, count(*) as n from walk group by file_id, g, s""")
+      case when r.off - w.e <= 1048576 and greatest(w.e, r.e) - w.s <= 16777216 then greatest(w.e, r.e) else r.e end, r.off, r.len from walk w join r on r.file_id = w.file_id and r.i = w.i + 1)"""
+
+
+@query(f"{_WALK} select file_id, off, len, s as group_off, off - s as start from walk")
+def assign_byte_ranges(v):
+    """Each range with its group and its place there."""
+    return tiles.assigned_ranges(v.ranges)
+
+
+@query(f"{_WALK} select file_id, s as group_off, max(e) - s as group_len, count(*) as n from walk group by file_id, g, s")
 def coalesce_byte_ranges(v):
     return tiles.coalesced_ranges(v.ranges)
 
@@ -544,3 +552,48 @@ def subtile_grid(v):
     n = F.col("s_suppkey") % 7 + 1
     rows = v.supplier.select(F.col("s_suppkey").alias("raster_id"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i"))
     return rows.select("raster_id", "i", tiles.half_up(F.col("i") * 256 / F.col("n")).alias("bound"))
+
+
+def shapes(v):
+    """Shapes of the views: a part with a hole, an island in the hole, and for every third a part that touches the first at a corner."""
+    w, s, e, n = (F.col(x) for x in spatial.WINDOW)
+    hole, island, corner = (w + 0.5, s + 0.25, w + 1.5, s + 0.75), (w + 0.75, s + 0.375, w + 1.0, s + 0.5), (e, n, e + 0.5, n + 0.5)
+    first = F.array(geo.box_ring((w, s, e, n)), geo.box_ring(hole))
+    parts = F.array(first, F.array(geo.box_ring(island)))
+    return v.boxes.select("idx", *spatial.WINDOW, F.when(F.col("idx") % 3 == 0, F.concat(parts, F.array(F.array(geo.box_ring(corner))))).otherwise(parts).alias("parts"))
+
+
+_IN_SHAPE = """(p.x between b.west and b.east and p.y between b.south and b.north and not (p.x > b.west + 0.5 and p.x < b.west + 1.5 and p.y > b.south + 0.25 and p.y < b.south + 0.75))
+  or (p.x between b.west + 0.75 and b.west + 1.0 and p.y between b.south + 0.375 and b.south + 0.5) or (b.idx % 3 = 0 and p.x between b.east and b.east + 0.5 and p.y between b.north and b.north + 0.5)"""
+
+
+@query(f"select b.idx, count(*) as n, min(p.id) as id, max(p.id) as last_id from boxes b join (select id, floor(xmin * 16) / 16 as x, floor(ymin * 16) / 16 as y from buildings) p on {_IN_SHAPE} group by b.idx")
+def points_in_shapes(v):
+    """Places, many of them on boundaries, in shapes with holes, islands and several parts."""
+    p = v.buildings.select("id", (F.floor(F.col("xmin") * 16) / 16).alias("x"), (F.floor(F.col("ymin") * 16) / 16).alias("y"))
+    p = p.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
+    s = shapes(v)
+    s = s.select("idx", "parts", *[c.alias(n) for c, n in zip(geo.shape_envelope(F.col("parts")), spatial.WINDOW)])
+    pairs = spatial.range_join(p, s, 2.5).where(geo.shape_covers(F.col("parts"), F.col("x"), F.col("y")))
+    return pairs.groupBy("idx").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("last_id"))
+
+
+@query("""select s.idx, r.rid from boxes s join (select k as rid, xmin as w, ymin as s, xmax as e, ymax as n from footprints where k % 4 = 1) r on r.w <= s.east + 0.5 and r.e >= s.west and r.s <= s.north + 0.5 and r.n >= s.south
+  where (r.w <= s.east and r.e >= s.west and r.s <= s.north and r.n >= s.south and not (r.w > s.west + 0.5 and r.e < s.west + 1.5 and r.s > s.south + 0.25 and r.n < s.south + 0.75))
+    or (r.w <= s.west + 1.0 and r.e >= s.west + 0.75 and r.s <= s.south + 0.5 and r.n >= s.south + 0.375) or (s.idx % 3 = 0 and r.w <= s.east + 0.5 and r.e >= s.east and r.s <= s.north + 0.5 and r.n >= s.north)""")
+def shapes_meeting_boxes(v):
+    """Footprints' boxes that meet shapes: not those that lie inside a hole."""
+    r = v.footprints.where("k % 4 = 1").select(F.col("k").alias("rid"), *spatial.BOX)
+    s = shapes(v)
+    s = s.select("idx", "parts", *[c.alias(n) for c, n in zip(geo.shape_envelope(F.col("parts")), spatial.WINDOW)])
+    return spatial.range_join(r, s, 2.5).where(geo.shape_meets_box(F.col("parts"), predicates.box_of())).select("idx", "rid")
+
+
+@query("""select idx, case when idx % 3 = 0 then 3 else 2 end as n_parts, case when idx % 3 = 0 then 20 else 15 end as n_points, west as xmin, south as ymin, case when idx % 3 = 0 then east + 0.5 else east end as xmax, case when idx % 3 = 0 then north + 0.5 else north end as ymax, true as same, 'MultiPolygon' as kind from boxes""")
+def shape_codecs(v):
+    """Shapes through WKB and through GeoJSON and back."""
+    there = shape_from_wkb(shape_to_wkb(shapes(v).select("idx", "parts"), "parts"), "geometry", "from_wkb")
+    text = geo.shape_geojson(F.col("from_wkb"))
+    again = geo.geojson_shape(text)
+    found = there.select("idx", F.size("from_wkb").alias("n_parts"), F.size(F.flatten(F.flatten("from_wkb"))).alias("n_points"), *[c.alias(n) for c, n in zip(geo.shape_envelope(F.col("from_wkb")), spatial.BOX)], ((again == F.col("parts")) & (F.col("from_wkb") == F.col("parts")) & F.col("reason").isNull()).alias("same"), F.get_json_object(text, "$.type").alias("kind"))
+    return found

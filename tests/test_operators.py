@@ -40,6 +40,48 @@ def test_ring_predicates(spark):
     assert list(row) == [True, True, False, True, False, False, True, True, True, False]
 
 
+def test_shapes_with_holes_and_parts(spark):
+    """Holes, an island in a hole, rings that touch in a point and along an edge; none, null."""
+    ring = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    parts = [[ring(0, 0, 10), ring(2, 2, 6)], [ring(4, 4, 2)], [ring(10, 10, 3)], [ring(2, 3, 1)]]
+    rows = [(1, [[[{"x": float(x), "y": float(y)} for x, y in r] for r in p] for p in parts]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "id int, parts array<array<array<struct<x:double,y:double>>>>")
+    places = {(1, 1): True, (3, 7): False, (5, 5): True, (4, 4): True, (2, 7): True, (7, 7.5): False, (10, 10): True, (12, 12): True, (11, 9): False, (2.5, 3.5): True, (8, 8): True, (3, 3.5): True, (-1, 0): False, (10.5, 13): True}
+    got = df.select("id", *[geo.shape_covers(F.col("parts"), F.lit(float(x)), F.lit(float(y))) for x, y in places]).orderBy("id").collect()
+    assert list(got[0])[1:] == list(places.values()) and not any(list(got[1])[1:]) and set(list(got[2])[1:]) == {None}
+    boxes = {(6.5, 6.5, 7.5, 7.5): False, (6.5, 6.5, 8, 7): True, (3.5, 3.5, 6.5, 6.5): True, (-5, -5, 20, 20): True, (0.5, 0.5, 1, 1): True, (13, 13, 14, 14): True, (11, 5, 12, 9): False, (6, 6, 7, 7): True, (-2, -2, -1, -1): False}
+    got = df.where("id < 3").select("id", *[geo.shape_meets_box(F.col("parts"), tuple(F.lit(float(v)) for v in b)) for b in boxes]).orderBy("id").collect()
+    assert list(got[0])[1:] == list(boxes.values()) and not any(list(got[1])[1:])
+    assert list(df.where("id = 1").select(*geo.shape_envelope(F.col("parts"))).first()) == [0.0, 0.0, 13.0, 13.0]
+
+
+def test_wkb_of_shapes(spark):
+    """Either byte order, heights, measures, SRIDs, several parts; reasons for what is no polygon."""
+    import struct
+
+    from orthospark.functions import wkb
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    plain = [[[{"x": x, "y": y} for x, y in ring]]]
+
+    def polygon(order="<", code=3, width=2, srid=None):
+        head = struct.pack(f"{order}BI", order == "<", code) + (struct.pack(f"{order}I", srid) if srid else b"")
+        return head + struct.pack(f"{order}II", 1, 4) + b"".join(struct.pack(f"{order}{width}d", *p, *[9.0] * (width - 2)) for p in ring)
+
+    good = [polygon(), polygon(">"), polygon("<", 1003, 3), polygon(">", 2003, 3), polygon("<", 3003, 4), polygon("<", 3 | 0x80000000, 3), polygon("<", 3 | 0x20000000, 2, 4326), polygon("<", 3 | 0xE0000000, 4, 4326)]
+    assert all(wkb.decoded(x) == (plain, None) for x in good)
+    several = struct.pack(">BII", 0, 6, 2) + polygon() + polygon(">")
+    assert wkb.decoded(several) == (plain * 2, None) and wkb.decoded(wkb.encoded(plain * 2)) == (plain * 2, None)
+    assert wkb.decoded(wkb.encoded([])) == ([], None) and wkb.decoded(struct.pack("<BII", 1, 3, 0)) == ([], None) and wkb.decoded(None) == (None, None)
+    for raw, why in ((polygon()[:-1], "cut off"), (b"", "cut off"), (b"\x02" + polygon()[1:], "byte order"), (struct.pack("<BI2d", 1, 1, 0, 0), "type 1"), (struct.pack("<BII", 1, 6, 1) + struct.pack("<BI2d", 1, 1, 0, 0), "part of type 1")):
+        parts, reason = wkb.decoded(raw)
+        assert parts is None and why in reason
+    df = spark.createDataFrame([(1, bytearray(several)), (2, bytearray(b"x")), (3, None)], "id int, g binary")
+    assert [(r.id, r.parts and len(r.parts), r.reason) for r in wkb.shape_from_wkb(df, "g").orderBy("id").collect()] == [(1, 2, None), (2, None, "no byte order"), (3, None, None)]
+    with pytest.raises(Exception, match="not a polygon of one ring"):
+        wkb.from_wkb(df, "g").collect()
+
+
 def test_hilbert_steps_are_adjacent(spark):
     n = 16
     cells = spark.range(n * n).select((F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"))
@@ -81,6 +123,23 @@ def test_coalesced_ranges(spark):
         assert sorted((r.group_off, r.group_len) for r in got if r.file_id == f) == merged([r[1:] for r in ranges if r[0] == f], 20, 100)
 
 
+def test_assigned_ranges(spark):
+    """Every range lies in its group at its start; ranges that are null, sparse, repeated or larger than a group; a file of a million."""
+    rng = random.Random(6)
+    rows = [(f, rng.randrange(0, 400), rng.randrange(0, 60)) for f in "abcdefgh" for _ in range(40)] + [("a", 5, 500), ("a", 5, 500), (None, 1, 1), ("a", None, 3), ("z", 0, 9), ("z", 9, 0)]
+    got = tiles.assigned_ranges(spark.createDataFrame(rows, "file_id string, off int, len int"), 20, 100).collect()
+    kept = [x for x in rows if x[0] and x[1] and x[2]]
+    assert sorted((r.file_id, r.off, r.len) for r in got) == sorted(kept)
+    for f in "abcdefgh":
+        groups = dict(merged([x[1:] for x in kept if x[0] == f], 20, 100))
+        for r in got:
+            if r.file_id == f:
+                assert r.start == r.off - r.group_off and r.start + r.len <= groups[r.group_off]
+    many = spark.range(1_000_000).select(F.lit("big").alias("file_id"), (F.col("id") * 1000 + 1).alias("off"), F.lit(900).alias("len"))
+    r = tiles.coalesced_ranges(many, 200, 50_000).agg(F.count("*"), F.sum("n"), F.max("group_len")).first()
+    assert list(r) == [20_000, 1_000_000, 49_900]
+
+
 def test_range_join_has_each_pair_once(spark):
     random.seed(2)
     box = lambda: (lambda x, y: (x, y, x + random.choice([0, 1, 7]), y + random.choice([0, 2])))(random.randrange(30), random.randrange(30))

@@ -278,10 +278,8 @@ def tiff(n: int) -> bytes:
     return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", count) + b"".join(struct.pack("<HHI", t, k, m) + x for t, k, m, x in entries) + struct.pack("<I", 8 if n % 50 == 0 else 0) + bytes(gap) + doubles + keys + names
 
 
-@query("""select p_partkey as file_id, case when p_partkey % 50 = 0 then 'directories form a cycle' when p_partkey % 9 = 0 then 'no CRS' end as error, case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then cast(26910 + p_partkey % 10 as int) end as proj_epsg,
-  case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then cast(500000 + p_partkey * 10 as double) end as x0, case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then 'Red' end as band from part""")
-def scan_cog_headers(v):
-    """Headers of written TIFF files, one a part."""
+def image_files(v) -> str:
+    """TIFF files, one a part."""
     path = files.scratch(v.spark, "images")
 
     def images(batches):
@@ -290,10 +288,35 @@ def scan_cog_headers(v):
             yield pa.RecordBatch.from_pydict({"name": [f"{n % 100:02}/{n}.tif" for n in numbers], "content": pa.array([tiff(n) for n in numbers], pa.binary())})
 
     files.write_objects(v.part.select("p_partkey").repartition(16, "p_partkey").mapInArrow(images, "name string, content binary"), path)
-    rows = headers.scan(v.spark, path)
+    return path
+
+
+@query("""select p_partkey as file_id, case when p_partkey % 50 = 0 then 'directories form a cycle' when p_partkey % 9 = 0 then 'no CRS' end as error, case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then cast(26910 + p_partkey % 10 as int) end as proj_epsg,
+  case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then cast(500000 + p_partkey * 10 as double) end as x0, case when not (p_partkey % 9 = 0 or p_partkey % 50 = 0) then 'Red' end as band from part""")
+def scan_cog_headers(v):
+    """Headers of written TIFF files, one a part."""
+    rows = headers.scan(v.spark, image_files(v))
     return rows.select(F.regexp_extract("path", r"/(\d+)\.tif$", 1).cast("long").alias("file_id"), "error", "proj_epsg", F.get("proj_bbox", F.lit(0)).alias("x0"), F.get("band_names", F.lit(0)).alias("band"))
 
 
+# Snyder's inverse transverse Mercator of the lower left and upper right corners.
+_CORNERS = """with p as (select p_partkey as file_id, (p_partkey % 10 + 10) * 6 - 183 as lon0, t.k, 500000 + p_partkey * 10 + t.k * 128.0 as x, cast(4499936.0 + t.k * 64.0 as double) as y from part, (values (0), (1)) t(k) where p_partkey % 9 <> 0 and p_partkey % 50 <> 0),
+  e as (select *, 6378137.0::double as a, 2/298.257222101::double - 1/(298.257222101::double*298.257222101) as e2 from p), m as (select *, y/0.9996/(a*(1-e2/4-3*e2*e2/64-5*e2*e2*e2/256)) as mu, (1-sqrt(1-e2))/(1+sqrt(1-e2)) as e1, e2/(1-e2) as ep from e),
+  f as (select *, mu + (3*e1/2-27*e1**3/32)*sin(2*mu) + (21*e1**2/16-55*e1**4/32)*sin(4*mu) + (151*e1**3/96)*sin(6*mu) + (1097*e1**4/512)*sin(8*mu) as phi from m),
+  g as (select *, a/sqrt(1-e2*sin(phi)**2) as n, a*(1-e2)/(1-e2*sin(phi)**2)**1.5 as r, tan(phi)**2 as t, ep*cos(phi)**2 as c from f), h as (select *, (x-500000)/(n*0.9996) as d from g),
+  q as (select file_id, k, lon0 + degrees((d-(1+2*t+c)*d**3/6+(5-2*c+28*t-3*c*c+8*ep+24*t*t)*d**5/120)/cos(phi)) as lon, degrees(phi-(n*tan(phi)/r)*(d*d/2-(5+3*t+10*c-4*c*c-9*ep)*d**4/24+(61+90*t+298*c+45*t*t-252*ep-3*c*c)*d**6/720)) as lat from h)"""
+
+
+@query(f"{_CORNERS} select file_id, max(case when k = 0 then round(lon, 7) end) as west, max(case when k = 0 then round(lat, 7) end) as south, max(case when k = 1 then round(lon, 7) end) as east, max(case when k = 1 then round(lat, 7) end) as north, 5 as n_points, true as inside from q group by file_id")
+def header_footprints(v):
+    """Lower left and upper right corners of the images' footprints in longitude and latitude, from their headers."""
+    rows = headers.scan(v.spark, image_files(v)).where("error is null")
+    at = lambda i, n: F.round(F.get("ring", F.lit(i))[n], 7)
+    box = tuple(F.col(n) for n in spatial.BOX)
+    inside = F.forall("ring", lambda p: (p["x"] >= box[0]) & (p["x"] <= box[2]) & (p["y"] >= box[1]) & (p["y"] <= box[3])) & F.col("crs_error").isNull()
+    return rows.select(F.regexp_extract("path", r"/(\d+)\.tif$", 1).cast("long").alias("file_id"), at(0, "x").alias("west"), at(0, "y").alias("south"), at(2, "x").alias("east"), at(2, "y").alias("north"), F.size("ring").alias("n_points"), inside.alias("inside"))
+
+
 @query("select region as state, year, count(*) as n from footprints group by 1, 2")
 def incremental_key_ingest(v):
     """Two landings of key files; the second repeats some keys of the first."""

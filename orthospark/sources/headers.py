@@ -8,7 +8,9 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geo, projections
 from .files import listing, opened
 
 #: Bytes fetched at once at a file's start; most bytes of a tag, and most directories, that are taken for real.
@@ -35,35 +37,42 @@ class Ranges:
         return self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""
 
 
-def directories(data) -> list[dict[int, tuple | str]]:
-    """The tags of every directory of a classic TIFF; data: its bytes, or read(at, n)."""
+def directories(data, most: int = MOST_DIRECTORIES) -> list[dict[int, tuple | str]]:
+    """The tags of every directory of a TIFF, classic or big (of 64-bit offsets); data: its bytes, or read(at, n); most: directories that are taken for real."""
     read = data if callable(data) else lambda at, n: data[at : at + n]
-    start = read(0, 8)
+    start = read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(start[:2])
-    if order is None or len(start) < 8 or struct.unpack(order + "H", start[2:4])[0] != 42:
+    magic = struct.unpack(order + "H", start[2:4])[0] if order and len(start) >= 8 else 0
+    if magic == 43 and (len(start) < 16 or struct.unpack(order + "HH", start[4:8]) != (8, 0)):
+        magic = 0
+    if magic not in (42, 43):
         raise ValueError("not a TIFF file")
-    out, place, seen = [], struct.unpack(order + "I", start[4:8])[0], set()
+    # Sizes of counts and entries, and codes of counts, entries and offsets.
+    n_count, n_entry, n_offset, count_code, entry_code, offset_code = (2, 12, 4, "H", "HHI", "I") if magic == 42 else (8, 20, 8, "Q", "HHQ", "Q")
+    out, place, seen = [], struct.unpack(order + offset_code, start[4:8] if magic == 42 else start[8:16])[0], set()
     while place:
-        if place in seen or len(seen) >= MOST_DIRECTORIES:
+        if place in seen:
             raise ValueError("directories form a cycle")
+        if len(seen) >= most:
+            raise ValueError(f"more than {most} directories")
         seen.add(place)
-        head = read(place, 2)
-        count = struct.unpack(order + "H", head)[0] if len(head) == 2 else 0
-        table = read(place + 2, 12 * count + 4)
-        if not count or len(table) < 12 * count:
+        head = read(place, n_count)
+        count = struct.unpack(order + count_code, head)[0] if len(head) == n_count else 0
+        table = read(place + n_count, n_entry * count + n_offset)
+        if not count or len(table) < n_entry * count:
             raise ValueError("a directory is cut off")
         tags: dict[int, tuple | str] = {}
         for k in range(count):
-            entry = table[12 * k : 12 * k + 12]
-            tag, kind, n = struct.unpack(order + "HHI", entry[:8])
-            size = _SIZES.get(kind, 0) * n
-            raw = entry[8 : 8 + size] if size <= 4 else read(struct.unpack(order + "I", entry[8:12])[0], size) if tag in _WANTED else b""
+            entry = table[n_entry * k : n_entry * (k + 1)]
+            tag, kind, n = struct.unpack(order + entry_code, entry[:-n_offset])
+            size, value = _SIZES.get(kind, 0) * n, entry[-n_offset:]
+            raw = value[:size] if size <= n_offset else read(struct.unpack(order + offset_code, value)[0], size) if tag in _WANTED else b""
             if kind == 2:
                 tags[tag] = raw.split(b"\0")[0].decode("ascii", "replace")
             elif kind in _CODES and len(raw) == size:
                 tags[tag] = struct.unpack(f"{order}{n}{_CODES[kind]}", raw)
         out.append(tags)
-        place = struct.unpack(order + "I", table[12 * count :])[0] if len(table) == 12 * count + 4 else 0
+        place = struct.unpack(order + offset_code, table[n_entry * count :])[0] if len(table) == n_entry * count + n_offset else 0
     return out
 
 
@@ -111,8 +120,26 @@ def header(data) -> dict:
 SCHEMA = "path string, error string, proj_shape array<int>, band_count int, bits array<int>, ifd_count int, proj_epsg int, citation string, gsd double, proj_transform array<double>, proj_bbox array<double>, band_names array<string>"
 
 
-def scan(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """A row a file; a file that can't be read has an error and no fields, and stops nothing.  Files are listed without their content and read by ranges."""
+def footprints(rows: DataFrame, crs: DataFrame | None = None) -> DataFrame:
+    """rows, their corners as a ring of longitude and latitude, its envelope (xmin, ymin, xmax, ymax), and crs_error where the CRS is not known.
+
+    A code is looked up by rule, then in crs (code, name, crs: see projections.crs_parameters); a user-defined one (32767) by its citation, which is the name.
+    """
+    rule, user = projections.of_epsg(F.col("proj_epsg")), F.col("proj_epsg") == 32767
+    if crs is None:
+        rows = rows.withColumn("_crs", rule)
+    else:
+        name = F.when(user, projections.plain_name(F.col("citation")))
+        by_code, by_name = crs.select(F.col("code").alias("_code"), F.col("crs").alias("_by_code")), crs.groupBy(F.col("name").alias("_name")).agg(F.min("crs").alias("_by_name"))
+        rows = rows.join(by_code, F.col("proj_epsg") == F.col("_code"), "left").join(by_name, name == F.col("_name"), "left").withColumn("_crs", F.coalesce(rule, "_by_code", "_by_name")).drop("_code", "_by_code", "_name", "_by_name")
+    box = tuple(F.get("proj_bbox", F.lit(i)) for i in range(4))
+    ring = F.when(F.col("_crs").isNotNull() & F.col("proj_bbox").isNotNull(), F.transform(geo.box_ring(box), lambda p: projections.to_lonlat(F.col("_crs"), p["x"], p["y"])))
+    rows = rows.withColumn("ring", ring).withColumn("crs_error", F.when(F.col("proj_epsg").isNotNull() & F.col("_crs").isNull(), "CRS is not known")).drop("_crs")
+    return rows.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), geo.envelope(F.col("ring")))))
+
+
+def scan(spark: SparkSession, path: str, pattern: str = "*.tif", crs: DataFrame | None = None) -> DataFrame:
+    """A row a file, with its footprint (see footprints); a file that can't be read has an error and no fields, and stops nothing.  Files are listed without their content and read by ranges."""
     ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
     kinds = {"proj_shape": ints, "band_count": pa.int32(), "bits": ints, "ifd_count": pa.int32(), "proj_epsg": pa.int32(), "citation": pa.string(), "gsd": pa.float64(), "proj_transform": doubles, "proj_bbox": doubles, "band_names": pa.list_(pa.string())}
 
@@ -127,4 +154,4 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
                     rows.append({"error": str(e) or type(e).__name__})
             yield pa.RecordBatch.from_pydict({"path": batch.column(0), "error": pa.array([r["error"] for r in rows], pa.string())} | {n: pa.array([r.get(n) for r in rows], k) for n, k in kinds.items()})
 
-    return listing(spark, path, pattern).select("path").mapInArrow(read, SCHEMA)
+    return footprints(listing(spark, path, pattern).select("path").mapInArrow(read, SCHEMA), crs)

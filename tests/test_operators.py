@@ -379,3 +379,88 @@ def test_counts_and_shares_of_row_groups(spark, sf_dir):
 
     times = spark.createDataFrame([("2020-01-01", "2020-01-02"), ("2020-01-02", "2020-01-02"), (None, "2020-01-02"), ("2020-01-02", None)], "a string, b string")
     assert [r[0] for r in times.select(is_stale(F.to_timestamp("a"), F.to_timestamp("b"))).collect()] == [True, False, True, True]
+
+
+def test_projections_by_parameters(spark):
+    """Snyder's worked examples on Clarke's ellipsoid, in metres; round trips of every kind, also in feet and south of the equator."""
+    from orthospark.functions import projections as P
+
+    clarke = {"a": P.CLARKE1866[0], "inv_f": P.CLARKE1866[1]}
+    examples = [
+        (P.crs("lcc", 23, -96, 33, 45, **clarke), -75.0, 35.0, 1894410.9, 1564649.5), (P.crs("albers", 23, -96, 29.5, 45.5, **clarke), -75.0, 35.0, 1885472.7, 1535925.0),
+        (P.crs("tmerc", 0, -75, k0=0.9996, **clarke), -73.5, 40.5, 127106.5, 4484124.4),
+    ]
+    for own, lon, lat, x, y in examples:
+        r = spark.range(1).select(P.from_lonlat(own, F.lit(lon), F.lit(lat)).alias("p")).first().p
+        assert abs(r.x - x) < 0.06 and abs(r.y - y) < 0.06
+    kinds = [
+        P.crs("tmerc", 38.83, -74.5, k0=0.9999, x0=492125.0, unit=1200 / 3937), P.crs("lcc", 36.67, -119, 38.43, 37.07, x0=2e6, y0=5e5), P.crs("lcc", -30, 25, -28, -32), P.crs("lcc", 40, -100, 40, 40, k0=0.9998, unit=0.3048),
+        P.crs("albers", 23, -96, 29.5, 45.5), P.crs("albers", -23, 135, -18, -36), P.crs("mercator", inv_f=0), P.crs("longlat"), P.of_epsg(F.lit(32633)), P.of_epsg(F.lit(32733)), P.crs("albers", 23, -96, 30, 30, inv_f=0),
+    ]
+    near = [(-74.2, 40.1), (-121.0, 37.2), (26.0, -29.0), (-99.0, 41.0), (-80.0, 36.0), (140.0, -30.0), (11.0, 47.0), (11.0, 47.0), (14.5, 50.0), (16.0, -20.0), (-90.0, 40.0)]
+    for own, (lon, lat) in zip(kinds, near):
+        r = spark.range(1).select(P.from_lonlat(own, F.lit(lon), F.lit(lat)).alias("p")).select(P.to_lonlat(own, F.col("p.x"), F.col("p.y")).alias("q")).first().q
+        assert abs(r.x - lon) < 2e-8 and abs(r.y - lat) < 2e-8  # two millimetres
+    assert spark.range(1).select(P.to_lonlat(F.lit(None).cast(P.TYPE), F.lit(1.0), F.lit(1.0))).first()[0] is None
+
+
+def test_crs_from_text(spark):
+    from orthospark.functions import projections as P
+
+    geog = 'GEOGCS["NAD83",DATUM["D",SPHEROID["GRS 1980",6378137,298.257222101,AUTHORITY["EPSG","7019"]]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+    nj = f'PROJCS["NAD83 / New Jersey (ftUS)",{geog},PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",38.83333333333334],PARAMETER["central_meridian",-74.5],PARAMETER["scale_factor",0.9999],PARAMETER["false_easting",492125],PARAMETER["false_northing",0],UNIT["US survey foot",0.3048006096012192],AXIS["X",EAST],AUTHORITY["EPSG","3424"]]'
+    ky = f'PROJCS["NAD83 / Kentucky Single Zone (ftUS)",{geog},PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["standard_parallel_1",37.08333333333334],PARAMETER["standard_parallel_2",38.66666666666666],PARAMETER["latitude_of_origin",36.33333333333334],PARAMETER["central_meridian",-85.75],PARAMETER["false_easting",4921250],PARAMETER["false_northing",3280833.333],UNIT["US survey foot",0.3048006096012192]]'
+    odd = f'PROJCS["x",{geog},PROJECTION["Hotine_Oblique_Mercator"],UNIT["metre",1]]'
+    table = spark.createDataFrame([(3424, nj), (3089, ky), (4269, geog), (1, odd), (3424, nj)], "code int, wkt string")
+    found = P.crs_parameters(table)
+    got = {r.code: r for r in found.collect()}
+    assert set(got) == {3424, 3089, 4269} and got[3424].name == "nad83 new jersey ftus"
+    own = got[3424].crs
+    assert (own.kind, own.lon0, own.k0, own.x0, own.a) == ("tmerc", -74.5, 0.9999, 492125.0, 6378137.0) and abs(own.unit - 0.3048006) < 1e-6 and got[3089].crs.lat2 == 38.66666666666666 and got[4269].crs.kind == "longlat"
+    from orthospark.sources import headers
+
+    rows = spark.createDataFrame(
+        [("a", 3424, None, [492125.0, 0.0, 492126.0, 1.0]), ("b", 32767, "NAD83 / Kentucky Single Zone (ftUS)", [4921250.0, 3280833.333, 4921251.0, 3280834.0]), ("c", 26918, None, [500000.0, 4500000.0, 500001.0, 4500001.0]), ("d", 9999, None, [0.0, 0.0, 1.0, 1.0]), ("e", None, None, None)],
+        "path string, proj_epsg int, citation string, proj_bbox array<double>",
+    )
+    got = {r.path: r for r in headers.footprints(rows, found).collect()}
+    assert (round(got["a"].xmin, 6), round(got["a"].ymin, 6)) == (-74.5, 38.833333) and (round(got["b"].xmin, 6), round(got["b"].ymin, 6)) == (-85.75, 36.333333)
+    assert abs(got["c"].xmin + 75) < 1e-9 and 40.6 < got["c"].ymin < 40.7 and len(got["c"].ring) == 5 and got["c"].ring[0] == got["c"].ring[4]
+    assert got["d"].ring is None and got["d"].crs_error == "CRS is not known" and got["e"].ring is None and got["e"].crs_error is None
+    assert headers.footprints(rows).where("ring is not null").count() == 1
+
+
+def test_headers_of_other_files():
+    """Big-endian, 64-bit offsets, strips, rationals, cut off, too many directories."""
+    import struct
+
+    from orthospark.sources import headers
+
+    def file(order="<", big=False, tiles=True, rational=False, chain=1):
+        count, entry, offset = ("Q", "HHQ", "Q") if big else ("H", "HHI", "I")
+        width = 8 if big else 4
+        start = (b"II" if order == "<" else b"MM") + (struct.pack(f"{order}HHHQ", 43, 8, 0, 16) if big else struct.pack(f"{order}HI", 42, 8))
+        doubles = struct.pack(f"{order}9d", 0.5, 0.5, 0.0, 0, 0, 0, 5e5, 4e6, 0)
+        keys = struct.pack(f"{order}8H", 1, 1, 0, 1, 3072, 0, 1, 26915)
+        tags = [(256, 3, 1, struct.pack(f"{order}H", 300)), (257, 4, 1, struct.pack(f"{order}I", 200))] + [(282, 5, 1, None)] * rational + [(322, 3, 1, struct.pack(f"{order}H", 256))] * tiles + [(33550, 12, 3, 0), (33922, 12, 6, 24), (34735, 3, 8, 72)]
+        size = struct.calcsize(f"{order}{count}") + len(tags) * (struct.calcsize(f"{order}{entry}") + width) + width
+        after = len(start) + size * chain
+        out = start
+        for k in range(chain):
+            rows = b""
+            for tag, kind, n, value in tags:
+                raw = struct.pack(f"{order}{offset}", after + value) if isinstance(value, int) else (value or struct.pack(f"{order}{offset}", after)).ljust(width, b"\0")
+                rows += struct.pack(f"{order}{entry}", tag, kind, n) + raw
+            out += struct.pack(f"{order}{count}", len(tags)) + rows + struct.pack(f"{order}{offset}", len(start) + size * (k + 1) if k + 1 < chain else 0)
+        return out + doubles + keys
+
+    for order in "<>":
+        for big in (False, True):
+            found = headers.header(file(order, big, rational=True, chain=2))
+            assert (found["proj_shape"], found["proj_epsg"], found["ifd_count"], found["proj_bbox"]) == ([200, 300], 26915, 2, [5e5, 4e6 - 100, 5e5 + 150, 4e6])
+            for data, reason in ((file(order, big, tiles=False), "no internal tiling"), (file(order, big)[: 60 if big else 40], "cut off"), (file(order, big)[:7], "not a TIFF")):
+                with pytest.raises(ValueError, match=reason):
+                    headers.header(data)
+    with pytest.raises(ValueError, match="more than 3 directories"):
+        headers.directories(file(chain=4), most=3)
+    assert len(headers.directories(file(chain=4))) == 4

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pixels
+from ..functions import geo, pixels, projections
+from .spatial import WINDOW, range_join
 
 
 def at(data: Column, width: int, row: Column, col: Column) -> Column:
@@ -81,6 +82,52 @@ def first_opaque(pixels_of_sources: DataFrame, place: tuple[str, ...], rank: str
     return pixels_of_sources.where(opaque).groupBy(*place).agg(F.min_by(value, F.col(rank)).alias("value"))
 
 
+def mosaic(targets: DataFrame, sources: DataFrame, width: int, height: int, target_crs: Column, size: float, opaque=lambda v: v.isNotNull(), block: int = 64) -> DataFrame:
+    """(target, row, col, value, source): each target pixel's value from the first source, by rank, that is opaque there.
+
+    targets: target, tx, ty, tw, th (the upper left corner and the size of a pixel, in target_crs); a target has width x height pixels.
+    sources: source, rank, sx, sy, sw, sh (upper left corner and pixel size in its own CRS), columns, rows, crs (see projections), data (row by
+    row), and west, south, east, north in longitude and latitude: what of it may be shown.
+
+    The pixels of a target are cut into blocks of rows; a block is joined with the sources whose box it meets, and every pixel's centre is
+    mapped to longitude and latitude, to the source's CRS and to a row and column there.  A block folds its sources in the order of rank,
+    and a source adds only to pixels that are still empty; of the sources that a full block has left over nothing is read.  A pixel whose centre lies outside a
+    source's box or grid takes nothing from it.
+    """
+    rows_a_block = max(1, block // width)
+    n = F.col("_rows") * width
+    blocks = targets.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(rows_a_block)))).withColumn("_rows", F.least(F.lit(rows_a_block), F.lit(height) - F.col("_row")))
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: projections.to_lonlat(target_crs, F.col("tx") + (i % width + 0.5) * F.col("tw"), F.col("ty") - (F.floor(i / width) + F.col("_row") + 0.5) * F.col("th")))
+    blocks = blocks.withColumn("_at", place)
+    box = dict(zip((f"_{n}" for n in ("w", "s", "e", "n")), geo.envelope(F.col("_at"))))
+    blocks = blocks.select("target", "_row", "_rows", "_at", *[c.alias(k) for k, c in box.items()])
+    pairs = range_join(blocks, sources, size, tuple(box), WINDOW)
+
+    def value(q: Column) -> Column:
+        own = projections.from_lonlat(F.col("crs"), q["x"], q["y"])
+
+        def looked_up(p: Column) -> Column:
+            c, r = F.floor((p["x"] - F.col("sx")) / F.col("sw")), F.floor((F.col("sy") - p["y"]) / F.col("sh"))
+            inside = (c >= 0) & (r >= 0) & (c < F.col("columns")) & (r < F.col("rows")) & (q["x"] >= F.col("west")) & (q["x"] <= F.col("east")) & (q["y"] >= F.col("south")) & (q["y"] <= F.col("north"))
+            found = F.get(F.col("data"), (r * F.col("columns") + c).cast("int"))
+            return F.when(inside & opaque(found), found)
+
+        return F.transform(F.array(own), looked_up)[0]
+
+    seen = pairs.select("target", "_row", "rank", "source", F.transform("_at", value).alias("v")).where(F.exists("v", lambda x: x.isNotNull()))
+    # The sources of a block are few: those that meet a place.  Each pixel takes the first that has it.
+    ordered = seen.groupBy("target", "_row").agg(F.sort_array(F.collect_list(F.struct("rank", "source", "v"))).alias("s"))
+    pixel = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast(sources.schema["source"].dataType).alias("source"))
+    empty = F.transform(F.get("s", F.lit(0))["v"], lambda _: pixel)
+
+    def paint(out: Column, s: Column) -> Column:
+        full = F.forall(out, lambda x: x["source"].isNotNull())
+        return F.when(full, out).otherwise(F.zip_with(out, s["v"], lambda x, v: F.when(x["source"].isNull() & v.isNotNull(), F.struct(v.alias("value"), s["source"].alias("source"))).otherwise(x)))
+
+    painted = ordered.select("target", "_row", F.posexplode(F.aggregate("s", empty, paint)).alias("_i", "p")).where("p.source is not null")
+    return painted.select("target", (F.col("_row") + F.floor(F.col("_i") / width)).cast("int").alias("row"), (F.col("_i") % width).alias("col"), "p.value", "p.source")
+
+
 def undo_differences(cells: DataFrame, by: tuple[str, ...], order: str, value: str, bits: int) -> DataFrame:
     """Running sums of horizontal differences, modulo 2 ** bits."""
     from pyspark.sql import Window as W

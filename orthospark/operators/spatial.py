@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import geo
 from ..sources.files import scratch
@@ -113,3 +114,44 @@ def semi_join_boxes(df: DataFrame, boxes: DataFrame, key: str, size: float = 1.0
     """Rows whose box meets any of the boxes, each once."""
     hit = range_join(df.select(key, *box), boxes.select(*window), size, box, window).select(key).distinct()
     return df.join(hit, key, "left_semi")
+
+
+def nearest(requests: DataFrame, items: DataFrame, k: int, size: float, request: str = "rid", item: str = "id", at: tuple = ("rx", "ry"), place: tuple = ("x", "y")) -> DataFrame:
+    """(request, item, distance2, rank): the k nearest items of every request, by squared distance, equal ones in the order of their ids.
+
+    Squares grow around the requests that have fewer than k items within their half side, which is doubled each round from
+    `size` on; the others are done, as nothing outside the square is nearer.  So a request reads about what lies near it, in a dense place and
+    in an empty one.  A square that holds all items ends it, with fewer than k if there are no more.  The best k of each task go into the shuffle, not all
+    candidates.  Requests and items without a place meet nothing; ids of requests are unique.
+    """
+    spark = requests.sparkSession
+    own = finite(items.select(F.col(item).alias("_item"), *[F.col(n).cast("double").alias(f"_i{a}") for n, a in zip(place, "xy")]), ("_ix", "_iy"))
+    left = finite(requests.select(F.col(request).alias("_request"), *[F.col(n).cast("double").alias(f"_r{a}") for n, a in zip(at, "xy")]), ("_rx", "_ry"))
+    e = own.agg(F.min("_ix"), F.min("_iy"), F.max("_ix"), F.max("_iy")).first()
+    r = left.agg(F.min("_rx"), F.min("_ry"), F.max("_rx"), F.max("_ry")).first()
+    kinds = f"_request {left.schema['_request'].dataType.simpleString()}, _item {own.schema['_item'].dataType.simpleString()}, distance2 double, rank int"
+    if e[0] is None or r[0] is None:
+        return spark.createDataFrame([], kinds).withColumnsRenamed({"_request": request, "_item": item})
+    whole = max(e[2] - r[0], r[2] - e[0], e[3] - r[1], r[3] - e[1])  # half a side that reaches every item from every request
+    radius, out, first = size, None, W.partitionBy("_request").orderBy("distance2", "_item")
+    d2 = (F.col("_ix") - F.col("_rx")) * (F.col("_ix") - F.col("_rx")) + (F.col("_iy") - F.col("_ry")) * (F.col("_iy") - F.col("_ry"))
+    while True:
+        squares = left.withColumns({"_w": F.col("_rx") - radius, "_s": F.col("_ry") - radius, "_e": F.col("_rx") + radius, "_n": F.col("_ry") + radius})
+        points = own.withColumns({"_x1": F.col("_ix"), "_y1": F.col("_iy"), "_x2": F.col("_ix"), "_y2": F.col("_iy")})
+        pairs = range_join(points, squares, size, ("_x1", "_y1", "_x2", "_y2"), ("_w", "_s", "_e", "_n")).withColumn("distance2", d2)
+        last = radius >= whole
+        if not last:
+            pairs = pairs.where(F.col("distance2") <= radius * radius)
+        best = pairs.select("_request", "_item", "distance2").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        path = scratch(spark, "nearest")
+        best.write.parquet(path)
+        best = spark.read.schema(kinds).parquet(path)
+        done = best if last else best.join(best.where(F.col("rank") == k).select("_request"), "_request", "left_semi")
+        out = done if out is None else out.union(done)
+        if not last:
+            path = scratch(spark, "left")
+            left.join(best.where(F.col("rank") == k).select("_request"), "_request", "left_anti").write.parquet(path)
+            left = spark.read.schema(left.schema).parquet(path)
+        if last or left.isEmpty():
+            return out.withColumnsRenamed({"_request": request, "_item": item})
+        radius *= 2

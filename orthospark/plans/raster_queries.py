@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import pixels as P
+from ..functions import projections, render
 from ..operators import rasters, spatial
 from .registry import query
 
@@ -252,6 +253,49 @@ def mosaic_first_opaque(v):
     return rasters.first_opaque(rows, ("place", "pos"), "tile", F.col("v"), F.col("v") > 0.05)
 
 
+_LOOKS = "select tile, label, pos, v, case when label % 2 = 0 then -0.2 else -0.1 end::double as lo, case when label % 2 = 0 then 0.2 else 0.3 end::double as hi, case when label % 3 <> 0 then 0.1::double end as nodata, d[64 - pos] as g, d[(pos // 8) * 8 + 8 - pos % 8] as b from cells join (select tile, list(v order by pos) as d from cells group by tile) using (tile)"
+_SHOWN = lambda c: f"floor(greatest(0.0, least(1.0, (greatest(0.0, least(1.0, ({c} - lo) / (hi - lo))) - 0.5) * 1.2 + 0.55)) * 255 + 0.5)"
+
+
+@query(f"""select tile, pos, r, gg as g, bb as b, case when r is null or gg is null or bb is null then 0.0 when greatest(r8, g8, b8) <= 2 or (least(r, gg, bb) >= 240 and greatest(r, gg, bb) - least(r, gg, bb) <= 12) then 0.0 else 255.0 end::double as alpha
+  from (select tile, pos, case when nodata is null or round(v, 1) <> nodata then {_SHOWN("v")} end::double as r, case when nodata is null or round(g, 1) <> nodata then {_SHOWN("g")} end::double as gg, case when nodata is null or round(b, 1) <> nodata then {_SHOWN("b")} end::double as bb,
+    floor(v * 255 + 0.5) as r8, floor(g * 255 + 0.5) as g8, floor(b * 255 + 0.5) as b8 from ({_LOOKS}))""")
+def render_by_collection(v):
+    """Three bands through a pipeline given as data, whose nodata and domain are each collection's own, joined."""
+    label = F.col("label")
+    looks = v.embeddings.select("label").distinct().select("label", F.when(label % 2 == 0, -0.2).otherwise(-0.1).alias("lo"), F.when(label % 2 == 0, 0.2).otherwise(0.3).alias("hi"), F.when(label % 3 != 0, 0.1).alias("nodata"))
+    rows = v.tiles.join(v.embeddings.select(F.col("vec_id").alias("tile"), "label"), "tile").join(looks, "label")
+    cells = rows.select("tile", "lo", "hi", "nodata", "data", F.posexplode("data").alias("pos", "v"))
+    at = lambda i: F.get("data", i.cast("int"))
+    pos = F.col("pos")
+    pipeline = [
+        {"module": "mask", "props": {"nodata": F.col("nodata"), "digits": 1}}, {"module": "composite", "props": {"order": [0, 1, 2]}}, {"module": "rescale", "props": {"lo": F.col("lo"), "hi": F.col("hi")}},
+        {"module": "adjust", "props": {"brightness": 0.05, "contrast": 1.2}}, {"module": "quantize"}, {"module": "collar"},
+    ]
+    (r, g, b), alpha = render.compiled(pipeline, [at(pos), at(F.lit(63) - pos), at(F.floor(pos / 8) * 8 + 7 - pos % 8)])
+    return cells.select("tile", F.col("pos").cast("long").alias("pos"), r.alias("r"), g.alias("g"), b.alias("b"), alpha.alias("alpha"))
+
+
+_R = 6378137.0
+_MOSAIC = f"""with src as (select tile as source, list(v order by pos) as d, cast(tile % 40 as double) * 0.5 - 10 as x0, 40 - cast(tile % 17 as double) * 0.5 as y0, 0.0625::double * (1 + tile % 3) as w, 0.5::double * (1 + tile % 3) as span from cells where tile % 7 <> 0 group by tile),
+  t as (select c as tc, r as tr, i as row, j as col, degrees((-1000000.0 + c * 400000.0 + (j + 0.5) * 25000.0) / {_R}) as lon, degrees(atan(sinh((5000000.0 - r * 400000.0 - (i + 0.5) * 25000.0) / {_R}))) as lat from range(6) a(c), range(5) b(r), range(16) p(i), range(16) q(j))"""
+
+
+@query(f"""{_MOSAIC} select cast(tr * 10 + tc as bigint) as target, cast(row as int) as row, cast(col as int) as col, arg_min(v, source) as value, min(source) as source from (
+    select t.*, s.source, d[cast(floor((s.y0 - lat) / w) * 8 + floor((lon - s.x0) / w) + 1 as int)] as v from t join src s on lon >= s.x0 and lon < s.x0 + s.span and lat <= s.y0 and lat > s.y0 - s.span and lon <= s.x0 + s.span * 0.75) where v > 0.02 group by 1, 2, 3""")
+def mosaic_by_inverse_mapping(v):
+    """Mercator tiles from sources of three resolutions in longitude and latitude, each shown in three quarters of its width: the first opaque one by number."""
+    t = F.col("tile")
+    sources = v.tiles.where("tile % 7 <> 0").select(
+        t.alias("source"), t.alias("rank"), "data", ((t % 40).cast("double") * 0.5 - 10).alias("sx"), (F.lit(40) - (t % 17).cast("double") * 0.5).alias("sy"), ((t % 3 + 1) * 0.0625).alias("sw"), ((t % 3 + 1) * 0.0625).alias("sh"),
+        F.lit(8).alias("columns"), F.lit(8).alias("rows"), projections.crs("longlat").alias("crs"), ((t % 3 + 1) * 0.5).alias("span"),
+    )
+    sources = sources.withColumns({"west": F.col("sx"), "south": F.col("sy") - F.col("span"), "east": F.col("sx") + F.col("span") * 0.75, "north": F.col("sy")}).drop("span")
+    grid = v.part.select((F.col("p_partkey") % 6).alias("c"), (F.floor(F.col("p_partkey") / 6) % 5).alias("r")).distinct()
+    targets = grid.select((F.col("r") * 10 + F.col("c")).cast("long").alias("target"), (F.lit(-1000000.0) + F.col("c") * 400000.0).alias("tx"), (F.lit(5000000.0) - F.col("r") * 400000.0).alias("ty"), F.lit(25000.0).alias("tw"), F.lit(25000.0).alias("th"))
+    return rasters.mosaic(targets, sources, 16, 16, projections.of_epsg(F.lit(3857)), 0.5, lambda x: x > 0.02)
+
+
 @query("select tile, pos, v from cells where pos % 8 between 2 and 5 and pos // 8 between 1 and 6")
 def cutline_clip(v):
     return v.cells.where((F.col("pos") % 8).between(2, 5) & F.floor(F.col("pos") / 8).between(1, 6)).select("tile", "pos", "v")

@@ -300,6 +300,13 @@ def lod_bucket(v):
     return v.footprints.select("k", steps(px, [(900, 384), (600, 256), (360, 192), (220, 128), (120, 96)], 64).alias("size"), steps(far, [(12000, 32), (6000, 16), (3000, 8), (1500, 4), (760, 2)], 1).alias("split"))
 
 
+@query("select pid, fid, rank from (select p.pid, d.fid, row_number() over (partition by p.pid order by (p.x - (d.xmin + 5000)) * (p.x - (d.xmin + 5000)) + (p.y - (d.ymin + 5000)) * (p.y - (d.ymin + 5000)), d.fid) as rank from points p cross join dem_tiles d) where rank <= 3")
+def nearest_tiles_of_points(v):
+    """The three elevation tiles whose centres are nearest to each point."""
+    centres = v.dem_tiles.select("fid", (F.col("xmin") + 5000.0).alias("cx"), (F.col("ymin") + 5000.0).alias("cy"))
+    return spatial.nearest(v.points, centres, 3, 5000.0, "pid", "fid", ("x", "y"), ("cx", "cy")).select("pid", "fid", "rank")
+
+
 # Geometry
 
 

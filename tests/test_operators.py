@@ -464,3 +464,68 @@ def test_headers_of_other_files():
     with pytest.raises(ValueError, match="more than 3 directories"):
         headers.directories(file(chain=4), most=3)
     assert len(headers.directories(file(chain=4))) == 4
+
+
+def test_nearest_of_many_requests(spark):
+    """The k nearest of every request, ties by id, dense and empty places, fewer items than k, requests far outside, nulls."""
+    rng = random.Random(8)
+    items = [(i, round(rng.gauss(5, 0.3), 2), round(rng.gauss(5, 0.3), 2)) for i in range(600)] + [(1000 + i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(60)] + [(5000, None, 1.0), (5001, float("nan"), 1.0)]
+    asks = [(i, rng.uniform(4, 6), rng.uniform(4, 6)) for i in range(40)] + [(100 + i, rng.uniform(-500, 1500), rng.uniform(0, 1000)) for i in range(20)] + [(300, None, 2.0)]
+    a = spark.createDataFrame(asks, "rid long, rx double, ry double")
+    b = spark.createDataFrame(items, "id long, x double, y double")
+    real = [x for x in items if x[0] < 5000]
+    for k, few in ((4, real), (10, real[:7])):
+        want = {}
+        for rid, x, y in asks[:-1]:
+            best = sorted(((p[1] - x) * (p[1] - x) + (p[2] - y) * (p[2] - y), p[0]) for p in few)[:k]
+            want |= {(rid, n + 1): i for n, (_, i) in enumerate(best)}
+        own = b if few is real else b.where(F.col("id").isin([x[0] for x in few]))
+        got = spatial.nearest(a, own, k, 0.5).collect()
+        assert {(r.rid, r["rank"]): r.id for r in got} == want and len(got) == len(want)
+    assert spatial.nearest(a, b.limit(0), 3, 1.0).count() == spatial.nearest(a.limit(0), b, 3, 1.0).count() == 0
+
+
+def test_pipelines_given_as_data(spark):
+    from orthospark.functions import render
+
+    df = spark.createDataFrame([(0.5, 0.25, 0.0, 0.5, 0.0, 1.0), (0.5, 0.25, 1.0, None, 0.0, 0.5), (0.0, 0.0, 0.0, 0.9, 0.0, 1.0), (None, 1.0, 1.0, 0.9, 0.0, 1.0)], "r double, g double, b double, nodata double, lo double, hi double")
+    run = lambda pipeline, *names: [[*r.c, r.a] for r in (lambda c, a: df.select(F.array(*c).alias("c"), a.alias("a")))(*render.compiled(pipeline, [F.col(n) for n in names])).collect()]
+    assert run([{"module": "mask", "props": {"nodata": F.col("nodata")}}], "r", "g") == [[None, 0.25, 0.0], [0.5, 0.25, 255.0], [0.0, 0.0, 255.0], [None, 1.0, 0.0]]
+    assert run([{"module": "composite", "props": {"order": [2, None, 0]}}], "r", "g", "b")[1] == [1.0, 1.0, 0.5, 255.0]
+    assert run([{"module": "rescale", "props": {"lo": F.col("lo"), "hi": F.col("hi")}}], "r", "b")[:2] == [[0.5, 0.0, 255.0], [1.0, 1.0, 255.0]]
+    assert run([{"module": "colormap", "props": {"table": [[0, 0, 0], [0.1, 0.2, 0.3], [1, 1, 1]], "size": 3}}], "r")[:2] == [[0.1, 0.2, 0.3, 255.0]] * 2
+    assert run([{"module": "gray", "props": {"white_is_zero": True}}], "g")[0] == [0.75, 0.75, 0.75, 255.0]
+    assert [r[3] for r in run([{"module": "quantize"}, {"module": "collar"}], "r", "g", "b")] == [255.0, 255.0, 0.0, 0.0]
+    assert run([{"module": "validity", "props": {"flag": F.col("b")}}], "g") == [[None, 0.0], [0.25, 255.0], [None, 0.0], [1.0, 255.0]]
+    for bad in ({"module": "shade"}, {"module": "mask"}, {"module": "quantize", "props": {"x": 1}}, {"module": "quantize", "prop": {}}):
+        with pytest.raises(ValueError):
+            render.compiled([bad], [F.col("r")])
+
+
+def test_mosaic_takes_the_first_that_is_opaque(spark):
+    """A coarse and a fine source, holes, a clipped box, another CRS, a pixel of no source."""
+    from orthospark.functions import projections as P
+
+    fields = "source string, rank int, sx double, sy double, sw double, sh double, columns int, rows int, west double, south double, east double, north double, data array<double>"
+    fine = ("fine", 1, 0.0, 4.0, 1.0, 1.0, 4, 4, 0.0, 0.0, 3.0, 4.0, [float(i) if i % 5 else None for i in range(16)])  # its last column may not be shown
+    coarse = ("coarse", 2, 0.0, 4.0, 2.0, 2.0, 2, 2, 0.0, 0.0, 4.0, 4.0, [100.0, 101.0, 102.0, None])
+    sources = spark.createDataFrame([coarse, fine], fields).withColumn("crs", P.crs("longlat"))
+    targets = spark.createDataFrame([(7, 0.0, 4.0, 1.0, 1.0)], "target int, tx double, ty double, tw double, th double")
+    for block in (4, 8, 64):
+        got = {(r.row, r.col): (r.value, r.source) for r in rasters.mosaic(targets, sources, 5, 4, P.crs("longlat"), 1.0, block=block).collect()}
+        want = {}
+        for r in range(4):
+            for c in range(5):
+                i = r * 4 + c
+                over = coarse[12][(r // 2) * 2 + c // 2] if c < 4 else None
+                if c < 3 and i % 5:
+                    want[r, c] = (float(i), "fine")
+                elif over is not None:
+                    want[r, c] = (over, "coarse")
+        assert got == want
+    # The same source in UTM: its pixels come out where the projection puts them.
+    utm = P.of_epsg(F.lit(32631))
+    places = spark.createDataFrame([(3.0, 45.0)], "lon double, lat double").select(P.from_lonlat(utm, F.col("lon"), F.col("lat")).alias("p")).first().p
+    own = spark.createDataFrame([("u", 1, places.x, places.y, 10.0, 10.0, 2, 2, -180.0, -90.0, 180.0, 90.0, [1.0, 2.0, 3.0, 4.0])], fields).withColumn("crs", utm).withColumns({"west": F.lit(2.99), "south": F.lit(44.99), "east": F.lit(3.01), "north": F.lit(45.01)})
+    got = rasters.mosaic(spark.createDataFrame([(1, 3.0, 45.0, 0.000127, 0.00009)], "target int, tx double, ty double, tw double, th double"), own, 2, 2, P.crs("longlat"), 0.001).collect()
+    assert {(r.row, r.col): r.value for r in got} == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): 3.0, (1, 1): 4.0}

@@ -11,19 +11,23 @@ similar meet at an anchor with a chance of about 2 in 100,000; far beyond 100 mi
 First, homes are compared with visitors by the first 128 bits, which no segment has.  A text with one partner is held
 against it.  Texts with more partners go to their anchors again with a sketch: the whole fingerprint and 512 parities of shingle
 hashes (two sets differ in at least as many shingles as their parities).  Pairs that sizes and sketches allow are nearly always similar;
-of them a spanning forest is held against the whole sets, never a group's pairs.  If a forest's pair fails, all pairs
-that sketches allow and that are still apart are checked, so that no link is lost to it.
+of them a spanning forest is held against the whole sets, never a group's pairs.  If a forest's pair fails, the texts of its
+tree go to their anchors once more, with WIDE parities: these tell a similarity of 0.75 from 0.8 for texts of up to some
+thousand words, so a crowd of texts that are nearly similar proposes few pairs, not all of them; the pairs that are allowed and still apart are checked,
+so that no link is lost to a pair that failed.
 
 keep() chooses a row, not an id: of each component the row with the least id (null ids last), then the least text hash;
 of rows that repeat both, one.  That depends neither on the order of rows nor on their partitions.
 
 Defined cases: null and empty texts are equal sets; repeated rows are copies; a row with a null id stays only if its
 group has no id; texts of rows with one id may differ and are then judged on their own; an empty table stays empty; all
-columns are kept, but names that begin with "_near_" are taken.  A very long text is worked on alone.
+columns are kept, whatever their names.  A very long text is worked on alone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,8 +41,8 @@ from .simhash import BLOCK, SHARE, compared, dealt, flips, labels, syndromes
 SHINGLE_WORDS, FINGERPRINT_BITS, FIRST_BITS, PARITIES, SEGMENT_BITS, SEGMENT_COUNT = 5, 320, 128, 512, 20, 72
 #: Most of the first bits, and of all bits, that may differ: 3.5 standard deviations over the mean at similarity 0.8.
 CHECK_BITS, ALL_BITS = 34, 71
-#: Pairs of rows compared at a time.
-PAIRS = 1 << 17
+#: Pairs of rows compared at a time; parities of texts in a tree with a pair that failed.
+PAIRS, WIDE = 1 << 17, 4096
 #: Most rows of a table of wanted texts that is broadcast.
 BROADCAST_ROWS = 1 << 20
 _SPREAD = np.random.default_rng(64).integers(1 << 62, size=(FINGERPRINT_BITS // 64, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,18 +90,22 @@ def wide_fingerprints(first: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(first: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """A row of 64 bytes a set: whether it has an odd number of shingles for each remainder of their hashes."""
-    out = np.empty((len(first) - 1, PARITIES // 8), dtype=np.uint8)
-    for at in range(0, len(out), 1024):
-        i, j = first[at], first[min(at + 1024, len(out))]
-        own = first[at : at + 1025] - i
+def parities(first: np.ndarray, value: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """A row of bits // 8 bytes a set: whether it has an odd number of shingles for each remainder of their hashes."""
+    out, many = np.empty((len(first) - 1, bits // 8), dtype=np.uint8), max(1, (1 << 19) // bits)
+    for at in range(0, len(out), many):
+        i, j = first[at], first[min(at + many, len(out))]
+        own = first[at : at + many + 1] - i
         owner = np.repeat(np.arange(len(own) - 1), np.diff(own))
-        odd = np.bincount(owner * PARITIES + (value[i:j] % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES * (len(own) - 1)) & 1
-        out[at : at + 1024] = np.packbits(odd.astype(np.uint8).reshape(-1, PARITIES), axis=1)
+        odd = np.bincount(owner * bits + (value[i:j] % np.uint64(bits)).astype(np.int64), minlength=bits * (len(own) - 1)) & 1
+        out[at : at + many] = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1)
     return out
 
 
+def sketches(first: np.ndarray, value: np.ndarray, bits: int = PARITIES) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.concatenate([wide_fingerprints(first, value), parities(first, value, bits)], axis=1)], pa.binary())
+
+
 def segment_places(segments: int) -> np.ndarray:
     """Which bits each segment has, drawn so that some at a time have none in common; the first bits are left for the check."""
     draw, each = np.random.default_rng(20), (FINGERPRINT_BITS - FIRST_BITS) // SEGMENT_BITS
@@ -127,21 +135,21 @@ def prints(docs: DataFrame, text: str, id: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         first, value, node = sets(batch.column(1))
-        sketch = np.concatenate([wide_fingerprints(first, value), parities(first, value)], axis=1)
-        return pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(2), "node": pa.array(node.view(np.int64)), "n": pa.array(np.diff(first).astype(np.int32)), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
+        return pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(2), "node": pa.array(node.view(np.int64)), "n": pa.array(np.diff(first).astype(np.int32)), "sketch": sketches(first, value)})
 
     kind = docs.schema[id].dataType.simpleString()
     return map_chunks(docs.select(id, text, F.xxhash64(text)), text, work, f"id {kind}, hash long, node long, n int, sketch binary")
 
 
-def allowed(n: tuple[np.ndarray, np.ndarray], sketch: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which pairs may be similar, by their sizes and sketches (rows of 64-bit words)."""
-    least, most = np.minimum(*n).astype(np.int64), np.maximum(*n).astype(np.int64)
-    out = 5 * least >= 4 * most
+def allowed(n: tuple[np.ndarray, np.ndarray], sketch: tuple[np.ndarray, np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs (u of the first, v of the second) may be similar, by their sizes and sketches (rows of 64-bit words)."""
+    least, most = np.minimum(n[0][u], n[1][v]).astype(np.int64), np.maximum(n[0][u], n[1][v]).astype(np.int64)
+    out, cut = 5 * least >= 4 * most, FINGERPRINT_BITS // 64
+    differ = lambda at, own: np.bitwise_count(sketch[0][u[at], own] ^ sketch[1][v[at], own]).sum(axis=1, dtype=np.int64)
     at = np.flatnonzero(out)
-    differ = np.bitwise_count(sketch[0][at] ^ sketch[1][at])
-    cut = FINGERPRINT_BITS // 64
-    out[at] = (differ[:, :cut].sum(axis=1, dtype=np.int64) <= ALL_BITS) & (9 * differ[:, cut:].sum(axis=1, dtype=np.int64) <= least[at] + most[at])
+    out[at] = differ(at, slice(0, cut)) <= ALL_BITS
+    for at in np.array_split(np.flatnonzero(out), max(1, int(out.sum()) >> 14)):
+        out[at] = 9 * differ(at, slice(cut, None)) <= least[at] + most[at]
     return out
 
 
@@ -169,7 +177,7 @@ def met(number: np.ndarray, columns: dict[str, np.ndarray], pairs: int = PAIRS):
         near = np.bitwise_count(words[u] ^ words[v]).sum(axis=1) <= CHECK_BITS
         u, v = u[near], v[near]
         if "n" in columns and len(u):
-            near = allowed((columns["n"][u], columns["n"][v]), (columns["sketch"][u], columns["sketch"][v]))
+            near = allowed((columns["n"],) * 2, (columns["sketch"],) * 2, u, v)
             u, v = u[near], v[near]
         if len(u):
             yield u, v
@@ -252,6 +260,13 @@ def proposed(nodes: DataFrame, every: bool, *sizes: int) -> DataFrame:
     return at_anchors(nodes, pairs, "a long, b long", *sizes, whole=True).distinct()
 
 
+def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(text) of the rows whose text has a hash of wanted (hash); a table of few is broadcast."""
+    hashes = wanted.select("hash").distinct()
+    hashes = F.broadcast(hashes) if wanted.count() <= BROADCAST_ROWS else hashes
+    return docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash")).join(hashes, "hash", "left_semi").select("text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs whose sets are similar, as a written table."""
     pairs = written(pairs, "pairs")
@@ -261,21 +276,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
         for batch in batches:
             n = tuple(np.asarray(batch.column(c)) for c in ("a_n", "b_n"))
             sketch = tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
-            yield batch.select(["a", "b"]).filter(pa.array(allowed(n, sketch)))
+            row = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(allowed(n, sketch, row, row)))
 
     half = written(pairs.join(of("a"), "a"), "pairs")
     close = written(half.join(of("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(near, "a long, b long"), "close")
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     wanted = written(wanted.join(nodes.select("node", "best.hash"), "node"), "wanted")
-    hashes = wanted.select(F.col("hash").alias("_near_hash")).distinct()
-    hashes = F.broadcast(hashes) if wanted.count() <= BROADCAST_ROWS else hashes
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         first, value, node = sets(batch.column(0))
         return pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))})
 
-    rows = docs.select(text, F.xxhash64(text).alias("_near_hash")).join(hashes, "_near_hash", "left_semi").select(text)
-    whole = written(map_chunks(rows, text, work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    whole = written(map_chunks(texts_of(docs, text, wanted), "text", work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     side = lambda s: whole.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     links = written(close.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "links")
@@ -295,12 +308,24 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: in
     forest = written(proposed(busy, False, *sizes), "forest")
     links = verified(lone.union(forest).distinct(), nodes, docs, text)
     roots = components(links)
-    if not forest.join(links, ["a", "b"], "left_anti").isEmpty():
-        apart = written(busy.drop("root").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "sketch"), "apart")
+    failed = written(forest.join(links, ["a", "b"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        # The texts of trees with a pair that failed, with wide sketches.
+        trees = components(forest)
+        hit = failed.select(F.col("a").alias("node")).join(trees, "node").select("root").distinct()
+        inside = written(trees.join(hit, "root", "left_semi").select("node").join(nodes.select("node", "n", F.col("best.hash").alias("hash")), "node"), "inside")
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            first, value, node = sets(batch.column(0))
+            return pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "sketch": sketches(first, value, WIDE)})
+
+        wide = map_chunks(texts_of(docs, text, inside), "text", work, "node long, sketch binary").dropDuplicates(["node"])
+        apart = written(inside.join(wide, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "sketch"), "apart")
         more = verified(proposed(apart, True, *sizes), nodes, docs, text)
         roots = components(links.union(more))
-        dropped(apart)
-        dropped(more)
+        for old in (inside, apart, more):
+            dropped(old)
+    dropped(failed)
     out = written(nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")), "linked")
     for old in (found, nodes, met_by, busy, forest, links):
         dropped(old)
@@ -310,8 +335,8 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: in
 def keep(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: int = SEGMENT_COUNT, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """One document of each group of near copies, with all its columns."""
     chosen = linked(docs, text, id, segments, block, share).groupBy("root").agg(F.min("best").alias("best"))
-    chosen = written(chosen.select(F.xxhash64("best.id").alias("_near_id"), F.col("best.none").alias("_near_none"), F.col("best.hash").alias("_near_hash")), "chosen")
-    keys = ["_near_id", "_near_none", "_near_hash"]
-    rows = docs.withColumns({"_near_id": F.xxhash64(id), "_near_none": F.col(id).isNull(), "_near_hash": F.xxhash64(text)})
+    keys = [f"_{part}_{uuid.uuid4().hex}" for part in ("id", "none", "hash")]  # no column of docs has such a name
+    chosen = written(chosen.select(F.xxhash64("best.id").alias(keys[0]), F.col("best.none").alias(keys[1]), F.col("best.hash").alias(keys[2])), "chosen")
+    rows = docs.withColumns(dict(zip(keys, (F.xxhash64(id), F.col(id).isNull(), F.xxhash64(text)))))
     # Rows that repeat a key meet in one, first within each task; the join then needs no further exchange.
     return rows.dropDuplicates(keys).join(chosen, keys, "left_semi").select(*docs.columns)

@@ -98,11 +98,50 @@ def test_recall_at_the_threshold(spark):
 def test_missing_and_repeated_ids(spark):
     """One row a group, whichever order the rows come in; texts of rows with one id are judged on their own."""
     long, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    # Columns with names that the stage might use for itself are carried as they are.
     rows = [(5, long), (5, long), (None, long + " end"), (None, "alone here"), (None, "alone here"), (7, "other"), (1, other), (3, long + " x"), (3, other), (None, None), (9, ""), (None, other)]
     for own in (rows, rows[::-1]):
-        got = near_copies.keep(spark.createDataFrame([(*r, "z", 1) for r in own], "doc_id long, text string, node string, hash int")).collect()
+        got = near_copies.keep(spark.createDataFrame([(*r, "z", 1, 7) for r in own], "doc_id long, text string, node string, hash int, _near_hash long")).collect()
         assert sorted(((r.doc_id or 0, r.text) for r in got), key=str) == sorted([(0, "alone here"), (3, long + " x"), (7, "other"), (1, other), (9, "")], key=str)
-        assert all(r.node == "z" and r["hash"] == 1 for r in got)
+        assert all(r.node == "z" and r["hash"] == 1 and r["_near_hash"] == 7 for r in got)
+
+
+def test_a_crowd_below_the_threshold_proposes_few_pairs(spark, monkeypatch):
+    """Texts of one template at a similarity of about 0.75: pairs that are verified grow with the texts, not with their square, and true copies among them are found."""
+    import pyarrow as pa
+
+    rng, counts = random.Random(4), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def crowd(n):
+        out = []
+        for k in range(n):
+            own = list(base)
+            for at in rng.sample(range(0, 390, 6), 6):
+                own[at] = f"n{k}x{at}"
+            out.append(" ".join(own))
+        return out
+
+    near = near_copies.verified
+
+    def counted(pairs, *rest):
+        counts[-1] += pairs.count()
+        return near(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    for n in (150, 600):
+        texts = crowd(n)
+        copies = [t.replace("w", "w", 1) + f" more{k} words{k}" for k, t in enumerate(texts[:20])]
+        counts.append(0)
+        docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+        got = {r.doc_id for r in near_copies.keep(docs).collect()}
+        want = set(groups(texts + copies)) if n == 150 else None
+        assert want is None or (want <= got and len(got - want) <= 2)
+    sample = [set_of(t) for t in texts[:40]]
+    mean = [len(a & b) / len(a | b) for i, a in enumerate(sample) for b in sample[:i]]
+    assert 0.6 < sum(mean) / len(mean) < 0.78
+    assert counts[1] < 8 * counts[0] and counts[1] < 20 * 620
+    assert len(near_copies.parities(*near_copies.sets(pa.array(texts[:3]))[:2], 4096)) == 3
 
 
 def test_many_rows_without_id(spark):

@@ -13,7 +13,7 @@ against it.  Texts with more partners go to their anchors again with a sketch: t
 hashes (two sets differ in at least as many shingles as their parities).  Pairs that sizes and sketches allow are nearly always similar;
 of them a spanning forest is held against the whole sets, never a group's pairs.  If a forest's pair fails, the texts of its
 tree go to their anchors once more, with WIDE parities: these tell a similarity of 0.75 from 0.8 for texts of up to some
-thousand words, so a crowd of texts that are nearly similar proposes few pairs, not all of them; the pairs that are allowed and still apart are checked,
+thousand words, so a crowd of texts that are nearly similar proposes a small share of its pairs (about 1 % at 0.74), not most of them; the pairs that are allowed and still apart are checked,
 so that no link is lost to a pair that failed.
 
 keep() chooses a row, not an id: of each component the row with the least id (null ids last), then the least text hash;

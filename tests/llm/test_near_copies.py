@@ -107,7 +107,7 @@ def test_missing_and_repeated_ids(spark):
 
 
 def test_a_crowd_below_the_threshold_proposes_few_pairs(spark, monkeypatch):
-    """Texts of one template at a similarity of about 0.75: pairs that are verified grow with the texts, not with their square, and true copies among them are found."""
+    """Texts of one template at a similarity of about 0.75: a small share of their pairs is verified, and true copies among them are found."""
     import pyarrow as pa
 
     rng, counts = random.Random(4), []
@@ -140,7 +140,7 @@ def test_a_crowd_below_the_threshold_proposes_few_pairs(spark, monkeypatch):
     sample = [set_of(t) for t in texts[:40]]
     mean = [len(a & b) / len(a | b) for i, a in enumerate(sample) for b in sample[:i]]
     assert 0.6 < sum(mean) / len(mean) < 0.78
-    assert counts[1] < 8 * counts[0] and counts[1] < 20 * 620
+    assert counts[1] < 0.03 * 620 * 619 / 2  # narrow sketches alone let 40 % of all pairs through
     assert len(near_copies.parities(*near_copies.sets(pa.array(texts[:3]))[:2], 4096)) == 3
 
 

@@ -3,8 +3,9 @@
 Calls and results meet by a hash join on the call's identifier.  A call may name calls whose results it continues from:
 one in its row, more in a table of parents.  Its level is the length of the longest way to it.  Calls with one parent
 are followed up to the next one that has none or several by pointer doubling, for all calls at once, so a chain of any
-length takes a logarithm of rounds; calls with several parents are then taken in topological order, a round for each that stand on one way.
-No group is ever gathered.  Arguments are parsed, checked against the tool's schema and serialised as canonical JSON:
+length takes a logarithm of rounds.  What is left are calls with several parents and the edges between them and those heads; a
+component of them that has at most `ordered` edges is put in topological order in one task, whatever its depth, and a larger one in rounds over
+tables, one for each such call that stands on one way, so that no unbounded group is ever gathered.  Arguments are parsed, checked against the tool's schema and serialised as canonical JSON:
 sorted keys, no white space, no escapes but the needed ones.
 
 Order within a conversation: level, then identifier; every call stands after what it continues from.
@@ -25,15 +26,19 @@ import math
 import re
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks, written
+from .common import dropped, map_chunks, written
+from .components import components
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 #: Deepest nesting of arguments that is parsed, unless link() is given another.
 DEEPEST = 100
+#: Most edges of a component that one task orders.
+ORDERED = 1 << 17
 
 
 def is_type(own, name: str) -> bool:
@@ -151,10 +156,31 @@ def parsed(text: str | None, deepest: int = DEEPEST) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+def ordered_levels(edges: pd.DataFrame) -> pd.DataFrame:
+    """(call_id, level) of a component's calls, by Kahn's algorithm; edges: call_id, head, way, known (the head is at level 0).  Calls on and after a cycle are left out."""
+    codes, names = pd.factorize(pd.concat([edges["call_id"], edges["head"]], ignore_index=True))
+    n, calls = len(edges), codes[: len(edges)].tolist()
+    heads, ways, known = codes[n:].tolist(), edges["way"].tolist(), edges["known"].tolist()
+    level, open_, after = [0] * len(names), [0] * len(names), {}
+    for c, h, w in zip(calls, heads, ways):
+        open_[c] += 1
+        after.setdefault(h, []).append((c, w))
+    ready, out = list({h for h, k in zip(heads, known) if k}), []
+    while ready:
+        h = ready.pop()
+        for c, w in after.get(h, ()):
+            level[c] = max(level[c], level[h] + w + 1)
+            open_[c] -= 1
+            if not open_[c]:
+                out.append(c)
+                ready.append(c)
+    return pd.DataFrame({"call_id": names[out], "level": pd.array([level[c] for c in out], dtype="int64")})
+
+
+def levels(calls: DataFrame, edges: DataFrame, ordered: int = ORDERED) -> DataFrame:
     """(call_id, level, missing_parent) of unique calls and their distinct edges (call_id, parent_id, neither null); level is null on and after a cycle."""
     known = calls.select(F.col("call_id").alias("parent_id"))
-    lost = edges.join(known, "parent_id", "left_anti").select("call_id").distinct().withColumn("missing_parent", F.lit(True))
+    lost = written(edges.join(known, "parent_id", "left_anti").select("call_id").distinct().withColumn("missing_parent", F.lit(True)), "lost")
     edges = written(edges.join(known, "parent_id").select("call_id", "parent_id"), "edges")
     several = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent_id").alias("up"))
     several = written(several, "parents")
@@ -162,6 +188,7 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     # Calls with one parent follow it up to a call with none or several, its head.
     moving = written(several.where("n = 1").select("call_id", "up", F.lit(1).cast("long").alias("way")), "moving")
     ended: list[DataFrame] = []
+    moved = [moving]
     for _ in range(math.ceil(math.log2(moving.count() + 1)) + 1):
         if moving.isEmpty():
             break
@@ -170,35 +197,56 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
             table = table.union(x.withColumn("over", F.lit(True)))
         above = table.select(F.col("call_id").alias("up"), F.col("up").alias("upper"), F.col("way").alias("more"), "over")
         step = written(moving.join(above, "up", "left").select("call_id", F.coalesce("upper", "up").alias("up"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("over", F.lit(True)).alias("over")), "moving")
+        moved.append(step)
         ended.append(step.where("over").drop("over"))
         moving = step.where("not over").drop("over")
     follows = reduce(DataFrame.union, ended).select("call_id", F.col("up").alias("head"), "way") if ended else calls.select("call_id", F.col("call_id").alias("head"), F.lit(0).cast("long").alias("way")).limit(0)
 
     # Heads without a parent are at level 0; the others follow when all their parents' heads have a level.
     heads = written(calls.join(several.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "heads")
-    more = several.where("n > 1").select("call_id")
+    more, tables, found = several.where("n > 1").select("call_id"), [edges, several, *moved], [heads]
     if not more.isEmpty():
         waiting = edges.join(more, "call_id").join(follows.select(F.col("call_id").alias("parent_id"), "head", "way"), "parent_id", "left")
-        waiting = written(waiting.select("call_id", F.coalesce("head", "parent_id").alias("head"), F.coalesce("way", F.lit(0)).alias("way")), "waiting")
-        while True:
-            seen = waiting.join(heads.select(F.col("call_id").alias("head"), "level"), "head", "left").groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("way") + 1).alias("level"))
-            new = written(seen.where("open = 0").select("call_id", "level"), "heads")
-            if new.isEmpty():
-                break
-            heads, waiting = written(heads.union(new), "heads"), written(waiting.join(new.select("call_id"), "call_id", "left_anti"), "waiting")
-    followers = follows.join(heads.select(F.col("call_id").alias("head"), "level"), "head").select("call_id", (F.col("level") + F.col("way")).alias("level"))
-    found = written(heads.union(followers), "levels")
-    return calls.select("call_id").join(found, "call_id", "left").join(lost, "call_id", "left").select("call_id", "level", F.coalesce("missing_parent", F.lit(False)).alias("missing_parent"))
-
-
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], parents: DataFrame | None = None, deepest: int = DEEPEST) -> DataFrame:
+        waiting = waiting.select("call_id", F.coalesce("head", "parent_id").alias("head"), F.coalesce("way", F.lit(0)).cast("long").alias("way"))
+        waiting = written(waiting.join(heads.select(F.col("call_id").alias("head"), F.lit(True).alias("known")), "head", "left").select("call_id", "head", "way", F.coalesce("known", F.lit(False)).alias("known")), "waiting")
+        # A head without parents is shared, but joins no two components: it needs no order.
+        inner = waiting.where("not known")
+        roots = components(inner.select(F.col("call_id").alias("a"), F.col("head").alias("b")))
+        rooted = written(waiting.join(roots.select(F.col("node").alias("call_id"), "root"), "call_id", "left").select("call_id", "head", "way", "known", F.coalesce("root", "call_id").alias("root")), "rooted")
+        large = written(rooted.groupBy("root").agg(F.count("*").alias("edges")).where(F.col("edges") > ordered).select("root"), "large")
+        kind = calls.schema["call_id"].dataType.simpleString()
+        one_by_one = rooted.join(large, "root", "left_anti").groupBy("root").applyInPandas(ordered_levels, f"call_id {kind}, level long")
+        found.append(written(one_by_one, "levels"))
+        left = rooted.join(large, "root", "left_semi").select("call_id", "head", "way")
+        tables += [waiting, rooted, large, found[-1]]
+        if not large.isEmpty():
+            left, reached = written(left, "waiting"), heads
+            tables.append(left)
+            while True:
+                seen = left.join(reached.select(F.col("call_id").alias("head"), "level"), "head", "left").groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("way") + 1).alias("level"))
+                new = written(seen.where("open = 0").select("call_id", "level"), "heads")
+                tables.append(new)
+                if new.isEmpty():
+                    break
+                found.append(new)
+                reached, left = reached.union(new), written(left.join(new.select("call_id"), "call_id", "left_anti"), "waiting")
+                tables.append(left)
+    settled = reduce(DataFrame.union, found)
+    followers = follows.join(settled.select(F.col("call_id").alias("head"), "level"), "head").select("call_id", (F.col("level") + F.col("way")).alias("level"))
+    result = written(settled.union(followers), "levels")
+    for old in [*tables, heads]:
+        dropped(old)
+    return calls.select("call_id").join(result, "call_id", "left").join(lost, "call_id", "left").select("call_id", "level", F.coalesce("missing_parent", F.lit(False)).alias("missing_parent"))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], parents: DataFrame | None = None, deepest: int = DEEPEST, ordered: int = ORDERED) -> DataFrame:
     """calls: conv_id, call_id, parent_id, name, arguments (JSON text); results: call_id, content; parents: call_id, parent_id of further parents."""
     columns = ["conv_id", "parent_id", "name", "arguments"]
     calls = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("arguments", "name", "parent_id", "conv_id")).alias("c")).select("call_id", *[f"c.{x}" for x in columns])
     answers = results.groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     calls = written(calls, "calls")
     edges = calls.select("call_id", "parent_id") if parents is None else calls.select("call_id", "parent_id").union(parents.select("call_id", "parent_id").join(calls.select("call_id"), "call_id", "left_semi"))
-    ranks = levels(calls.select("call_id"), edges.where("parent_id is not null").distinct())
+    ranks = levels(calls.select("call_id"), edges.where("parent_id is not null").distinct(), ordered)
     joined = calls.withColumn("called", F.lit(True)).join(answers, "call_id", "full").join(ranks, "call_id", "left")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -527,9 +527,18 @@ def test_several_parents(spark):
     level = lambda x: 1 + max(level(p) for p in up[x]) if up[x] else 0
     calls = spark.createDataFrame([("c", x, None, "get", "{}", 1) for x in names], "conv_id string, call_id string, parent_id string, name string, arguments string, level int")
     parents = spark.createDataFrame(sorted(edges), "call_id string, parent_id string")
-    got = {r.call_id: r for r in tool_links.link(calls, spark.createDataFrame([], "call_id string, content string"), {"get": {}}, parents).collect()}
-    assert {x: got[x].level for x in names} == {x: None if x[0] == "y" else level(x) for x in names}
-    assert got["n0"].status == "missing parent" and got["y3"].status == "cycle" and got["n1"].status == "no result"
+    for ordered in (tool_links.ORDERED, 5):  # in a task, and in rounds over tables
+        got = {r.call_id: r for r in tool_links.link(calls, spark.createDataFrame([], "call_id string, content string"), {"get": {}}, parents, ordered=ordered).collect()}
+        assert {x: got[x].level for x in names} == {x: None if x[0] == "y" else level(x) for x in names}
+        assert got["n0"].status == "missing parent" and got["y3"].status == "cycle" and got["n1"].status == "no result"
+
+
+def test_deep_conversations(spark):
+    """Conversations whose every call continues from the two before it: as many rounds as for shallow ones."""
+    calls = spark.range(20 * 300).selectExpr("concat('c', id div 300) AS conv_id", "concat(id div 300, ':', id % 300) AS call_id", "if(id % 300 > 0, concat(id div 300, ':', id % 300 - 1), null) AS parent_id", "'get' AS name", "'{}' AS arguments")
+    parents = spark.range(20 * 300).where("id % 300 > 1").selectExpr("concat(id div 300, ':', id % 300) AS call_id", "concat(id div 300, ':', id % 300 - 2) AS parent_id")
+    found = tool_links.link(calls, spark.createDataFrame([], "call_id string, content string"), {"get": {}}, parents)
+    assert found.where("level = cast(split(call_id, ':')[1] AS long)").count() == 20 * 300
 
 
 def test_licenses(spark):

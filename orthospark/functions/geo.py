@@ -139,8 +139,13 @@ def envelope(ring: Column) -> tuple:
     return get(F.array_min, "x"), get(F.array_min, "y"), get(F.array_max, "x"), get(F.array_max, "y")
 
 
+def ring_geometry(ring: Column) -> Column:
+    """The structure that a polygon's GeoJSON is written from."""
+    return F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
+
+
 def ring_geojson(ring: Column) -> Column:
-    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates")))
+    return F.to_json(ring_geometry(ring))
 
 
 def geojson_ring(text: Column) -> Column:

@@ -17,7 +17,7 @@ MEDIA_TYPE = "image/tiff; application=geotiff; profile=cloud-optimized"
 
 
 def ordered(df: DataFrame, limit: int) -> DataFrame:
-    """Newest first, then finest; the key makes the order total."""
+    """Newest first, then finest; the key makes the order total.  A limit under 1 counts as 1, one over 18,000 as 18,000."""
     return df.orderBy(F.desc("year"), F.desc_nulls_last("acquisition_date"), F.asc_nulls_last("gsd"), F.asc("source_key")).limit(min(max(limit, 1), 18_000))
 
 
@@ -32,35 +32,35 @@ def search(lake: DataFrame, box: tuple[float, float, float, float], region: str
     return ordered(found, limit)
 
 
-def item_properties(df: DataFrame, extra: tuple[str, ...] = ("naip:resolution", "naip:product", "naip:quad")) -> Column:
-    """The JSON of an Item's properties, null fields dropped but for `datetime`, which is null if only the year is known."""
+#: Stands for a datetime that is null, which JSON keeps while other null fields are dropped; within a JSON string its quotes would be escaped.
+_NO_DATE = "-"
+
+
+def item_properties(extra: tuple[str, ...] = ("naip:resolution", "naip:product", "naip:quad")) -> Column:
+    """An Item's properties; null ones are dropped by to_json but for `datetime`, which is null if only the year is known."""
     day = F.date_format("acquisition_date", "yyyy-MM-dd'T00:00:00Z'")
     whole_year = F.col("acquisition_date").isNull() & F.col("year").isNotNull()
     of_year = lambda rest: F.when(whole_year, F.concat(F.col("year").cast("string"), F.lit(rest)))
     own = {name: F.get_json_object("properties", f"$['{name}']") for name in extra}
     fields = {
-        "start_datetime": of_year("-01-01T00:00:00Z"), "end_datetime": of_year("-12-31T23:59:59Z"), "gsd": F.col("gsd"), "region": F.col("region"), "year": F.col("year"), "naip:state": F.col("region"), "naip:year": F.col("year"),
+        "datetime": F.coalesce(day, F.lit(_NO_DATE)), "start_datetime": of_year("-01-01T00:00:00Z"), "end_datetime": of_year("-12-31T23:59:59Z"), "gsd": F.col("gsd"), "region": F.col("region"), "year": F.col("year"), "naip:state": F.col("region"), "naip:year": F.col("year"),
         "proj:code": F.concat(F.lit("EPSG:"), F.col("proj_epsg").cast("string")), "proj:shape": F.col("proj_shape"), **own, "grid:code": F.concat(F.lit("DOQQ-"), own["naip:quad"]) if "naip:quad" in own else F.lit(None).cast("string"),
     }
-    head = F.concat(F.lit('{"datetime":'), F.coalesce(F.concat(F.lit('"'), day, F.lit('"')), F.lit("null")))
-    rest = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
-    return F.concat(head, F.when(rest == "{}", "}").otherwise(F.concat(F.lit(","), F.substr(rest, F.lit(2)))))
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def features(df: DataFrame) -> DataFrame:
-    """(id, feature): each row as a STAC Item in JSON."""
+    """(id, feature): each row as a STAC Item in JSON, one nested structure written at once."""
     box = predicates.box_of()
     extensions = F.filter(F.array(F.when(F.col("proj_epsg").isNotNull() | F.col("proj_shape").isNotNull(), F.lit(PROJECTION)), F.when(F.get_json_object("properties", "$['naip:quad']").isNotNull(), F.lit(GRID))), lambda x: x.isNotNull())
     id = F.concat_ws("/", "source_bucket", "source_key")
-    text = lambda c: F.to_json(F.struct(c.alias("v")))
-    value = lambda c: F.regexp_replace(text(c), r'^\{"v":|\}$', "")
-    links = F.concat(F.lit('[{"rel":"collection","type":"application/json","href":"/collections/'), F.col("collection"), F.lit('"}]'))
-    assets = F.to_json(F.struct(F.struct(F.col("asset_href").alias("href"), F.lit(MEDIA_TYPE).alias("type"), F.array(F.lit("data")).alias("roles")).alias("image")))
-    parts = [
-        F.lit('{"type":"Feature","stac_version":"' + STAC_VERSION + '","stac_extensions":'), value(extensions), F.lit(',"id":'), value(id), F.lit(',"collection":'), value(F.col("collection")),
-        F.lit(',"geometry":'), geo.ring_geojson(geo.box_ring(box)), F.lit(',"bbox":'), value(F.array(*box)), F.lit(',"properties":'), item_properties(df), F.lit(',"links":'), links, F.lit(',"assets":'), assets, F.lit("}"),
-    ]
-    return df.select(id.alias("id"), F.concat(*parts).alias("feature"))
+    fields = {
+        "type": F.lit("Feature"), "stac_version": F.lit(STAC_VERSION), "stac_extensions": extensions, "id": id, "collection": F.col("collection"), "geometry": geo.ring_geometry(geo.box_ring(box)), "bbox": F.array(*box), "properties": item_properties(),
+        "links": F.array(F.struct(F.lit("collection").alias("rel"), F.lit("application/json").alias("type"), F.concat(F.lit("/collections/"), F.col("collection")).alias("href"))),
+        "assets": F.struct(F.struct(F.col("asset_href").alias("href"), F.lit(MEDIA_TYPE).alias("type"), F.array(F.lit("data")).alias("roles")).alias("image")),
+    }
+    text = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return df.select(id.alias("id"), F.replace(text, F.lit(f'"datetime":"{_NO_DATE}"'), F.lit('"datetime":null')).alias("feature"))
 
 
 def stac_index(lake: DataFrame, target: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
+from ..sources.files import scratch
 
 
 def half_up(x: Column) -> Column:
@@ -96,8 +97,25 @@ def tile_matrix_set(headers: DataFrame, tile: int = 512) -> DataFrame:
 
 
 def sorted_by_distance(items: DataFrame, request: str, x: Column, y: Column, to_x: Column, to_y: Column, tie: str) -> DataFrame:
-    distance = (x - to_x) * (x - to_x) + (y - to_y) * (y - to_y)
-    return items.withColumn("distance2", distance).withColumn("rank", F.row_number().over(W.partitionBy(request).orderBy("distance2", tie)))
+    """items with distance2 and rank, their place by distance within their request; equal distances are in the order of tie.
+
+    All requests are sorted at once, by ranges of (request, distance), so that a request with many items is sorted by several tasks; a rank is
+    the row's number less that of its request's first row.
+    """
+    spark = items.sparkSession
+    rows, order = scratch(spark, "distances"), [F.col(request), F.col("distance2"), F.col(tie)]
+    items.withColumn("distance2", (x - to_x) * (x - to_x) + (y - to_y) * (y - to_y)).write.parquet(rows)
+    placed = scratch(spark, "places")
+    spark.read.parquet(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(placed)
+    placed = spark.read.parquet(placed).withColumn("_part", F.shiftright("_place", 33))
+    before, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("_part").count().collect()):  # a row a range
+        before.append((part, total))
+        total += n
+    table = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))
+    numbered = placed.join(table, "_part").withColumn("_number", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = numbered.groupBy(F.col(request).alias("_request")).agg(F.min("_number").alias("_first"))
+    return numbered.join(first, F.col(request).eqNullSafe(F.col("_request"))).withColumn("rank", F.col("_number") - F.col("_first") + 1).drop("_part", "_before", "_place", "_number", "_request", "_first")
 
 
 def covering_tiles(primary: DataFrame, px: float, sx: float) -> DataFrame:

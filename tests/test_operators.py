@@ -529,3 +529,15 @@ def test_mosaic_takes_the_first_that_is_opaque(spark):
     own = spark.createDataFrame([("u", 1, places.x, places.y, 10.0, 10.0, 2, 2, -180.0, -90.0, 180.0, 90.0, [1.0, 2.0, 3.0, 4.0])], fields).withColumn("crs", utm).withColumns({"west": F.lit(2.99), "south": F.lit(44.99), "east": F.lit(3.01), "north": F.lit(45.01)})
     got = rasters.mosaic(spark.createDataFrame([(1, 3.0, 45.0, 0.000127, 0.00009)], "target int, tx double, ty double, tw double, th double"), own, 2, 2, P.crs("longlat"), 0.001).collect()
     assert {(r.row, r.col): r.value for r in got} == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): 3.0, (1, 1): 4.0}
+
+
+def test_ranks_by_distance(spark):
+    """One request with most of the items, ties by id, a request without a name, none."""
+    rng = random.Random(10)
+    rows = [(None if i % 50 == 0 else "big" if i % 10 else "small", i, float(rng.randrange(20)), float(rng.randrange(20))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "req string, id long, x double, y double").repartition(7)
+    got = tiles.sorted_by_distance(df, "req", F.col("x"), F.col("y"), F.lit(3.0), F.lit(4.0), "id").collect()
+    for name in ("big", "small", None):
+        own = sorted(((x - 3) ** 2 + (y - 4) ** 2, i) for r, i, x, y in rows if r == name)
+        assert sorted((r["rank"], r.id, r.distance2) for r in got if r.req == name) == [(k + 1, i, d) for k, (d, i) in enumerate(own)]
+    assert tiles.sorted_by_distance(df.limit(0), "req", F.col("x"), F.col("y"), F.lit(3.0), F.lit(4.0), "id").count() == 0

@@ -5,7 +5,8 @@ Each segment's space is covered by a code: the perfect [15, 11] Hamming code on
 Every word is within 1 of exactly one code word, its home anchor, so a fingerprint within t of another on a segment
 is within 1 + t of the other's home.  A fingerprint goes once to its home and to every anchor within 1 + t as a
 visitor; homes are compared with visitors, anchor by anchor, over all 64 bits.  With t = 1 that is 16 visits a segment
-on average and 2**18 anchors.
+on average and 2**18 anchors, which suits some hundred million fingerprints.  The segments are a parameter: two of 32 bits (WIDE_SEGMENTS, t = 2) have
+2**28 anchors each, and more visits, for as many times more fingerprints.  Results do not depend on them.
 
 Equal fingerprints are one node from the start, so thousands of copies cost what one does.  Anchors that more than
 `block` fingerprints reach are cut into blocks of homes and of visitors; every pair of blocks is its own group.  A group
@@ -30,6 +31,7 @@ from .components import components
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Offset and width of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
+WIDE_SEGMENTS = ((32, 32), (0, 32))
 CODED = 15
 #: Most homes, and most visitors, of an anchor that one group compares; pairs compared at a time.
 BLOCK, PAIRS = 4096, 1 << 21
@@ -97,10 +99,15 @@ def flips(syndrome: int, width: int, radius: int) -> list[int]:
     return sorted(out, key=lambda p: (p.bit_count(), p))
 
 
-def visits(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def key_bits(segments: tuple = SEGMENTS) -> int:
+    """Bits of a key: a segment's number above an anchor."""
+    return max(w for _, w in segments) + (len(segments) - 1).bit_length()
+
+
+def visits(fp: np.ndarray, radius: int, segments: tuple = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, home, index into fp) of every place that each fingerprint goes to; key: the segment and the anchor."""
-    keys, homes, rows = [], [], []
-    for number, (offset, width) in enumerate(SEGMENTS):
+    keys, homes, rows, above = [], [], [], max(w for _, w in segments)
+    for number, (offset, width) in enumerate(segments):
         part = (fp >> np.uint64(offset)) & np.uint64((1 << width) - 1)
         kind = syndromes(part)
         for s in range(CODED + 1):
@@ -110,7 +117,7 @@ def visits(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             near = np.array(flips(s, width, radius), dtype=np.uint64)
             home = flips(s, width, 1)[0]
             reached = np.concatenate([(part[at] ^ np.uint64(home))[:, None], part[at][:, None] ^ near], axis=1)
-            keys.append((reached | np.uint64(number << 22)).ravel())
+            keys.append((reached | np.uint64(number << above)).ravel())
             homes.append(np.tile(np.arange(len(near) + 1) == 0, len(at)))
             rows.append(np.repeat(at, len(near) + 1))
     return np.concatenate(keys).astype(np.int64), np.concatenate(homes), np.concatenate(rows)
@@ -222,18 +229,18 @@ def compared(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.mapInArrow(each, schema)
 
 
-def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, share: int = SHARE) -> DataFrame:
-    """(a, b): links that connect all fingerprints of nodes.fp (distinct longs) at most `bits` apart."""
-    radius = 1 + bits // len(SEGMENTS)
+def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, share: int = SHARE, segments: tuple = SEGMENTS) -> DataFrame:
+    """(a, b): links that connect all fingerprints of nodes.fp (distinct longs) at most `bits` apart.  segments: (offset, width) of each, together all 64 bits."""
+    radius, small = 1 + bits // len(segments), key_bits(segments) < 32
 
     def send(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 fp = np.asarray(batch.column(0)[at : at + (1 << 14)]).view(np.uint64)
-                key, home, row = visits(fp, radius)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32)), "home": home, "fp": pa.array(fp[row].view(np.int64))})
+                key, home, row = visits(fp, radius, segments)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int32) if small else key), "home": home, "fp": pa.array(fp[row].view(np.int64))})
 
-    sent = lambda rows: rows.select("fp").mapInArrow(send, "key int, home boolean, fp long")
+    sent = lambda rows: rows.select("fp").mapInArrow(send, f"key {'int' if small else 'long'}, home boolean, fp long")
 
     def links(number, columns):
         u, v = group_links(number, columns["home"], columns["fp"].view(np.uint64), bits)
@@ -243,11 +250,11 @@ def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, share
     return compared(dealt(sent(nodes), sent(nodes.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)), share, block), links, "a long, b long")
 
 
-def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
+def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK, segments: tuple = SEGMENTS) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id that links lead to, the row's own included."""
     prints = written(fingerprints(docs, text, id, shingle_words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id).alias("least")), "nodes")
-    roots = components(near_links(nodes, bits, block))
+    roots = components(near_links(nodes, bits, block, segments=segments))
     rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     # Written, so that a join's hot side comes straight from its exchange and the skew join can split it.
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")

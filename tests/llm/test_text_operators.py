@@ -209,8 +209,8 @@ def test_anchors_cover_all_links(spark):
     fps = sorted(fps)
     want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    for block, share in ((4096, 16), (16, 1)):
-        links = [(fps.index(r.a & (2**64 - 1)), fps.index(r.b & (2**64 - 1))) for r in simhash.near_links(nodes, 4, block, share).collect()]
+    for block, share, segments in ((4096, 16, simhash.SEGMENTS), (16, 1, simhash.SEGMENTS), (4096, 16, simhash.WIDE_SEGMENTS)):
+        links = [(fps.index(r.a & (2**64 - 1)), fps.index(r.b & (2**64 - 1))) for r in simhash.near_links(nodes, 4, block, share, segments).collect()]
         assert union(len(fps), links) == want
 
 

@@ -23,15 +23,15 @@ _WANTED = {WIDTH, HEIGHT, BITS, SAMPLES, TILE_WIDTH, SCALE, TIEPOINT, GEOKEYS, C
 
 
 class Ranges:
-    """Reads of ranges of a file; the first PREFIX bytes are fetched once, what lies beyond them when it is asked for."""
+    """Reads of ranges of a file; its first bytes (prefix) are fetched once, what lies beyond them when it is asked for, most bytes at a time."""
 
-    def __init__(self, file):
-        self.file, self.size = file, file.size()
-        self.first = file.read_at(min(PREFIX, self.size), 0)
+    def __init__(self, file, prefix: int = PREFIX, most: int = MOST_BYTES):
+        self.file, self.size, self.most = file, file.size(), most
+        self.first = file.read_at(min(prefix, self.size), 0)
 
     def __call__(self, at: int, n: int) -> bytes:
-        if n > MOST_BYTES:
-            raise ValueError("implausible size of a tag")
+        if n > self.most:
+            raise ValueError(f"a tag of more than {self.most} bytes")
         if at + n <= len(self.first):
             return self.first[at : at + n]
         return self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""

@@ -7,7 +7,7 @@ place is right-maximal; the union of their spans equals the union of all maximal
 more.  The verdict limits the covered fraction of the words and the longest repeat.
 
 Defined cases: a null or empty text has no words and fails the base rule (too few words); repeated rows each get a row;
-ties cannot arise.  Other columns of the input are ignored by measure() and kept by keep().
+ties cannot arise; an empty table stays empty; a very long text is worked on alone.  Other columns of the input are ignored by measure() and kept by keep().
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .suffixes import suffix_array
 #: Shortest repeat that counts, in words; most of a text that repeats may cover; longest repeat, in words.
 MIN_WORDS, MAX_FRACTION, MAX_REPEAT = 8, 0.5, 100
 MIN_TEXT_WORDS = 50
+#: Bytes of text that a task works on at a time: a word's ranks take 4 bytes for every doubling of the longest repeat.
+CHUNK = 1 << 20
 _SYMBOL = byte_set(lambda b: chr(b) in "#*$%&|<>")
 
 
@@ -105,7 +107,7 @@ def measure(docs: DataFrame, text: str = "text", id: str = "doc_id", min_words:
         return pa.RecordBatch.from_pydict({id: batch.column(0), **{k: pa.array(m[k], pa.int64()) for k in names}, "base_failed": failed, "kept": kept, "n_covered_words": pa.array(m["n_covered_words"], pa.int64()), "longest_repeat": pa.array(m["longest_repeat"], pa.int64())})
 
     kind = docs.schema[id].dataType.simpleString()
-    return map_chunks(docs.select(id, text), text, work, f"`{id}` {kind}, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, n_covered_words long, longest_repeat long")
+    return map_chunks(docs.select(id, text), text, work, f"`{id}` {kind}, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, n_covered_words long, longest_repeat long", CHUNK)
 
 
 def keep(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_fraction: float = MAX_FRACTION, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -114,4 +116,4 @@ def keep(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_fr
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(verdicts(measures(batch.column(text), min_words), max_fraction, max_repeat)[1]))
 
-    return map_chunks(docs, text, work, docs.schema)
+    return map_chunks(docs, text, work, docs.schema, CHUNK)

@@ -32,6 +32,8 @@ from .common import ALNUM, NOT_SPACE, Text, byte_set, dropped, map_chunks, mixed
 SAMPLE, LABELLED, HASH_BITS, STEPS, RATE, DECAY = 6000, 30_000, 18, 100, 0.5, 1e-4
 #: Most distinct features, summed over the sample's documents, that the scorer is fitted to.
 CELLS = 5_000_000
+#: Bytes of text that a task works on at a time: votes and features take some hundred bytes a word for a while.
+CHUNK = 1 << 20
 #: A word (or word beginning) marks toxic text if at least so many toxic rows have it, and so large a share of its rows are toxic.
 TOXIC_ROWS, TOXIC_SHARE = 3, 0.95
 BEGINNING = 4
@@ -128,7 +130,7 @@ def toxic_marks(rows: DataFrame, sample: DataFrame, text: str, id: str) -> np.nd
 
     kind = rows.schema[id].dataType.simpleString()
     picked = rows.join(F.broadcast(sample), id).select(id, text, "bad", F.xxhash64(text))  # the sample is bounded
-    single = map_chunks(picked, text, signature, f"`{id}` {kind}, bad boolean, least long, hash long").groupBy("least").agg(F.min(F.struct(id, "bad", "hash")).alias("row")).select("row.*")
+    single = map_chunks(picked, text, signature, f"`{id}` {kind}, bad boolean, least long, hash long", CHUNK).groupBy("least").agg(F.min(F.struct(id, "bad", "hash")).alias("row")).select("row.*")
     single = written(single, "single")
     total, bad = single.agg(F.count("*"), F.count_if("bad")).first()
     if not bad or bad == total:
@@ -210,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
         return pa.RecordBatch.from_pydict({id: batch.column(0), "row": batch.column(2), "pattern": pa.array(Features(batch.column(1), marks).patterns())})
 
     row = F.xxhash64(id, text)
-    cast = map_chunks(rows.withColumn("row", row), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, row long, pattern long")
+    cast = map_chunks(rows.withColumn("row", row), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, row long, pattern long", CHUNK)
     label = F.when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 0, JUNK).when((F.col("quality") == 1) | (F.col("toxic") == 0), CLEAN).otherwise(UNKNOWN).alias("given")
     voted = written(cast.join(given, id, "left").select("row", "pattern", label), "votes")
     table = voted.groupBy("pattern", "given").agg(F.count("*").alias("n")).orderBy("pattern", "given").toPandas()
@@ -239,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     # The sample is bounded, and of rows that repeat an id and its text one is taken.
     chosen = rows.withColumn("row", row).join(F.broadcast(picked), "row").dropDuplicates(["row"]).select(text, "pattern", "given", "row")
-    cells_of = written(map_chunks(chosen, text, features, "row long, y double, size int, column array<int>, value array<double>"), "features")
+    cells_of = written(map_chunks(chosen, text, features, "row long, y double, size int, column array<int>, value array<double>", CHUNK), "features")
     taken, total = [], 0
     for key, size in sorted((r.row, r["size"]) for r in cells_of.select("row", "size").collect()):  # at most `sample` rows
         if total + size <= cells or not taken:
@@ -273,7 +275,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", id: str = "doc_id
         bad = scorer.scores(batch.column(1))
         return pa.RecordBatch.from_pydict({id: batch.column(0), "bad_score": pa.array(bad), "kept": bad < threshold})
 
-    return map_chunks(docs.select(id, text), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, bad_score double, kept boolean")
+    return map_chunks(docs.select(id, text), text, work, f"`{id}` {docs.schema[id].dataType.simpleString()}, bad_score double, kept boolean", CHUNK)
 
 
 def keep(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -282,4 +284,4 @@ def keep(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float =
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(scorer.scores(batch.column(text)) < threshold))
 
-    return map_chunks(docs, text, work, docs.schema)
+    return map_chunks(docs, text, work, docs.schema, CHUNK)

@@ -312,7 +312,7 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: in
     if not failed.isEmpty():
         # The texts of trees with a pair that failed, with wide sketches.
         trees = components(forest)
-        hit = failed.select(F.col("a").alias("node")).join(trees, "node").select("root").distinct()
+        hit = written(failed.select(F.col("a").alias("node")).join(trees, "node").select("root").distinct(), "hit")  # a table whose size is known before it is joined
         inside = written(trees.join(hit, "root", "left_semi").select("node").join(nodes.select("node", "n", F.col("best.hash").alias("hash")), "node"), "inside")
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -323,7 +323,7 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", segments: in
         apart = written(inside.join(wide, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "sketch"), "apart")
         more = verified(proposed(apart, True, *sizes), nodes, docs, text)
         roots = components(links.union(more))
-        for old in (inside, apart, more):
+        for old in (hit, inside, apart, more):
             dropped(old)
     dropped(failed)
     out = written(nodes.select("node", "best").join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")), "linked")

@@ -35,17 +35,19 @@ TOKENS, SHARD_PIECES, END_ID = 4096, 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 
 
-def pieces(docs: DataFrame, text: str = "text", id: str = "doc_id", tokens: int = TOKENS, end_id: int = END_ID, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", id: str = "doc_id", tokens: int = TOKENS, end_id: int = END_ID, path: str | None = None, with_ids: bool = True, kept_words: int | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each document's ids and its end, cut at every `tokens` ids.
 
-    ids holds little-endian unsigned 32-bit ids.
+    ids holds little-endian unsigned 32-bit ids.  kept_words: words that each of a worker's two stores keeps (tokens.KEPT_WORDS); fewer take less memory and more time.
     """
     path = path or tokenizer_path(TOKENIZER)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, number, start, parts = [], [], [], []
-        for i, ids in enumerate(WordEncoder.of(path).encode(batch.column(1).to_pylist())):
+        encoder = WordEncoder.of(path)
+        encoder.kept = kept_words
+        for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
             ids += end
             for k, at in enumerate(range(0, len(ids), 4 * tokens)):
                 rows.append(i)

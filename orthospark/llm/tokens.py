@@ -32,6 +32,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept: int | None = None  # words of a store; KEPT_WORDS if not set
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on.
@@ -80,7 +81,7 @@ class WordEncoder:
             if any(c in x for c in _PARTS):
                 whole[i], x = self.encoded(x), ""
             split.append((x.lower() if x.isascii() and "<|" not in x else x).split())
-        if len(self.known) > KEPT_WORDS:  # words in use come back from the older store, the others go with it
+        if len(self.known) > (self.kept or KEPT_WORDS):  # words in use come back from the older store, the others go with it
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = [w for w in set().union(*split) if w not in known]

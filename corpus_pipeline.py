@@ -19,6 +19,8 @@ from orthospark.llm.common import written
 ORACLE_SQL = None
 #: Most documents in a sequence: a limit that binds where texts are short.
 SEQUENCE_DOCUMENTS = 128
+#: Words that each of a worker's two stores of encoded words keeps: workers also hold what earlier stages left.
+KEPT_WORDS = 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of at most SEQUENCE_DOCUMENTS documents; a row a piece, with its ids."""
-    return packing.pack(packing.pieces(docs), documents=SEQUENCE_DOCUMENTS)
+    return packing.pack(packing.pieces(docs, kept_words=KEPT_WORDS), documents=SEQUENCE_DOCUMENTS)
 
 
 STAGES = [

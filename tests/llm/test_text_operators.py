@@ -591,6 +591,40 @@ def test_license_texts_in_their_usual_wrapping(spark):
     assert {r[0]: r[1] for r in con.execute(f"select doc_id, license from ({licenses.oracle_sql()})").fetchall()} == want
 
 
+def test_long_licenses_by_their_digests(spark):
+    """Whole texts of the system's common licences, reflowed, quoted as a comment and behind a notice, in Spark and SQL; a changed word is no licence."""
+    import textwrap
+
+    import duckdb
+
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl", "GFDL-1.3": "GFDL-1.3-only"}
+    if not all(os.path.exists(f"{folder}/{f}") for f in files):
+        pytest.skip("no folder of common licences")
+    rows, want = [], {}
+    for f, name in files.items():
+        with open(f"{folder}/{f}") as file:
+            text = file.read()
+        end = text.find("END OF TERMS AND CONDITIONS")
+        notice, paragraphs = "Copyright (c) 2021 Someone <a@b.c>\n\n", re.split(r"\n[ \t]*\n", text)
+        forms = [text, notice + text, textwrap.indent(text, " * ", lambda _: True).upper()]
+        if not re.search(r"(?i)copyright (\(c\)|\[)", text):  # a notice ends with its line, so texts that hold one are not reflowed
+            forms.append("\n\n".join(textwrap.fill(x, 100) for x in paragraphs))
+        forms += [text[: end + 27]] if end >= 0 else []
+        for x in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), x))
+        want[len(rows)] = None
+        rows.append((len(rows), text.replace(" shall ", " need ", 1).replace(" may ", " might ", 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == want
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert {r[0]: r[1] for r in con.execute(f"select doc_id, license from ({licenses.oracle_sql()})").fetchall()} == want
+    known = {(name, digest) for name, _, digest in licenses.KNOWN_DIGESTS}
+    assert len(known) == len(licenses.KNOWN_DIGESTS) == len({digest for _, digest in known})
+
+
 def test_language_symbols(spark):
     """Marks and emoji alone are no words; letters beyond U+FFFF are not taken for others."""
     found = lambda *texts: langid.Words(pa.array(texts))

@@ -8,21 +8,26 @@ No form hides an article or main below it, and a class, id or role word above on
 A form that holds most of the page's text, and prose, is a wrapper and its lines are open.
 Class words mark boilerplate as a whole, or if all their parts do or are words of layout ("cookie-banner", not "cookie-recipe").
 
-Pages of a host are sorted by URL path; each is paired with the nearest pages before and after it.  A page without
-content lines is aligned with them by the longest common subsequence (LCS) of their lines outside content, and open
-lines that a pair shares are deleted: a template, not this page's text.  Pages in a row with the same lines count as one, and a
-neighbour that leaves a page no line of its own is a copy, not a template; the next one on its side is taken, as far
-as the host goes.  Lines of content stay even if a neighbour has them: articles quote one another, while
-menus, adverts and footers are often drawn per page, so on pages that mark their article the marks decide, such a page drops its
-open lines, and nothing is exchanged for it.
-
-A page is parsed once, in time that grows with its size, and never exchanged; what pages exchange is hashes of lines, for pages without
-content lines only.  The sort is on keys alone and dealt by range, so a host that holds a third of all pages is spread over many tasks, and
-neighbours are found across ranges by consecutive numbers.  The alignment keeps two rows of the LCS table at a time.
+Pages of a host are sorted by URL path; each is aligned with the nearest page before and the nearest after it by the longest
+common subsequence (LCS) of their lines, and lines that a pair shares are deleted: a template, not this page's text.  This is
+done for every page.  A page's core is its content lines, or its open lines if it has none, or else all.  Pages in a row with the same
+core count as one, and a neighbour that leaves a page no line of its core is a copy, not a template; the next one on its side is
+taken, as far as the host goes.  A page without content lines is aligned with the others' lines outside content.
+
+The marks then check what differencing left, as menus, adverts and footers are often drawn per page and articles quote one another:
+ - without content lines, the open lines left are the text;
+ - else lines outside content go, and deleted lines of an article come back if it has a line of its own; an article that
+   neighbours share as a whole stays deleted if the page has another one of its own (a teaser), and so do deleted lines that are in
+   main but in no article of a page that has an article.  If no article has a line of its own, all come back.
+
+Pages are read twice, for the hashes of their lines and for their texts, and must be the same either time; a page is parsed in time that grows
+with its size.  Pages exchange hashes of lines alone.  The sort is on keys and dealt by range, so a host that holds a third of all pages is
+spread over many tasks; a task aligns the pages of an Arrow batch, and those that met only copies there ask for pages further on, by consecutive
+numbers.  The alignment keeps two rows of the LCS table at a time, as bits.
 
 Defined cases: null html is empty, an empty page has an empty text; a page without a host forms a host of its own
 (empty) with others like it; equal URLs are ordered by a hash of id, URL and html; repeated rows get a row each and are
-one page to their neighbours; a host whose pages are all copies keeps their open lines; an empty table stays empty; other columns are not read; a very long page is worked on alone.
+one page to their neighbours; a host whose pages are all copies keeps their content or open lines; an empty table stays empty; other columns are not read; a very long page is worked on alone.
 """
 
 from __future__ import annotations
@@ -148,17 +153,22 @@ class _Stack:
 
 def lines_of(page: str | None) -> list[tuple[int, str]]:
     """(role, text) of each block of a page that has text, in page order."""
+    return [(min(kind, CONTENT), x) for kind, x in kinds_of(page)]
+
+
+def kinds_of(page: str | None) -> list[tuple[int, str]]:
+    """As lines_of, but a line of content in the page's k-th article is of kind CONTENT + k (in main alone: CONTENT)."""
     page = page or ""
-    out: list[tuple[int, int, str]] = []  # role, number of the form, text
+    out: list[tuple[int, int, int, str]] = []  # role, numbers of the form and the article, text
     stack, ends, pieces, blocks = _Stack(), _Ends(page), [], []
-    state = (OPEN, "", 0)  # role of lines here; what made it boilerplate ("mark", "form", or "" for good); the form
-    at, forms = 0, 0
+    state = (OPEN, "", 0, 0)  # role of lines here; what made it boilerplate ("mark", "form", or "" for good); the form; the outermost article
+    at, forms, articles = 0, 0, 0
 
     def flush() -> None:
         text = " ".join(html_lib.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            out.append((state[0], state[2], text))
+            out.append((state[0], state[2], state[3], text))
 
     def close(place: int) -> None:
         nonlocal state
@@ -209,7 +219,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         if name in _BLOCK:
             blocks.append(len(stack.items))
         stack.push(name, state)
-        role, cause, form = state
+        role, cause, form, article = state
         inside = role in (CONTENT, SHADOW)
         if name in ("html", "body"):
             continue
@@ -221,6 +231,8 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                 role, cause = SHADOW, ""
             elif cause == "form":
                 role, cause = CONTENT, ""
+            if name == "article" and not article:
+                article = articles = articles + 1
         elif mark == "hidden":
             role, cause = BOILERPLATE, ""
         elif role != BOILERPLATE:
@@ -231,28 +243,32 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                 role, cause = BOILERPLATE, "" if inside else "mark"
             elif name in _BOILERPLATE and not (name == "header" and inside):
                 role, cause = BOILERPLATE, ""
-        state = (role, cause, form)
+        state = (role, cause, form, article)
     pieces.append(page[at:])
     flush()
-    has = {r for r, _, _ in out}
+    has = {r for r, _, _, _ in out}
     weight, prose = {}, set()
-    for r, f, x in out:
+    for r, f, _, x in out:
         if r == FORM:
             weight[f] = weight.get(f, 0) + len(x)
             if x.count(" ") + 1 >= PROSE_WORDS:
                 prose.add(f)
-    total = sum(len(x) for r, _, x in out if r in (OPEN, FORM))
+    total = sum(len(x) for r, _, _, x in out if r in (OPEN, FORM))
     wrappers = {f for f in prose if weight[f] >= WRAPPER_SHARE * total}
     final = {SHADOW: BOILERPLATE if CONTENT in has else CONTENT}
-    return [(final.get(r, r) if r != FORM else OPEN if f in wrappers else BOILERPLATE, x) for r, f, x in out]
+    roles = (final.get(r, r) if r != FORM else OPEN if f in wrappers else BOILERPLATE for r, f, _, _ in out)
+    return [(CONTENT + a if r == CONTENT else r, x) for r, (_, _, a, x) in zip(roles, out)]
 
 
 def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The length of an LCS of a with each beginning of b."""
-    row = np.zeros(len(b) + 1, dtype=np.int32)
+    """The length of an LCS of a with each beginning of b: a row of the table as bits, of which a zero is a step up."""
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + 1, row[1:]))
-    return row
+        same = row & int.from_bytes(np.packbits(b == x, bitorder="little").tobytes(), "little")
+        row = ((row + same) | (row - same)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), dtype=np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)]).astype(np.int32)
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -279,118 +295,201 @@ def shared(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Which of a page's lines an LCS with the other page's lines has.  Only lines that both have can match."""
     out = np.zeros(len(own), dtype=bool)
     both = np.isin(own, other)
-    out[both] = aligned(own[both], other[np.isin(other, own)])
+    if both.any():
+        out[both] = aligned(own[both], other[np.isin(other, own)])
     return out
 
 
-def template(open_lines: np.ndarray, own: np.ndarray, others: list[np.ndarray]) -> np.ndarray | None:
-    """The open lines of a page that the first of these neighbours shares, copies passed over; None if all are copies."""
-    for other in others:
-        both = shared(own, other) & open_lines
-        if (open_lines & ~both).any():
-            return both
-    return None
+def core(kinds: np.ndarray) -> np.ndarray:
+    """Which lines a page stands on: its content, or else its open lines, or else all."""
+    for of in (kinds >= CONTENT, kinds == OPEN):
+        if of.any():
+            return of
+    return np.ones(len(kinds), dtype=bool)
+
+
+class Page:
+    """Kinds and hashes of a page's lines."""
+
+    def __init__(self, kinds, hashes):
+        self.kinds, self.hashes = np.asarray(kinds, dtype=np.int32), np.asarray(hashes, dtype=np.int64)
+        self.core = core(self.kinds)
+
+    def template(self, other: "Page") -> np.ndarray | None:
+        """The lines that the other page shares; None if it is a copy: no line of the core is left.  A page without lines asks no further."""
+        content = bool((self.kinds >= CONTENT).any())
+        both = shared(self.hashes, other.hashes if content else other.hashes[other.kinds < CONTENT])
+        return both if not len(both) or (self.core & ~both).any() else None
+
+
+def kept(kinds: np.ndarray, deleted: np.ndarray) -> np.ndarray:
+    """Which lines are the text, once differencing has deleted some: the check by marks."""
+    content = kinds >= CONTENT
+    if not content.any():
+        return (kinds == OPEN) & ~deleted
+    article = kinds > CONTENT
+    if not article.any():
+        return content
+    own = np.unique(kinds[article & ~deleted])  # articles with a line of their own
+    return (np.isin(kinds, own) if len(own) else article) | (kinds == CONTENT) & ~deleted
 
 
 def hashed(lines: list[str]) -> list[int]:
     return [digest(x) - (1 << 63) for x in lines]
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", id: str = "page_id", near: int = NEAR) -> DataFrame:
-    """(id, url, text, n_lines, n_deleted): the main text, the number of the page's lines and of those deleted."""
-    spark = pages.sparkSession
-    kind = pages.schema[id].dataType.simpleString()
-    host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
-    path = F.coalesce(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
-    keyed = pages.select(F.xxhash64(id, url, html).alias("row"), F.concat_ws("\x01", host, path).alias("path"), F.col(id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
+def outcome(kinds: np.ndarray, masks: list[np.ndarray]) -> tuple[list[bool], int, int]:
+    """(which lines are kept, how many differencing deleted, how many of these the marks gave back)."""
+    deleted = np.zeros(len(kinds), dtype=bool)
+    for x in masks:
+        deleted |= x
+    keep = kept(kinds, deleted)
+    return keep.tolist(), int(deleted.sum()), int((deleted & keep).sum())
 
-    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {k: [] for k in ("decided", "text", "n_lines", "n_deleted", "hashes", "roles", "lines", "own")}
-        for page in batch.column(4).to_pylist():
-            found = lines_of(page)
-            roles, lines = [r for r, _ in found], [x for _, x in found]
-            content = [x for r, x in found if r == CONTENT]
-            decided = bool(content) or OPEN not in roles
-            for k, v in (("decided", decided), ("text", " ".join(content)), ("n_lines", len(found)), ("n_deleted", len(found) - len(content)), ("hashes", hashed([x for r, x in found if r != CONTENT])), ("roles", None if decided else roles), ("lines", None if decided else lines), ("own", None if decided else hashed(lines))):
-                out[k].append(v)
-        kinds = (pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("row", "path", "id", "url"))} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
-
-    parsed = written(map_chunks(keyed, "html", parse, f"row long, path string, id {kind}, url string, decided boolean, text string, n_lines long, n_deleted long, hashes array<long>, roles array<int>, lines array<string>, own array<long>"), "lines")
-    names = [F.col("id").alias(id), F.col("url").alias(url), "text", "n_lines", "n_deleted"]
-    done, rest = parsed.where("decided"), parsed.where("not decided")
-    if rest.isEmpty():
-        return done.select(*names)
-
-    # Numbers in the order of host and path, the same for pages in a row that have the same lines.
-    lines = F.xxhash64("hashes")
-    ranged = parsed.groupBy("row", "path").agg(F.min("decided").alias("decided"), F.any_value(lines).alias("lines")).repartitionByRange("path", "row").sortWithinPartitions("path", "row")
-
-    def numbers(batches):
-        before, count = None, 0
+
+_LISTS = "kinds array<int>, hashes array<long>"
+_OUTCOME = "keep array<boolean>, n_shared long, n_restored long"
+
+
+def outcome_arrays(found: list) -> dict[str, pa.Array]:
+    some = [x or (None, None, None) for x in found]
+    return {"keep": pa.array([x[0] for x in some], pa.list_(pa.bool_())), "n_shared": pa.array([x[1] for x in some], pa.int64()), "n_restored": pa.array([x[2] for x in some], pa.int64())}
+
+
+def compared(parsed: DataFrame) -> DataFrame:
+    """The pages in the order of host and path, a row a page, each aligned with the others of its Arrow batch.
+
+    place: number in its partition, the same for pages in a row with the same core; first, last: whether it is the run's.
+    Either side has a mask, or no page to ask (done), or is asked at `edge`, the place of the batch's last run on that side.
+    Pages with both sides done have their outcome.
+    """
+
+    def work(batches):
+        count, seen = 0, None
         for batch in batches:
-            own = list(zip([(x or "").partition("\x01")[0] for x in batch.column(1).to_pylist()], batch.column(3).to_pylist()))
-            first = np.array([x != y for x, y in zip(own, [before, *own])], dtype=bool)
-            place = count + np.cumsum(first)
-            if own:
-                before, count = own[-1], int(place[-1])
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "decided": batch.column(2), "host": pa.array([x[0] for x in own], pa.string()), "place": pa.array(place, pa.int64()), "first": pa.array(first)})
-
-    placed = written(ranged.mapInArrow(numbers, "row long, decided boolean, host string, place long, first boolean").withColumn("part", F.spark_partition_id()), "places")
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.max("place")).collect())  # a row a range
+            rows = batch.column(0).to_pylist()
+            new = [k for k, x in enumerate(rows) if x != (rows[k - 1] if k else seen)]  # repeated rows follow one another
+            if not new:
+                continue
+            seen, rows = rows[-1], [rows[k] for k in new]
+            batch = batch.take(pa.array(new))
+            hosts = [(x or "").partition("\x01")[0] for x in batch.column(1).to_pylist()]
+            pages = [Page(k.values, h.values) for k, h in zip(batch.column(2), batch.column(3))]
+            keys = [(host, x.hashes[x.core].tobytes()) for host, x in zip(hosts, pages)]
+            first = [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
+            last = [*first[1:], True]
+            starts = [k for k, x in enumerate(first) if x]
+            ends = [k for k, x in enumerate(last) if x]
+            run = np.cumsum(first) - 1
+            out = {"place": (run + count + 1).tolist(), "first": first, "last": last, "done": [], "edge": [], "masks": [], "outcome": []}
+            for k, page in enumerate(pages):
+                masks, done = [], []
+                for side, of in ((-1, ends), (1, starts)):
+                    at, mask = int(run[k]) + side, None
+                    while 0 <= at < len(of) and hosts[of[at]] == hosts[k] and mask is None:
+                        mask = page.template(pages[of[at]])
+                        at += side
+                    masks.append(mask)
+                    done.append(mask is not None or 0 <= at < len(of))  # or the host ends inside the batch
+                whole = all(done)
+                out["done"].append(done)
+                out["edge"].append([count + 1, count + len(starts)])
+                out["masks"].append([None if whole or x is None else x.tolist() for x in masks])
+                out["outcome"].append(outcome(page.kinds, [x for x in masks if x is not None]) if whole else None)
+            count += len(starts)
+            yield pa.RecordBatch.from_pydict(
+                {"row": batch.column(0), "host": pa.array(hosts, pa.string()), "kinds": batch.column(2), "hashes": batch.column(3)}
+                | {k: pa.array(out[k], t) for k, t in (("place", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("done", pa.list_(pa.bool_())), ("edge", pa.list_(pa.int64())), ("masks", pa.list_(pa.list_(pa.bool_()))))}
+                | outcome_arrays(out["outcome"])
+            )
+
+    schema = f"row long, host string, {_LISTS}, place long, first boolean, last boolean, done array<boolean>, edge array<long>, masks array<array<boolean>>, {_OUTCOME}"
+    return parsed.repartitionByRange("path", "row").sortWithinPartitions("path", "row").mapInArrow(work, schema).withColumn("part", F.spark_partition_id())
+
+
+def differenced(parsed: DataFrame, near: int = NEAR) -> DataFrame:
+    """(row, keep, n_shared, n_restored) of each page of (row, path, kinds, hashes): which of its lines are the text."""
+    spark = parsed.sparkSession
+    placed = written(compared(parsed), "places")
     before, total = [], 0
-    for k, n in sizes:
+    for k, n in sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.max("place")).collect()):  # a row a range
         before.append((k, total))
         total += n
     table = spark.createDataFrame(before, "part int, before long")
-    numbered = written(placed.join(F.broadcast(table), "part").select("row", "decided", "host", "first", (F.col("before") + F.col("place")).alias("number")), "numbers")
-    dropped(placed)
-
-    # Undecided pages ask their neighbours on either side for the hashes of their lines, and those that met only copies ask further on.
-    firsts = numbered.where("first").select("host", F.col("row").alias("lender"), "number")
-    sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
-    asking = numbered.where("not decided").select("row", "host", "number", sides)
-    masks, old, start, many = [], [numbered], 1, near
-    mask_of = "row long, host string, number long, side int, got int, shared array<boolean>"
-
-    def compare(batches):
+    numbered = placed.join(F.broadcast(table), "part")
+    left = numbered.where("keep IS NULL").select("row", "host", "before", "edge", "done", "masks", *("kinds", "hashes"))
+    done = placed.where("keep IS NOT NULL").select("row", "keep", "n_shared", "n_restored")
+
+    # Pages that met only copies up to an edge of their batch ask for the lines of pages further on, a few at a time.
+    number = F.col("before") + F.col("place")
+    lenders = reduce(DataFrame.union, [numbered.where(end).select("host", F.lit(side).alias("side"), number.alias("at"), "kinds", "hashes") for end, side in (("last", -1), ("first", 1))])
+    sides = [F.struct(F.lit(s).alias("side"), (F.col("before") + F.get("edge", F.lit(k)) + s).alias("at"), F.get("done", F.lit(k)).alias("done")) for k, s in ((0, -1), (1, 1))]
+    asking = left.select("row", "host", F.explode(F.array(*sides)).alias("x")).where("not x.done").select("row", "host", "x.side", "x.at")
+    asker = left.select("row", "kinds", "hashes")
+    answers, many = [], near
+
+    def ask(batches):
         for batch in batches:
             out = []
-            for roles, hashes, others in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-                found = template(np.array(roles) == OPEN, np.array(hashes, dtype=np.int64), [np.array(x["hashes"], dtype=np.int64) for x in others])
+            for kinds, hashes, others in zip(batch.column(4), batch.column(5), batch.column(6).to_pylist()):
+                page = Page(kinds.values, hashes.values)
+                found = next((x for x in (page.template(Page(o["kinds"], o["hashes"])) for o in others) if x is not None), None)
                 out.append((len(others), None if found is None else found.tolist()))
-            yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("row", "host", "number", "side"))} | {"got": pa.array([x[0] for x in out], pa.int32()), "shared": pa.array([x[1] for x in out], pa.list_(pa.bool_()))})
+            yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("row", "host", "side", "at"))} | {"got": pa.array([x[0] for x in out], pa.int32()), "shared": pa.array([x[1] for x in out], pa.list_(pa.bool_()))})
 
     while True:
-        steps = F.explode(F.sequence(F.lit(start), F.lit(start + many - 1))).alias("far")
-        asked = asking.select("row", "side", "number", "host", steps).withColumn("at", F.col("number") + F.col("side") * F.col("far"))
-        pairs = written(asked.join(firsts.withColumnRenamed("number", "at"), ["host", "at"]).select("row", "side", "far", "lender", "host", "number"), "pairs")
-        lent = written(parsed.select(F.col("row").alias("lender"), "hashes").join(pairs.select("lender").distinct(), "lender", "left_semi").dropDuplicates(["lender"]), "lent")
-        others = pairs.join(lent, "lender").groupBy("row", "side", "host", "number").agg(F.sort_array(F.collect_list(F.struct("far", "hashes"))).alias("others"))
-        asker = rest.select("row", "roles", "own").dropDuplicates(["row"])
-        found = written(others.join(asker, "row").select("row", "host", "number", "side", "roles", "own", "others").mapInArrow(compare, mask_of), "masks")
-        dropped(pairs)
-        dropped(lent)
-        masks.append(found.where("shared IS NOT NULL").select("row", "shared"))
-        old.append(found)
-        asking = found.where(f"shared IS NULL AND got = {many}").select("row", "host", "number", "side")
+        steps = F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("far")
+        asked = asking.select("row", "host", "side", F.col("at").alias("begin"), steps).withColumn("at", F.col("begin") + F.col("side") * F.col("far"))
+        others = asked.join(lenders, ["host", "side", "at"]).groupBy("row", "host", "side", "begin").agg(F.sort_array(F.collect_list(F.struct("far", "kinds", "hashes"))).alias("others"))
+        found = others.join(asker, "row").select("row", "host", "side", "begin", "kinds", "hashes", "others")
+        found = written(found.mapInArrow(ask, "row long, host string, side int, at long, got int, shared array<boolean>"), "masks")
+        answers.append(found)
+        asking = found.where(f"shared IS NULL AND got = {many}").select("row", "host", "side", (F.col("at") + F.col("side") * many).alias("at"))
         if asking.isEmpty():
             break
-        start, many = start + many, min(2 * many, 16)
+        many = min(2 * many, 16)
 
-    def texts(batches):
+    def close(batches):
         for batch in batches:
-            out = []
-            for roles, lines, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                keep = np.array(roles) == OPEN
-                for x in found or []:
-                    keep &= ~np.array(x, dtype=bool)
-                out.append((" ".join(x for x, k in zip(lines, keep.tolist()) if k), len(lines), len(lines) - int(keep.sum())))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "url": batch.column(1), "text": pa.array([x[0] for x in out], pa.string()), "n_lines": pa.array([x[1] for x in out], pa.int64()), "n_deleted": pa.array([x[2] for x in out], pa.int64())})
-
-    both = written(reduce(DataFrame.union, masks).groupBy("row").agg(F.collect_list("shared").alias("found")), "found")  # two a page at most
-    for x in old:
-        dropped(x)
-    found = rest.select("row", "id", "url", "roles", "lines").join(both, "row", "left").select("id", "url", "roles", "lines", "found")
-    found = found.mapInArrow(texts, f"id {kind}, url string, text string, n_lines long, n_deleted long")
-    return done.select(*names).union(found.select(*names))
+            found = []
+            for kinds, masks, more in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found.append(outcome(np.asarray(kinds.values, dtype=np.int32), [np.array(x, dtype=bool) for x in [*masks, *(more or [])] if x is not None]))
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0)} | outcome_arrays(found))
+
+    answered = reduce(DataFrame.union, answers).where("shared IS NOT NULL").groupBy("row").agg(F.collect_list("shared").alias("more"))  # two a page at most
+    rest = left.select("row", "kinds", "masks").join(answered, "row", "left").select("row", "kinds", "masks", "more")
+    return done.union(rest.mapInArrow(close, f"row long, {_OUTCOME}"))
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", id: str = "page_id", near: int = NEAR) -> DataFrame:
+    """(id, url, text, n_lines, n_deleted, n_shared, n_restored): the main text, the number of the page's lines and of those
+    that are not in the text, of those that differencing deleted, and of those among them that the marks gave back."""
+    kind = pages.schema[id].dataType.simpleString()
+    host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
+    path = F.coalesce(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    row = F.xxhash64(id, url, html).alias("row")
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [kinds_of(page) for page in batch.column(2).to_pylist()]
+        kinds, hashes = [[k for k, _ in x] for x in found], [hashed([t for _, t in x]) for x in found]
+        return pa.RecordBatch.from_pydict({"row": batch.column(0), "path": batch.column(1), "kinds": pa.array(kinds, pa.list_(pa.int32())), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
+
+    def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The lines that may be the text; the others are null."""
+        lines = []
+        for page in batch.column(3).to_pylist():
+            found = kinds_of(page)
+            may = core(np.array([k for k, _ in found], dtype=np.int32)) & np.array([k != BOILERPLATE for k, _ in found], dtype=bool)
+            lines.append([x if m else None for (_, x), m in zip(found, may.tolist())])
+        return pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("row", "id", "url"))} | {"lines": pa.array(lines, pa.list_(pa.string()))})
+
+    parsed = written(map_chunks(pages.select(row, F.concat_ws("\x01", host, path).alias("path"), F.col(html).alias("html")), "html", parse, f"row long, path string, {_LISTS}"), "lines")
+    decided = differenced(parsed, near)
+    dropped(parsed)
+    whole = map_chunks(pages.select(row, F.col(id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")), "html", texts, f"row long, id {kind}, url string, lines array<string>")
+    # array_join passes nulls over.
+    text = F.array_join(F.transform("lines", lambda x, i: F.when(F.get("keep", i), x)), " ").alias("text")
+    n_kept = F.size(F.filter("keep", lambda x: x))
+    n_lines = F.size("keep")
+    numbers = [n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_deleted"), "n_shared", "n_restored"]
+    return whole.join(decided, "row").select(F.col("id").alias(id), F.col("url").alias(url), text, *numbers)

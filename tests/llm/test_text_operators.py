@@ -451,6 +451,30 @@ def test_html_against_plain_differencing(spark):
         assert got[i] == want and "menu" not in want and "paragraph" in want
 
 
+def test_html_pages_with_articles_are_differenced(spark):
+    """Teasers and bars that only differencing tells go, quotes in an article stay, copies are passed over; in large and in small batches."""
+    def page(own, extra="", bar="", menu="Menu"):
+        return f"<nav>{menu}</nav><div>Loose</div><main>{bar}<article>{own}</article>{extra}</main><footer>Foot</footer>"
+
+    teaser, bar = "<article class=teaser><h2>Latest</h2><p>News of the house</article>", "<div>You are here</div>"
+    rows = [
+        page("<p>A one<p>Quote", teaser, bar), page("<p>B one<p>Quote<p>B two", teaser, bar),
+        *[page("<p>C one<p>C two", teaser, bar, menu=f"M{k}") for k in range(7)], page("<p>D one", "", bar), page("<p>D one<p>Quote", "<article>Own news</article>", "<div>Own bar</div>"),
+    ]
+    want = ["A one Quote", "B one Quote B two", *["C one C two"] * 7, "D one", "Own bar D one Quote Own news"]
+    pages = spark.createDataFrame([(k, f"http://a.b/{k:02}", x) for k, x in enumerate(rows)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("10000", "2"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = {r.page_id: r for r in html_diff.extract(pages.repartition(3)).collect()}
+            assert [got[k].text for k in range(len(rows))] == want
+            # Shared by 0 and 1: menu, loose line, bar, quote, teaser, footer; only the quote is given back.  The crowd's menus are its own.
+            assert [(got[k].n_lines, got[k].n_shared, got[k].n_restored) for k in (0, 1, 4)] == [(8, 7, 1), (9, 7, 1), (8, 5, 0)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_lcs():
     random.seed(6)
     for _ in range(300):

@@ -11,7 +11,9 @@ The model is a table of keys, a gram or a context of some order, each with its l
 keys, as many as `stored` values allow, are broadcast as sorted 64-bit hash arrays that are searched by bisection.  The
 rest stays a table: grams of a text that need a key which is not among the stored ones are joined to the whole table and
 their part is added, so that results do not depend on `stored`.  A text's language is that of least cross-entropy per
-letter.  The margin at which a prediction is `rejected` is calibrated on a bounded sample of training documents.
+letter.  A prediction is `rejected` if its cross-entropy is above the threshold of its language, a quantile of those that all
+training documents of that language have in it; it is exact, from their order in sorted ranges.  All documents are scored once, for the
+thresholds and for the predictions.
 
 Defined cases: a null text or one without letters is `und` with score 0; null languages are not learned; without any
 training document everything is `und`, and an empty table stays empty; ties go to the language that sorts first; repeated
@@ -29,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks, mixed, written
+from .common import dropped, map_chunks, mixed, written
+from .importance import ranked
 
 ORDER, STORED = 4, 1 << 22
-SAMPLE, QUANTILE = 2000, 0.01
+QUANTILE = 0.01
 UNKNOWN = "und"
 _BITS, _MARK = 16, 32
 #: Cells of a table of grams by languages that a task works on at a time.
@@ -312,24 +315,28 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", stored: int =
     return model if model.languages else None
 
 
-def calibrate(model: Model, train: DataFrame, id: str, text: str = "text", lang: str = "lang", sample: int = SAMPLE, quantile: float = QUANTILE) -> None:
-    """model.accept: the cross-entropy, per language, that `quantile` of a bounded sample of training documents exceeds."""
-    rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id, text).alias("pick"))
-    picked = rows.select("pick").distinct().orderBy("pick").limit(sample)
-    found = totals(rows.join(F.broadcast(picked), "pick"), model, "text", ["lang", "pick"]).dropDuplicates(["pick"]).where("size > 0").select("lang", "size", "total").toPandas()
-    for k, name in enumerate(model.languages):
-        own = found[found["lang"] == name]
-        if len(own):
-            model.accept[k] = np.quantile([-t[k] / n for t, n in zip(own["total"], own["size"])], 1 - quantile)
+def calibrate(model: Model, found: DataFrame, lang: str = "lang", quantile: float = QUANTILE) -> None:
+    """model.accept: the cross-entropy, per language, that `quantile` of all its training documents (lang, own) exceed."""
+    # The last column tells equal values apart, so that a range can end between them.
+    rows = found.where("own IS NOT NULL").select(F.col(lang).alias("lang"), "own", F.monotonically_increasing_id().alias("row"))
+    placed = written(ranked(rows, ["lang", "own", "row"], "number").select("lang", "own", "number"), "own")
+    wanted = {}
+    for name, first, n in placed.groupBy("lang").agg(F.min("number"), F.count("*")).collect():  # a row a language
+        at = (n - 1) * (1 - quantile)
+        wanted[name] = (first + int(at), first + min(int(at) + 1, n - 1), at - int(at))
+    table = placed.sparkSession.createDataFrame(sorted({(x,) for low, high, _ in wanted.values() for x in (low, high)}), "number long")
+    value = {r.number: r.own for r in placed.join(F.broadcast(table), "number").collect()}  # two a language at most
+    dropped(placed)
+    for name, (low, high, share) in wanted.items():
+        model.accept[model.languages.index(name)] = value[low] + (value[high] - value[low]) * share
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred, score (the probability of the language among those learned, at 32 letters at most), entropy and rejected."""
-    if model is None:
-        return docs.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    names, accept = model.languages, model.accept
+def scored(docs: DataFrame, model: Model, text: str, carried: list[str], lang: str | None = None) -> DataFrame:
+    """The carried columns, lang_pred, score and entropy, and own: the cross-entropy in the row's own language, if `lang` (a carried column) has one."""
+    names = model.languages
 
     def choose(batches):
+        number = {name: k for k, name in enumerate(names)}
         for batch in batches:
             size = np.asarray(batch.column(len(carried)))
             value = -batch.column(len(carried) + 1).flatten().to_numpy().reshape(len(size), -1) / np.maximum(size, 1)[:, None]
@@ -337,18 +344,36 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carried: t
             least = value[np.arange(len(best)), best]
             score = 1 / np.exp((least[:, None] - value) * np.minimum(size, 32)[:, None]).sum(axis=1)
             out = {name: batch.column(i) for i, name in enumerate(carried)}
-            out |= {"lang_pred": pa.array([UNKNOWN if z else names[k] for k, z in zip(best.tolist(), none.tolist())], pa.string()), "score": pa.array(np.where(none, 0.0, score)), "entropy": pa.array(least, mask=none), "rejected": none | (least > accept[best])}
+            out |= {"lang_pred": pa.array([UNKNOWN if z else names[k] for k, z in zip(best.tolist(), none.tolist())], pa.string()), "score": pa.array(np.where(none, 0.0, score)), "entropy": pa.array(least, mask=none)}
+            if lang is not None:
+                own = np.array([number.get(x, -1) for x in batch.column(carried.index(lang)).to_pylist()], dtype=np.int64)
+                out["own"] = pa.array(value[np.arange(len(own)), own], mask=none | (own < 0))
             yield pa.RecordBatch.from_pydict(out)
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return totals(docs, model, text, list(carried)).mapInArrow(choose, f"{fields}, lang_pred string, score double, entropy double, rejected boolean")
+    return totals(docs, model, text, carried).mapInArrow(choose, f"{fields}, lang_pred string, score double, entropy double" + ", own double" * (lang is not None))
+
+
+def judged(found: DataFrame, model: Model) -> DataFrame:
+    """Adds rejected: no letter, or an entropy above the threshold of the predicted language."""
+    table = found.sparkSession.createDataFrame([(k, float(x)) for k, x in zip(model.languages, model.accept)], "lang_pred string, accept double")
+    rejected = (F.col("entropy").isNull() | F.coalesce(F.col("entropy") > F.col("accept"), F.lit(False))).alias("rejected")
+    return found.join(F.broadcast(table), "lang_pred", "left").select(*[F.col(f"`{c}`") for c in found.columns], rejected)  # a row a language
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang_pred, score (the probability of the language among those learned, at 32 letters at most), entropy and rejected."""
+    if model is None:
+        return docs.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
+    return judged(scored(docs, model, text, list(carried)), model)
 
 
 def identify(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lang: str = "lang", stored: int = STORED) -> DataFrame:
     """Learns from the rows that aren't held out and predicts all."""
-    rows = docs.select(id, text, lang, held_out.alias("held_out"))
-    train = training_rows(rows, id, lang, text, F.col("held_out"))
-    model = fit(train, text, lang, stored)
-    if model:
-        calibrate(model, train, id, text, lang)
-    return predict(rows, model, text, (id, "held_out"))
+    rows = docs.select(id, text, F.when(~held_out, F.col(lang)).alias(lang), held_out.alias("held_out"))  # held-out rows' languages are not read
+    model = fit(training_rows(rows, id, lang, text, F.col("held_out")), text, lang, stored)
+    if model is None:
+        return predict(rows, None, text, (id, "held_out"))
+    found = written(scored(rows, model, text, [id, "held_out", lang], lang), "scored")
+    calibrate(model, found, lang)
+    return judged(found.drop(lang, "own"), model)

@@ -685,6 +685,27 @@ def test_language_model(spark):
     assert langid.identify(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_language_thresholds_are_of_all_training_documents(spark):
+    """2600 documents in one language and three in another, equal ones among them: rejected is what the exact quantiles say."""
+    random.seed(3)
+    word = lambda letters: "".join(random.choice(letters) for _ in range(random.randrange(1, 7)))
+    rows = [(k, " ".join(word("abcdefgh" if k % 100 else "ghijklmnopq") for _ in range(random.randrange(1, 12))), "x") for k in range(2600)]
+    rows += [(3000 + k, "hagede", "x") for k in range(40)] + [(4000, "\u03b1\u03b2\u03b3", "y"), (4001, "\u03b2\u03b1", "y"), (4002, "\u03b3\u03b3\u03b3\u03b1", "y")]
+    rows += [(5000, "\u03b3\u03b2\u03b3\u03b2\u03b2\u03b2", None), (5001, "qpq gag", None), (5002, "?", None), (5003, "\u03b1\u03b1\u03b1\u03b1\u03b2\u03b2", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang, train = {k: x for k, _, x in rows}, docs.where("doc_id < 5000")
+    model = langid.fit(train)
+    entropy = {r.doc_id: [-t / r.size for t in r.total] if r.size else None for r in langid.totals(docs, model, "text", ["doc_id"]).collect()}
+    own = {name: [entropy[k][i] for k in lang if k < 5000 and lang[k] == name] for i, name in enumerate(model.languages)}
+    accept = {name: np.quantile(x, 1 - langid.QUANTILE) for name, x in own.items()}
+    found = langid.identify(docs, F.col("doc_id") >= 5000).collect()
+    assert len(found) == len(rows) and sum(r.rejected for r in found if r.lang_pred == "x") >= 20
+    assert {r.doc_id for r in found if r.rejected} == {k for k, x in entropy.items() if x is None or min(x) > accept[model.languages[int(np.argmin(x))]]}
+    model.accept[:] = np.inf
+    langid.calibrate(model, langid.scored(train, model, "text", ["lang"], "lang"))
+    assert np.allclose(model.accept, [accept[name] for name in model.languages], rtol=1e-12)
+
+
 def test_many_languages(spark):
     """70 of them, each with letters of its own, and marks on letters that belong to their words."""
     rows = [(k, "".join(chr(0x4E00 + 50 * k + i % 7) for i in range(30)), f"l{k:02}") for k in range(70)] + [(70, "\u0928\u092e\u0938\u094d\u0924\u0947 " * 3, "hi")]

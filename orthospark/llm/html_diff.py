@@ -12,7 +12,8 @@ Pages of a host are sorted by URL path; each is aligned with the nearest page be
 common subsequence (LCS) of their lines, and lines that a pair shares are deleted: a template, not this page's text.  This is
 done for every page.  A page's core is its content lines, or its open lines if it has none, or else all.  Pages in a row with the same
 core count as one, and a neighbour that leaves a page no line of its core is a copy, not a template; the next one on its side is
-taken, as far as the host goes.  A page without content lines is aligned with the others' lines outside content.
+taken, as far as the host goes.  If the two sides together leave no line of it, only the side that shares fewer of them counts (of equal
+ones that with the earlier lines): the other is nearly a copy.  A page without content lines is aligned with the others' lines outside content.
 
 The marks then check what differencing left, as menus, adverts and footers are often drawn per page and articles quote one another:
  - without content lines, the open lines left are the text;
@@ -340,9 +341,11 @@ def hashed(lines: list[str]) -> list[int]:
 
 def outcome(kinds: np.ndarray, masks: list[np.ndarray]) -> tuple[list[bool], int, int]:
     """(which lines are kept, how many differencing deleted, how many of these the marks gave back)."""
-    deleted = np.zeros(len(kinds), dtype=bool)
+    deleted, of = np.zeros(len(kinds), dtype=bool), core(kinds)
     for x in masks:
         deleted |= x
+    if len(masks) > 1 and not (of & ~deleted).any():  # one of them is nearly a copy: the other's lines go
+        deleted = min(masks, key=lambda x: (int((x & of).sum()), (~(x & of)).tobytes(), (~x).tobytes()))
     keep = kept(kinds, deleted)
     return keep.tolist(), int(deleted.sum()), int((deleted & keep).sum())
 

@@ -475,6 +475,17 @@ def test_html_pages_with_articles_are_differenced(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_html_near_copies_leave_a_page_its_text(spark):
+    """A near copy on one side and the template with the rest on the other: what only the near copy shares stays."""
+    page = lambda date, own: f"<div>Welcome</div><div>{date}</div><p>{own} one</p><p>{own} two</p><div>Legal</div>"
+    article = lambda own, teaser: f"<article>{own}</article><article>{teaser}</article>"
+    rows = [("p.q/1", page("May", "Ann")), ("p.q/2", page("May", "Bob")), ("p.q/3", page("June", "Bob")), ("r.s/1", article("Cy", "News")), ("r.s/2", article("Di<p>tells", "News")), ("r.s/3", article("Di<p>tells", "Old"))]
+    pages = spark.createDataFrame([(k, f"http://{u}", x) for k, (u, x) in enumerate(rows)], "page_id long, url string, html string")
+    for n in (1, 4):
+        got = {r.page_id: r.text for r in html_diff.extract(pages.repartition(n)).collect()}
+        assert (got[1], got[4]) == ("Bob one Bob two", "Di tells")
+
+
 def test_lcs():
     random.seed(6)
     for _ in range(300):

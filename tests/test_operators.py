@@ -150,6 +150,18 @@ def test_range_join_has_each_pair_once(spark):
     assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
 
 
+def test_nearest_items_in_a_crowd(spark):
+    """Crowded cells are cut into blocks whatever the sides' columns are called."""
+    grid = [(i, float(i % 20), float(i // 20)) for i in range(400)]
+    requests = spark.range(20_000).select(F.col("id").alias("rid"), (F.col("id") % 19 + 0.25).alias("rx"), (F.col("id") % 17 + 0.25).alias("ry"))
+    got = spatial.nearest(requests, spark.createDataFrame(grid, "id long, x double, y double"), 1, 30.0).collect()
+    assert sorted((r.rid, r.id) for r in got) == [(i, i % 17 * 20 + i % 19) for i in range(20_000)]
+    names = ("_n", "_m", "_l", "_x", "_y", "_level", "_i", "_j")
+    left = spark.range(200).select("id", *[F.lit(float(k // 4)).alias(n) for k, n in enumerate(names)])
+    right = spark.range(100).select(F.col("id").alias("idx"), *[F.lit(0.5).alias(n) for n in spatial.WINDOW])
+    assert spatial.range_join(left, right, 1.0, names[:2] + names[4:6], block=16, share=1).count() == 20_000
+
+
 def test_range_join_of_a_city_and_the_world(spark):
     """Boxes from a metre to the world, crowded in a city: each pair once, also where blocks, samples and levels differ; no task with most of the rows."""
     random.seed(5)

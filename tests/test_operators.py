@@ -553,3 +553,13 @@ def test_ranks_by_distance(spark):
         own = sorted(((x - 3) ** 2 + (y - 4) ** 2, i) for r, i, x, y in rows if r == name)
         assert sorted((r["rank"], r.id, r.distance2) for r in got if r.req == name) == [(k + 1, i, d) for k, (d, i) in enumerate(own)]
     assert tiles.sorted_by_distance(df.limit(0), "req", F.col("x"), F.col("y"), F.lit(3.0), F.lit(4.0), "id").count() == 0
+
+
+def test_meshes_beyond_the_projection(spark, tmp_path):
+    """Tiles far north on the grid's plane go through Albers and back, too."""
+    from orthospark.plans import QUERIES
+
+    parts = [0, 9_999, 10_000, 19_456, 29_999, 119_999, 7_199_999]
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((r.fid, r.i, r.j, r.x, r.y) for r in QUERIES["reproject_grid"](spark, str(tmp_path)).collect())
+    assert got == [(p, i, j, p % 50 * 10000.0 + 2500.0 * i, p // 50 * 10000.0 + 10000.0 - 2500.0 * j) for p in parts for i in range(5) for j in range(5)]

@@ -543,6 +543,19 @@ def test_mosaic_takes_the_first_that_is_opaque(spark):
     assert {(r.row, r.col): r.value for r in got} == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): 3.0, (1, 1): 4.0}
 
 
+def test_mosaic_of_a_crowd_of_sources(spark):
+    """So many sources over a place that its cell is cut into blocks."""
+    from orthospark.functions import projections as P
+
+    sources = spark.range(12_000).select(
+        F.col("id").alias("source"), F.col("id").alias("rank"), *[F.lit(x).alias(n) for n, x in zip(("sx", "sy", "sw", "sh", "west", "south", "east", "north"), (0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0))],
+        F.lit(1).alias("columns"), F.lit(1).alias("rows"), F.array(F.when(F.col("id") >= 5, F.col("id").cast("double"))).alias("data"), P.crs("longlat").alias("crs"),
+    )
+    targets = spark.createDataFrame([(7, 0.0, 1.0, 0.5, 0.5)], "target int, tx double, ty double, tw double, th double")
+    got = rasters.mosaic(targets, sources, 2, 2, P.crs("longlat"), 1.0).collect()
+    assert sorted((r.row, r.col, r.value, r.source) for r in got) == [(r, c, 5.0, 5) for r in (0, 1) for c in (0, 1)]
+
+
 def test_ranks_by_distance(spark):
     """One request with most of the items, ties by id, a request without a name, none."""
     rng = random.Random(10)

@@ -162,6 +162,15 @@ def test_nearest_items_in_a_crowd(spark):
     assert spatial.range_join(left, right, 1.0, names[:2] + names[4:6], block=16, share=1).count() == 20_000
 
 
+def test_large_sides_are_not_broadcast(spark):
+    """Whatever Spark takes a side's size for: its cells and rings are not in the estimate."""
+    place = lambda n: spark.range(n).select("id", *[(F.col("id") % 100).cast("double").alias(x) for x in ("xmin", "xmax")], *[F.expr("cast(id div 100 as double)").alias(x) for x in ("ymin", "ymax")])
+    right = place(6000).withColumnsRenamed(dict(zip(("id", *spatial.BOX), ("idx", *spatial.WINDOW))))
+    pairs = spatial.range_join(place(10_000), right, 1.0)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 6000
+
+
 def test_range_join_of_a_city_and_the_world(spark):
     """Boxes from a metre to the world, crowded in a city: each pair once, also where blocks, samples and levels differ; no task with most of the rows."""
     random.seed(5)

@@ -127,7 +127,7 @@ def write_row_group_index(v):
 @query("select distinct b.id from buildings b join boxes x on b.xmin <= x.east and b.xmin + 0.0005 >= x.west and b.ymin <= x.north and b.ymin + 0.0005 >= x.south")
 def read_by_row_group_index(v):
     path = building_files(v)
-    rows = parquet_index.read(v.spark, parquet_index.scan_footers(v.spark, path), v.boxes, ["id", *spatial.BOX], 2.5, most=10_000)
+    rows = parquet_index.read(v.spark, parquet_index.scan_footers(v.spark, path), v.boxes, ["id", *spatial.BOX], 2.5, most=None)
     return spatial.semi_join_boxes(rows, v.boxes, "id", 2.5).select("id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.spatial import range_join
+from ..operators.spatial import WINDOW, range_join
 from .files import listed, opened
 
 MOST_GROUPS = 96
@@ -43,7 +43,7 @@ def scan_footers(spark: SparkSession, path: str, names: tuple = ("xmin", "ymin",
 
 def hits(index: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Row groups that any of the boxes meets, each once."""
-    return range_join(index, boxes, size).select(*index.columns).distinct()
+    return range_join(index, boxes.select(*WINDOW).distinct(), size).select(*index.columns).distinct()
 
 
 def read_groups(groups: DataFrame, columns: list[str], schema: T.StructType) -> DataFrame:
@@ -64,13 +64,13 @@ def read_groups(groups: DataFrame, columns: list[str], schema: T.StructType) ->
     return groups.select("file", "row_group").repartition(parts, "file", "row_group").mapInArrow(work, schema)
 
 
-def read(spark: SparkSession, index: DataFrame, boxes: DataFrame, columns: list[str], size: float, most: int = MOST_GROUPS) -> DataFrame:
+def read(spark: SparkSession, index: DataFrame, boxes: DataFrame, columns: list[str], size: float, most: int | None = MOST_GROUPS) -> DataFrame:
     """The rows of the row groups that any of the boxes meets, in the columns asked for, and of no other group.
 
-    Refuses more than `most` row groups; an index without files has no columns to read.
+    Refuses more than `most` row groups (none: reads any number, as tasks do the reading); an index without files has no columns to read.
     """
     found = hits(index, boxes, size)
-    if found.limit(most + 1).count() > most:
+    if most is not None and found.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} row groups")
     one = index.select("file").first()
     if one is None:

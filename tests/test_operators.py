@@ -366,6 +366,18 @@ def test_row_groups_are_read_one_by_one(spark, tmp_path):
     assert parquet_index.read(spark, index, boxes.limit(0), ["id"], 10.0).count() == 0
 
 
+def test_row_groups_without_a_limit(spark, tmp_path):
+    """More row groups than the default allows, and boxes that repeat: all rows, each once."""
+    from orthospark.sources import parquet_index
+
+    path = str(tmp_path / "tiles")
+    spark.range(0, 2000, 1, 1).select("id", *[(F.col("id") / 10.0).alias(n) for n in spatial.BOX]).write.option("parquet.block.row.count.limit", 10).parquet(path)
+    boxes = spark.createDataFrame([(0.0, 0.0, 1000.0, 1000.0)] * 3, "west double, south double, east double, north double")
+    index = parquet_index.scan_footers(spark, path)
+    assert index.count() > parquet_index.MOST_GROUPS
+    assert sorted(r.id for r in parquet_index.read(spark, index, boxes, ["id"], 10.0, most=None).collect()) == [*range(2000)]
+
+
 def test_counts_and_shares_of_row_groups(spark, sf_dir):
     """total_row_groups_hit, row_group_locality and index_freshness against the footers, read one after another."""
     import pyarrow.parquet as pq

@@ -597,3 +597,27 @@ def test_meshes_beyond_the_projection(spark, tmp_path):
     spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     got = sorted((r.fid, r.i, r.j, r.x, r.y) for r in QUERIES["reproject_grid"](spark, str(tmp_path)).collect())
     assert got == [(p, i, j, p % 50 * 10000.0 + 2500.0 * i, p // 50 * 10000.0 + 10000.0 - 2500.0 * j) for p in parts for i in range(5) for j in range(5)]
+
+
+@pytest.mark.parametrize("name, sides", [("points_in_shapes", (None, 3))])
+def test_what_repeats_is_joined_once(spark, tmp_path, monkeypatch, name, sides):
+    """Four views of each place, two buildings and footprints of each: the join gets one of them, the result has all."""
+    import duckdb
+
+    from orthospark.plans import ORACLES, QUERIES
+
+    views = [(a + 456 * j,) for a in (1, 2, 3) for j in range(4)]
+    twice = lambda n, period, step: [(i * step + period * j,) for i in range(n) for j in (0, 1)]
+    spark.createDataFrame(views, "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(twice(300, 4_560_000, 7), "event_id long").selectExpr("event_id", "'view' as event_type", "1D as value", "event_id as user_id", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(twice(4000, 45_600, 1), "o_orderkey long").withColumn("o_orderdate", F.lit("1995-03-04").cast("timestamp")).write.parquet(str(tmp_path / "orders.parquet"))
+    seen, joined = [], spatial.range_join
+    monkeypatch.setattr(spatial, "range_join", lambda a, b, *rest, **named: (seen.append((a.count(), b.count())), joined(a, b, *rest, **named))[1])
+    got = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("supplier", "events", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(ORACLES[name])
+    rows = sorted(tuple(r) for r in got.select(*want.columns).collect())
+    assert rows == sorted(want.fetchall()) and len(rows) > 3
+    assert [(sides[0] and a, b) for a, b in seen] == [sides]

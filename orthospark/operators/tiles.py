@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..sources.files import scratch
+from ..sources.files import removed, scratch
 
 
 def half_up(x: Column) -> Column:
@@ -106,16 +106,17 @@ def sorted_by_distance(items: DataFrame, request: str, x: Column, y: Column, to_
     rows, order = scratch(spark, "distances"), [F.col(request), F.col("distance2"), F.col(tie)]
     items.withColumn("distance2", (x - to_x) * (x - to_x) + (y - to_y) * (y - to_y)).write.parquet(rows)
     placed = scratch(spark, "places")
-    spark.read.parquet(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(placed)
-    placed = spark.read.parquet(placed).withColumn("_part", F.shiftright("_place", 33))
+    spark.read.parquet(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_sorted_place", F.monotonically_increasing_id()).write.parquet(placed)
+    removed(spark, rows)
+    placed = spark.read.parquet(placed).withColumn("_sorted_part", F.shiftright("_sorted_place", 33))
     before, total = [], 0
-    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("_part").count().collect()):  # a row a range
+    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("_sorted_part").count().collect()):  # a row a range
         before.append((part, total))
         total += n
-    table = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))
-    numbered = placed.join(table, "_part").withColumn("_number", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-    first = numbered.groupBy(F.col(request).alias("_request")).agg(F.min("_number").alias("_first"))
-    return numbered.join(first, F.col(request).eqNullSafe(F.col("_request"))).withColumn("rank", F.col("_number") - F.col("_first") + 1).drop("_part", "_before", "_place", "_number", "_request", "_first")
+    table = F.broadcast(spark.createDataFrame(before, "_sorted_part long, _sorted_before long"))
+    numbered = placed.join(table, "_sorted_part").withColumn("_sorted_number", F.col("_sorted_before") + F.col("_sorted_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = numbered.groupBy(F.col(request).alias("_sorted_request")).agg(F.min("_sorted_number").alias("_sorted_first"))
+    return numbered.join(first, F.col(request).eqNullSafe(F.col("_sorted_request"))).withColumn("rank", F.col("_sorted_number") - F.col("_sorted_first") + 1).drop("_sorted_part", "_sorted_before", "_sorted_place", "_sorted_number", "_sorted_request", "_sorted_first")
 
 
 def covering_tiles(primary: DataFrame, px: float, sx: float) -> DataFrame:

@@ -599,7 +599,7 @@ def test_meshes_beyond_the_projection(spark, tmp_path):
     assert got == [(p, i, j, p % 50 * 10000.0 + 2500.0 * i, p // 50 * 10000.0 + 10000.0 - 2500.0 * j) for p in parts for i in range(5) for j in range(5)]
 
 
-@pytest.mark.parametrize("name, sides", [("points_in_shapes", (None, 3)), ("shapes_meeting_boxes", (1000, 3)), ("sort_by_distance_from_point", (8000, 3)), ("tile_to_sources_join", (8000, 3))])
+@pytest.mark.parametrize("name, sides", [("multi_scale_range_join", (300, 3)), ("points_in_shapes", (None, 3)), ("shapes_meeting_boxes", (1000, 3)), ("sort_by_distance_from_point", (8000, 3)), ("tile_to_sources_join", (8000, 3))])
 def test_what_repeats_is_joined_once(spark, tmp_path, monkeypatch, name, sides):
     """Four views of each place, two buildings and footprints of each: the join gets one of them, the result has all."""
     import duckdb

@@ -225,13 +225,14 @@ _OBJECTS: dict[tuple, str] = {}
 
 
 def objects(v) -> str:
-    """A folder of the keys' objects, a byte each, and some that are no images of the layout; written once for a session and a data folder.  Their spatial folders have a digit: folders hold many images."""
+    """A folder of the keys' objects, which are empty (listings read no content, and a byte takes a block of disk), and some that are no images of the layout; written once for a session and a data folder.  Their spatial folders have a digit: folders hold many images."""
     session = (v.spark.sparkContext.applicationId, v.sf_dir)
     if session not in _OBJECTS:
         path = files.scratch(v.spark, "objects")
         keys = v.footprints.select(F.regexp_replace("source_key", "/rgbir_cog/([0-9])[0-9]{4}/", "/rgbir_cog/$1/").alias("name"), "k")
         other = keys.where("k % 10 = 0").withColumn("name", F.regexp_replace("name", "rgbir_cog", "fgdc"))
-        files.write_objects(keys.union(other).withColumn("content", F.lit("x")), path)
+        tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))  # a folder is one task's
+        files.write_objects(keys.union(other).withColumn("content", F.lit("")).repartition(tasks, F.regexp_extract("name", "^(.*)/", 1)), path)
         _OBJECTS[session] = path
     return _OBJECTS[session]
 

@@ -312,6 +312,24 @@ def test_listing_by_tasks(spark, tmp_path):
     assert below(["none", "none/at/all", "b/v/"]) == [] and files.listed(spark.createDataFrame([], "prefix string")).count() == 0
 
 
+def test_listing_hands_on_files_as_it_goes(spark, tmp_path, monkeypatch):
+    """A task stops at a number of files and holds few of them; prefixes apart are not compared, others give a file once.  Objects take no blocks of disk."""
+    from orthospark.plans.lake_queries import objects
+    from orthospark.plans.registry import Views
+
+    spark.range(500).selectExpr("id as o_orderkey", "timestamp'1995-03-04' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    path = objects(Views(spark, str(tmp_path))).removeprefix("file://")
+    written = [p for p in __import__("pathlib").Path(path).rglob("*.tif")]
+    assert len(written) == 550 and all(p.stat().st_blocks == 0 for p in written)
+    monkeypatch.setattr(files, "MOST_FILES", 7)
+    monkeypatch.setattr(files, "ROWS", 3)
+    found = lambda names: files.listed(spark.createDataFrame([(f"file://{path}/{n}",) for n in names], "prefix string"), ".tif")
+    for names, apart in ((("nj/", "ri/", "de/", "ca/", "ky/", "wa/", "tx/", "hi/"), True), (("nj", "nj/1995/", "ri", "de", "ca", "ky", "wa", "tx", "hi"), False)):
+        rows = found(names)
+        assert sorted(r.path.split(path)[1] for r in rows.collect()) == sorted(str(p).split(path)[1] for p in written)
+        assert ("Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()) == apart
+
+
 def test_replacement_survives_failures(spark, tmp_path):
     """A merge that is killed while it overwrites, after partitions are gone, loses no row when it is run again; what is done is not done twice."""
     import shutil

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import html
 import re
 import struct
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, projections
-from .files import listing, opened
+from .files import exists, listed, listing, opened, store_of
 
 #: Bytes fetched at once at a file's start; most bytes of a tag, and most directories, that are taken for real.
 PREFIX, MOST_BYTES, MOST_DIRECTORIES = 1 << 17, 1 << 26, 1000
@@ -139,10 +140,21 @@ def footprints(rows: DataFrame, crs: DataFrame | None = None) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*.tif", crs: DataFrame | None = None) -> DataFrame:
-    """A row a file, with its footprint (see footprints); a file that can't be read has an error and no fields, and stops nothing.  Files are listed without their content and read by ranges."""
+    """A row a file, with its footprint (see footprints); a file that can't be read has an error and no fields, and stops nothing.
+
+    Tasks list the files and read them by ranges; the driver holds no file's name, unless the store is one that only Spark can open.
+    """
     ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
     kinds = {"proj_shape": ints, "band_count": pa.int32(), "bits": ints, "ifd_count": pa.int32(), "proj_epsg": pa.int32(), "citation": pa.string(), "gsd": pa.float64(), "proj_transform": doubles, "proj_bbox": doubles, "band_names": pa.list_(pa.string())}
 
+    try:
+        if re.search(r"[*?{\[]", path) or "{" in pattern or not exists(spark, path):
+            raise ValueError("Spark's patterns, or nothing there")
+        store_of(path)
+        found = listed(spark.createDataFrame([(path,)], "prefix string")).where(F.element_at(F.split("path", "/"), -1).rlike(f"^{fnmatch.translate(pattern)}"))
+    except Exception:  # noqa: BLE001  or pyarrow has no such store
+        found = listing(spark, path, pattern)
+
     def read(batches):
         for batch in batches:
             rows = []
@@ -154,4 +166,5 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.tif", crs: DataFrame
                     rows.append({"error": str(e) or type(e).__name__})
             yield pa.RecordBatch.from_pydict({"path": batch.column(0), "error": pa.array([r["error"] for r in rows], pa.string())} | {n: pa.array([r.get(n) for r in rows], k) for n, k in kinds.items()})
 
-    return footprints(listing(spark, path, pattern).select("path").mapInArrow(read, SCHEMA), crs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return footprints(found.select("path").repartition(parts, "path").mapInArrow(read, SCHEMA), crs)

@@ -299,6 +299,24 @@ def test_headers_beyond_the_first_fetch_and_cycles():
             headers.header(data)
 
 
+def test_headers_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Spark's own index of the files, which the driver holds, is not asked; the names' pattern holds, and what is missing fails as before."""
+    from orthospark.plans.lake_queries import tiff
+    from orthospark.sources import headers
+
+    for n, name in ((2, "a/x.tif"), (3, "a/y.tif"), (4, "a/y.tiff"), (5, "b/_z.tif"), (9, "b/w.tif")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(tiff(n))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        headers.scan(spark, f"{tmp_path}/none").count()
+    globbed = headers.scan(spark, f"{tmp_path}/*/").select("error").collect()
+    monkeypatch.setattr(headers, "listing", None)
+    for path in (f"{tmp_path}", f"file://{tmp_path}", f"file:{tmp_path}/"):
+        got = sorted((r.path.rpartition("/")[2], r.proj_epsg, r.error) for r in headers.scan(spark, path).collect())
+        assert got == [("w.tif", None, "no CRS"), ("x.tif", 26912, None), ("y.tif", 26913, None)]
+    assert len(globbed) == 3 and headers.scan(spark, str(tmp_path), "[xy].tif*").count() == 3
+
+
 def test_listing_by_tasks(spark, tmp_path):
     """Folders, a file, the beginning of names, overlaps, hidden names, nothing; rounds of one folder a task give the same."""
     names = ["a/1/x.tif", "a/1/y.txt", "a/2/z.tif", "a/2/deep/er/w.tif", "b/v.tif", "b/_hidden/u.tif", "b/.t.tif", "ab.tif"]
